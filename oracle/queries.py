@@ -1,0 +1,56 @@
+"""Oracle SQL by query name."""
+
+QUERIES: dict[str, str] = {
+    "c1_token_index": "SELECT resume_id, scope, token FROM token_v",
+    "c2_variant_index": "SELECT word, variant FROM variant_v",
+    "c3_keyword_hits": """
+SELECT resume_id, job_id, kind, pos, keyword, bool_or(hit) FILTER (scope = 'all') AS in_all,
+  bool_or(hit) FILTER (scope = 'summary') AS in_summary, bool_or(hit) FILTER (scope = 'skills') AS in_skills
+FROM hit_v GROUP BY ALL""",
+    "c4_keyword_match": "SELECT resume_id, job_id, keyword_match FROM kwscore_v",
+    "c5_keyword_placement": "SELECT resume_id, job_id, keyword_placement FROM kwscore_v",
+    "c6_keyword_gap": "SELECT resume_id, job_id, kind, pos, keyword FROM hit_v WHERE scope = 'all' AND NOT hit",
+    "c6_most_missed": """
+SELECT job_id, keyword, n_missing, rank FROM (
+  SELECT job_id, keyword, n_missing, row_number() OVER (PARTITION BY job_id ORDER BY n_missing DESC, keyword) AS rank FROM (
+    SELECT job_id, keyword, count(DISTINCT resume_id) AS n_missing FROM hit_v WHERE scope = 'all' AND NOT hit GROUP BY ALL))
+WHERE rank <= 5""",
+    "c7_keywords_present": """
+SELECT p.resume_id, p.job_id, k.i - 1 AS pos, k.keyword FROM pair_v p
+JOIN (SELECT job_id, unnest(range(1, len(hard_keywords) + 1)) AS i, unnest(hard_keywords) AS keyword FROM job_v) k USING (job_id)
+JOIN (SELECT resume_id, lower(coalesce(summary, '') || ' ' || array_to_string(skills, ' ') || ' ' || array_to_string(tech_stack, ' ')
+  || ' ' || array_to_string(bullets, ' ')) AS text FROM rewritten_v) t USING (resume_id)
+WHERE contains(t.text, lower(k.keyword))""",
+    "c7_keywords_injected": """
+SELECT DISTINCT p.resume_id, p.job_id, k.keyword FROM pair_v p
+JOIN (SELECT job_id, unnest(hard_keywords) AS keyword FROM job_v) k USING (job_id)
+JOIN (SELECT resume_id, lower(coalesce(summary, '') || ' ' || array_to_string(skills, ' ') || ' ' || array_to_string(tech_stack, ' ')
+  || ' ' || array_to_string(bullets, ' ')) AS text FROM rewritten_v) a USING (resume_id)
+JOIN (SELECT resume_id, lower(coalesce(summary, '') || ' ' || array_to_string(skills, ' ') || ' ' || array_to_string(tech_stack, ' ')
+  || ' ' || array_to_string(bullets, ' ')) AS text FROM resume_v) b USING (resume_id)
+WHERE contains(a.text, lower(k.keyword)) AND NOT contains(b.text, lower(k.keyword))""",
+    "d1_section_completeness": "SELECT resume_id, section_completeness FROM complete_v",
+    "d1_completeness_by_source": """
+SELECT d.source, count(*) AS n, round_even(avg(section_completeness), 4) AS mean_completeness
+FROM complete_v c JOIN documents d ON d.doc_id = c.resume_id GROUP BY 1""",
+    "d2_format_parsability": "SELECT doc_id, format_parsability FROM format_v",
+    "d3_date_consistency": "SELECT resume_id, date_consistency FROM dates_v",
+    "d4_text_health": "SELECT doc_id, file_health FROM health_v",
+    "d4_health_by_source": """
+SELECT source, file_health, n, round_even(n / sum(n) OVER (PARTITION BY source), 4) AS share FROM (
+  SELECT source, file_health, count(*) AS n FROM health_v GROUP BY ALL)""",
+    "d5_score_total": "SELECT * FROM score_v",
+    "d5_top_jobs": """
+SELECT * FROM (SELECT resume_id, job_id, total, row_number() OVER (PARTITION BY resume_id ORDER BY total DESC, job_id) AS rank
+  FROM score_v) WHERE rank <= 5""",
+    "d5_top_resumes": """
+SELECT * FROM (SELECT resume_id, job_id, total, row_number() OVER (PARTITION BY job_id ORDER BY total DESC, resume_id) AS rank
+  FROM score_v) WHERE rank <= 10""",
+    "d6_score_after": "SELECT * FROM rescore_v",
+    "d7_score_bands": """
+SELECT resume_id, job_id, total, CASE WHEN total >= 80 THEN 'green' WHEN total >= 60 THEN 'orange' ELSE 'red' END AS band,
+  CASE WHEN total >= 70 THEN 'green' WHEN total >= 50 THEN 'orange' ELSE 'red' END AS review_band FROM score_v""",
+    "d7_band_counts": """
+SELECT job_id, count(*) FILTER (total >= 80) AS green, count(*) FILTER (total >= 60 AND total < 80) AS orange,
+  count(*) FILTER (total < 60) AS red FROM score_v GROUP BY 1""",
+}
