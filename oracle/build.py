@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from oracle.helpers import HELPERS
-from oracle.queries import QUERIES
+from oracle import ab_records, cd_scoring, e_flags
 from oracle.views import VIEWS
 
-ALL_VIEWS = {**VIEWS, **HELPERS}
+SECTIONS = (ab_records, cd_scoring, e_flags)
+ALL_VIEWS = {**VIEWS, **{n: t for s in SECTIONS for n, t in s.HELPERS.items()}}
+QUERIES = {n: t for s in SECTIONS for n, t in s.QUERIES.items()}
 
 
 def _needed(text: str, found: list[str]) -> list[str]:

@@ -105,7 +105,7 @@ def prepared_jobs(jobs: DataFrame) -> DataFrame:
     def side(column: str) -> Column:
         return F.transform(
             empty_if_null(F.col(column)),
-            lambda k: F.struct(F.lower(k).alias("keyword"), long_words(F.lower(k)).alias("long"),
+            lambda k: F.struct(k.alias("term"), F.lower(k).alias("keyword"), long_words(F.lower(k)).alias("long"),
                                F.size(keyword_words(F.lower(k))).alias("n_words")))
 
     return jobs.select("job_id", side("hard_keywords").alias("hard"), side("soft_keywords").alias("soft"))
@@ -135,7 +135,7 @@ def _hit(keyword: Column, text: str, words: str) -> Column:
 
 
 def pair_keyword_hits(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row per pair: arrays hard and soft of (keyword, in_all, in_summary, in_skills) in job order."""
+    """One row per pair: arrays hard and soft of (term, keyword, in_all, in_summary, in_skills) in job order."""
     prepared = prepared_jobs(jobs)
     ready = scope_texts(resumes).join(resume_words(resumes, job_keywords(jobs).select("keyword")), "resume_id", "left")
     for s in SCOPES:
@@ -144,7 +144,7 @@ def pair_keyword_hits(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame) ->
 
     def tested(kind: str) -> Column:
         return F.transform(F.col(kind), lambda k: F.struct(
-            k["keyword"].alias("keyword"),
+            k["term"].alias("term"), k["keyword"].alias("keyword"),
             *[_hit(k, f"text_{s}", f"words_{s}").alias(f"in_{s}") for s in SCOPES]))
 
     return joined.select("resume_id", "job_id", tested("hard").alias("hard"), tested("soft").alias("soft"))

@@ -14,7 +14,13 @@ def pair_hits(v: Views) -> DataFrame:
 
 
 def scores_before(v: Views) -> DataFrame:
-    return S.score_pairs(v.resumes, v.candidates, v.history, v.education, v.doc_facts, v.section_facts, v.jobs, v.pairs)
+    return scores_of(v, v.documents)
+
+
+def scores_of(v: Views, documents: DataFrame) -> DataFrame:
+    """Scores of the resumes in a documents table (or a micro-batch of one) against all their jobs."""
+    return S.score_pairs(v.resumes_of(documents), v.candidates, v.history, v.education, v.doc_facts_of(documents),
+                         v.section_facts, v.jobs, v.pairs)
 
 
 def scores_after(v: Views) -> DataFrame:

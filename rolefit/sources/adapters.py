@@ -10,7 +10,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefit.functions.text import ordered_strings
 from rolefit.sources.corpus import read_table
 
 
@@ -146,6 +145,35 @@ class Views:
             "CASE WHEN c_custkey % 8 = 0 THEN '' ELSE CAST(1990 + c_custkey % 30 AS STRING) END AS year",
         )
 
+    @cached_property
+    def experience_lists(self) -> DataFrame:
+        """History as one array of entries per candidate; every entry has two bullets."""
+        entry = F.struct(
+            "pos", "title", "company", F.lit(None).cast("string").alias("location"), "start_date", "end_date",
+            F.array(F.concat(F.lit("Worked as "), "title"), F.concat(F.lit("At "), "company")).alias("bullets"))
+        return self.history.groupBy("resume_id").agg(F.array_sort(F.collect_list(entry)).alias("experience"))
+
+    @cached_property
+    def education_lists(self) -> DataFrame:
+        entry = F.struct("pos", "degree", "institution", F.lit(None).cast("string").alias("location"), "year")
+        return self.education.groupBy("resume_id").agg(F.array_sort(F.collect_list(entry)).alias("education"))
+
+    @cached_property
+    def nested_resumes(self) -> DataFrame:
+        certs = F.transform("certifications", lambda c: F.struct(
+            c.alias("name"), F.lit(None).cast("string").alias("issuer"), F.lit("2020").alias("year")))
+        return (self.candidates.withColumn("certifications", certs)
+                .join(self.experience_lists, "resume_id", "left").join(self.education_lists, "resume_id", "left"))
+
+    @cached_property
+    def blanked_candidates(self) -> DataFrame:
+        """Candidates as an extraction or a rewrite leaves them: odd ones lost their contact data, years and certificates."""
+        return self.candidates.selectExpr(
+            "resume_id", *[f"CASE WHEN resume_id % 2 = 1 THEN '' ELSE {c} END AS {c}" for c in ("full_name", "email", "phone")],
+            "CASE WHEN resume_id % 2 = 1 THEN 0D ELSE total_years END AS total_years",
+            "CASE WHEN resume_id % 2 = 1 THEN NULL ELSE location END AS location", "summary", "skills", "primary_domain",
+            "CASE WHEN resume_id % 2 = 1 THEN slice(certifications, 1, 0) ELSE certifications END AS certifications")
+
     @cached_property
     def lines(self) -> DataFrame:
         numbered = self.documents.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -189,7 +217,10 @@ class Views:
 
     @cached_property
     def submissions(self) -> DataFrame:
-        return self.table("events").selectExpr(
+        return self.submissions_of(self.table("events"))
+
+    def submissions_of(self, events: DataFrame) -> DataFrame:
+        return events.selectExpr(
             "event_id", "ts", "user_id * 100 + extract(day FROM ts) AS session_id",
             """CASE event_type WHEN 'view' THEN 'uploaded' WHEN 'signup' THEN 'uploaded' WHEN 'click' THEN 'analyzed'
                  WHEN 'purchase' THEN 'optimized' ELSE 'failed' END AS status""",
@@ -197,7 +228,10 @@ class Views:
 
     @cached_property
     def doc_facts(self) -> DataFrame:
-        return self.documents.selectExpr(
+        return self.doc_facts_of(self.documents)
+
+    def doc_facts_of(self, documents: DataFrame) -> DataFrame:
+        return documents.selectExpr(
             "doc_id", "source", "text", "lang",
             """CASE doc_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'image/png'
                  ELSE 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' END AS content_type""",
@@ -233,3 +267,82 @@ class Views:
     @cached_property
     def vectors(self) -> DataFrame:
         return self.table("embeddings").select("vec_id", "embedding")
+
+    # --- inputs of the later sections ------------------------------------------------------------------------------
+    @cached_property
+    def skill_jobs(self) -> DataFrame:
+        return self.jobs.selectExpr("job_id", "hard_keywords AS required_skills", "soft_keywords AS technologies")
+
+    @cached_property
+    def related_skills(self) -> DataFrame:
+        """Skills with the same first five letters are related."""
+        own = self.resumes.select(F.explode(F.concat("skills", "tech_stack")).alias("skill"))
+        wanted = self.jobs.select(F.explode(F.concat("hard_keywords", "soft_keywords")).alias("skill"))
+        return (own.union(wanted).select(F.lower("skill").alias("skill")).distinct().filter("length(skill) >= 5")
+                .selectExpr("skill", "left(skill, 5) AS skill_group"))
+
+    @staticmethod
+    def decisions_of(items: DataFrame) -> DataFrame:
+        """Reviewers decided on the open skills of at most seven letters."""
+        return items.filter("status IN ('can_add', 'partial') AND length(skill) <= 7").selectExpr(
+            "resume_id", "job_id", "skill", "job_id % 2 = 0 AS add")
+
+    @cached_property
+    def confirmations(self) -> DataFrame:
+        """Confirmations of the applications in pairs, with the acknowledged categories as a list."""
+        return self.confirmations_of(self.pairs).selectExpr(
+            "*", """filter(array(IF(ack_experience, 'experience_gap', NULL), IF(ack_certification, 'certification_missing', NULL)),
+                 c -> c IS NOT NULL) AS acknowledged""")
+
+    @cached_property
+    def new_skills(self) -> DataFrame:
+        """Every document gets the same approved skills."""
+        skills = ["Docker", "PostgreSQL", "GPT-4 API", "Leadership", "System design"]
+        return self.table("documents").select(
+            "doc_id", F.posexplode(F.array(*[F.lit(s) for s in skills])).alias("ord", "skill"))
+
+    @cached_property
+    def evidence_jobs(self) -> DataFrame:
+        return self.postings.selectExpr("job_id", "seniority_raw AS job_title", "primary_domain", "min_years", "max_years",
+                                        "certifications_required AS required_skills")
+
+    @cached_property
+    def unit_pairs(self) -> DataFrame:
+        return self.rewrites.selectExpr(
+            "resume_id", "CASE WHEN bullet_idx = 0 THEN 'summary' ELSE 'experience' END AS section", "0 AS entry_idx",
+            "bullet_idx", "original_text", "rewritten_text")
+
+    @cached_property
+    def original_units(self) -> DataFrame:
+        return self.unit_pairs.withColumnRenamed("original_text", "text").drop("rewritten_text")
+
+    @cached_property
+    def rewritten_units(self) -> DataFrame:
+        return self.unit_pairs.withColumnRenamed("rewritten_text", "text").drop("original_text")
+
+    @cached_property
+    def rewritten_history(self) -> DataFrame:
+        """History in which every seventh entry got another company form."""
+        return self.history.withColumn("company", F.expr("CASE WHEN pos % 7 = 3 THEN concat(company, ' Ltd') ELSE company END"))
+
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        return self.table("documents").selectExpr(
+            "doc_id AS resume_id", "CASE doc_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'no' WHEN 2 THEN ' FALSE' END AS is_clean")
+
+    @cached_property
+    def approved(self) -> DataFrame:
+        """In English resumes the reviewer approved the number that some rewrites add."""
+        return self.table("documents").filter("lang = 'en'").selectExpr("doc_id AS resume_id", "'42' AS skill")
+
+    @cached_property
+    def stream_blocks(self) -> DataFrame:
+        """Line blocks in a stream order that is not their order on the page, for two documents in three."""
+        return self.lines.selectExpr("doc_id", "page", "CASE WHEN doc_id % 3 = 0 THEN line ELSE (line % 5) * 100000 + line END AS stream_pos",
+                                     "2000 - y0 AS y")
+
+    @cached_property
+    def templates(self) -> DataFrame:
+        text = "Dear {{FULL_NAME}}, we wrote to {{EMAIL}} about {{LOCATION}}.\n{{MISSING}} Last: {{EXP_1_TITLE}} {{EXP_1_DATES}}"
+        return self.table("customer").select(F.col("c_custkey").alias("resume_id"), F.lit(1).alias("template_id"),
+                                             F.lit(text).alias("template"))
