@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rolefit import refdata as R
 from rolefit.functions.ratio import gestalt_ratio
 from rolefit.functions.text import normalise_line, strip
+from rolefit.sources.corpus import materialise
 
 BULLET_START = rf"(?U)^[{R.BULLET_CHARS}]\s"
 HEADER_LINE = "(?i)^(?:" + "|".join(R.SECTION_HEADERS) + ")$"
@@ -180,25 +181,26 @@ def _settle(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def entry_align(changes: DataFrame, entries: DataFrame) -> DataFrame:
     """(doc_id, key, page, block, entry, tier, score): every key and every entry at most once."""
-    keys, items = align_keys(changes), align_entries(entries)
+    keys, items = align_keys(changes), materialise(align_entries(entries), "align-entries")
+    keys = materialise(keys.drop("new_text"), "align-keys")
     exact, prefix = exact_candidates(keys, items), prefix_candidates(keys, items)
-    pages = items.select("doc_id", "page").distinct()
     with_exact = exact.select("doc_id", "page", "key")
-    looking = keys.drop("new_text").join(pages, "doc_id")
-    without = looking.join(with_exact, ["doc_id", "page", "key"], "left_anti")
-    fuzzy = fuzzy_candidates(without, items)
+    looking = keys.join(items.select("doc_id", "page").distinct(), "doc_id")
+    fuzzy = fuzzy_candidates(looking.join(with_exact, ["doc_id", "page", "key"], "left_anti"), items)
+    first = materialise(exact.unionByName(prefix).unionByName(fuzzy), "align-first")
     # An equal entry is out of reach of its key only if a longer key without an equal entry may take it first. On pages
     # where that can happen every key needs its similar entries; elsewhere the keys with an equal entry do not.
-    claims = exact.select("doc_id", *ENTRY, F.col("neg_len").alias("claim_len"), F.col("ord").alias("claim_ord"))
-    rivals = prefix.join(with_exact, ["doc_id", "page", "key"], "left_anti").unionByName(fuzzy)
-    contested = (rivals.join(claims, ["doc_id", *ENTRY])
-                 .filter(F.struct("neg_len", "ord") < F.struct(F.col("claim_len").alias("neg_len"), F.col("claim_ord").alias("ord")))
+    equal = first.filter("tier = 1")
+    claims = equal.select("doc_id", *ENTRY, F.struct("neg_len", "ord").alias("claim"))
+    rivals = first.filter("tier > 1").join(equal, ["doc_id", "page", "key"], "left_anti")
+    contested = (rivals.join(claims, ["doc_id", *ENTRY]).filter(F.struct("neg_len", "ord") < F.col("claim"))
                  .select("doc_id", "page").distinct())
-    displaced = fuzzy_candidates(looking.join(with_exact, ["doc_id", "page", "key"], "left_semi")
-                                 .join(contested, ["doc_id", "page"], "left_semi"), items)
-    every = exact.unionByName(prefix).unionByName(fuzzy).unionByName(displaced)
-    candidates = every.groupBy("doc_id", "key", "neg_len", "ord", *ENTRY).agg(
-        F.min(F.struct("tier", "pref")).alias("p")).select("doc_id", "key", "neg_len", "ord", *ENTRY, "p.tier", "p.pref")
+    displaced = fuzzy_candidates(
+        equal.select("doc_id", "key", "neg_len", "ord", "page").distinct().join(contested, ["doc_id", "page"], "left_semi"), items)
+    candidates = materialise(
+        first.unionByName(displaced).groupBy("doc_id", "key", "neg_len", "ord", *ENTRY)
+        .agg(F.min(F.struct("tier", "pref")).alias("p"))
+        .select("doc_id", "key", "neg_len", "ord", *ENTRY, "p.tier", "p.pref"), "align-candidates")
     settled, rest = _settle(candidates)
     columns = ["doc_id", "key", *ENTRY, "tier", "pref"]
     ordered = (rest.repartition("doc_id")

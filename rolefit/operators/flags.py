@@ -13,6 +13,7 @@ from rolefit import refdata as R
 from rolefit.functions.ratio import gestalt_ratio
 from rolefit.functions.text import contains_any, empty_if_null, strip, words, zero_to_null
 from rolefit.operators.records import parse_seniority
+from rolefit.sources.corpus import materialise
 
 FLAG_FIELDS = ("flag_type", "category", "title", "message", "detail", "requires_acknowledgement")
 _FLAG_TYPE = ("struct<prio:int,check_ord:int,item_ord:int,flag_type:string,category:string,title:string,message:string,"
@@ -87,14 +88,21 @@ def domain_similarity(domain_pairs: DataFrame) -> DataFrame:
 
     Only domain pairs that occur are compared, each once. The character ratio runs on what the cheap tiers leave open.
     """
-    distinct = domain_pairs.select("domain_a", "domain_b").distinct()
-    norm = distinct.select("domain_a", "domain_b", normalise_domain(F.col("domain_a")).alias("a"),
-                           normalise_domain(F.col("domain_b")).alias("b"))
+    known = domain_pairs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("domain_a", "domain_b")]).distinct()
+    values = known.select(F.explode(F.array("domain_a", "domain_b")).alias("domain")).distinct()
+    # written out once: the normalised text must be a value, not an expression repeated in every test below
+    norms = materialise(values.select("domain", normalise_domain(F.col("domain")).alias("norm")), "domains").withColumn(
+        "clusters", domain_clusters(F.col("norm")))
+
+    def side(x: str) -> DataFrame:
+        return norms.select(F.col("domain").alias(f"domain_{x}"), F.col("norm").alias(x), F.col("clusters").alias(f"clusters_{x}"))
+
+    norm = known.join(side("a"), "domain_a").join(side("b"), "domain_b")
     a, b = F.col("a"), F.col("b")
-    unknown = (F.coalesce("domain_a", F.lit("")) == "") | (F.coalesce("domain_b", F.lit("")) == "")
+    unknown = (F.col("domain_a") == "") | (F.col("domain_b") == "")
     tier = (F.when(unknown, "unknown").when(a == b, "equal")
             .when(F.contains(a, b) | F.contains(b, a), "contained")
-            .when(F.arrays_overlap(domain_clusters(a), domain_clusters(b)), "cluster").otherwise("fuzzy"))
+            .when(F.arrays_overlap("clusters_a", "clusters_b"), "cluster").otherwise("fuzzy"))
     stop = F.array(*[F.lit(w) for w in R.DOMAIN_STOP_WORDS])
 
     def content_words(c: Column) -> Column:

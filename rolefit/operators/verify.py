@@ -155,7 +155,7 @@ def revert_scope(original: DataFrame, rewritten: DataFrame, guard_flags: DataFra
 
     verdicts: (resume_id, is_clean) as text; a clean or unreadable verdict keeps all flags of the resume from acting.
     """
-    flags = guard_flags.withColumn("section", F.lower("section"))
+    flags = guard_flags.withColumnRenamed("entry_index", "entry_idx")
     if "revert_to" not in flags.columns:
         flags = flags.withColumn("revert_to", F.lit(None).cast("string"))
     sizes = {n: _entry_sizes(u, n) for n, u in (("orig", original), ("new", rewritten))}

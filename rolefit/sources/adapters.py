@@ -208,7 +208,7 @@ class Views:
     def guard_flags(self) -> DataFrame:
         """Flags on every rewrite that got more words or another number; a few indices are out of range."""
         return self.rewrites.filter(
-            "original_text <> rewritten_text AND rewritten_text LIKE concat(original_text, '_%')"
+            "original_text <> rewritten_text AND startswith(rewritten_text, original_text)"
         ).selectExpr(
             "resume_id", "'experience' AS section", "0 AS entry_index",
             "CASE WHEN bullet_idx % 30 = 5 THEN 100000 + bullet_idx ELSE bullet_idx END AS bullet_index",
