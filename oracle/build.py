@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from oracle import ab_records, cd_scoring, e_flags
+from oracle import ab_records, cd_scoring, e_flags, fg_skills, hi_text, jk_reports
 from oracle.views import VIEWS
 
-SECTIONS = (ab_records, cd_scoring, e_flags)
+SECTIONS = (ab_records, cd_scoring, e_flags, fg_skills, hi_text, jk_reports)
 ALL_VIEWS = {**VIEWS, **{n: t for s in SECTIONS for n, t in s.HELPERS.items()}}
 QUERIES = {n: t for s in SECTIONS for n, t in s.QUERIES.items()}
 
