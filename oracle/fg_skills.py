@@ -77,7 +77,7 @@ SELECT p.resume_id, p.job_id, round_even(greatest(coalesce(dot / nullif(rn * jn,
     "uplift_v": """
 SELECT resume_id, job_id, match_before, match_after, round_even(match_after - match_before, 2) AS match_delta FROM (
   SELECT resume_id, job_id, match_score AS match_before,
-    CASE WHEN match_score > 0 THEN greatest(round_even(match_score * 1.1 - 2, 2), match_score) ELSE least(match_score + 15, 98) END AS match_after
+    CASE WHEN match_score > 0 THEN greatest(round_even(100 - match_score, 2), match_score) ELSE least(match_score + 15, 98) END AS match_after
   FROM match_v)""",
     "evidence_v": """
 SELECT p.resume_id, p.job_id,

@@ -31,27 +31,24 @@ def skill_breakdown(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, relat
 
     listed = resumes.select("resume_id", F.explode(F.array_distinct(F.concat(
         empty_if_null(F.col("skills")), empty_if_null(F.col("tech_stack"))))).alias("own"))
-    resume_groups = (listed.join(related, F.lower("own") == F.col("skill")).groupBy("resume_id")
-                     .agg(F.collect_set(F.struct("skill_group", "own")).alias("own_groups")))
-    job_groups = (wanted.select("job_id", F.explode("skills").alias("term"))
-                  .join(related, F.lower("term") == F.col("skill")).groupBy("job_id")
-                  .agg(F.collect_set(F.struct("term", "skill_group")).alias("job_groups")))
-
-    def relative(term: Column) -> Column:
-        groups = F.transform(F.filter("job_groups", lambda g: g["term"] == term), lambda g: g["skill_group"])
-        return F.array_min(F.transform(
-            F.filter("own_groups", lambda g: F.array_contains(groups, g["skill_group"])), lambda g: g["own"]))
-
-    def item(h: Column) -> Column:
-        near = relative(h["term"])
-        status = (F.when(h["in_skills"], "matched").when(h["in_all"], "can_add")
-                  .when(near.isNotNull(), "partial").otherwise("missing"))
-        return F.struct(h["term"].alias("skill"), status.alias("status"),
-                        F.when(~h["in_all"], near).alias("related_skill"))
+    resume_groups = (listed.join(related, F.lower("own") == F.col("skill"))
+                     .groupBy("resume_id", "skill_group").agg(F.min("own").alias("own"))
+                     .groupBy("resume_id").agg(F.map_from_entries(F.collect_list(F.struct("skill_group", "own"))).alias("own_by_group")))
+    job_groups = (wanted.select("job_id", F.posexplode("skills").alias("pos", "term"))
+                  .join(related, F.lower("term") == F.col("skill"), "left")
+                  .groupBy("job_id", "pos").agg(F.collect_set("skill_group").alias("groups"))
+                  .groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "groups"))),
+                                                     lambda g: g["groups"]).alias("groups")))
+
+    def item(h: Column, i: Column) -> Column:
+        near = F.array_min(F.transform(F.get("groups", i), lambda g: F.try_element_at(F.col("own_by_group"), g)))
+        return F.struct(h["term"].alias("skill"), h["in_skills"].alias("listed"), h["in_all"].alias("told"), near.alias("near"))
 
     joined = hits.join(resume_groups, "resume_id", "left").join(job_groups, "job_id", "left")
+    status = (F.when(F.col("i.listed"), "matched").when(F.col("i.told"), "can_add")
+              .when(F.col("i.near").isNotNull(), "partial").otherwise("missing"))
     return (joined.select(*PAIR, F.explode(F.transform("hard", item)).alias("i"))
-            .select(*PAIR, "i.skill", "i.status", "i.related_skill"))
+            .select(*PAIR, "i.skill", status.alias("status"), F.when(~F.col("i.told"), F.col("i.near")).alias("related_skill")))
 
 
 def skill_summary(items: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -130,6 +130,11 @@ def skill_items(v: Views) -> DataFrame:
     return SK.skill_breakdown(v.resumes, v.skill_jobs, v.pairs, v.related_skills)
 
 
+def written_items(v: Views) -> DataFrame:
+    """The skill items as a table, for the plans that read them more than once."""
+    return v.once("skill-items", lambda: skill_items(v))
+
+
 def pair_flags(v: Views) -> DataFrame:
     return E.run_flags(E.pair_context(v.candidates, v.postings, v.pairs))
 
@@ -140,18 +145,18 @@ def entries(v: Views) -> DataFrame:
 
 @query("e9_flag_gate")
 def _flag_gate(v: Views) -> DataFrame:
-    items = skill_items(v)
+    items = written_items(v)
     return E.flag_gate(v.pairs, pair_flags(v), items, v.confirmations, v.decisions_of(items))
 
 
 query("e9_known_gaps")(lambda v: E.known_gaps(pair_flags(v), v.confirmations))
 query("f1_skill_breakdown")(skill_items)
-query("f2_skill_summary")(lambda v: SK.skill_summary(skill_items(v), v.decisions_of(skill_items(v))))
+query("f2_skill_summary")(lambda v: SK.skill_summary(written_items(v), v.decisions_of(written_items(v))))
 
 
 def additions(v: Views) -> DataFrame:
     """Approved skills by name, then the keywords of the job that the rewritten resume contains."""
-    approved = v.decisions_of(skill_items(v)).filter("add").select(
+    approved = v.decisions_of(written_items(v)).filter("add").select(
         "resume_id", "job_id", F.struct(F.lit(0).alias("kind"), F.lit(0).alias("pos"), "skill").alias("ord"), "skill")
     present = K.keywords_present(v.rewritten_resumes, v.jobs, v.pairs).withColumnRenamed("keyword", "skill")
     return approved.unionByName(present.select(
@@ -174,9 +179,9 @@ def match_before(v: Views) -> DataFrame:
 
 
 def match_after(v: Views) -> DataFrame:
-    """After the rewrite: a shifted score for the pairs that matched at all, nothing for the others."""
+    """After the rewrite: a mirrored score for the pairs that matched at all, nothing for the others."""
     return match_before(v).filter("match_score > 0").select(
-        "resume_id", "job_id", F.bround(F.col("match_score") * 1.1 - 2, 2).alias("match_score"))
+        "resume_id", "job_id", F.bround(100 - F.col("match_score"), 2).alias("match_score"))
 
 
 query("g1_semantic_match")(match_before)
@@ -249,7 +254,7 @@ query("j1_score_delta_means")(lambda v: J.score_delta_means(J.score_delta_report
 def _outcome(v: Views) -> DataFrame:
     out = J.outcome_table(
         scoring.scores_before(v), scoring.scores_after(v), M.match_uplift(match_before(v), match_after(v)),
-        v.decisions_of(skill_items(v)).filter("add"),
+        v.decisions_of(written_items(v)).filter("add"),
         K.keywords_injected(K.keywords_present(v.resumes, v.jobs, v.pairs), K.keywords_present(v.rewritten_resumes, v.jobs, v.pairs)),
         V.sections_changed(v.original_units, verified_units(v), v.confirmations),
         E.known_gaps(pair_flags(v), v.confirmations))

@@ -5,12 +5,13 @@ The operators never read these tables themselves; they take DataFrames of the sc
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefit.sources.corpus import read_table
+from rolefit.sources.corpus import materialise, read_table
 
 
 class Views:
@@ -18,6 +19,13 @@ class Views:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._written: dict[str, DataFrame] = {}
+
+    def once(self, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Write an intermediate result to the shared folder the first time a plan asks for it."""
+        if label not in self._written:
+            self._written[label] = materialise(build(), label)
+        return self._written[label]
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, f"{self.folder}/{name}.parquet", spread=name in ("documents", "pages"))
