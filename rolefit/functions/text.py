@@ -45,8 +45,8 @@ def word_count(c: Column) -> Column:
 
 
 def tokens(lowered: Column) -> Column:
-    """Distinct alphanumeric tokens of an already lower-cased text."""
-    return F.array_distinct(F.filter(F.split(lowered, "[^a-z0-9]+"), lambda w: w != ""))
+    """Distinct alphanumeric tokens of an already lower-cased text; the empty token can be among them."""
+    return F.array_distinct(F.split(lowered, "[^a-z0-9]+"))
 
 
 def contains_any(c: Column, terms) -> Column:

@@ -48,6 +48,7 @@ def token_index(resumes: DataFrame) -> DataFrame:
         .select("resume_id", F.explode(F.array(*[F.struct(F.lit(s).alias("scope"), F.col(f"text_{s}").alias("text"))
                                                  for s in SCOPES])).alias("s"))
         .select("resume_id", F.col("s.scope").alias("scope"), F.explode(tokens(F.col("s.text"))).alias("token"))
+        .filter("token <> ''")
     )
 
 
@@ -66,12 +67,15 @@ def word_stems(word: Column) -> Column:
 
 
 def token_stems(token: Column) -> Column:
-    """Everything the token could be an inflected form of: itself and itself minus one ending."""
+    """Everything the token could be an inflected form of: itself and itself minus one ending; null where none fits.
+
+    No two of them are equal. Nulls are left in: filtering exploded rows stays inside generated code.
+    """
     parts = [token]
     for ending in R.WORD_ENDINGS:
         fits = F.endswith(token, F.lit(ending)) & (F.length(token) >= len(ending) + R.MIN_WORD_CHARS)
         parts.append(F.when(fits, F.substring(token, F.lit(1), F.length(token) - len(ending))))
-    return F.array_distinct(F.array_compact(F.array(*parts)))
+    return F.array(*parts)
 
 
 def keyword_words(keyword: Column) -> Column:
@@ -101,14 +105,16 @@ def variant_index(keywords: DataFrame) -> DataFrame:
 
 
 def prepared_jobs(jobs: DataFrame) -> DataFrame:
-    """(job_id, hard, soft): arrays of (keyword, long words, n_words) in job order."""
+    """(job_id, hard, soft, job_words): arrays of (term, keyword, long words, n_words) in job order, and all long words."""
     def side(column: str) -> Column:
         return F.transform(
             empty_if_null(F.col(column)),
             lambda k: F.struct(k.alias("term"), F.lower(k).alias("keyword"), long_words(F.lower(k)).alias("long"),
                                F.size(keyword_words(F.lower(k))).alias("n_words")))
 
-    return jobs.select("job_id", side("hard_keywords").alias("hard"), side("soft_keywords").alias("soft"))
+    sides = jobs.select("job_id", side("hard_keywords").alias("hard"), side("soft_keywords").alias("soft"))
+    return sides.withColumn("job_words", F.array_distinct(F.flatten(
+        F.transform(F.concat("hard", "soft"), lambda k: k["long"]))))
 
 
 def resume_words(resumes: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -120,7 +126,7 @@ def resume_words(resumes: DataFrame, keywords: DataFrame) -> DataFrame:
     hits = (
         token_index(resumes)
         .select("resume_id", "scope", F.explode(token_stems(F.col("token"))).alias("stem"))
-        .join(vocabulary, "stem")
+        .filter("stem IS NOT NULL").join(vocabulary, "stem")
     )
     return hits.groupBy("resume_id").agg(
         *[F.collect_set(F.when(F.col("scope") == s, F.col("word"))).alias(f"words_{s}") for s in SCOPES])
@@ -134,20 +140,32 @@ def _hit(keyword: Column, text: str, words: str) -> Column:
     return F.contains(F.col(text), keyword["keyword"]) | by_form
 
 
-def pair_keyword_hits(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row per pair: arrays hard and soft of (term, keyword, in_all, in_summary, in_skills) in job order."""
+def pair_keyword_hits(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, per_resume: DataFrame | None = None) -> DataFrame:
+    """One row per pair: arrays hard and soft of (term, keyword, in_all, in_summary, in_skills) in job order.
+
+    Columns of per_resume (one row per resume_id) come along. They join the resume side before the pairs do, so the
+    pairs are shuffled once and nothing behind that join keeps adaptive execution from splitting a hot resume.
+    """
     prepared = prepared_jobs(jobs)
     ready = scope_texts(resumes).join(resume_words(resumes, job_keywords(jobs).select("keyword")), "resume_id", "left")
     for s in SCOPES:
         ready = ready.withColumn(f"words_{s}", empty_if_null(F.col(f"words_{s}")))
-    joined = pairs.select("resume_id", "job_id").join(ready, "resume_id").join(prepared, "job_id")
+    carried = []
+    if per_resume is not None:
+        carried = [c for c in per_resume.columns if c != "resume_id"]
+        ready = ready.join(per_resume, "resume_id")
+    joined = (pairs.select("resume_id", "job_id").join(ready, "resume_id").join(prepared, "job_id")
+              # the few words of this job that the resume has, found once by hash for all keywords of the pair
+              .withColumn("words_all", F.array_intersect("job_words", "words_all")))
 
     def tested(kind: str) -> Column:
-        return F.transform(F.col(kind), lambda k: F.struct(
-            k["term"].alias("term"), k["keyword"].alias("keyword"),
-            *[_hit(k, f"text_{s}", f"words_{s}").alias(f"in_{s}") for s in SCOPES]))
+        # the other scopes are parts of the whole text: what the whole lacks they need not be searched for
+        whole = F.transform(F.col(kind), lambda k: F.struct(k.alias("k"), _hit(k, "text_all", "words_all").alias("in_all")))
+        return F.transform(whole, lambda h: F.struct(
+            h["k"]["term"].alias("term"), h["k"]["keyword"].alias("keyword"), h["in_all"].alias("in_all"),
+            *[(h["in_all"] & _hit(h["k"], f"text_{s}", f"words_{s}")).alias(f"in_{s}") for s in SCOPES[1:]]))
 
-    return joined.select("resume_id", "job_id", tested("hard").alias("hard"), tested("soft").alias("soft"))
+    return joined.select("resume_id", "job_id", tested("hard").alias("hard"), tested("soft").alias("soft"), *carried)
 
 
 def keyword_hits(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -196,8 +214,9 @@ def keyword_placement(hits: DataFrame) -> DataFrame:
 
 
 def keyword_scores(hits: DataFrame) -> DataFrame:
-    """Both keyword signals in one pass."""
-    return hits.select("resume_id", "job_id", keyword_match_score().alias("keyword_match"),
+    """Both keyword signals in one pass, beside the other columns of the hits."""
+    carried = [c for c in hits.columns if c not in ("hard", "soft")]
+    return hits.select(*carried, keyword_match_score().alias("keyword_match"),
                        keyword_placement_score().alias("keyword_placement"))
 
 

@@ -149,8 +149,8 @@ def score_pairs(resumes: DataFrame, header: DataFrame, history: DataFrame, educa
         .join(format_parsability(doc_facts, section_facts).withColumnRenamed("doc_id", "resume_id"), "resume_id")
         .join(text_health(facts, key="resume_id"), "resume_id")
     )
-    scores = K.keyword_scores(K.pair_keyword_hits(resumes, jobs, pairs))
-    return scores.join(per_resume, "resume_id").withColumn("total", _total()).select("resume_id", "job_id", *SIGNALS, "total")
+    scores = K.keyword_scores(K.pair_keyword_hits(resumes, jobs, pairs, per_resume))
+    return scores.withColumn("total", _total()).select("resume_id", "job_id", *SIGNALS, "total")
 
 
 def score_rewrites(rewrites: DataFrame, header: DataFrame, history: DataFrame, education: DataFrame, jobs: DataFrame,
@@ -168,8 +168,8 @@ def score_rewrites(rewrites: DataFrame, header: DataFrame, history: DataFrame, e
         .withColumn("format_parsability", F.lit(R.SIGNAL_MAX["format_parsability"]))
         .withColumn("file_health", F.lit(R.SIGNAL_MAX["file_health"]))
     )
-    scores = K.keyword_scores(K.pair_keyword_hits(rewrites, jobs, pairs))
-    return scores.join(per_resume, "resume_id").withColumn("total", _total()).select("resume_id", "job_id", *SIGNALS, "total")
+    scores = K.keyword_scores(K.pair_keyword_hits(rewrites, jobs, pairs, per_resume))
+    return scores.withColumn("total", _total()).select("resume_id", "job_id", *SIGNALS, "total")
 
 
 def rank_pairs(scores: DataFrame, k: int, by: str = "resume_id", score: str = "total") -> DataFrame:

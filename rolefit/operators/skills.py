@@ -27,8 +27,6 @@ def skill_breakdown(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, relat
     wanted = _job_skills(jobs)
     as_keywords = wanted.select("job_id", F.col("skills").alias("hard_keywords"),
                                 F.array().cast("array<string>").alias("soft_keywords"))
-    hits = pair_keyword_hits(resumes, as_keywords, pairs)
-
     listed = resumes.select("resume_id", F.explode(F.array_distinct(F.concat(
         empty_if_null(F.col("skills")), empty_if_null(F.col("tech_stack"))))).alias("own"))
     resume_groups = (listed.join(related, F.lower("own") == F.col("skill"))
@@ -44,7 +42,8 @@ def skill_breakdown(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, relat
         near = F.array_min(F.transform(F.get("groups", i), lambda g: F.try_element_at(F.col("own_by_group"), g)))
         return F.struct(h["term"].alias("skill"), h["in_skills"].alias("listed"), h["in_all"].alias("told"), near.alias("near"))
 
-    joined = hits.join(resume_groups, "resume_id", "left").join(job_groups, "job_id", "left")
+    per_resume = resumes.select("resume_id").join(resume_groups, "resume_id", "left")
+    joined = pair_keyword_hits(resumes, as_keywords, pairs, per_resume).join(job_groups, "job_id", "left")
     status = (F.when(F.col("i.listed"), "matched").when(F.col("i.told"), "can_add")
               .when(F.col("i.near").isNotNull(), "partial").otherwise("missing"))
     return (joined.select(*PAIR, F.explode(F.transform("hard", item)).alias("i"))
