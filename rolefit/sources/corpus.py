@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,12 +38,17 @@ def read_text_corpus(spark: SparkSession, path: str, fmt: str = "parquet", text_
     return files.select(F.col("path"), decode_utf8(F.col("content")).alias(text_col))
 
 
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="rolefit-")
+
+
 def work_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the shared folder the session names in spark.checkpoint.dir."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="rolefit-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    """A fresh folder under the shared folder the session names in spark.checkpoint.dir.
+
+    Only where that setting is absent, as in local tests, a temporary folder of this machine is used.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
