@@ -269,29 +269,30 @@ TOKEN = r"\{\{[A-Z_0-9]+\}\}"
 
 
 def template_pieces(templates: DataFrame) -> DataFrame:
-    """(template_id, pos, piece, token): literal pieces and tokens of the templates in order."""
+    """(resume_id, pos, piece, token): literal pieces and tokens of each resume's template in order.
+
+    Cut up inside each row: one template shared by all resumes is no hot join key.
+    """
     pieces = F.regexp_extract_all("template", F.lit(rf"({TOKEN}|(?s:.+?)(?={TOKEN}|\z))"), F.lit(1))
     piece = F.col("piece")
-    return templates.select("template_id", F.posexplode(pieces).alias("pos", "piece")).withColumn(
+    return templates.select("resume_id", F.posexplode(pieces).alias("pos", "piece")).withColumn(
         "token", F.when(F.regexp_like(piece, F.lit(f"^{TOKEN}$")), F.regexp_replace(piece, r"[{}]", "")))
 
 
 def template_merge(templates: DataFrame, placeholders: DataFrame) -> DataFrame:
     """(resume_id, text): each resume's template with its tokens filled; tokens without a value vanish.
 
-    templates: (resume_id, template_id, template), placeholders: (resume_id, placeholder, value).
+    templates: (resume_id, template), placeholders: (resume_id, placeholder, value).
     """
-    pieces = template_pieces(templates.select("template_id", "template").distinct())
-    placed = (templates.select("resume_id", "template_id").join(pieces, "template_id")
-              .join(placeholders.withColumnRenamed("placeholder", "token"), ["resume_id", "token"], "left"))
+    placed = template_pieces(templates).join(
+        placeholders.withColumnRenamed("placeholder", "token"), ["resume_id", "token"], "left")
     text = F.when(F.col("token").isNull(), F.col("piece")).otherwise(F.coalesce("value", F.lit("")))
-    return (placed.withColumn("text", text).groupBy("resume_id", "template_id")
+    return (placed.withColumn("text", text).groupBy("resume_id")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda p: p["text"]), "")
                  .alias("text")))
 
 
 def unresolved_tokens(templates: DataFrame, placeholders: DataFrame) -> DataFrame:
     """(resume_id, token): tokens of a resume's template that have no placeholder row."""
-    tokens = template_pieces(templates.select("template_id", "template").distinct()).filter("token IS NOT NULL")
-    wanted = templates.select("resume_id", "template_id").join(tokens, "template_id").select("resume_id", "token").distinct()
+    wanted = template_pieces(templates).filter("token IS NOT NULL").select("resume_id", "token").distinct()
     return wanted.join(placeholders.withColumnRenamed("placeholder", "token"), ["resume_id", "token"], "left_anti")

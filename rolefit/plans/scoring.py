@@ -14,12 +14,16 @@ def pair_hits(v: Views) -> DataFrame:
 
 
 def scores_before(v: Views) -> DataFrame:
-    return scores_of(v, v.documents)
+    return _scores(v, v.resumes, v.documents)
 
 
 def scores_of(v: Views, documents: DataFrame) -> DataFrame:
-    """Scores of the resumes in a documents table (or a micro-batch of one) against all their jobs."""
-    return S.score_pairs(v.resumes_of(documents), v.candidates, v.history, v.education, v.doc_facts_of(documents),
+    """Scores of the resumes in a micro-batch of the documents table against all their jobs."""
+    return _scores(v, v.resumes_of(documents), documents)
+
+
+def _scores(v: Views, resumes: DataFrame, documents: DataFrame) -> DataFrame:
+    return S.score_pairs(resumes, v.candidates, v.history, v.education, v.doc_facts_of(documents),
                          v.section_facts, v.jobs, v.pairs)
 
 

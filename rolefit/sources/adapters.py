@@ -43,9 +43,10 @@ class Views:
             "slice(array_sort(array_distinct(regexp_extract_all(lower(text), '[a-z]{10,}', 0))), 1, 8) AS tech_stack",
         )
 
-    @cached_property
+    @property
     def resumes(self) -> DataFrame:
-        return self.resumes_of(self.documents)
+        """The resume table. It stands for an input table, so it is written once and then read like one."""
+        return self.once("resumes", lambda: self.resumes_of(self.documents))
 
     @cached_property
     def jobs(self) -> DataFrame:
@@ -352,5 +353,4 @@ class Views:
     @cached_property
     def templates(self) -> DataFrame:
         text = "Dear {{FULL_NAME}}, we wrote to {{EMAIL}} about {{LOCATION}}.\n{{MISSING}} Last: {{EXP_1_TITLE}} {{EXP_1_DATES}}"
-        return self.table("customer").select(F.col("c_custkey").alias("resume_id"), F.lit(1).alias("template_id"),
-                                             F.lit(text).alias("template"))
+        return self.table("customer").select(F.col("c_custkey").alias("resume_id"), F.lit(text).alias("template"))

@@ -79,3 +79,13 @@ def test_more_text_never_loses_a_hit(spark):
     hits = K.keyword_hits(resumes, jobs, pairs)
     less, more = ({r.keyword for r in hits.filter((F.col("resume_id") == i) & F.col("in_all")).collect()} for i in (1, 2))
     assert less == {"managing"} and less < more
+
+
+def test_injected_keywords_are_the_new_ones(spark):
+    jobs = spark.createDataFrame([(1, ["Spark", "Kafka", "sql x", "Go"], [])], JOBS)
+    pairs = spark.createDataFrame([(1, 1)], "resume_id long, job_id long")
+    before = spark.createDataFrame([(1, "spark jobs", ["sql"], ["x"], ["b"])], RESUMES)
+    after = spark.createDataFrame([(1, "spark jobs", ["sql"], ["x"], ["used kafka"])], RESUMES)
+    old, new = K.keywords_present(before, jobs, pairs), K.keywords_present(after, jobs, pairs)
+    assert sorted(r.keyword for r in old.collect()) == ["Spark", "sql x"]   # matches across two list elements
+    assert [r.keyword for r in K.keywords_injected(old, new).collect()] == ["Kafka"]

@@ -10,6 +10,9 @@ SQL = entry.oracle_sql()
 # large joins of other queries; the driver compares them at the next scale
 COMPOSED = {"j2_outcome_table", "j3_analysis_table", "j1_score_delta_means", "d5_top_resumes", "d7_band_counts", "k1_stream_score"}
 
+# the smallest data set has no rewrite that brings a new keyword in; test_keywords.py covers it with rows of its own
+EMPTY_HERE = {"c7_keywords_injected"}
+
 
 @pytest.fixture(scope="module")
 def con():
@@ -20,7 +23,7 @@ def con():
 def test_matches_oracle(spark, con, name):
     report = compare(spark, name, entry.queries()[name], SQL[name], FOLDER, con)
     assert report["match"], report
-    assert report["rows"] > 0
+    assert report["rows"] > 0 or name in EMPTY_HERE
 
 
 def test_entry(spark):
