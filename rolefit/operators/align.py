@@ -18,25 +18,48 @@ BULLET_START = rf"(?U)^[{R.BULLET_CHARS}]\s"
 HEADER_LINE = "(?i)^(?:" + "|".join(R.SECTION_HEADERS) + ")$"
 
 
+CHUNK_LINES = 4096
+
+
 def entry_segment(lines: DataFrame) -> DataFrame:
     """Group the lines of each block into logical entries.
 
     lines: (doc_id, page, block, line, text, y0, y1). Result: (doc_id, page, block, entry, n_lines, first_line, text,
-    y0, y1). Windows stay inside one block of one page, so a long document is spread over its pages.
+    y0, y1). Blocks are cut into chunks of line numbers, so that one very long block is spread over tasks: a line looks
+    back inside its chunk, and one row per chunk carries the last line and the number of entries on to the next.
     """
     block = ["doc_id", "page", "block"]
-    in_order = Window.partitionBy(*block).orderBy("line")
+    chunk = [*block, "chunk"]
+    inside = Window.partitionBy(*chunk).orderBy("line")
+    across = Window.partitionBy(*block).orderBy("chunk")
     text = strip(F.col("text"))
-    gap = F.col("y0") - F.lag("y1").over(in_order)
-    starts = (
+    by_text = (
         F.regexp_like(text, F.lit(BULLET_START)) | F.regexp_like(text, F.lit(HEADER_LINE))
         | F.regexp_like(text, F.lit(R.CATEGORY_LABEL_RE))
         | (F.regexp_like(text, F.lit(R.JOB_HEADER_RE)) & (F.length(text) < R.JOB_HEADER_MAX_CHARS))
-        | F.regexp_like(text, F.lit(R.DATE_LINE_RE)) | F.coalesce(gap > R.LINE_GAP, F.lit(True))
+        | F.regexp_like(text, F.lit(R.DATE_LINE_RE))
+    )
+    above = F.lag("y1").over(inside)
+    marked = (
+        lines.select(*block, F.floor(F.col("line") / CHUNK_LINES).alias("chunk"), "line", text.alias("text"), "y0", "y1",
+                     by_text.alias("by_text"))
+        .withColumn("first", above.isNull())
+        .withColumn("starts", F.when(~F.col("first"), (F.col("by_text") | (F.col("y0") - above > R.LINE_GAP)).cast("int")).otherwise(0))
+    )
+    # the first line of a chunk starts an entry by its own text, by the gap to the chunk before, or where there is none
+    gap = F.col("top") - F.lag("bottom").over(across)
+    opening = F.when(F.col("opens") | F.coalesce(gap > R.LINE_GAP, F.lit(True)), 1).otherwise(0)
+    chunks = (
+        marked.groupBy(*chunk).agg(
+            F.sum("starts").alias("inner"), F.bool_or(F.col("first") & F.col("by_text")).alias("opens"),
+            F.max(F.when(F.col("first"), F.col("y0"))).alias("top"), F.max_by("y1", "line").alias("bottom"))
+        .withColumn("opening", opening)
+        .withColumn("entries_before", F.coalesce(F.sum(F.col("opening") + F.col("inner")).over(
+            across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .select(*chunk, (F.col("entries_before") + F.col("opening") - 1).alias("base"))
     )
-    marked = lines.select(*block, "line", text.alias("text"), "y0", "y1", starts.alias("starts"))
-    numbered = marked.withColumn("entry", F.sum(F.col("starts").cast("int")).over(
-        in_order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    running = F.sum("starts").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = marked.withColumn("running", running).join(chunks, chunk).withColumn("entry", F.col("base") + F.col("running"))
     parts = F.array_sort(F.collect_list(F.struct("line", "text")))
     return (
         numbered.groupBy(*block, "entry")
@@ -124,18 +147,19 @@ def prefix_candidates(keys: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def fuzzy_candidates(page_keys: DataFrame, entries: DataFrame) -> DataFrame:
-    """page_keys: keys with the page on which they look. Lengths too far apart never meet."""
+    """page_keys: keys with the page on which they look. Lengths too far apart never meet, and entries of a page that
+    are copies of each other are compared once."""
     def band(c: str) -> Column:
         return F.floor(F.log(F.length(c).cast("double")) / math.log(1 / LENGTH_RATIO)).cast("int")
 
     left = page_keys.withColumn("band", F.explode(F.array(band("key") - 1, band("key"), band("key") + 1)))
-    right = entries.withColumn("band", band("norm"))
+    right = entries.select("doc_id", "page", "norm").distinct().withColumn("band", band("norm"))
     a, b = F.length("key"), F.length("norm")
     met = left.join(right, ["doc_id", "page", "band"]).filter(
         (F.col("key") != F.col("norm")) & (2 * F.least(a, b) >= R.FUZZY_RATIO * (a + b)))
     scored = met.withColumn("ratio", gestalt_ratio(F.col("key"), F.col("norm"), R.FUZZY_RATIO)).filter("ratio IS NOT NULL")
     sure = F.col("ratio") > R.FUZZY_STOP_RATIO  # the search of a key stops at the first entry above this
-    return scored.select("doc_id", "key", "neg_len", "ord", *ENTRY, F.lit(4).alias("tier"),
+    return scored.join(entries.select("doc_id", *ENTRY, "norm"), ["doc_id", "page", "norm"]).select("doc_id", "key", "neg_len", "ord", *ENTRY, F.lit(4).alias("tier"),
                          F.when(sure, -2.0).otherwise(-F.col("ratio")).alias("pref"))
 
 

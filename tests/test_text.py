@@ -3,6 +3,8 @@
 import random
 from difflib import SequenceMatcher
 
+import pytest
+
 from rolefit.operators import align as AL
 from rolefit.operators import skills as SK
 from rolefit.operators import verify as V
@@ -82,7 +84,9 @@ def test_alignment_equals_brute_force(spark):
     assert sum(map(len, want.values())) > 150
 
 
-def test_segmentation_keeps_all_lines(spark):
+@pytest.mark.parametrize("chunk", [4096, 2, 1])
+def test_segmentation_keeps_all_lines(spark, monkeypatch, chunk):
+    monkeypatch.setattr(AL, "CHUNK_LINES", chunk)
     lines = ["Summary text", "goes on", "• bullet one", "continued", "EXPERIENCE", "Acme Corp — Engineer", "Jan 2020", "Tools: a, b", "-no bullet"]
     rows = [(1, 0, 0, i, t, 12.0 * i, 12.0 * i + 10) for i, t in enumerate(lines)] + [(1, 0, 1, 20, "next block", 0.0, 10.0)]
     df = spark.createDataFrame(rows, "doc_id long, page long, block int, line int, text string, y0 double, y1 double")
@@ -91,6 +95,20 @@ def test_segmentation_keeps_all_lines(spark):
                    "next block"]
 
 
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_segmentation_of_gaps(spark, monkeypatch, chunk):
+    monkeypatch.setattr(AL, "CHUNK_LINES", chunk)
+    gaps = [0, 2, 25, 2, 2, 30, 2, 21, 20, 2, 2, 40]
+    rows, y = [], 0.0
+    for i, gap in enumerate(gaps):
+        y += gap
+        rows.append((1, 0, 0, i * 2, f"word {i}", y, y + 10))
+        y += 10
+    df = spark.createDataFrame(rows, "doc_id long, page long, block int, line int, text string, y0 double, y1 double")
+    got = [(r.entry, r.n_lines, r.first_line) for r in sorted(AL.entry_segment(df).collect(), key=lambda r: r.entry)]
+    assert got == [(0, 2, "word 0"), (1, 3, "word 2"), (2, 2, "word 5"), (3, 4, "word 7"), (4, 1, "word 11")]
+
+
 def _units(spark, rows):
     return spark.createDataFrame(rows, UNITS)
 
