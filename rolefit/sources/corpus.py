@@ -46,9 +46,13 @@ def _local_root() -> str:
 def work_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder under the shared folder the session names in spark.checkpoint.dir.
 
-    Only where that setting is absent, as in local tests, a temporary folder of this machine is used.
+    Only a local session without that setting, as in tests, falls back to a temporary folder of its machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

@@ -132,7 +132,9 @@ def stream_score(resume_stream: DataFrame, score: Callable[[DataFrame], DataFram
     Each micro-batch goes to its own folder and is overwritten when it is replayed, so a restart writes nothing twice.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # the scoring job reads the batch several times
         score(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.unpersist()
 
     return (resume_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
