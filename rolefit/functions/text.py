@@ -64,13 +64,3 @@ def strip_bullet(c: Column, chars: str = R.BULLET_CHARS) -> Column:
 def normalise_line(c: Column) -> Column:
     """Comparison form of a line: no bullet mark, single blanks, lower case."""
     return F.lower(strip(F.regexp_replace(strip_bullet(c), r"(?U)\s+", " ")))
-
-
-def ordered_strings(position: str, value: str) -> Column:
-    """Aggregate: strings of a group in the order of a position column."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(position, value))), lambda s: s[value])
-
-
-def half_even(c: Column, digits: int = 1) -> Column:
-    """Round half to even."""
-    return F.bround(c, digits)

@@ -175,7 +175,6 @@ SUMMARY_END_RE = r"\n\s*\n|\n[A-Z][A-Z ]{4,}\n"
 SKILL_UNION_CAP = 30
 PLACEHOLDER_CAPS = {"skills": 20, "experience": 10, "bullets": 6, "education": 3, "projects": 5, "certs": 5}
 EVIDENCE_CAPS = {"entries": 5, "bullets": 2, "tech": 20, "skills": 30, "required": 20, "technologies": 20}
-RESUME_TEXT_CAP, JD_TEXT_CAP = 12_000, 8_000
 UPLIFT_STEP, UPLIFT_CAP = 15.0, 98.0
 SESSION_TTL_SECONDS = 24 * 60 * 60
 SWEEP_SECONDS = 3_600

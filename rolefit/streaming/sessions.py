@@ -49,11 +49,13 @@ def session_expiry(events: DataFrame) -> DataFrame:
 
     Age counts from creation, the first event of the session.
     """
-    created = F.min("ts")
-    limit = F.unix_seconds(F.col("created").cast("timestamp")) + R.SESSION_TTL_SECONDS
-    sweep = (F.floor(limit / R.SWEEP_SECONDS) + 1) * R.SWEEP_SECONDS
-    return events.groupBy("session_id").agg(created.alias("created")).select(
-        "session_id", "created", F.timestamp_seconds(sweep).alias("expired_at"))
+    # whole hours since a fixed moment, so that the result does not depend on the time zone of the session
+    origin = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    age_limit = F.timestamp_diff("SECOND", origin, F.col("created")) + R.SESSION_TTL_SECONDS
+    hours = (F.floor(age_limit / R.SWEEP_SECONDS) + 1).cast("int")
+    sweep = (origin + F.make_dt_interval(F.lit(0), hours)).cast(events.schema["ts"].dataType)
+    return events.groupBy("session_id").agg(F.min("ts").alias("created")).select(
+        "session_id", "created", sweep.alias("expired_at"))
 
 
 def expired_at(events: DataFrame, now) -> DataFrame:
