@@ -120,7 +120,8 @@ def align_entries(entries: DataFrame) -> DataFrame:
 
 def exact_candidates(keys: DataFrame, entries: DataFrame) -> DataFrame:
     return keys.join(entries.withColumnRenamed("norm", "key"), ["doc_id", "key"]).select(
-        "doc_id", "key", "neg_len", "ord", *ENTRY, F.lit(1).alias("tier"), (-F.col("n_lines")).cast("double").alias("pref"))
+        "doc_id", "key", "neg_len", "ord", *ENTRY, F.lit(1).alias("tier"), (-F.col("n_lines")).cast("double").alias("pref"),
+        F.lit(1.0).alias("score"))
 
 
 def _anchors(c: Column) -> Column:
@@ -143,7 +144,8 @@ def prefix_candidates(keys: DataFrame, entries: DataFrame) -> DataFrame:
     leading = entry_longer & (a >= R.LEAD_PREFIX_CHARS)
     return (left.join(right, ["doc_id", "anchor"]).filter(once & (F.col("key") != F.col("norm")) & (near | leading))
             .select("doc_id", "key", "neg_len", "ord", *ENTRY, F.when(near, 2).otherwise(3).alias("tier"),
-                    F.when(near, -ratio).otherwise(-F.col("n_lines").cast("double")).alias("pref")))
+                    F.when(near, -ratio).otherwise(-F.col("n_lines").cast("double")).alias("pref"),
+                    F.when(near, ratio).otherwise(R.LEAD_PREFIX_SCORE).alias("score")))
 
 
 def fuzzy_candidates(page_keys: DataFrame, entries: DataFrame) -> DataFrame:
@@ -160,7 +162,7 @@ def fuzzy_candidates(page_keys: DataFrame, entries: DataFrame) -> DataFrame:
     scored = met.withColumn("ratio", gestalt_ratio(F.col("key"), F.col("norm"), R.FUZZY_RATIO)).filter("ratio IS NOT NULL")
     sure = F.col("ratio") > R.FUZZY_STOP_RATIO  # the search of a key stops at the first entry above this
     return scored.join(entries.select("doc_id", *ENTRY, "norm"), ["doc_id", "page", "norm"]).select("doc_id", "key", "neg_len", "ord", *ENTRY, F.lit(4).alias("tier"),
-                         F.when(sure, -2.0).otherwise(-F.col("ratio")).alias("pref"))
+                         F.when(sure, -2.0).otherwise(-F.col("ratio")).alias("pref"), F.col("ratio").alias("score"))
 
 
 def _serving():
@@ -190,13 +192,13 @@ def _serving():
 def _settle(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(settled, open): a key's best entry is settled at once when no key served before it can want that entry and
     the key could not be matched on an earlier page. The rest of the candidates of settled keys and entries vanish."""
-    rank, place = F.struct("neg_len", "ord"), F.struct("tier", "pref", "block", "entry")
+    rank, place = F.struct("neg_len", "ord"), F.struct("tier", "pref", "block", "entry", "score")
     best = candidates.groupBy("doc_id", "page", "key").agg(F.min(place).alias("best"), F.min(rank).alias("rank"))
     first_page = candidates.groupBy("doc_id", "key").agg(F.min("page").alias("page"))
     first_taker = candidates.groupBy("doc_id", *ENTRY).agg(F.min(rank).alias("rank"))
     settled = (
         best.join(first_page, ["doc_id", "key", "page"], "left_semi")
-        .select("doc_id", "key", "page", "rank", "best.tier", "best.pref", "best.block", "best.entry")
+        .select("doc_id", "key", "page", "rank", "best.tier", "best.score", "best.block", "best.entry")
         .join(first_taker, ["doc_id", *ENTRY, "rank"], "left_semi"))
     rest = (candidates.join(settled, ["doc_id", "key"], "left_anti")
             .join(settled, ["doc_id", *ENTRY], "left_anti"))
@@ -223,10 +225,10 @@ def entry_align(changes: DataFrame, entries: DataFrame) -> DataFrame:
         equal.select("doc_id", "key", "neg_len", "ord", "page").distinct().join(contested, ["doc_id", "page"], "left_semi"), items)
     candidates = materialise(
         first.unionByName(displaced).groupBy("doc_id", "key", "neg_len", "ord", *ENTRY)
-        .agg(F.min(F.struct("tier", "pref")).alias("p"))
-        .select("doc_id", "key", "neg_len", "ord", *ENTRY, "p.tier", "p.pref"), "align-candidates")
+        .agg(F.min(F.struct("tier", "pref", "score")).alias("p"))
+        .select("doc_id", "key", "neg_len", "ord", *ENTRY, "p.tier", "p.pref", "p.score"), "align-candidates")
     settled, rest = _settle(candidates)
-    columns = ["doc_id", "key", *ENTRY, "tier", "pref"]
+    columns = ["doc_id", "key", *ENTRY, "tier", "score"]
     ordered = (rest.repartition("doc_id")
                .sortWithinPartitions("doc_id", "page", "neg_len", "ord", "tier", "pref", "block", "entry").select(*columns))
     return settled.select(*columns).unionByName(ordered.mapInPandas(_serving(), ordered.schema))
