@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefit.llm import bpe, langid
+from rolefit.llm import bpe, langid, quality
 from rolefit.llm.common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     return langid.identify(docs, language_model(docs)).select(
         "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_quality")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    held = fold(F.col("doc_id"), 5) == 0
+    labels = read(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality.classify(read(spark, folder, "documents"), labels, ~held).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
