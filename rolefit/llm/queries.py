@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefit.llm import bpe, langid, quality
+from rolefit.llm import bpe, langid, quality, secret_scan
 from rolefit.llm.common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     labels = read(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
     return quality.classify(read(spark, folder, "documents"), labels, ~held).select(
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op3_secrets")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digest_table(secret_scan.find_secrets(read(spark, folder, "documents")))
