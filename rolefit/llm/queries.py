@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefit.llm import bpe, langid, quality, secret_scan
+from rolefit.llm import bpe, html_text, langid, quality, secret_scan
 from rolefit.llm.common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_secrets")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digest_table(secret_scan.find_secrets(read(spark, folder, "documents")))
+
+
+@query("op5_html_text")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_text(read(spark, folder, "pages"))
