@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefit.llm import bpe, html_text, langid, quality, secret_scan
+from rolefit.llm import bpe, hilbert_shards, html_text, langid, quality, secret_scan
 from rolefit.llm.common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_html_text")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_text(read(spark, folder, "pages"))
+
+
+@query("op6_hilbert_shards")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return hilbert_shards.assign(read(spark, folder, "documents"))
