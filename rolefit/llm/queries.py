@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefit.llm import bpe, hilbert_shards, html_text, langid, quality, secret_scan, spaced_seeds
+from rolefit.llm import bpe, digest, hilbert_shards, html_text, langid, quality, secret_scan, spaced_seeds
 from rolefit.llm.common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_spaced_seeds", spaced_seeds.oracle_sql())
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return spaced_seeds.find_leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query("op9_fingerprints")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return digest.neighbours(read(spark, folder, "documents"))
