@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,22 +19,38 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the folder that spark.checkpoint.dir names; a session without it, as in tests, gets one of its own."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a local session without that setting, as in tests, gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="rolefit-llm-")
-        context.setCheckpointDir(folder)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = _own_folder()
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="rolefit-llm-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage by a checkpoint in the shared folder; it keeps partitions and their order."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage by a compressed table in the shared folder, of which later steps read the columns that they need."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Each batch in slices of a few rows, with their texts; a null text is empty."""
     for batch in batches:
@@ -42,11 +59,6 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterat
             yield part, [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]
 
 
-def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type)
-                                       for f, c in ((f, columns[f.name]) for f in schema)], schema=schema)
-
-
 def fold(key: Column, parts: int) -> Column:
     """crc32 of the key as text, modulo parts: the folds that fix which rows a model may learn from."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(parts))
@@ -71,7 +83,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
-
-
-def apply(df: DataFrame, step: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(step, schema)
