@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefit.llm import bpe, digest, hilbert_shards, html_text, jaccard_join, langid, quality, secret_scan, spaced_seeds
+from rolefit.llm import bpe, digest, hilbert_shards, html_text, jaccard_join, langid, quality, repeats, secret_scan, spaced_seeds
 from rolefit.llm.common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_jaccard_join")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.similar_groups(read(spark, folder, "documents"))
+
+
+@query("op7_repeats")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.digest_table(repeats.remove_repeats(read(spark, folder, "documents")))
