@@ -197,9 +197,9 @@ def encode_decode(docs: DataFrame, codec: Codec, key: str = "doc_id", text: str
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(step, schema).withColumnRenamed("key", key)
 
 
-def digest_table(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
+def digest_table(encoded: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Counts and digests of what encode_decode returns."""
     return encoded.select(
         key, F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+        F.sha2("decoded", 256).alias("decoded_sha256"), *keep)

@@ -94,11 +94,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
         F.col("_doc").alias(doc_key), F.col("_item").alias(item_key), "n_equal", "item_tokens")
 
 
-def clean(docs: DataFrame, leaks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents that hold no item, with all their columns; a row with a null key has no leak to its name and stays."""
-    return docs.join(leaks.select(F.col(key).alias("_leaked")).distinct(), F.col(key) == F.col("_leaked"), "left_anti")
-
-
 def oracle_sql(docs: str = "documents", items: str = "benchmark") -> str:
     """DuckDB SQL for the rows of find_leaks, with whole tokens in place of hashes."""
     def picked(words: str, at: str, shift: int = 0) -> str:
