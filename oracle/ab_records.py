@@ -51,7 +51,7 @@ WHERE value IS NOT NULL GROUP BY ALL HAVING count(DISTINCT doc_id) > 1""",
     "a5_experience_estimate": r"""
 SELECT doc_id, CASE WHEN y <> '' THEN CAST(y AS DOUBLE) WHEN len(m) >= 2 THEN CAST(list_max(m) - list_min(m) AS DOUBLE) END AS total_years
 FROM (SELECT doc_id, regexp_extract(text, '(?i)(\d+(?:\.\d+)?)\s*\+?\s*years?\s*(?:of\s+)?(?:experience|exp)', 1) AS y,
-  list_transform(regexp_extract_all(text, '(?i)(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+(\d{4})', 1), lambda x: CAST(x AS INT)) AS m
+  list_transform(regexp_extract_all(text, '(?i)(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec|January|February|March|April|June|July|August|September|October|November|December)\s+(\d{4})', 1), lambda x: CAST(x AS INT)) AS m
   FROM extract_v)""",
     "a6_requirement_extract": "SELECT * FROM require_v",
     "a6_requirement_histogram": "SELECT CAST(floor(min_years) AS BIGINT) AS min_years, count(*) AS n FROM require_v GROUP BY 1",
@@ -92,19 +92,19 @@ UNION ALL SELECT resume_id, 'EXP_' || pos || f.suffix, CASE f.suffix WHEN '_TITL
     WHEN '_LOCATION' THEN '' WHEN '_DATES' THEN start_date || ' – ' || coalesce(end_date, 'None') WHEN '_START' THEN start_date
     WHEN '_END' THEN coalesce(end_date, '') WHEN '_BULLET_1' THEN 'Worked as ' || title ELSE 'At ' || company END
   FROM history_v, (SELECT unnest(['_TITLE', '_COMPANY', '_LOCATION', '_DATES', '_START', '_END', '_BULLET_1', '_BULLET_2']) AS suffix) f
-  WHERE pos <= 10 AND resume_id IN (SELECT resume_id FROM candidate_v)
+  WHERE resume_id IN (SELECT resume_id FROM candidate_v)
 UNION ALL SELECT resume_id, 'EDU_1_DEGREE', degree FROM education_v
 UNION ALL SELECT resume_id, 'EDU_1_INSTITUTION', institution FROM education_v
 UNION ALL SELECT resume_id, 'EDU_1_LOCATION', '' FROM education_v
-UNION ALL SELECT resume_id, 'EDU_1_YEAR', year FROM education_v
+UNION ALL SELECT resume_id, 'EDU_1_YEAR', coalesce(year, '') FROM education_v
 UNION ALL SELECT resume_id, 'CERT_' || unnest(range(1, len(certifications) + 1)), unnest(certifications) || ' — None 2020' FROM candidate_v""",
     "b5_skill_union": """
 SELECT resume_id, unnest(range(len(u))) AS pos, unnest(u) AS skill FROM (
-  SELECT resume_id, list_concat(skills, list_filter(tech_stack, lambda t: NOT list_contains(skills, t)))[1:30] AS u FROM resume_v)""",
+  SELECT resume_id, list_concat(skills, list_filter(tech_stack, lambda t: NOT list_contains(skills, t))) AS u FROM resume_v)""",
     "b5_skill_frequency": """
 SELECT skill, count(*) AS n_resumes FROM (
-  SELECT unnest(list_concat(skills, list_filter(tech_stack, lambda t: NOT list_contains(skills, t)))[1:30]) AS skill FROM resume_v)
-GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""",
+  SELECT unnest(list_concat(skills, list_filter(tech_stack, lambda t: NOT list_contains(skills, t)))) AS skill FROM resume_v)
+GROUP BY 1""",
     "b6_contact_restore": """
 SELECT b.resume_id, coalesce(nullif(b.full_name, ''), c.full_name) AS full_name,
   coalesce(nullif(b.email, ''), nullif(c.email, ''), b.email) AS email, coalesce(nullif(b.phone, ''), nullif(c.phone, ''), b.phone) AS phone,

@@ -92,8 +92,8 @@ SELECT DISTINCT word, stem || ending AS variant FROM (
     "hit2_v": hit_sql("scope2_v", "token2_v"),
     "kwscore2_v": score_sql("hit2_v"),
     "complete_v": completeness_sql("candidate_v", "history_v"),
-    "header2_v": """SELECT c.resume_id, c.full_name, c.email, c.phone, coalesce(r.summary, '') AS summary, r.skills
-FROM candidate_v c JOIN rewritten_v r USING (resume_id)""",
+    "header2_v": """SELECT r.resume_id, c.full_name, c.email, c.phone, coalesce(r.summary, '') AS summary, r.skills
+FROM rewritten_v r LEFT JOIN candidate_v c USING (resume_id)""",
     "complete2_v": completeness_sql("header2_v", "history_v"),
     "format_v": """
 SELECT d.doc_id, CASE WHEN contains(lower(content_type), 'pdf') THEN CASE WHEN n_bytes > 500000 THEN 15.0::DOUBLE ELSE 20.0 END
@@ -124,13 +124,16 @@ SELECT doc_id, source, CASE WHEN length(text) < 100 THEN 0.0::DOUBLE
 SELECT k.resume_id, k.job_id, keyword_match, section_completeness, format_parsability, keyword_placement, date_consistency,
   file_health, round_even(keyword_match + section_completeness + format_parsability + keyword_placement + date_consistency
     + file_health, 1) AS total
-FROM kwscore_v k JOIN complete_v USING (resume_id) JOIN dates_v USING (resume_id)
+FROM kwscore_v k LEFT JOIN completefull_v USING (resume_id) LEFT JOIN datesfull_v USING (resume_id)
 JOIN format_v f ON f.doc_id = k.resume_id JOIN health_v h ON h.doc_id = k.resume_id""",
+    "completefull_v": """SELECT r.resume_id, coalesce(section_completeness, 0) AS section_completeness
+FROM resume_v r LEFT JOIN complete_v USING (resume_id)""",
+    "datesfull_v": "SELECT r.resume_id, coalesce(date_consistency, 5) AS date_consistency FROM resume_v r LEFT JOIN dates_v USING (resume_id)",
     "rescore_v": """
 SELECT k.resume_id, k.job_id, keyword_match, section_completeness, 20.0::DOUBLE AS format_parsability, keyword_placement,
   date_consistency, 5.0::DOUBLE AS file_health,
   round_even(keyword_match + section_completeness + 20.0 + keyword_placement + date_consistency + 5.0, 1) AS total
-FROM kwscore2_v k JOIN complete2_v USING (resume_id) JOIN dates_v USING (resume_id)""",
+FROM kwscore2_v k JOIN complete2_v USING (resume_id) LEFT JOIN datesfull_v USING (resume_id)""",
 }
 
 QUERIES: dict[str, str] = {

@@ -21,22 +21,22 @@ def _score_sql(group: str, text: str) -> str:
 HELPERS = {
     "ctx1_v": ctx_sql("pair_v"),
     "lackcert1_v": lack_sql("ctx1_v"),
-    "flag1_v": flag_sql("ctx1_v", "lackcert1_v"),
+    "flag1_v": flag_sql("ctx1_v", "lackcert1_v", domain=True),
     "orderedflag1_v": f"""SELECT resume_id, job_id, row_number() OVER (PARTITION BY resume_id, job_id ORDER BY prio, check_ord, item_ord) - 1 AS ord,
   {FLAG} FROM flag1_v""",
-    "ack_v": """SELECT resume_id, job_id, category FROM confirmation_v, (SELECT unnest(['experience_gap', 'certification_missing']) AS category)
-WHERE CASE category WHEN 'experience_gap' THEN ack_experience ELSE ack_certification END""",
+    "ack_v": """SELECT resume_id, job_id, category FROM confirmation_v, (SELECT unnest(['experience_gap', 'certification_missing', 'domain_mismatch']) AS category)
+WHERE CASE category WHEN 'experience_gap' THEN ack_experience WHEN 'domain_mismatch' THEN ack_domain ELSE ack_certification END""",
     # status per pair and distinct job skill; the hit rule is the one of the keywords
     "item_v": """
 SELECT h.resume_id, h.job_id, h.keyword AS skill, CASE WHEN in_skills THEN 'matched' WHEN in_all THEN 'can_add'
     WHEN g.own IS NOT NULL THEN 'partial' ELSE 'missing' END AS status, CASE WHEN NOT in_all THEN g.own END AS related_skill
 FROM (SELECT resume_id, job_id, keyword, bool_or(hit) FILTER (scope = 'all') AS in_all, bool_or(hit) FILTER (scope = 'skills') AS in_skills
       FROM hit_v GROUP BY ALL) h
-LEFT JOIN (SELECT resume_id, left(s, 5) AS grp, min(s) AS own FROM (
-    SELECT resume_id, unnest(list_concat(skills, tech_stack)) AS s FROM resume_v) WHERE length(s) >= 5 GROUP BY ALL) g
-  ON g.resume_id = h.resume_id AND length(h.keyword) >= 5 AND g.grp = left(h.keyword, 5)""",
-    "decision_v": """SELECT resume_id, job_id, skill, job_id % 2 = 0 AS add FROM item_v
-WHERE status IN ('can_add', 'partial') AND length(skill) <= 7""",
+LEFT JOIN (SELECT resume_id, regexp_replace(s, '(ation|tion|ment|ing|ed|er|al|ly|s)$', '') AS grp, min(s) AS own FROM (
+    SELECT resume_id, unnest(list_concat(skills, tech_stack)) AS s FROM resume_v) GROUP BY ALL) g
+  ON g.resume_id = h.resume_id AND g.grp = regexp_replace(h.keyword, '(ation|tion|ment|ing|ed|er|al|ly|s)$', '')""",
+    "decision_v": """SELECT resume_id, job_id, skill, CASE WHEN length(skill) <= 7 THEN job_id % 2 = 0 END AS add FROM item_v
+WHERE status IN ('can_add', 'partial')""",
     "present2_v": """
 SELECT p.resume_id, p.job_id, k.i - 1 AS pos, k.keyword FROM pair_v p
 JOIN (SELECT job_id, unnest(range(1, len(hard_keywords) + 1)) AS i, unnest(hard_keywords) AS keyword FROM job_v) k USING (job_id)
@@ -87,7 +87,7 @@ SELECT p.resume_id, p.job_id,
   array_to_string(q.certifications_required, ', ') AS required_skills, '' AS technologies
 FROM pair2_v p JOIN candidate_v c USING (resume_id) JOIN posting_v q USING (job_id)
 LEFT JOIN (SELECT resume_id, string_agg(title || ' @ ' || company || ': Worked as ' || title || '; At ' || company, chr(10) ORDER BY pos) AS jobs
-           FROM history_v WHERE pos <= 5 GROUP BY 1) h USING (resume_id)""",
+           FROM history_v GROUP BY 1) h USING (resume_id)""",
 }
 
 QUERIES = {
@@ -102,17 +102,18 @@ LEFT JOIN (SELECT resume_id, job_id, count(*) AS n FROM item_v WHERE status IN (
     "e9_known_gaps": "SELECT resume_id, job_id, ord, title FROM orderedflag1_v JOIN ack_v USING (resume_id, job_id, category)",
     "f1_skill_breakdown": "SELECT resume_id, job_id, skill, status, related_skill FROM item_v",
     "f2_skill_summary": """
-SELECT i.*, coalesce(d.n_add, 0) AS n_add, coalesce(d.n_skip, 0) AS n_skip FROM (
+SELECT resume_id, job_id, coalesce(matched, 0) AS matched, coalesce(can_add, 0) AS can_add, coalesce(partial, 0) AS partial,
+  coalesce(missing, 0) AS missing, coalesce(d.n_add, 0) AS n_add, coalesce(d.n_skip, 0) AS n_skip FROM pair_v LEFT JOIN (
   SELECT resume_id, job_id, count(*) FILTER (status = 'matched') AS matched, count(*) FILTER (status = 'can_add') AS can_add,
-    count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'missing') AS missing FROM item_v GROUP BY ALL) i
+    count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'missing') AS missing FROM item_v GROUP BY ALL) i USING (resume_id, job_id)
 LEFT JOIN (SELECT resume_id, job_id, count(*) FILTER (add) AS n_add, count(*) FILTER (NOT add) AS n_skip FROM decision_v GROUP BY ALL) d
   USING (resume_id, job_id)""",
     "f3_skill_merge": """
 SELECT resume_id, job_id, concat_ws('|', nullif(array_to_string(any_value(skills), '|'), ''),
-    string_agg(skill, '|' ORDER BY n) FILTER (NOT list_contains(list_transform(skills, lambda s: lower(s)), lower(skill)))) AS skills,
+    string_agg(skill, '|' ORDER BY n) FILTER (skill IS NOT NULL AND NOT list_contains(list_transform(skills, lambda s: lower(s)), lower(skill)))) AS skills,
   concat_ws('|', nullif(array_to_string(any_value(tech_stack), '|'), ''),
-    string_agg(skill, '|' ORDER BY n) FILTER (NOT list_contains(list_transform(tech_stack, lambda s: lower(s)), lower(skill)))) AS tech_stack
-FROM firstaddition_v JOIN resume_v USING (resume_id) GROUP BY resume_id, job_id""",
+    string_agg(skill, '|' ORDER BY n) FILTER (skill IS NOT NULL AND NOT list_contains(list_transform(tech_stack, lambda s: lower(s)), lower(skill)))) AS tech_stack
+FROM pair_v LEFT JOIN firstaddition_v USING (resume_id, job_id) JOIN resume_v USING (resume_id) GROUP BY resume_id, job_id""",
     "f4_skill_route": "SELECT doc_id, ord, skill, target FROM route_v",
     "f4_routed_lines": r"""
 SELECT doc_id, target AS original, regexp_replace(target, '[. ]+$', '') || ', ' || string_agg(skill, ', ' ORDER BY ord) AS updated

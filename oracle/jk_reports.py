@@ -20,15 +20,19 @@ SELECT signal, job_id, count(*) AS n, round_even(avg(before), 3) AS mean_before,
 GROUP BY GROUPING SETS ((signal, job_id), (signal))""",
     "j2_outcome_table": """
 SELECT b.resume_id, b.job_id, b.total AS score_before, a.total AS score_after, m.match_before, m.match_after,
-  coalesce(d.v, '') AS skills_added, coalesce(i.v, '') AS keywords_injected, coalesce(s.sections, '') AS sections_rewritten, coalesce(g.v, '') AS known_gaps
+  coalesce(d.v, '') AS skills_added, coalesce(i.v, '') AS keywords_injected, coalesce(s.sections, '') AS sections_rewritten, coalesce(g.v, '') AS known_gaps,
+  coalesce(y.v, '') AS suggestions
 FROM score_v b JOIN rescore_v a USING (resume_id, job_id) LEFT JOIN uplift_v m USING (resume_id, job_id)
 LEFT JOIN (SELECT resume_id, job_id, string_agg(skill, '|' ORDER BY skill) AS v FROM decision_v WHERE add GROUP BY ALL) d USING (resume_id, job_id)
 LEFT JOIN (SELECT resume_id, job_id, string_agg(keyword, '|' ORDER BY keyword) AS v FROM injected_v GROUP BY ALL) i USING (resume_id, job_id)
 LEFT JOIN section_v s USING (resume_id, job_id)
+LEFT JOIN (SELECT resume_id, string_agg('Back up the number in line ' || bullet_idx, '|' ORDER BY bullet_idx) AS v FROM rewrite_v
+           WHERE ends_with(rewritten_text, ' 42') AND NOT ends_with(original_text, ' 42') GROUP BY 1) y USING (resume_id)
 LEFT JOIN (SELECT resume_id, job_id, string_agg(title, '|' ORDER BY ord) AS v FROM orderedflag1_v JOIN ack_v USING (resume_id, job_id, category)
            GROUP BY ALL) g USING (resume_id, job_id)""",
     "j3_analysis_table": """
-SELECT c.resume_id, c.job_id, m.match_score, s.keyword_match, s.total, c.yr AS experience_candidate, c.lo AS experience_required_min,
+SELECT c.resume_id, c.job_id, m.match_score, s.keyword_match, s.section_completeness, s.format_parsability, s.keyword_placement,
+  s.date_consistency, s.file_health, s.total, c.yr AS experience_candidate, c.lo AS experience_required_min,
   c.hi AS experience_required_max, c.rd AS domain_candidate, c.jd AS domain_job, array_to_string(c.jc, '|') AS required_certifications,
   l.v AS missing_certifications, f.v AS flags, k.v AS skills
 FROM ctx1_v c LEFT JOIN match_v m USING (resume_id, job_id) LEFT JOIN score_v s USING (resume_id, job_id)

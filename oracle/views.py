@@ -4,18 +4,18 @@ VIEWS = {
     "resume_v": r"""
 SELECT doc_id AS resume_id, lang, source, text AS raw_text,
   string_split(text, chr(10))[1] AS summary,
-  list_filter(list_slice(string_split(text, chr(10)), 2, 100000), lambda l: trim(l) <> '') AS bullets,
-  list_slice(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{7,}'))), 1, 15) AS skills,
-  list_slice(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{10,}'))), 1, 8) AS tech_stack
+  list_filter(string_split(text, chr(10))[2:], lambda l: trim(l) <> '') AS bullets,
+  list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{7,}'))) AS skills,
+  list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{10,}'))) AS tech_stack
 FROM documents
 """,
     "job_v": r"""
 SELECT item_id AS job_id, text AS raw_text,
   CASE WHEN item_id % 11 = 0 THEN []::VARCHAR[] ELSE list_concat(
-    list_slice(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}'))), 1, 15),
+    list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}'))),
     CASE WHEN item_id % 5 = 0 THEN ['the theon', 'ci/cd'] ELSE []::VARCHAR[] END) END AS hard_keywords,
   CASE WHEN item_id % 11 = 0 THEN []::VARCHAR[] ELSE
-    list_slice(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) BETWEEN 4 AND 5))), 1, 10) END AS soft_keywords
+    list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) BETWEEN 4 AND 5))) END AS soft_keywords
 FROM benchmark
 """,
     "pair_v": r"""
@@ -109,14 +109,14 @@ SELECT resume_id, pos, CASE pos % 6 WHEN 0 THEN '{"company":"X"}' WHEN 1 THEN '{
 FROM history_v
 """,
     "confirmation_v": r"""
-SELECT resume_id, job_id, resume_id % 2 = 0 AS ack_experience, resume_id % 3 = 0 AS ack_certification,
+SELECT resume_id, job_id, resume_id % 2 = 0 AS ack_experience, resume_id % 3 = 0 AS ack_certification, (resume_id + job_id) % 3 = 0 AS ack_domain,
   job_id % 2 = 0 AS rewrite_summary, job_id % 3 <> 0 AS rewrite_bullets, job_id % 5 = 0 AS reorder_sections
 FROM pair_v
 """,
     "education_v": r"""
 SELECT c_custkey AS resume_id, 1 AS pos, 'BSc' AS degree, concat('School ', CAST(c_custkey % 20 AS VARCHAR(4))) AS institution,
-  CASE WHEN c_custkey % 8 = 0 THEN '' ELSE CAST(1990 + c_custkey % 30 AS VARCHAR(4)) END AS year
-FROM customer WHERE c_acctbal >= 3000
+  CASE WHEN c_acctbal < 3000 THEN NULL WHEN c_custkey % 8 = 0 THEN '' ELSE CAST(1990 + c_custkey % 30 AS VARCHAR(4)) END AS year
+FROM customer
 """,
     "pair2_v": r"""
 SELECT DISTINCT o.o_custkey AS resume_id, l.l_suppkey AS job_id
@@ -129,7 +129,7 @@ SELECT r.resume_id, r.skills, r.tech_stack, t.summary, t.bullets FROM resume_v r
   FROM rewrite_v GROUP BY resume_id) t USING (resume_id)
 """,
     "confirmation2_v": r"""
-SELECT resume_id, job_id, resume_id % 2 = 0 AS ack_experience, resume_id % 3 = 0 AS ack_certification,
+SELECT resume_id, job_id, resume_id % 2 = 0 AS ack_experience, resume_id % 3 = 0 AS ack_certification, (resume_id + job_id) % 3 = 0 AS ack_domain,
   job_id % 2 = 0 AS rewrite_summary, job_id % 3 <> 0 AS rewrite_bullets, job_id % 5 = 0 AS reorder_sections
 FROM pair2_v
 """,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,3 +66,12 @@ def strip_bullet(c: Column, chars: str = R.BULLET_CHARS) -> Column:
 def normalise_line(c: Column) -> Column:
     """Comparison form of a line: no bullet mark, single blanks, lower case."""
     return F.lower(strip(F.regexp_replace(strip_bullet(c), r"(?U)\s+", " ")))
+
+
+#: Decimal digits of all scripts outside ASCII, and what each stands for.
+_DIGITS = [c for c in map(chr, range(128, 0x110000)) if c.isdecimal()]
+
+
+def decimal_number(text: Column) -> Column:
+    """A number written in decimal digits of any script as a double; null for anything else."""
+    return F.translate(text, "".join(_DIGITS), "".join(str(unicodedata.decimal(c)) for c in _DIGITS)).try_cast("double")

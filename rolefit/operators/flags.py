@@ -13,7 +13,6 @@ from rolefit import refdata as R
 from rolefit.functions.ratio import gestalt_ratio
 from rolefit.functions.text import contains_any, empty_if_null, strip, words, zero_to_null
 from rolefit.operators.records import parse_seniority
-from rolefit.sources.corpus import materialise
 
 FLAG_FIELDS = ("flag_type", "category", "title", "message", "detail", "requires_acknowledgement")
 _FLAG_TYPE = ("struct<prio:int,check_ord:int,item_ord:int,flag_type:string,category:string,title:string,message:string,"
@@ -90,9 +89,9 @@ def domain_similarity(domain_pairs: DataFrame) -> DataFrame:
     """
     known = domain_pairs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("domain_a", "domain_b")]).distinct()
     values = known.select(F.explode(F.array("domain_a", "domain_b")).alias("domain")).distinct()
-    # written out once: the normalised text must be a value, not an expression repeated in every test below
-    norms = materialise(values.select("domain", normalise_domain(F.col("domain")).alias("norm")), "domains").withColumn(
-        "clusters", domain_clusters(F.col("norm")))
+    # grouped once more, so that the normalised text is a value behind an aggregate, not an expression repeated in every test below
+    norms = (values.groupBy("domain").agg(F.first(normalise_domain(F.col("domain"))).alias("norm"))
+             .withColumn("clusters", domain_clusters(F.col("norm"))))
 
     def side(x: str) -> DataFrame:
         return norms.select(F.col("domain").alias(f"domain_{x}"), F.col("norm").alias(x), F.col("clusters").alias(f"clusters_{x}"))
@@ -251,7 +250,7 @@ def flag_gate(pairs: DataFrame, flags: DataFrame, skills: DataFrame, confirmatio
         .groupBy(*key).agg(F.count(F.lit(1)).alias("open_red")))
     open_skills = (
         skills.filter(F.col("status").isin("can_add", "partial"))
-        .join(decisions.select(*key, "skill"), [*key, "skill"], "left_anti")
+        .join(decisions.filter(F.col("add").isNotNull()).select(*key, "skill"), [*key, "skill"], "left_anti")
         .groupBy(*key).agg(F.count(F.lit(1)).alias("open_skills")))
     counted = pairs.select(*key).join(open_flags, key, "left").join(open_skills, key, "left").na.fill(0)
     return counted.withColumn("can_proceed", (F.col("open_red") == 0) & (F.col("open_skills") == 0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolefit import refdata as R
-from rolefit.functions.text import first_match, strip
+from rolefit.functions.text import decimal_number, first_match, strip
 
 
 def language_guess(text: Column) -> Column:
@@ -83,9 +83,9 @@ def shared_contacts(contacts: DataFrame) -> DataFrame:
 
 
 def stated_or_dated_years(text: Column) -> Column:
-    stated = first_match(text, R.YEARS_STATED_RE, 1).cast("double")
-    years = F.transform(F.regexp_extract_all(text, F.lit(R.MONTH_YEAR_RE), F.lit(1)), lambda y: y.cast("int"))
-    span = F.when(F.size(years) >= 2, (F.array_max(years) - F.array_min(years)).cast("double"))
+    stated = decimal_number(first_match(text, R.YEARS_STATED_RE, 1))
+    years = F.filter(F.transform(F.regexp_extract_all(text, F.lit(R.MONTH_YEAR_RE), F.lit(1)), decimal_number), lambda y: y.isNotNull())
+    span = F.when(F.size(years) >= 2, F.array_max(years) - F.array_min(years))
     return F.coalesce(stated, span)
 
 
@@ -97,17 +97,18 @@ def experience_estimate(docs: DataFrame) -> DataFrame:
 def required_years(text: Column) -> Column:
     """struct(min_years, max_years) of a posting text."""
     def open_range(pattern: str) -> Column:
-        low = first_match(text, pattern, 1).cast("double")
+        low = decimal_number(first_match(text, pattern, 1))
         return F.when(low.isNotNull(), F.struct(low.alias("min_years"), (low + R.JD_OPEN_RANGE_YEARS).alias("max_years")))
 
-    low, high = (first_match(text, R.JD_RANGE_RE, g).cast("double") for g in (1, 2))
+    low, high = (decimal_number(first_match(text, R.JD_RANGE_RE, g)) for g in (1, 2))
     ranged = F.when(low.isNotNull(), F.struct(low.alias("min_years"), high.alias("max_years")))
     return F.coalesce(ranged, open_range(R.JD_STATED_RE), open_range(R.JD_MINIMUM_RE))
 
 
-def job_title(text: Column) -> Column:
+def job_title(text: Column, scan_lines: int = R.TITLE_SCAN_LINES) -> Column:
+    """The first short line among those where a title stands."""
     lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda s: s != "")
-    short = F.filter(F.slice(lines, 1, R.TITLE_SCAN_LINES), lambda s: F.length(s) < R.TITLE_MAX_CHARS)
+    short = F.filter(F.slice(lines, 1, scan_lines), lambda s: F.length(s) < R.TITLE_MAX_CHARS)
     return F.coalesce(F.get(short, F.lit(0)), F.lit(R.UNKNOWN_TITLE))
 
 

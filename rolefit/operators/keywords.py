@@ -132,42 +132,56 @@ def resume_words(resumes: DataFrame, keywords: DataFrame) -> DataFrame:
         *[F.collect_set(F.when(F.col("scope") == s, F.col("word"))).alias(f"words_{s}") for s in SCOPES])
 
 
-def _hit(keyword: Column, text: str, words: str) -> Column:
+def _hit(keyword: Column, text: Column, words: str) -> Column:
     by_form = (
         ((keyword["n_words"] > 1) | ((keyword["n_words"] == 1) & (F.size(keyword["long"]) > 0)))
         & F.forall(keyword["long"], lambda w: F.array_contains(F.col(words), w))
     )
-    return F.contains(F.col(text), keyword["keyword"]) | by_form
+    return by_form | F.contains(text, keyword["keyword"])
 
 
 def pair_keyword_hits(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, per_resume: DataFrame | None = None) -> DataFrame:
     """One row per pair: arrays hard and soft of (term, keyword, in_all, in_summary, in_skills) in job order.
 
-    Columns of per_resume (one row per resume_id) come along. They join the resume side before the pairs do, so the
-    pairs are shuffled once and nothing behind that join keeps adaptive execution from splitting a hot resume.
+    The pairs meet the short job side first and the resumes last, so that every text is shuffled once, to its own key. It travels
+    once for all scopes: the texts of summary and skills are parts of it, cut out again by their lengths. Columns of per_resume (one
+    row per resume_id) come along with the resumes; they are null where it lacks one.
     """
     prepared = prepared_jobs(jobs)
-    ready = scope_texts(resumes).join(resume_words(resumes, job_keywords(jobs).select("keyword")), "resume_id", "left")
+    ready = _whole_texts(resumes).join(resume_words(resumes, job_keywords(jobs).select("keyword")), "resume_id", "left")
     for s in SCOPES:
         ready = ready.withColumn(f"words_{s}", empty_if_null(F.col(f"words_{s}")))
     carried = []
     if per_resume is not None:
         carried = [c for c in per_resume.columns if c != "resume_id"]
-        ready = ready.join(per_resume, "resume_id")
-    joined = (pairs.select("resume_id", "job_id").join(ready, "resume_id").join(prepared, "job_id")
+        ready = ready.join(per_resume, "resume_id", "left")
+    joined = (pairs.select("resume_id", "job_id").join(prepared, "job_id").join(ready, "resume_id")
               # the few words of this job that the resume has, found once by hash for all keywords of the pair
               .withColumn("words_all", F.array_intersect("job_words", "words_all")))
+    text = {"all": F.col("text_all"), "skills": F.substring("text_all", F.col("skills_at"), F.col("skills_chars")),
+            "summary": F.substring("text_all", F.length("text_all") - F.col("summary_chars") + 1, F.col("summary_chars"))}
 
     def tested(kind: str) -> Column:
         # the other scopes are parts of the whole text: what the whole lacks they need not be searched for
-        whole = F.transform(F.col(kind), lambda k: F.struct(k.alias("k"), _hit(k, "text_all", "words_all").alias("in_all")))
+        whole = F.transform(F.col(kind), lambda k: F.struct(k.alias("k"), _hit(k, text["all"], "words_all").alias("in_all")))
         return F.transform(whole, lambda h: F.struct(
             h["k"]["term"].alias("term"), h["k"]["keyword"].alias("keyword"), h["in_all"].alias("in_all"),
-            *[(h["in_all"] & _hit(h["k"], f"text_{s}", f"words_{s}")).alias(f"in_{s}") for s in SCOPES[1:]]))
+            *[(h["in_all"] & _hit(h["k"], text[s], f"words_{s}")).alias(f"in_{s}") for s in SCOPES[1:]]))
 
     return joined.select("resume_id", "job_id", tested("hard").alias("hard"), tested("soft").alias("soft"), *carried)
 
 
+def _whole_texts(resumes: DataFrame) -> DataFrame:
+    """(resume_id, text_all, summary_chars, skills_at, skills_chars): text_all begins with skills and tech stack and ends with the summary."""
+    skills, tech, bullets = (empty_if_null(F.col(c)) for c in ("skills", "tech_stack", "bullets"))
+    parts = resumes.select("resume_id", F.lower(F.concat_ws(" ", skills)).alias("s"), F.lower(F.concat_ws(" ", tech)).alias("t"),
+                           F.lower(F.concat_ws(" ", bullets)).alias("b"), F.lower(F.coalesce("summary", F.lit(""))).alias("m"),
+                           (F.size(skills) == 0).alias("no_s"), (F.size(tech) == 0).alias("no_t"))
+    gap = F.when(F.col("no_s") | F.col("no_t"), 0).otherwise(1)
+    return parts.select("resume_id", F.concat_ws(" ", "s", "t", "b", "m").alias("text_all"), F.length("m").alias("summary_chars"),
+                        F.when(F.col("no_s"), 2).otherwise(1).alias("skills_at"), (F.length("s") + F.length("t") + gap).alias("skills_chars"))
+
+
 def keyword_hits(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Long form: (resume_id, job_id, kind, pos, keyword, in_all, in_summary, in_skills)."""
     hits = pair_keyword_hits(resumes, jobs, pairs)
@@ -196,8 +210,9 @@ def keyword_match_score() -> Column:
         F.least(F.bround(points, 1), F.lit(R.SIGNAL_MAX["keyword_match"])))
 
 
-def keyword_placement_score() -> Column:
-    first = F.slice(F.col("hard"), 1, R.PLACEMENT_KEYWORDS)
+def keyword_placement_score(keywords: int = R.PLACEMENT_KEYWORDS) -> Column:
+    """Of the first keywords of the job, which the signal is about, the share in summary and skills."""
+    first = F.slice(F.col("hard"), 1, keywords)
     points = _share(_count(first, "in_summary"), first) * 8 + _share(_count(first, "in_skills"), first) * 7
     return F.when(F.size("hard") == 0, F.lit(R.NEUTRAL_KEYWORD_PLACEMENT)).otherwise(
         F.least(F.bround(points, 1), F.lit(R.SIGNAL_MAX["keyword_placement"])))
@@ -241,7 +256,7 @@ def verified_text(resumes: DataFrame) -> DataFrame:
 def keywords_present(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Hard keywords of the job that occur literally in the resume text: (resume_id, job_id, pos, keyword)."""
     keywords = jobs.select("job_id", empty_if_null(F.col("hard_keywords")).alias("hard_keywords"))
-    joined = pairs.select("resume_id", "job_id").join(verified_text(resumes), "resume_id").join(keywords, "job_id")
+    joined = pairs.select("resume_id", "job_id").join(keywords, "job_id").join(verified_text(resumes), "resume_id")
     present = F.filter(
         F.transform("hard_keywords", lambda k, i: F.struct(i.alias("pos"), k.alias("keyword"))),
         lambda s: F.contains(F.col("text"), F.lower(s["keyword"])))

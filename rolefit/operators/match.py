@@ -40,37 +40,46 @@ def match_uplift(before: DataFrame, after: DataFrame) -> DataFrame:
                     F.bround(F.col("match_after") - F.col("match_before"), 2).alias("match_delta")))
 
 
-def evidence_text() -> Column:
-    """Summary and the first bullets of the first entries of a nested resume row, one per line."""
+def _first(array: Column, cap: int | None) -> Column:
+    return array if cap is None else F.slice(array, 1, cap)
+
+
+def evidence_text(caps: dict[str, int] | None = None) -> Column:
+    """Summary and entries with their bullets of a nested resume row, one per line."""
+    caps = caps or {}
+
     def entry(e: Column) -> Column:
         head = F.concat(F.coalesce(e["title"], F.lit("")), F.lit(" @ "), F.coalesce(e["company"], F.lit("")))
-        bullets = F.slice(empty_if_null(e["bullets"]), 1, R.EVIDENCE_CAPS["bullets"])
+        bullets = _first(empty_if_null(e["bullets"]), caps.get("bullets"))
         return F.when(F.size(bullets) > 0, F.concat(head, F.lit(": "), F.array_join(bullets, "; "))).otherwise(head)
 
     summary = F.concat(F.lit("Summary: "), falsy_to_null(F.col("summary")))
-    jobs = F.transform(F.slice("experience", 1, R.EVIDENCE_CAPS["entries"]), entry)
+    jobs = F.transform(_first(F.col("experience"), caps.get("entries")), entry)
     lines = F.array_compact(F.concat(F.array(summary), F.coalesce(jobs, F.array().cast("array<string>"))))
     return F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise("No resume text available.")
 
 
-def _listed(c: str, cap: int, have: list[str]) -> Column:
-    return F.array_join(F.slice(empty_if_null(F.col(c)), 1, cap), ", ") if c in have else F.lit("")
+def _listed(c: str, cap: int | None, have: list[str]) -> Column:
+    return F.array_join(_first(empty_if_null(F.col(c)), cap), ", ") if c in have else F.lit("")
 
 
-def evidence_table(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One inference input row per pair: what a match model gets to see of the resume and of the job."""
-    caps = R.EVIDENCE_CAPS
+def evidence_table(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
+    """One inference input row per pair: what a match model gets to see of the resume and of the job.
+
+    caps limits the lists by name; by default they are whole. refdata.EVIDENCE_CAPS has those of the original prompt.
+    """
+    caps = caps or {}
     r = resumes.select(
-        "resume_id", evidence_text().alias("evidence"),
+        "resume_id", evidence_text(caps).alias("evidence"),
         F.coalesce(falsy_to_null(F.col("primary_domain")), F.lit("Unknown")).alias("domain_candidate"),
         F.coalesce("total_years", F.lit(0.0)).alias("years"),
-        _listed("tech_stack", caps["tech"], resumes.columns).alias("tech_stack"),
-        _listed("skills", caps["skills"], resumes.columns).alias("skills"))
+        _listed("tech_stack", caps.get("tech"), resumes.columns).alias("tech_stack"),
+        _listed("skills", caps.get("skills"), resumes.columns).alias("skills"))
     j = jobs.select(
         "job_id", "job_title", F.coalesce(falsy_to_null(F.col("primary_domain")), F.lit("Unknown")).alias("domain_job"),
         F.coalesce("min_years", F.lit(0.0)).alias("min_years"), F.coalesce("max_years", F.lit(0.0)).alias("max_years"),
-        _listed("required_skills", caps["required"], jobs.columns).alias("required_skills"),
-        _listed("technologies", caps["technologies"], jobs.columns).alias("technologies"))
+        _listed("required_skills", caps.get("required"), jobs.columns).alias("required_skills"),
+        _listed("technologies", caps.get("technologies"), jobs.columns).alias("technologies"))
     return pairs.select("resume_id", "job_id").join(r, "resume_id").join(j, "job_id")
 
 

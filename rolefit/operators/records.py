@@ -149,10 +149,11 @@ def profile_unnest(resumes: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def placeholder_rows(resumes: DataFrame, compat: bool = True) -> DataFrame:
+def placeholder_rows(resumes: DataFrame, compat: bool = True, caps: dict[str, int] | None = None) -> DataFrame:
     """(resume_id, placeholder, value) for mail merge. All rows of a resume come from its own row, without a shuffle.
 
-    With compat=True an absent date, issuer or year inside a composed text prints as 'None'; otherwise as nothing.
+    caps limits the entries of a section by name; by default all have their rows. refdata.PLACEHOLDER_CAPS has those of the original
+    templates. With compat=True an absent date, issuer or year inside a composed text prints as 'None'; otherwise as nothing.
     """
     absent = F.lit("None" if compat else "")
     have = set(resumes.columns)
@@ -167,15 +168,14 @@ def placeholder_rows(resumes: DataFrame, compat: bool = True) -> DataFrame:
     def numbered(prefix: str, i: Column, suffix: str = "") -> Column:
         return F.concat(F.lit(prefix), (i + 1).cast("string"), F.lit(suffix))
 
-    def capped(column: str, cap: int) -> Column:
-        return F.slice(F.col(column), 1, cap)
+    def capped(array: Column, section: str) -> Column:
+        return F.slice(array, 1, caps[section]) if caps and section in caps else array
 
-    caps = R.PLACEHOLDER_CAPS
     plain = {"FULL_NAME": "full_name", "NAME": "full_name", "EMAIL": "email", "PHONE": "phone", "LOCATION": "location",
              "LINKEDIN": "linkedin", "GITHUB": "github", "PORTFOLIO": "portfolio", "SUMMARY": "summary"}
     blocks = [F.array(*[row(k, F.col(c)) for k, c in plain.items() if c in have])]
     if "skills" in have:
-        first = F.slice(empty_if_null(F.col("skills")), 1, caps["skills"])
+        first = capped(empty_if_null(F.col("skills")), "skills")
         blocks.append(F.array(row("SKILLS_LIST", F.array_join(first, " · ")), row("SKILLS_COMMA", F.array_join(first, ", "))))
     if "experience" in have:
         def job(e: Column, i: Column) -> Column:
@@ -183,33 +183,34 @@ def placeholder_rows(resumes: DataFrame, compat: bool = True) -> DataFrame:
             rows = F.array(*[row(numbered("EXP_", i, s), v) for s, v in (
                 ("_TITLE", e["title"]), ("_COMPANY", e["company"]), ("_LOCATION", e["location"]), ("_DATES", dates),
                 ("_START", e["start_date"]), ("_END", e["end_date"]))])
-            bullets = F.transform(F.slice(empty_if_null(e["bullets"]), 1, caps["bullets"]),
+            bullets = F.transform(capped(empty_if_null(e["bullets"]), "bullets"),
                                   lambda b, j: row(F.concat(numbered("EXP_", i, "_BULLET_"), (j + 1).cast("string")), b))
             return F.concat(rows, bullets)
-        blocks.append(F.flatten(F.transform(capped("experience", caps["experience"]), job)))
+        blocks.append(F.flatten(F.transform(capped(F.col("experience"), "experience"), job)))
     if "education" in have:
-        blocks.append(F.flatten(F.transform(capped("education", caps["education"]), lambda e, i: F.array(
+        blocks.append(F.flatten(F.transform(capped(F.col("education"), "education"), lambda e, i: F.array(
             *[row(numbered("EDU_", i, s), e[f]) for s, f in (("_DEGREE", "degree"), ("_INSTITUTION", "institution"),
                                                              ("_LOCATION", "location"), ("_YEAR", "year"))]))))
     if "projects" in have:
-        blocks.append(F.flatten(F.transform(capped("projects", caps["projects"]), lambda e, i: F.array(
+        blocks.append(F.flatten(F.transform(capped(F.col("projects"), "projects"), lambda e, i: F.array(
             row(numbered("PROJ_", i, "_NAME"), e["name"]), row(numbered("PROJ_", i, "_DESC"), e["description"]),
             row(numbered("PROJ_", i, "_TECH"), F.array_join(empty_if_null(e["technologies"]), ", "))))))
     if "certifications" in have:
         def cert(e: Column, i: Column) -> Column:
             full = F.concat(text(e["name"]), F.lit(" — "), text(e["issuer"]), F.lit(" "), text(e["year"]))
             return row(numbered("CERT_", i), F.regexp_replace(full, "^[ —]+|[ —]+$", ""))
-        blocks.append(F.transform(capped("certifications", caps["certs"]), cert))
+        blocks.append(F.transform(capped(F.col("certifications"), "certs"), cert))
     blocks = [F.coalesce(b, F.array().cast("array<struct<placeholder:string,value:string>>")) for b in blocks]
     return (resumes.select("resume_id", F.explode(F.concat(*blocks)).alias("p"))
             .select("resume_id", "p.placeholder", "p.value"))
 
 
 # --- B5 ---------------------------------------------------------------------------------------------------------------
-def skill_union(resumes: DataFrame) -> DataFrame:
-    """(resume_id, pos, skill): skills then tech stack, distinct in order, at most 30."""
-    union = F.slice(F.array_distinct(F.concat(empty_if_null(F.col("skills")), empty_if_null(F.col("tech_stack")))),
-                    1, R.SKILL_UNION_CAP)
+def skill_union(resumes: DataFrame, cap: int | None = None) -> DataFrame:
+    """(resume_id, pos, skill): skills then tech stack, distinct in order; with a cap at most that many."""
+    union = F.array_distinct(F.concat(empty_if_null(F.col("skills")), empty_if_null(F.col("tech_stack"))))
+    if cap is not None:
+        union = F.slice(union, 1, cap)
     return resumes.select("resume_id", F.posexplode(union).alias("pos", "skill"))
 
 

@@ -54,8 +54,9 @@ def analysis_table(context: DataFrame, scores: DataFrame, match: DataFrame, flag
 
 
 def outcome_table(before: DataFrame, after: DataFrame, match: DataFrame, added: DataFrame, injected: DataFrame,
-                  sections: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Final row per pair. added: (pair, skill), injected: (pair, keyword), gaps: (pair, ord, title)."""
+                  sections: DataFrame, gaps: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """Final row per pair. added: (pair, skill), injected: (pair, keyword), gaps: (pair, ord, title), suggestions of the rewrite:
+    (resume_id, ord, suggestion)."""
     def gathered(df: DataFrame, value: str, name: str, order: str | None = None) -> DataFrame:
         if order is None:
             return df.groupBy(*PAIR).agg(F.array_sort(F.collect_set(value)).alias(name))
@@ -68,17 +69,19 @@ def outcome_table(before: DataFrame, after: DataFrame, match: DataFrame, added:
                  gathered(injected, "keyword", "keywords_injected"),
                  sections.withColumnRenamed("sections", "sections_rewritten"), gathered(gaps, "title", "known_gaps", "ord")):
         out = out.join(part, PAIR, "left")
+    advice = suggestions.groupBy("resume_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("ord", "suggestion"))), lambda s: s["suggestion"]).alias("suggestions"))
+    out = out.join(advice, "resume_id", "left")
     none = F.array().cast("array<string>")
-    for c in ("skills_added", "keywords_injected", "sections_rewritten", "known_gaps"):
+    for c in ("skills_added", "keywords_injected", "sections_rewritten", "known_gaps", "suggestions"):
         out = out.withColumn(c, F.coalesce(c, none))
     return out
 
 
 def write_report(df: DataFrame, path: str, by: str | None = None, mode: str = "overwrite") -> None:
-    """Parquet sink. With a partition column the rows are first gathered by it, so that no task writes every folder;
-    the second, random key spreads a hot value over several tasks."""
+    """Parquet sink. With a partition column the rows are first gathered by it, so that no task writes every folder; adaptive
+    execution splits a value that is too large for one task."""
     if by is None:
         df.write.mode(mode).parquet(path)
     else:
-        df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c != by][:2]), F.lit(8))).repartition(
-            by, "_salt").drop("_salt").write.mode(mode).partitionBy(by).parquet(path)
+        df.hint("rebalance", F.col(by)).write.mode(mode).partitionBy(by).parquet(path)

@@ -136,20 +136,27 @@ def _total() -> Column:
     return F.bround(total, 1)
 
 
+def _filled(scores: DataFrame) -> DataFrame:
+    """A signal of which a resume has no row takes the value of a record without content."""
+    return scores.na.fill({"section_completeness": 0.0, "date_consistency": R.NEUTRAL_DATES,
+                           "format_parsability": R.UNREADABLE_FORMAT, "file_health": 0.0})
+
+
 def score_pairs(resumes: DataFrame, header: DataFrame, history: DataFrame, education: DataFrame, doc_facts: DataFrame,
                 section_facts: DataFrame, jobs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Six signals and total per pair.
 
-    The four per-resume signals are computed once per resume, not per pair, and meet the pairs on the same key.
+    The four per-resume signals are computed once per resume, not per pair, and meet the pairs on the same key. A resume that one of the
+    tables lacks keeps its pairs.
     """
     facts = doc_facts.withColumnRenamed("doc_id", "resume_id")
     per_resume = (
         section_completeness(header, history, education)
-        .join(date_consistency(header, history), "resume_id")
-        .join(format_parsability(doc_facts, section_facts).withColumnRenamed("doc_id", "resume_id"), "resume_id")
-        .join(text_health(facts, key="resume_id"), "resume_id")
+        .join(date_consistency(header, history), "resume_id", "full")
+        .join(format_parsability(doc_facts, section_facts).withColumnRenamed("doc_id", "resume_id"), "resume_id", "full")
+        .join(text_health(facts, key="resume_id"), "resume_id", "full")
     )
-    scores = K.keyword_scores(K.pair_keyword_hits(resumes, jobs, pairs, per_resume))
+    scores = _filled(K.keyword_scores(K.pair_keyword_hits(resumes, jobs, pairs, per_resume)))
     return scores.withColumn("total", _total()).select("resume_id", "job_id", *SIGNALS, "total")
 
 
@@ -161,14 +168,14 @@ def score_rewrites(rewrites: DataFrame, header: DataFrame, history: DataFrame, e
     """
     entries = history.filter(F.col("title").isNotNull() & F.col("company").isNotNull())
     texts = rewrites.select("resume_id", F.coalesce("summary", F.lit("")).alias("summary"), "skills")
-    contact = header.select("resume_id", "full_name", "email", "phone").join(texts, "resume_id")
+    contact = texts.join(header.select("resume_id", "full_name", "email", "phone"), "resume_id", "left")
     per_resume = (
         section_completeness(contact, entries, education)
         .join(date_consistency(contact, entries), "resume_id")
         .withColumn("format_parsability", F.lit(R.SIGNAL_MAX["format_parsability"]))
         .withColumn("file_health", F.lit(R.SIGNAL_MAX["file_health"]))
     )
-    scores = K.keyword_scores(K.pair_keyword_hits(rewrites, jobs, pairs, per_resume))
+    scores = _filled(K.keyword_scores(K.pair_keyword_hits(rewrites, jobs, pairs, per_resume)))
     return scores.withColumn("total", _total()).select("resume_id", "job_id", *SIGNALS, "total")
 
 

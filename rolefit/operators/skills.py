@@ -50,12 +50,13 @@ def skill_breakdown(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, relat
             .select(*PAIR, "i.skill", status.alias("status"), F.when(~F.col("i.told"), F.col("i.near")).alias("related_skill")))
 
 
-def skill_summary(items: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Skills per status and decisions to add and to skip, per pair. decisions: (resume_id, job_id, skill, add)."""
+def skill_summary(pairs: DataFrame, items: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Skills per status and decisions to add and to skip, for every pair. decisions: (resume_id, job_id, skill, add); an
+    add of null is no decision."""
     counts = items.groupBy(*PAIR).pivot("status", list(R.SKILL_STATUSES)).agg(F.count(F.lit(1)))
     chosen = decisions.groupBy(*PAIR).agg(F.count(F.when(F.col("add"), 1)).alias("n_add"),
                                           F.count(F.when(~F.col("add"), 1)).alias("n_skip"))
-    return counts.join(chosen, PAIR, "left").na.fill(0)
+    return pairs.select(*PAIR).join(counts, PAIR, "left").join(chosen, PAIR, "left").na.fill(0)
 
 
 def _merged(existing: Column, added: Column) -> Column:
@@ -66,13 +67,14 @@ def _merged(existing: Column, added: Column) -> Column:
     return F.concat(existing, new)
 
 
-def skill_merge(resumes: DataFrame, additions: DataFrame) -> DataFrame:
-    """(resume_id, job_id, skills, tech_stack) with a pair's additions; additions: (resume_id, job_id, ord, skill)."""
+def skill_merge(resumes: DataFrame, pairs: DataFrame, additions: DataFrame) -> DataFrame:
+    """(resume_id, job_id, skills, tech_stack) of every pair with its additions; additions: (resume_id, job_id, ord, skill)."""
     added = additions.groupBy(*PAIR).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "skill"))), lambda s: s["skill"]).alias("added"))
     lists = resumes.select("resume_id", empty_if_null(F.col("skills")).alias("skills"),
                            empty_if_null(F.col("tech_stack")).alias("tech_stack"))
-    return added.join(lists, "resume_id").select(
+    every = pairs.select(*PAIR).join(added, PAIR, "left").withColumn("added", empty_if_null(F.col("added")))
+    return every.join(lists, "resume_id").select(
         *PAIR, _merged(F.col("skills"), F.col("added")).alias("skills"),
         _merged(F.col("tech_stack"), F.col("added")).alias("tech_stack"))
 

@@ -70,7 +70,7 @@ query("b4_experience")(lambda v: B.profile_unnest(v.nested_resumes)["experience"
     "resume_id", "pos", "title", "company", "start_date", "end_date", F.concat_ws("|", "bullets").alias("bullets")))
 query("b4_placeholder_rows")(lambda v: B.placeholder_rows(v.nested_resumes))
 query("b5_skill_union")(lambda v: B.skill_union(v.resumes))
-query("b5_skill_frequency")(lambda v: B.skill_frequency(v.resumes).orderBy(F.desc("n_resumes"), "skill").limit(50))
+query("b5_skill_frequency")(lambda v: B.skill_frequency(v.resumes))
 query("b6_contact_restore")(lambda v: B.contact_restore(v.blanked_candidates, v.candidates).select(
     "resume_id", "full_name", "email", "phone", "location", F.concat_ws("|", "certifications").alias("certifications")))
 
@@ -130,13 +130,10 @@ def skill_items(v: Views) -> DataFrame:
     return SK.skill_breakdown(v.resumes, v.skill_jobs, v.pairs, v.related_skills)
 
 
-def written_items(v: Views) -> DataFrame:
-    """The skill items as a table, for the plans that read them more than once."""
-    return v.once("skill-items", lambda: skill_items(v))
-
-
 def pair_flags(v: Views) -> DataFrame:
-    return E.run_flags(E.pair_context(v.candidates, v.postings, v.pairs))
+    """All flags of the pairs, the domain included."""
+    context = E.pair_context(v.candidates, v.postings, v.pairs)
+    return E.run_flags(context, E.domain_similarity(E.domain_pairs(context)))
 
 
 def entries(v: Views) -> DataFrame:
@@ -145,25 +142,25 @@ def entries(v: Views) -> DataFrame:
 
 @query("e9_flag_gate")
 def _flag_gate(v: Views) -> DataFrame:
-    items = written_items(v)
+    items = skill_items(v)
     return E.flag_gate(v.pairs, pair_flags(v), items, v.confirmations, v.decisions_of(items))
 
 
 query("e9_known_gaps")(lambda v: E.known_gaps(pair_flags(v), v.confirmations))
 query("f1_skill_breakdown")(skill_items)
-query("f2_skill_summary")(lambda v: SK.skill_summary(written_items(v), v.decisions_of(written_items(v))))
+query("f2_skill_summary")(lambda v: SK.skill_summary(v.pairs, skill_items(v), v.decisions_of(skill_items(v))))
 
 
 def additions(v: Views) -> DataFrame:
     """Approved skills by name, then the keywords of the job that the rewritten resume contains."""
-    approved = v.decisions_of(written_items(v)).filter("add").select(
+    approved = v.decisions_of(skill_items(v)).filter("add").select(
         "resume_id", "job_id", F.struct(F.lit(0).alias("kind"), F.lit(0).alias("pos"), "skill").alias("ord"), "skill")
     present = K.keywords_present(v.rewritten_resumes, v.jobs, v.pairs).withColumnRenamed("keyword", "skill")
     return approved.unionByName(present.select(
         "resume_id", "job_id", F.struct(F.lit(1).alias("kind"), "pos", "skill").alias("ord"), "skill"))
 
 
-query("f3_skill_merge")(lambda v: SK.skill_merge(v.resumes, additions(v)).select(
+query("f3_skill_merge")(lambda v: SK.skill_merge(v.resumes, v.pairs, additions(v)).select(
     "resume_id", "job_id", F.array_join("skills", "|").alias("skills"), F.array_join("tech_stack", "|").alias("tech_stack")))
 query("f4_skill_route")(lambda v: SK.skill_route(SK.category_lines(entries(v)), v.new_skills))
 query("f4_routed_lines")(lambda v: SK.routed_lines(SK.skill_route(SK.category_lines(entries(v)), v.new_skills)))
@@ -254,21 +251,21 @@ query("j1_score_delta_means")(lambda v: J.score_delta_means(J.score_delta_report
 def _outcome(v: Views) -> DataFrame:
     out = J.outcome_table(
         scoring.scores_before(v), scoring.scores_after(v), M.match_uplift(match_before(v), match_after(v)),
-        v.decisions_of(written_items(v)).filter("add"),
+        v.decisions_of(skill_items(v)).filter("add"),
         K.keywords_injected(K.keywords_present(v.resumes, v.jobs, v.pairs), K.keywords_present(v.rewritten_resumes, v.jobs, v.pairs)),
         V.sections_changed(v.original_units, verified_units(v), v.confirmations),
-        E.known_gaps(pair_flags(v), v.confirmations))
-    lists = ("skills_added", "keywords_injected", "sections_rewritten", "known_gaps")
+        E.known_gaps(pair_flags(v), v.confirmations), v.suggestions)
+    lists = ("skills_added", "keywords_injected", "sections_rewritten", "known_gaps", "suggestions")
     return out.select(*[c for c in out.columns if c not in lists], *[F.array_join(c, "|").alias(c) for c in lists])
 
 
 @query("j3_analysis_table")
 def _analysis(v: Views) -> DataFrame:
     context = E.pair_context(v.candidates, v.postings, v.pairs)
-    out = J.analysis_table(context, scoring.scores_before(v), match_before(v), E.run_flags(context), skill_items(v),
+    out = J.analysis_table(context, scoring.scores_before(v), match_before(v), pair_flags(v), skill_items(v),
                            E.missing_certifications(context))
     return out.select(
-        "resume_id", "job_id", "match_score", "keyword_match", "total", "experience_candidate", "experience_required_min",
+        "resume_id", "job_id", "match_score", *S.SIGNALS, "total", "experience_candidate", "experience_required_min",
         "experience_required_max", "domain_candidate", "domain_job",
         F.array_join("required_certifications", "|").alias("required_certifications"),
         F.array_join("missing_certifications", "|").alias("missing_certifications"),

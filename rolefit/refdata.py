@@ -25,8 +25,8 @@ LINKEDIN_RE = r"(?iU)linkedin\.com/in/[\w\-]+"
 GITHUB_RE = r"(?iU)github\.com/[\w\-]+"
 YEARS_STATED_RE = r"(?iU)(\d+(?:\.\d+)?)\s*\+?\s*years?\s*(?:of\s+)?(?:experience|exp)"
 MONTH_YEAR_RE = (
-    r"(?iU)(?:January|February|March|April|May|June|July|August|September|October|November|December"
-    r"|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+(\d{4})"
+    r"(?iU)(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec|January|February|March|"
+    r"April|June|July|August|September|October|November|December)\s+(\d{4})"
 )
 JD_RANGE_RE = r"(?iU)(\d+)\s*[-–to]+\s*(\d+)\s*years?"
 JD_STATED_RE = r"(?iU)(\d+)\+?\s*years?\s*(?:of\s+)?(?:experience|exp)"
@@ -178,3 +178,4 @@ EVIDENCE_CAPS = {"entries": 5, "bullets": 2, "tech": 20, "skills": 30, "required
 UPLIFT_STEP, UPLIFT_CAP = 15.0, 98.0
 SESSION_TTL_SECONDS = 24 * 60 * 60
 SWEEP_SECONDS = 3_600
+EXPIRED_MARK_SECONDS = 90 * 24 * 60 * 60

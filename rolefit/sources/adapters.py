@@ -5,13 +5,12 @@ The operators never read these tables themselves; they take DataFrames of the sc
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefit.sources.corpus import materialise, read_table
+from rolefit.sources.corpus import read_table
 
 
 class Views:
@@ -19,16 +18,9 @@ class Views:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self._written: dict[str, DataFrame] = {}
-
-    def once(self, label: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """Write an intermediate result to the shared folder the first time a plan asks for it."""
-        if label not in self._written:
-            self._written[label] = materialise(build(), label)
-        return self._written[label]
 
     def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, f"{self.folder}/{name}.parquet", spread=name in ("documents", "pages"))
+        return read_table(self.spark, f"{self.folder}/{name}.parquet")
 
     @cached_property
     def documents(self) -> DataFrame:
@@ -38,15 +30,15 @@ class Views:
         return documents.selectExpr(
             "doc_id AS resume_id", "lang", "source", "text AS raw_text",
             r"split(text, '\n')[0] AS summary",
-            r"filter(slice(split(text, '\n'), 2, 100000), l -> trim(l) <> '') AS bullets",
-            "slice(array_sort(array_distinct(regexp_extract_all(lower(text), '[a-z]{7,}', 0))), 1, 15) AS skills",
-            "slice(array_sort(array_distinct(regexp_extract_all(lower(text), '[a-z]{10,}', 0))), 1, 8) AS tech_stack",
+            r"filter(split(text, '\n'), (l, i) -> i > 0 AND trim(l) <> '') AS bullets",
+            "array_sort(array_distinct(regexp_extract_all(lower(text), '[a-z]{7,}', 0))) AS skills",
+            "array_sort(array_distinct(regexp_extract_all(lower(text), '[a-z]{10,}', 0))) AS tech_stack",
         )
 
-    @property
+    @cached_property
     def resumes(self) -> DataFrame:
-        """The resume table. It stands for an input table, so it is written once and then read like one."""
-        return self.once("resumes", lambda: self.resumes_of(self.documents))
+        """The resume table: a projection of the documents, of which a plan reads the columns that it needs."""
+        return self.resumes_of(self.documents)
 
     @cached_property
     def jobs(self) -> DataFrame:
@@ -54,11 +46,11 @@ class Views:
         return self.table("benchmark").selectExpr(
             "item_id AS job_id", "text AS raw_text",
             f"""CASE WHEN item_id % 11 = 0 THEN {none} ELSE concat(
-                  slice(array_sort(array_distinct(regexp_extract_all(lower(text), '[a-z]{{6,}}', 0))), 1, 15),
+                  array_sort(array_distinct(regexp_extract_all(lower(text), '[a-z]{{6,}}', 0))),
                   CASE WHEN item_id % 5 = 0 THEN array('the theon', 'ci/cd') ELSE {none} END) END AS hard_keywords""",
             f"""CASE WHEN item_id % 11 = 0 THEN {none} ELSE
-                  slice(array_sort(array_distinct(filter(regexp_extract_all(lower(text), '[a-z]+', 0),
-                    w -> length(w) BETWEEN 4 AND 5))), 1, 10) END AS soft_keywords""",
+                  array_sort(array_distinct(filter(regexp_extract_all(lower(text), '[a-z]+', 0),
+                    w -> length(w) BETWEEN 4 AND 5))) END AS soft_keywords""",
         )
 
     @cached_property
@@ -147,11 +139,12 @@ class Views:
 
     @cached_property
     def education(self) -> DataFrame:
-        """Candidates with a balance of at least 3000 have an education entry, some of them without a year."""
-        return self.table("customer").filter("c_acctbal >= 3000").selectExpr(
+        """An education entry for every candidate; those with a balance under 3000 have no year, some others an empty one."""
+        return self.table("customer").selectExpr(
             "c_custkey AS resume_id", "1 AS pos", "'BSc' AS degree",
             "concat('School ', CAST(c_custkey % 20 AS STRING)) AS institution",
-            "CASE WHEN c_custkey % 8 = 0 THEN '' ELSE CAST(1990 + c_custkey % 30 AS STRING) END AS year",
+            """CASE WHEN c_acctbal < 3000 THEN NULL WHEN c_custkey % 8 = 0 THEN ''
+                 ELSE CAST(1990 + c_custkey % 30 AS STRING) END AS year""",
         )
 
     @cached_property
@@ -204,14 +197,14 @@ class Views:
 
     @cached_property
     def rewritten_resumes(self) -> DataFrame:
-        """Resumes put together again from the rewritten lines; skills and tech stack as before."""
-        texts = self.rewrites.groupBy("resume_id").agg(
-            F.max(F.when(F.col("bullet_idx") == 0, F.col("rewritten_text"))).alias("summary"),
-            F.filter(F.transform(
-                F.array_sort(F.collect_list(F.struct("bullet_idx", "rewritten_text"))),
-                lambda s: F.when(s["bullet_idx"] > 0, s["rewritten_text"])), lambda t: t.isNotNull()).alias("bullets"),
-        )
-        return self.resumes.select("resume_id", "skills", "tech_stack").join(texts, "resume_id")
+        """Resumes of the rewritten lines, made inside each row; skills and tech stack as before."""
+        marked = "concat(CASE WHEN i % 6 = 2 THEN '• ' WHEN i % 6 = 4 THEN 'Tools: ' ELSE '' END, l)"
+        rewritten = """CASE WHEN i % 3 = 0 THEN replace(m, 'the', 'each') WHEN i % 5 = 0 THEN concat(m, ' 42')
+            WHEN i % 11 = 0 THEN concat(m, ' and much more of it again') ELSE m END"""
+        lines = f"transform(transform(split(raw_text, '\\n'), (l, i) -> IF(trim(l) = '', NULL, {marked})), (m, i) -> {rewritten})"
+        return self.resumes.select("resume_id", "skills", "tech_stack", F.expr(lines).alias("lines")).filter(
+            "exists(lines, l -> l IS NOT NULL)").selectExpr(
+            "resume_id", "skills", "tech_stack", "lines[0] AS summary", "filter(lines, (l, i) -> i > 0 AND l IS NOT NULL) AS bullets")
 
     @cached_property
     def guard_flags(self) -> DataFrame:
@@ -269,7 +262,7 @@ class Views:
     def confirmations_of(self, pairs: DataFrame) -> DataFrame:
         return pairs.selectExpr(
             "resume_id", "job_id", "resume_id % 2 = 0 AS ack_experience", "resume_id % 3 = 0 AS ack_certification",
-            "job_id % 2 = 0 AS rewrite_summary", "job_id % 3 <> 0 AS rewrite_bullets",
+            "(resume_id + job_id) % 3 = 0 AS ack_domain", "job_id % 2 = 0 AS rewrite_summary", "job_id % 3 <> 0 AS rewrite_bullets",
             "job_id % 5 = 0 AS reorder_sections",
         )
 
@@ -284,24 +277,24 @@ class Views:
 
     @cached_property
     def related_skills(self) -> DataFrame:
-        """Skills with the same first five letters are related."""
+        """Skills that are one word without its ending are related."""
         own = self.resumes.select(F.explode(F.concat("skills", "tech_stack")).alias("skill"))
         wanted = self.jobs.select(F.explode(F.concat("hard_keywords", "soft_keywords")).alias("skill"))
-        return (own.union(wanted).select(F.lower("skill").alias("skill")).distinct().filter("length(skill) >= 5")
-                .selectExpr("skill", "left(skill, 5) AS skill_group"))
+        return own.union(wanted).select(F.lower("skill").alias("skill")).distinct().selectExpr(
+            "skill", "regexp_replace(skill, '(ation|tion|ment|ing|ed|er|al|ly|s)$', '') AS skill_group")
 
     @staticmethod
     def decisions_of(items: DataFrame) -> DataFrame:
-        """Reviewers decided on the open skills of at most seven letters."""
-        return items.filter("status IN ('can_add', 'partial') AND length(skill) <= 7").selectExpr(
-            "resume_id", "job_id", "skill", "job_id % 2 = 0 AS add")
+        """A row for every open skill; add is null where nobody decided yet, which is so for names of more than seven letters."""
+        return items.filter("status IN ('can_add', 'partial')").selectExpr(
+            "resume_id", "job_id", "skill", "CASE WHEN length(skill) <= 7 THEN job_id % 2 = 0 END AS add")
 
     @cached_property
     def confirmations(self) -> DataFrame:
         """Confirmations of the applications in pairs, with the acknowledged categories as a list."""
         return self.confirmations_of(self.pairs).selectExpr(
-            "*", """filter(array(IF(ack_experience, 'experience_gap', NULL), IF(ack_certification, 'certification_missing', NULL)),
-                 c -> c IS NOT NULL) AS acknowledged""")
+            "*", """filter(array(IF(ack_experience, 'experience_gap', NULL), IF(ack_certification, 'certification_missing', NULL),
+                 IF(ack_domain, 'domain_mismatch', NULL)), c -> c IS NOT NULL) AS acknowledged""")
 
     @cached_property
     def new_skills(self) -> DataFrame:
@@ -341,8 +334,14 @@ class Views:
 
     @cached_property
     def approved(self) -> DataFrame:
-        """In English resumes the reviewer approved the number that some rewrites add."""
-        return self.table("documents").filter("lang = 'en'").selectExpr("doc_id AS resume_id", "'42' AS skill")
+        """In English resumes the reviewer approved the number that some rewrites add, in others a skill that no rewrite has."""
+        return self.table("documents").selectExpr("doc_id AS resume_id", "IF(lang = 'en', '42', 'approved elsewhere') AS skill")
+
+    @cached_property
+    def suggestions(self) -> DataFrame:
+        """What a rewrite advises the candidate, in order: to back up every number that it added."""
+        return self.rewrites.filter("endswith(rewritten_text, ' 42') AND NOT endswith(original_text, ' 42')").selectExpr(
+            "resume_id", "bullet_idx AS ord", "concat('Back up the number in line ', CAST(bullet_idx AS STRING)) AS suggestion")
 
     @cached_property
     def stream_blocks(self) -> DataFrame:

@@ -10,17 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
-    """Parquet table.
-
-    With spread=True an input that has fewer splits than the cluster has cores (one small file, one row group)
-    is dealt out over the cores. Inputs of a realistic size have more splits than that and are left alone.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet table, in the splits that the session's split size and the row groups give."""
+    return spark.read.parquet(path)
 
 
 def decode_utf8(content: F.Column) -> F.Column:
@@ -32,7 +24,7 @@ def decode_utf8(content: F.Column) -> F.Column:
 def read_text_corpus(spark: SparkSession, path: str, fmt: str = "parquet", text_col: str = "text") -> DataFrame:
     """Text documents from a parquet table, or one document per file for fmt 'text' and 'binaryFile'."""
     if fmt == "parquet":
-        df = read_table(spark, path, spread=True)
+        df = read_table(spark, path)
         return df.withColumn(text_col, decode_utf8(F.col(text_col)))
     files = spark.read.format("binaryFile").load(path)
     return files.select(F.col("path"), decode_utf8(F.col("content")).alias(text_col))

@@ -68,13 +68,13 @@ def expired_at(events: DataFrame, now) -> DataFrame:
 EXPIRY_SCHEMA = StructType([StructField("session_id", LongType()), StructField("created", TimestampType())])
 
 
-def expiry_processor() -> StatefulProcessor:
-    """A processor that emits a session once the watermark has passed its creation by the life time.
+def expiry_processor(mark_seconds: int) -> StatefulProcessor:
+    """A processor that emits a session once the watermark has passed its creation by the life time, and never again.
 
-    Built inside a function so that it reaches the executors by value.
+    An expired session leaves a mark for mark_seconds of event time, so that what comes for it later does not start it anew. Built inside a function so that it reaches the executors by value.
     """
-    ttl_ms = R.SESSION_TTL_SECONDS * 1000
-    state_schema, row_schema = "created_ms long", EXPIRY_SCHEMA
+    ttl_ms, mark_ms = R.SESSION_TTL_SECONDS * 1000, mark_seconds * 1000
+    state_schema, row_schema = "created_ms long, expired boolean", EXPIRY_SCHEMA
 
     class Expiry(StatefulProcessor):
         def init(self, handle) -> None:
@@ -84,18 +84,22 @@ def expiry_processor() -> StatefulProcessor:
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             first = min(int(batch["ts"].min().timestamp() * 1000) for batch in rows)
             if self.created.exists():
-                known = int(self.created.get()[0])
-                if first >= known:
+                known, expired = self.created.get()
+                if expired or first >= known:
                     return
-                self.handle.deleteTimer(known + ttl_ms)
-            self.created.update((first,))
+                self.handle.deleteTimer(int(known) + ttl_ms)
+            self.created.update((first, False))
             self.handle.registerTimer(first + ttl_ms)
             yield from ()
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            created = int(self.created.get()[0])
-            self.created.clear()
-            yield pd.DataFrame({"session_id": [key[0]], "created": [pd.Timestamp(created, unit="ms")]})
+            created, expired = self.created.get()
+            if expired:
+                self.created.clear()
+                return
+            self.created.update((created, True))
+            self.handle.registerTimer(int(created) + ttl_ms + mark_ms)
+            yield pd.DataFrame({"session_id": [key[0]], "created": [pd.Timestamp(int(created), unit="ms")]})
 
         def close(self) -> None:
             pass
@@ -103,9 +107,9 @@ def expiry_processor() -> StatefulProcessor:
     return Expiry(), row_schema
 
 
-def stream_expiry(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
+def stream_expiry(events: DataFrame, lateness: str = "1 hour", mark_seconds: int = R.EXPIRED_MARK_SECONDS) -> DataFrame:
     """Streaming form of session_expiry; needs the RocksDB state store provider."""
-    processor, schema = expiry_processor()
+    processor, schema = expiry_processor(mark_seconds)
     timed = events.select("session_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", lateness)
     return timed.groupBy("session_id").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
