@@ -11,9 +11,9 @@ The result is exact. The plan:
    salted into stars whose centres form a star again. Pairs are tested by the bitmaps first (the bits in which two bitmaps differ are at most the
    shingles in which the sets differ, which bounds the overlap from above) and then by intersecting the sorted arrays, in tiles: a centre with
    some of its partners. Links give first components.
-4. What the stars leave: members of one shingle in different components. Shingles with such members are cut into tiles of members sorted by size; in
-   a tile only sizes within 3:4 are compared, all of them, by bitmap. Pairs that pass are intersected exactly and their links join
-   the components.
+4. What the stars leave: members of one shingle in different components. They have the centre of that shingle in common, so all members of a centre's
+   stars are cut into tiles and sorted by size; in a tile only sizes within 3:4 are compared, all of them, by bitmap. Pairs that pass are
+   intersected exactly and their links join the components.
 No pair inside a component is proposed in step 4, so a group of thousands of near copies does not grow into its square.
 """
 
@@ -123,54 +123,42 @@ def set_table(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def shared_prefixes(sets: DataFrame) -> DataFrame:
-    """(shingle, salt, id, centre, place) for every prefix shingle that several sets have, by star; place counts the members seen before, up to 2."""
+    """(shingle, centre, id, wide): the stars of prefix shingles that several sets have, centre being the smallest member.
+
+    Of a usual shingle the name is null, so that the stars of one centre fall together; wide marks members of a star of three or more. Of a
+    frequent one, which is dealt into SALTS stars, the name stays, and stars of one member are there too.
+    """
     rows = sets.select("id", F.explode("head").alias("shingle")).select("shingle", F.lit(-1).alias("salt"), "id").union(
         sets.select("id", F.explode("tail").alias("shingle")).select(
             "shingle", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"), "id"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, first, count = (None, None), 0, 0  # of the star that the last row belongs to
-        held = None  # its first row, until there is a second one
+        key, first, count, last = None, 0, 0, 0  # of the star that the last row belongs to: its first id, rows so far, last id
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
             s, salt, ids = (np.asarray(batch.column(i)) for i in range(3))
-            starts = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (salt[1:] != salt[:-1])])
-            ends = np.r_[starts[1:], len(s)]
-            going_on = (s[0], salt[0]) == key
-            if not going_on and held is not None and held[1] >= 0:
-                yield _stars([held[0]], [held[1]], [held[2]], [held[2]], [0])  # a salted star of one
-            centre = np.repeat(ids[starts], ends - starts)
-            place = np.arange(len(s)) - np.repeat(starts, ends - starts)
-            single = np.repeat(ends - starts == 1, ends - starts)
-            keep = ~single | (salt >= 0)
-            if going_on:
-                n = int(ends[0])
-                centre[:n], keep[:n] = first, True
-                place[:n] += count
-                if held is not None:
-                    yield _stars([held[0]], [held[1]], [held[2]], [held[2]], [0])
-                held = None
-            last = len(starts) - 1
-            if not (going_on and last == 0):
-                key, first, count = (s[-1], salt[-1]), ids[starts[-1]], 0
-                held = None
-                if ends[-1] - starts[-1] == 1:  # its star may go on in the next batch
-                    held = (s[-1], salt[-1], ids[-1])
-                    keep[-1] = False
-            count += int(ends[-1] - starts[-1])
-            if keep.any():
-                yield _stars(s[keep], salt[keep], ids[keep], centre[keep], np.minimum(place[keep], 2))
-        if held is not None and held[1] >= 0:
-            yield _stars([held[0]], [held[1]], [held[2]], [held[2]], [0])
-
-    return rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "id").mapInArrow(
-        step, "shingle long, salt int, id long, centre long, place int")
-
-
-def _stars(*columns) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["shingle", "salt", "id", "centre", "place"])
+            same = np.r_[(s[0], salt[0]) == key, (s[1:] == s[:-1]) & (salt[1:] == salt[:-1])]
+            at = np.arange(n)
+            begin = np.maximum.accumulate(np.where(same, -1, at))  # -1 where the star began in an earlier batch
+            centre = np.where(begin < 0, first, ids[begin])
+            place = np.where(begin < 0, count + at, at - begin)
+            before = np.r_[last, ids[:-1]]
+            key, first, count, last = (s[-1], salt[-1]), centre[-1], int(place[-1]) + 1, ids[-1]
+            usual, pairs, third = salt < 0, place >= 1, place == 2
+            chosen = usual & pairs
+            salted = ~usual
+            shingle = pa.concat_arrays([pa.nulls(int(chosen.sum() + (usual & third).sum()), pa.int64()), pa.array(s[salted], pa.int64())])
+            yield pa.RecordBatch.from_arrays(
+                [shingle, pa.array(np.r_[centre[chosen], centre[usual & third], centre[salted]], pa.int64()),
+                 pa.array(np.r_[ids[chosen], before[usual & third], ids[salted]], pa.int64()),
+                 pa.array(np.r_[place[chosen] >= 2, np.ones(int((usual & third).sum() + salted.sum()), bool)], pa.bool_())],
+                ["shingle", "centre", "id", "wide"])
+
+    stars = rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "id").mapInArrow(
+        step, "shingle long, centre long, id long, wide boolean")
+    return stars.groupBy("shingle", "centre", "id").agg(F.max("wide").alias("wide"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -221,24 +209,25 @@ def bounded(pairs: DataFrame, maps: DataFrame) -> DataFrame:
             .mapInArrow(step, "a long, b long").distinct())
 
 
-def crossing_pairs(members: DataFrame, maps: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of members (shingle, id, root) of one shingle in different components that sizes and bitmaps do not rule out."""
-    several = (members.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high")
-               .select("shingle", F.ceil(F.col("size") / MEMBERS).cast("int").alias("blocks")))
+def crossing_pairs(members: DataFrame, maps: DataFrame, nearest: bool = False) -> DataFrame:
+    """Pairs (a, b), a < b, of members (centre, id, root) of one centre in different components that sizes and bitmaps do not rule out;
+    with nearest=True only that of each member whose bitmap is nearest to its own."""
+    several = (members.groupBy("centre").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high")
+               .select("centre", F.ceil(F.col("size") / MEMBERS).cast("int").alias("blocks")))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     # a member of block i goes to the tiles (i, j) of all blocks j, as the smaller or the larger number
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
         F.least("block", j).alias("low"), F.greatest("block", j).alias("high")))
-    rows = (members.join(several, "shingle").withColumn("block", block).join(maps, "id")
-            .select("shingle", F.explode(tiles).alias("t"), "id", "root", "n", "block", "bitmap")
-            .select("shingle", "t.low", "t.high", "id", "root", "n", "block", "bitmap"))
+    rows = (members.join(several, "centre").withColumn("block", block).join(maps, "id")
+            .select("centre", F.explode(tiles).alias("t"), "id", "root", "n", "block", "bitmap")
+            .select("centre", "t.low", "t.high", "id", "root", "n", "block", "bitmap"))
 
     def compare(group: list[tuple]) -> list[tuple[int, int]]:
         _, low, high, *_ = group[0]
         group.sort(key=lambda r: r[5])
         ids, roots, sizes, blocks = (np.array([r[i] for r in group]) for i in (3, 4, 5, 6))
         widths = np.array([len(r[7]) // 8 for r in group])
-        found = []
+        found, least, best = [], np.full(len(ids), np.iinfo(np.int64).max), np.full(len(ids), -1)
         for width in np.unique(widths):
             near = np.flatnonzero((widths == width) | (widths == 2 * width))
             maps = np.stack([folded(np.frombuffer(group[i][7], np.uint64), width) for i in near])
@@ -248,13 +237,23 @@ def crossing_pairs(members: DataFrame, maps: DataFrame) -> DataFrame:
                     break
                 end = np.searchsorted(near_sizes, sizes[i] * 4 // 3, "right")
                 other = near[at + 1:end]
-                if len(other):
-                    apart = np.bitwise_count(maps[at + 1:end] ^ maps[at]).sum(axis=1)
-                    ok = (roots[other] != roots[i]) & (7 * apart.astype(np.int64) <= sizes[other] + sizes[i])
-                    if low != high:
-                        ok &= blocks[other] != blocks[i]  # pairs inside a block have their own tile
-                    found += [(min(ids[i], j), max(ids[i], j)) for j in ids[other[ok]]]
-        return found
+                if not len(other):
+                    continue
+                apart = np.bitwise_count(maps[at + 1:end] ^ maps[at]).sum(axis=1).astype(np.int64)
+                ok = (roots[other] != roots[i]) & (7 * apart <= sizes[other] + sizes[i])
+                if low != high:
+                    ok &= blocks[other] != blocks[i]  # pairs inside a block have their own tile
+                if not ok.any():
+                    continue
+                other, apart = other[ok], apart[ok]
+                if nearest:
+                    if apart.min() < least[i]:
+                        least[i], best[i] = apart.min(), other[apart.argmin()]
+                    closer = apart < least[other]
+                    least[other[closer]], best[other[closer]] = apart[closer], i
+                else:
+                    found += [(min(ids[i], j), max(ids[i], j)) for j in ids[other]]
+        return found + [(min(ids[i], ids[best[i]]), max(ids[i], ids[best[i]])) for i in np.flatnonzero(best >= 0)]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
@@ -273,7 +272,7 @@ def crossing_pairs(members: DataFrame, maps: DataFrame) -> DataFrame:
         if len(group) > 1:
             yield out()
 
-    return rows.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high").mapInArrow(step, "a long, b long").distinct()
+    return rows.repartition("centre", "low", "high").sortWithinPartitions("centre", "low", "high").mapInArrow(step, "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -305,28 +304,39 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     maps = written(represented(maps, "id").distinct())
 
     stars = written(represented(shared_prefixes(known), "id", "centre"))
-    centres = stars.where("salt >= 0 and place = 0").select("shingle", F.col("centre").alias("id"))
-    hubs = centres.groupBy("shingle").agg(F.min("id").alias("hub"))
-    proposed = stars.select("centre", "id").union(centres.join(hubs, "shingle").select("hub", "id"))
+    salted = stars.where("shingle is not null")
+    hubs = salted.groupBy("shingle").agg(F.min("centre").alias("hub"))
+    proposed = stars.select("centre", "id").union(salted.select("shingle", F.col("centre").alias("id")).join(hubs, "shingle").select("hub", "id"))
     proposed = proposed.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).where("a <> b").distinct()
     tested = checkpointed(bounded(proposed, maps))
     found = checkpointed(verified(tested, rows))
     roots = checkpointed(components(found.union(copies)))
 
-    # what is left: shingles with members in several components
-    wide = stars.where("place = 2 or salt >= 0").select("shingle").distinct()
-    members = (stars.join(wide, "shingle", "left_semi").select("shingle", "id").distinct()
-               .join(roots, "id", "left").select("shingle", "id", F.coalesce("root", "id").alias("root")))
-    rest = checkpointed(crossing_pairs(members, maps).join(tested, ["a", "b"], "left_anti"))
-    late = checkpointed(verified(rest, rows))
+    # what is left: two members of one shingle in different components. Both are in the stars of one centre (or hub), where they meet once
+    # for all the shingles that they share. First every member proposes its nearest one, which joins most of what links at all; then
+    # all pairs that are still apart are tested
+    beside = checkpointed(stars.where("wide and shingle is null").select("centre", "id")
+                          .union(salted.join(hubs, "shingle").select(F.col("hub").alias("centre"), "id")).distinct())
 
-    def rooted(df: DataFrame, *names: str) -> DataFrame:
-        for name in names:
-            own = roots.select(F.col("id").alias("_id"), F.col("root").alias("_root"))
-            df = df.join(own, df[name] == own["_id"], "left").withColumn(name, F.coalesce("_root", name)).drop("_id", "_root")
-        return df
+    def members() -> DataFrame:
+        return beside.join(roots, "id", "left").select("centre", "id", F.coalesce("root", "id").alias("root"))
+
+    for nearest in (True, False):
+        rest = checkpointed(crossing_pairs(members(), maps, nearest).join(tested, ["a", "b"], "left_anti"))
+        roots = checkpointed(merged(roots, checkpointed(verified(rest, rows))))
+        tested = tested.union(rest)
+
+    labelled = sets.select("id", "n").join(roots, "id", "left")
+    return labelled.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots (id, root) with the components joined that the links (a, b) connect."""
+    def rooted(df: DataFrame, name: str) -> DataFrame:
+        own = roots.select(F.col("id").alias("_id"), F.col("root").alias("_root"))
+        return df.join(own, df[name] == own["_id"], "left").withColumn(name, F.coalesce("_root", name)).drop("_id", "_root")
 
-    joined = components(rooted(late, "a", "b")).withColumnRenamed("id", "old").withColumnRenamed("root", "new")
-    labelled = sets.select("id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    labelled = labelled.join(joined, labelled.root == joined.old, "left")
-    return labelled.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("new", "root").alias("component_id"))
+    ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+    known = roots.unionByName(ends.join(roots, "id", "left_anti").select("id", F.col("id").alias("root")))
+    joined = components(rooted(rooted(links, "a"), "b")).select(F.col("id").alias("_old"), F.col("root").alias("_new"))
+    return known.join(joined, known.root == joined["_old"], "left").select("id", F.coalesce("_new", "root").alias("root"))
