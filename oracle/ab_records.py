@@ -38,6 +38,7 @@ SELECT doc_id, CASE WHEN content_type = 'image/png' THEN 'content_type' WHEN n_b
     "a1_intake_gate_template": "SELECT doc_id, content_type FROM doc_facts_v WHERE contains(content_type, 'wordprocessingml')",
     "a1_gate_report": "SELECT source, coalesce(reason, 'accepted') AS reason, count(*) AS n FROM gate_v GROUP BY ALL",
     "a2_text_source": "SELECT page_id, length(html) AS n_chars, md5(html) AS digest FROM pages",
+    "a2_text_bytes": "SELECT page_id, length(html) AS n_chars, md5(html) AS digest FROM pages",
     "a3_language_audit": """
 SELECT lang, CASE WHEN len(list_filter(['experience', 'education', 'skills', 'summary', 'work', 'project'],
     lambda m: contains(lower(text), m))) >= 2 THEN 'en' ELSE 'unknown' END AS guess, count(*) AS n FROM extract_v GROUP BY ALL""",
@@ -111,3 +112,10 @@ SELECT b.resume_id, coalesce(nullif(b.full_name, ''), c.full_name) AS full_name,
   coalesce(b.location, c.location) AS location, array_to_string(CASE WHEN len(b.certifications) = 0 THEN c.certifications ELSE b.certifications END, '|') AS certifications
 FROM blanked_v b JOIN candidate_v c USING (resume_id)""",
 }
+
+for _kind, (_a, _x, _b, _y, _both) in {"education": ("degree", "title", "institution", "company", True), "projects": ("name", "company", "description", "title", True),
+                                       "certifications": ("name", "title", "issuer", "company", False)}.items():
+    QUERIES[f"b2_{_kind}"] = f"SELECT resume_id, pos, {_x} AS {_a}" + f", {_y} AS {_b}" * _both + " FROM history_v WHERE pos % 6 NOT IN (0, 1)"
+    QUERIES[f"b2_{_kind}_quarantine"] = f"""
+SELECT resume_id, pos, CASE pos % 6 WHEN 0 THEN '{{"{_b}":"' || {_y} || '"}}' ELSE '{{bad' END AS raw_json,
+  CASE pos % 6 WHEN 0 THEN 'missing_{_a}' ELSE 'not_json' END AS reason FROM history_v WHERE pos % 6 IN (0, 1)"""

@@ -116,6 +116,11 @@ QUERIES = {
 SELECT DISTINCT n.resume_id, n.kind, n.value FROM newfact_v n
 WHERE n.value <> '' AND NOT EXISTS (SELECT 1 FROM fact_v f WHERE f.resume_id = n.resume_id AND f.kind = n.kind AND lower(f.value) = lower(n.value))
   AND NOT (n.value = '42' AND n.resume_id IN (SELECT doc_id FROM documents WHERE lang = 'en'))""",
+    "h4_novel_items": """
+SELECT resume_id, 'technology' AS kind, 'Kafka' AS value FROM candidate_v WHERE resume_id % 3 = 0
+UNION ALL SELECT resume_id, 'certification', 'CISSP' FROM candidate_v WHERE resume_id % 5 = 0
+UNION ALL SELECT resume_id, 'degree', 'MSc' FROM candidate_v WHERE resume_id % 7 = 0
+UNION ALL SELECT resume_id, 'institution', upper(institution || ' East') FROM education_v WHERE resume_id % 22 = 0""",
     "h5_revert_scope": "SELECT * FROM scopedflag_v",
     "h5_revert_apply": "SELECT * FROM verified_v",
     "h6_sections_changed": "SELECT * FROM section_v",

@@ -41,6 +41,8 @@ LEFT JOIN (SELECT resume_id, job_id, string_agg(flag_type || ':' || title, '|' O
 LEFT JOIN (SELECT resume_id, job_id, string_agg(skill || ':' || status, '|' ORDER BY skill) AS v FROM item_v GROUP BY ALL) k USING (resume_id, job_id)""",
     "k1_stream_score": "SELECT * FROM score_v",
     "k2_session_status": """
+SELECT session_id, last(status ORDER BY ts, event_id) AS status, last(ts ORDER BY ts, event_id) AS ts FROM submission_v GROUP BY 1""",
+    "k2_stream_status": """
 SELECT session_id, last(status ORDER BY ts, event_id) AS status, last(ts ORDER BY ts, event_id) AS ts FROM submission_v GROUP BY 1""",
     "k2_bad_transitions": """
 SELECT event_id, session_id, ts, state_before FROM (

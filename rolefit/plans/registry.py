@@ -19,7 +19,7 @@ from rolefit.operators import skills as SK
 from rolefit.operators import verify as V
 from rolefit.plans import scoring
 from rolefit.sources.adapters import Views
-from rolefit.sources.corpus import read_text_corpus, work_folder
+from rolefit.sources.corpus import decode_utf8, read_text_corpus, work_folder
 from rolefit.streaming import sessions as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,8 @@ query("a1_intake_gate_template")(lambda v: A.intake_gate(v.doc_facts, "template"
 query("a1_gate_report")(lambda v: A.gate_report(v.doc_facts))
 query("a2_text_source")(lambda v: read_text_corpus(v.spark, f"{v.folder}/pages.parquet", text_col="html").select(
     "page_id", F.length("html").alias("n_chars"), F.md5("html").alias("digest")))
+query("a2_text_bytes")(lambda v: v.byte_texts.select("page_id", decode_utf8(F.col("content")).alias("text")).select(
+    "page_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest")))
 query("a3_language_audit")(lambda v: A.language_audit(v.extract))
 query("a4_contact_extract")(lambda v: A.contact_extract(v.extract))
 query("a4_contact_coverage")(lambda v: A.contact_coverage(A.contact_extract(v.extract)))
@@ -60,6 +62,10 @@ def _profile_assemble(v: Views) -> DataFrame:
 
 query("b2_entries")(lambda v: B.entry_quarantine(v.raw_entries)[0].select("resume_id", "pos", "title", "company"))
 query("b2_quarantine")(lambda v: B.entry_quarantine(v.raw_entries)[1])
+for kind in ("education", "projects", "certifications"):
+    query(f"b2_{kind}")(lambda v, kind=kind: B.entry_quarantine(v.raw_entries_of(kind), kind)[0].select(
+        "resume_id", "pos", *B.REQUIRED_FIELDS[kind]))
+    query(f"b2_{kind}_quarantine")(lambda v, kind=kind: B.entry_quarantine(v.raw_entries_of(kind), kind)[1])
 query("b3_seniority")(lambda v: B.label_normalise(v.postings, "seniority_raw", "seniority", "level").select(
     "job_id", "seniority_raw", "level"))
 query("b3_status")(lambda v: B.label_normalise(v.table("part"), "p_type", "status", "status").select("p_partkey", "status"))
@@ -197,6 +203,13 @@ def scoped_flags(v: Views) -> DataFrame:
     return V.revert_scope(v.original_units, v.rewritten_units, v.guard_flags, v.verdicts, v.approved)
 
 
+def item_facts(records: DataFrame) -> DataFrame:
+    """Technologies, certifications, degrees and institutions of records that list them."""
+    kinds = {"skills": "technology", "certifications": "certification", "degrees": "degree", "institutions": "institution"}
+    facts = [V.list_facts(records, column, kind) for column, kind in kinds.items()]
+    return facts[0].unionByName(facts[1]).unionByName(facts[2]).unionByName(facts[3])
+
+
 def verified_units(v: Views) -> DataFrame:
     return V.revert_apply(v.original_units, v.rewritten_units, scoped_flags(v))
 
@@ -209,6 +222,8 @@ query("h3_length_violations")(lambda v: V.length_violations(V.length_check(v.uni
 query("h4_novelty_flags")(lambda v: V.novelty_flags(
     V.number_facts(v.original_units).unionByName(V.history_facts(v.history)),
     V.number_facts(v.rewritten_units).unionByName(V.history_facts(v.rewritten_history)), v.approved))
+query("h4_novel_items")(lambda v: V.novelty_flags(
+    item_facts(v.candidate_items), item_facts(v.rewritten_items), v.approved))
 query("h5_revert_scope")(scoped_flags)
 query("h5_revert_apply")(verified_units)
 query("h6_sections_changed")(lambda v: V.sections_changed(v.original_units, verified_units(v), v.confirmations).select(
@@ -291,6 +306,7 @@ def _stream_score(v: Views) -> DataFrame:
 
 
 query("k2_session_status")(lambda v: ST.session_status(v.submissions))
+query("k2_stream_status")(lambda v: ST.run_status(event_stream(v)))
 query("k2_bad_transitions")(lambda v: ST.bad_transitions(v.submissions))
 query("k3_session_expiry")(lambda v: ST.session_expiry(v.submissions))
 

@@ -259,6 +259,35 @@ class Views:
                  ELSE concat('{"title":"', title, '","company":"', company, '"}') END AS raw_json""",
         )
 
+    def raw_entries_of(self, kind: str) -> DataFrame:
+        """Entries of the other sections as a model writes them; some lack a field that they must have, some are no JSON."""
+        fields = {"education": ("degree", "title", "institution", "company"), "projects": ("name", "company", "description", "title"),
+                  "certifications": ("name", "title", "issuer", "company")}[kind]
+        return self.history.selectExpr(
+            "resume_id", "pos",
+            f"""CASE pos % 6 WHEN 0 THEN concat('{{"{fields[2]}":"', {fields[3]}, '"}}') WHEN 1 THEN '{{bad'
+                 ELSE concat('{{"{fields[0]}":"', {fields[1]}, '","{fields[2]}":"', {fields[3]}, '"}}') END AS raw_json""",
+        )
+
+    @cached_property
+    def byte_texts(self) -> DataFrame:
+        """Pages as the bytes of files, every third with a byte in front that is no UTF-8."""
+        return self.table("pages").selectExpr("page_id", "concat(IF(page_id % 3 = 0, X'FF', X''), CAST(html AS BINARY)) AS content")
+
+    @cached_property
+    def candidate_items(self) -> DataFrame:
+        schools = self.education.groupBy("resume_id").agg(F.collect_set("degree").alias("degrees"), F.collect_set("institution").alias("institutions"))
+        return self.candidates.select("resume_id", "skills", "certifications").join(schools, "resume_id", "left")
+
+    @cached_property
+    def rewritten_items(self) -> DataFrame:
+        """The same items after a rewrite that named a new technology, certificate, degree or school here and there."""
+        return self.candidate_items.selectExpr(
+            "resume_id", "IF(resume_id % 3 = 0, array_append(skills, 'Kafka'), skills) AS skills",
+            "IF(resume_id % 5 = 0, array_append(certifications, 'CISSP'), certifications) AS certifications",
+            "IF(resume_id % 7 = 0, array_append(degrees, 'MSc'), degrees) AS degrees",
+            "IF(resume_id % 11 = 0, transform(institutions, s -> upper(concat(s, IF(resume_id % 2 = 0, ' East', '')))), institutions) AS institutions")
+
     def confirmations_of(self, pairs: DataFrame) -> DataFrame:
         return pairs.selectExpr(
             "resume_id", "job_id", "resume_id % 2 = 0 AS ack_experience", "resume_id % 3 = 0 AS ack_certification",

@@ -24,6 +24,21 @@ def session_status(events: DataFrame) -> DataFrame:
         "session_id", F.col("s.status").alias("status"), F.col("s.ts").alias("ts"))
 
 
+def run_status(stream: DataFrame) -> DataFrame:
+    """Streaming form of session_status to its end. Each micro-batch in update mode is a folder of the sessions it changed, which a replay overwrites; of
+    a session the row of the last batch counts."""
+    out = work_folder(stream.sparkSession, "stream-status")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    query = (session_status(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}-checkpoint")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    changed = stream.sparkSession.read.parquet(out)
+    return changed.groupBy("session_id").agg(F.max_by(F.struct("status", "ts"), "batch").alias("s")).select("session_id", "s.status", "s.ts")
+
+
 def bad_transitions(events: DataFrame) -> DataFrame:
     """Events that optimise a session whose state then is neither analysed nor optimised.
 

@@ -2,26 +2,26 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from rolefit.plans.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-PYTHON_ALLOWED = ("e2_", "e3_", "e8_flags_with_domain", "i3_entry_align", "k3_stream_expiry")
+PYTHON_ALLOWED = ("e2_", "e3_", "e8_flags_with_domain", "e9_", "i3_entry_align", "j2_", "j3_", "k3_stream_expiry")
 
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if not n.startswith(("k1_", "k3_stream", "k4_stream", "j2", "e9"))])
+@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(("k1_", "k2_stream", "k3_stream", "k4_stream"))])
 def test_no_cross_join_and_no_python(spark, name):
-    text = plan(entry.queries()[name](spark, FOLDER))
+    text = plan(QUERIES[name](spark, FOLDER))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     if not name.startswith(PYTHON_ALLOWED):
         assert "Python" not in text and "MapInPandas" not in text
 
 
 def test_scan_is_pruned_and_filtered(spark):
-    text = plan(entry.queries()["e1_flag_experience"](spark, FOLDER))
+    text = plan(QUERIES["e1_flag_experience"](spark, FOLDER))
     assert "c_acctbal" not in text and "l_extendedprice" not in text
 
 
@@ -31,3 +31,29 @@ def test_write_report_partitions(spark, tmp_path):
     write_report(df, str(tmp_path / "out"), by="job_id")
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 100 and sorted(r.job_id for r in back.select("job_id").distinct().collect()) == [0, 1, 2]
+
+
+def text_below_job_exchange(spark, name) -> list[str]:
+    """Exchanges on the job key alone, in a plan without broadcasts, below which a resume text lies."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan(QUERIES[name](spark, FOLDER)).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    found = []
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning(job_id" in line and "resume_id" not in line.split("),")[0]:
+            depth = line.index("Exchange")
+            for below in lines[i + 1:]:
+                if len(below) - len(below.lstrip(" :+-*(0123456789)")) <= depth:
+                    break
+                if "text_all" in below:
+                    found.append(line)
+                    break
+    return found
+
+
+@pytest.mark.parametrize("name", ["c3_keyword_hits", "c7_keywords_present", "d5_score_total", "d6_score_after"])
+def test_texts_are_not_shuffled_by_job(spark, name):
+    assert text_below_job_exchange(spark, name) == []

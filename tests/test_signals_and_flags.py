@@ -101,3 +101,30 @@ def test_contacts(spark):
         "doc_id = 1").first()
     assert (row.full_name, row.email, row.github, row.linkedin, row.phone) == (
         "Zoë K", "a.b@c.io", "https://GitHub.com/zoë-k", "https://linkedin.com/in/zoë", "+1 (555) 010-0123")
+
+
+def test_digits_of_all_scripts(spark):
+    texts = ["٣ years experience", "Jan ٢٠١٥ to Mar ٢٠٢١", "１２ years of experience", "5.5 years exp", "none", None, "May 2019", "०३ years experience",
+             "9" * 400 + " years experience"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.total_years for r in A.experience_estimate(docs).collect()}
+    assert got == {0: 3.0, 1: 6.0, 2: 12.0, 3: 5.5, 4: None, 5: None, 6: None, 7: 3.0, 8: float("inf")}
+    jobs = spark.createDataFrame([(0, "٣-٥ years"), (1, "at least ７ years"), (2, "٤+ years of experience"), (3, "x")], "job_id long, raw_text string")
+    need = {r.job_id: (r.min_years, r.max_years) for r in A.requirement_extract(jobs).collect()}
+    assert need == {0: (3.0, 5.0), 1: (7.0, 10.0), 2: (4.0, 7.0), 3: (None, None)}
+
+
+def test_scores_keep_resumes_without_records(spark):
+    resumes = spark.createDataFrame([(1, "text", ["a"], [], ["b"]), (2, "text", [], [], [])],
+                                    "resume_id long, summary string, skills array<string>, tech_stack array<string>, bullets array<string>")
+    jobs = spark.createDataFrame([(1, ["zzz"], [])], "job_id long, hard_keywords array<string>, soft_keywords array<string>")
+    pairs = spark.createDataFrame([(1, 1), (2, 1)], "resume_id long, job_id long")
+    header = spark.createDataFrame([(1, "N", "e", "p", "s", ["a"])], "resume_id long, full_name string, email string, phone string, summary string, skills array<string>")
+    history = spark.createDataFrame([], "resume_id long, pos int, title string, company string, start_date string, end_date string")
+    education = spark.createDataFrame([], "resume_id long, year string")
+    facts = spark.createDataFrame([], "doc_id long, text string, content_type string, n_bytes long, n_tables long, has_textbox boolean, readable boolean")
+    sections = spark.createDataFrame([], "doc_id long, header_text string, n_cols int")
+    got = {r.resume_id: r for r in S.score_pairs(resumes, header, history, education, facts, sections, jobs, pairs).collect()}
+    assert set(got) == {1, 2}
+    assert (got[1].section_completeness, got[2].section_completeness) == (6.0, 0.0)
+    assert (got[2].date_consistency, got[2].format_parsability, got[2].file_health) == (5.0, 12.0, 0.0)

@@ -1,4 +1,5 @@
 import __spark_entry__ as entry
+from rolefit.streaming import sessions as ST
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -10,3 +11,29 @@ def rows(df):
 def test_stream_scores_equal_batch_scores(spark):
     queries = entry.queries()
     assert rows(queries["k1_stream_score"](spark, FOLDER)) == rows(queries["d5_score_total"](spark, FOLDER))
+
+
+def one_batch_per_day(spark, tmp_path, days):
+    """Events of session 1 on the given days and of session 2 every day, one file a day."""
+    folder = tmp_path / "events"
+    for day in range(max(days) + 4):
+        rows = [(day * 10, day, 2, "uploaded")] + ([(day * 10 + 1, day, 1, "analyzed")] if day in days else [])
+        df = spark.createDataFrame(rows, "event_id long, day int, session_id long, status string").selectExpr(
+            "event_id", "session_id", "status", "timestamp'2024-01-01 00:00:00' + make_dt_interval(day) AS ts")
+        df.coalesce(1).write.mode("append").parquet(str(folder))
+    schema = spark.read.parquet(str(folder)).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    return stream, spark.read.parquet(str(folder))
+
+
+def test_an_expired_session_does_not_start_anew(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream, events = one_batch_per_day(spark, tmp_path, (0, 7))
+    got = ST.run_to_end(ST.stream_expiry(stream), "expiry-test").collect()
+    want = {r.session_id: r.created for r in ST.session_expiry(events).collect()}
+    assert sorted((r.session_id, r.created) for r in got) == sorted(want.items())
+
+
+def test_status_over_several_batches(spark, tmp_path):
+    stream, events = one_batch_per_day(spark, tmp_path, (0, 2, 3))
+    assert rows(ST.run_status(stream)) == rows(ST.session_status(events))
