@@ -75,7 +75,8 @@ class PerfectHash:
                 self.slots[free_from] = members[0][1]
 
     def _place(self, h: int, d: int) -> int:
-        return ((((h ^ (h >> 31)) + d * _ODD) * 0xD6E8FEB86659FD93 & _MASK) >> 20) % self.n
+        x = (h ^ (d * _ODD & _MASK)) * 0xD6E8FEB86659FD93 & _MASK  # the displacement scrambles, so that no two keys keep their distance
+        return ((x ^ (x >> 32)) * 0xA0761D6478BD642F & _MASK) % self.n
 
     def find(self, key: bytes) -> int:
         """The slot of the key, or -1 if it is none of the keys."""
