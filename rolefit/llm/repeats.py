@@ -297,7 +297,7 @@ def shared_suffixes(pieces: DataFrame) -> DataFrame:
         if block or group:
             yield out(block + group)
 
-    return pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(step, "doc long, start int, count int")
+    return pieces.select("gram", "doc", "start", "text").repartition("gram").sortWithinPartitions("gram").mapInArrow(step, "doc long, start int, count int")
 
 
 def large_groups(pieces: DataFrame) -> DataFrame:
@@ -308,10 +308,38 @@ def large_groups(pieces: DataFrame) -> DataFrame:
     return single.join(first, "string").where(F.struct("doc", "start") != F.col("first")).select("doc", "start", F.lit(1).alias("count"))
 
 
+def joined_runs(spans: DataFrame) -> DataFrame:
+    """(doc, runs): the spans (doc, start, count) of each document, those whose strings touch or overlap as one."""
+    listed = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = batch.column(1)
+            sizes = runs.value_lengths().to_numpy()
+            flat = runs.flatten()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            start, count = (flat.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+            row, start, count = _joined_up(row, start, count + LENGTH - 1)
+            ends = np.searchsorted(row, np.arange(len(sizes) + 1)).astype(np.int32)
+            merged = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(count - LENGTH + 1, pa.int32())], ["start", "count"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), merged)], ["doc", "runs"])
+
+    return listed.mapInArrow(step, "doc long, runs array<struct<start:int,count:int>>")
+
+
 def _small(rows: DataFrame) -> bool:
     return rows.count() <= BROADCAST_ROWS
 
 
+def _pieces(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(gram, doc, start, count, text) of the chosen stretches."""
+    small = _small(chosen)
+    lists = checkpointed(chosen.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("gram", "start", "count")).alias("parts")))
+    at_hand = rows.select("doc", "text").join(F.broadcast(lists) if small else lists, F.col("doc") == F.col("_doc"))
+    return at_hand.select("doc", F.col("text").cast("binary").alias("text"), F.inline("parts")).select(
+        "gram", "doc", "start", "count", F.substring("text", F.col("start") + 1, F.col("count") + (LENGTH - 1)).alias("text"))
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept (the remaining bytes) and spans (array of start and end) for every row.
 
@@ -327,20 +355,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         rows = ordered
     met = written(met_by_anchor(entries(rows, frequent_anchors(rows))))
     open_ = met.where("not settled").select("gram", "doc", "start", "count")
-    sizes = open_.groupBy("gram").count()
-    lists = checkpointed(open_.groupBy("doc").agg(F.collect_list(F.struct("gram", "start", "count")).alias("parts")))
-    fewer = lists.withColumnRenamed("doc", "_doc")
-    at_hand = rows.select("doc", "text").join(F.broadcast(fewer) if _small(open_) else fewer, F.col("doc") == F.col("_doc"))
-    pieces = at_hand.select("doc", F.col("text").cast("binary").alias("text"), F.inline("parts")).select(
-        "gram", "doc", "start", "count", F.substring("text", F.col("start") + 1, F.col("count") + (LENGTH - 1)).alias("text"))
-    large = checkpointed(sizes.where(F.col("count") > GROUP).select("gram"))
+    large = checkpointed(open_.groupBy("gram").count().where(F.col("count") > GROUP).select("gram"))
     if large.isEmpty():
-        spans = shared_suffixes(pieces.select("gram", "doc", "start", "text"))
+        spans = shared_suffixes(_pieces(rows, open_))
     else:
-        usual = pieces.join(large, "gram", "left_anti").select("gram", "doc", "start", "text")
-        spans = shared_suffixes(usual).union(large_groups(pieces.join(large, "gram", "left_semi")))
+        spans = shared_suffixes(_pieces(rows, open_.join(large, "gram", "left_anti"))).union(
+            large_groups(_pieces(rows, open_.join(large, "gram", "left_semi"))))
     every = met.where("settled").select("doc", "start", "count").union(spans)
-    per_doc = checkpointed(every.groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("runs")))
+    per_doc = checkpointed(joined_runs(every))
     runs = per_doc.withColumnRenamed("doc", "_doc")
     small = per_doc.select(F.sum(F.size("runs"))).first()[0] or 0
     joined = rows.join(F.broadcast(runs) if small <= BROADCAST_ROWS else runs, F.col("doc") == F.col("_doc"), "left")
