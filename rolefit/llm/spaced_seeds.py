@@ -50,25 +50,32 @@ def seed_rows(df: DataFrame, keep: list[str], words: str, at: str) -> DataFrame:
     return placed.select(*keep, words, at, F.inline(seeds(words, at)))
 
 
-def starts_run(words: str, i: str, item_words: str, j: str) -> Column:
+def surroundings(words: str, at: str) -> tuple[Column, Column]:
+    """The tokens from REACH before a hit to REACH behind it, and how many of them stand before it: all that a hit carries on of its text."""
+    back = F.least(F.col(at), F.lit(REACH))
+    return F.slice(words, F.col(at) - back + 1, back + SPAN + REACH), back
+
+
+def starts_run() -> Column:
     """Whether the places just before are no hit of the same mask on the same diagonal."""
     def equal(mask: tuple[int, ...]) -> Column:
         same = F.lit(True)
         for place in mask:
-            same = same & (F.get(words, F.col(i) + (place - 1)) == F.get(item_words, F.col(j) + (place - 1)))
+            same = same & (F.get("_near", F.col("_back") + (place - 1)) == F.get("_item_near", F.col("_item_back") + (place - 1)))
         return same
 
     before = F.lit(False)
     for k, mask in enumerate(MASKS):
         before = F.when(F.col("mask") == k, equal(mask)).otherwise(before)
-    return (F.col(i) == 0) | (F.col(j) == 0) | ~before
+    return (F.col("_back") == 0) | (F.col("_item_back") == 0) | ~before
 
 
-def equal_around(words: str, i: str, item_words: str, j: str) -> Column:
+def equal_around() -> Column:
     """Equal tokens on the diagonal from REACH before the hit to REACH behind it, inside both texts."""
-    back = F.least(F.col(i), F.col(j), F.lit(REACH))
-    ahead = F.least(F.size(words) - F.col(i), F.size(item_words) - F.col(j), F.lit(SPAN + REACH))
-    pairs = F.zip_with(F.slice(words, F.col(i) - back + 1, back + ahead), F.slice(item_words, F.col(j) - back + 1, back + ahead), lambda a, b: a == b)
+    back = F.least("_back", "_item_back")
+    ahead = F.least(F.size("_near") - F.col("_back"), F.size("_item_near") - F.col("_item_back"))
+    pairs = F.zip_with(F.slice("_near", F.col("_back") - back + 1, back + ahead), F.slice("_item_near", F.col("_item_back") - back + 1, back + ahead),
+                       lambda a, b: a == b)
     return F.size(F.filter(pairs, lambda same: same))
 
 
@@ -83,12 +90,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
     item_seeds = seed_rows(item_rows, ["_item"], "_item_words", "_j").select("mask", "seed", "_item", "_j").distinct()
     doc_rows = docs.select(F.col(doc_key).alias("_doc"), tokens(F.col(text)).alias("_words"))
     doc_seeds = seed_rows(doc_rows, ["_doc"], "_words", "_i")
+    near, back = surroundings("_words", "_i")
+    item_near, item_back = surroundings("_item_words", "_j")
+    own = ["_doc", "_item", "mask", "_j", near.alias("_near"), back.alias("_back")]
     if item_seeds.count() <= broadcast_seeds:
-        hits = doc_seeds.join(F.broadcast(item_seeds), ["mask", "seed"]).join(F.broadcast(item_rows), "_item")
+        hits = doc_seeds.join(F.broadcast(item_seeds), ["mask", "seed"]).select(*own).join(F.broadcast(item_rows), "_item")
     else:
-        hits = (doc_seeds.drop("_words").join(item_seeds, ["mask", "seed"]).join(item_rows, "_item").join(doc_rows, "_doc"))
-    found = (hits.where(starts_run("_words", "_i", "_item_words", "_j"))
-             .select("_doc", "_item", equal_around("_words", "_i", "_item_words", "_j").alias("n_equal"), F.size("_item_words").alias("item_tokens"))
+        hits = (doc_seeds.drop("_words").join(item_seeds, ["mask", "seed"]).drop("seed").join(doc_rows, "_doc").select(*own)
+                .join(item_rows, "_item"))
+    hits = hits.select("_doc", "_item", "mask", "_near", "_back", item_near.alias("_item_near"), item_back.alias("_item_back"),
+                       F.size("_item_words").alias("item_tokens"))
+    found = (hits.where(starts_run()).select("_doc", "_item", "item_tokens", equal_around().alias("n_equal"))
              .where(F.col("n_equal") >= F.least(F.lit(EQUAL), F.ceil(F.lit(SHARE) * F.col("item_tokens")))))
     return found.groupBy("_doc", "_item").agg(F.max("n_equal").cast("long").alias("n_equal"), F.max("item_tokens").cast("long").alias("item_tokens")).select(
         F.col("_doc").alias(doc_key), F.col("_item").alias(item_key), "n_equal", "item_tokens")
