@@ -219,9 +219,11 @@ def suffix_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     text = np.repeat(np.arange(len(texts)), starts)
     offset = np.arange(len(text)) - np.repeat(np.cumsum(starts) - starts, starts)
     rows = np.lib.stride_tricks.sliding_window_view(flat, width)[text * 2 * width + offset]
-    order = np.argsort(rows.view(f"S{width}").ravel(), kind="stable")
-    rows, text, offset = rows[order], text[order], offset[order]
+    # the end of a text counts as less than a zero byte: where only zero bytes follow, the shorter suffix comes first
     left = sizes[text] - offset
+    order = np.argsort(left, kind="stable")
+    order = order[np.argsort(rows[order].view(f"S{width}").ravel(), kind="stable")]
+    rows, text, offset, left = rows[order], text[order], offset[order], left[order]
     shared = np.zeros(len(order), np.int64)
     if len(order) > 1:
         differ = rows[1:] != rows[:-1]
