@@ -42,7 +42,7 @@ HEADER_WORDS = frozenset("header topbar top".split())
 _WORD = re.compile(r"[a-z0-9]+")
 _CLOSES_P = BLOCKS - frozenset(("title", "head", "option", "select"))
 
-SIGMA, RADIUS, SHARE, ARTICLE_WEIGHT = 1.0, 3, 0.8, 20.0
+SIGMA, RADIUS, SHARE, ARTICLE_WEIGHT = 1.0, 3, 0.8, 1000.0
 
 
 class Lines(HTMLParser):
