@@ -14,6 +14,7 @@ HEADLINE = (
     "c4_keyword_match", "c6_most_missed", "d3_date_consistency", "d5_score_total", "d6_score_after", "e8_flags_all",
     "e9_flag_gate", "f1_skill_breakdown", "f4_skill_route", "g1_semantic_match", "g3_evidence_table", "h2_change_dedupe",
     "h5_revert_apply", "i1_entry_segment", "i5_text_apply", "j1_score_delta_report", "k2_bad_transitions",
+    "f3_skill_merge", "i3_entry_align", "j2_outcome_table", "j3_analysis_table", "k1_stream_score",
 )
 
 
