@@ -340,3 +340,21 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     known = roots.unionByName(ends.join(roots, "id", "left_anti").select("id", F.col("id").alias("root")))
     joined = components(rooted(rooted(links, "a"), "b")).select(F.col("id").alias("_old"), F.col("root").alias("_new"))
     return known.join(joined, known.root == joined["_old"], "left").select("id", F.coalesce("_new", "root").alias("root"))
+
+
+def oracle_sql(docs: str = "documents") -> str:
+    """DuckDB SQL for the rows of similar_groups, with whole shingles in place of hashes and every pair that shares one counted."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM {docs}),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT r.doc_id, e.b FROM reach r JOIN ways e ON e.a = r.other)
+SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.other) AS component_id
+FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""

@@ -78,7 +78,7 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return digest.neighbours(read(spark, folder, "documents"))
 
 
-@query("op8_jaccard_join")
+@query("op8_jaccard_join", jaccard_join.oracle_sql())
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.similar_groups(read(spark, folder, "documents"))
 

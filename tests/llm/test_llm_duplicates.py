@@ -126,6 +126,15 @@ def test_groups_of_the_small_table(spark):
     assert got == brute_groups(docs)
 
 
+def test_the_sql_finds_the_same_groups():
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    data = [*near_copies(), (9_001, None), (9_002, "")]
+    con.executemany("INSERT INTO documents VALUES (?, ?)", data)
+    got = {k: (n, root) for k, n, root in con.sql(queries.ORACLES["op8_jaccard_join"]).fetchall()}
+    assert got == brute_groups(data)
+
+
 def test_groups_of_odd_rows(spark):
     got = sorted(map(tuple, jaccard_join.similar_groups(odd_documents(spark)).collect()), key=str)
     shingled = len(brute_sets(LONG))
