@@ -204,19 +204,18 @@ def revert_apply(original: DataFrame, rewritten: DataFrame, scoped: DataFrame) -
 
 
 # --- H6 ---------------------------------------------------------------------------------------------------------------
-def _shape(units: DataFrame, name: str) -> DataFrame:
-    bullets = F.array_sort(F.collect_list(F.when(
-        F.col("section") == "experience", F.struct("entry_idx", "bullet_idx", "text"))))
-    return units.filter("section IN ('summary', 'experience')").groupBy("resume_id").agg(
-        F.max(F.when(F.col("section") == "summary", F.col("text"))).alias(f"{name}_summary"),
-        F.transform(bullets, lambda b: b["text"]).alias(f"{name}_bullets"))
+def sections_changed(original: DataFrame, verified: DataFrame, confirmations: DataFrame) -> DataFrame:
+    """(resume_id, job_id, sections): what really changed among the sections the reviewer switched on, in order.
 
+    The units of both versions meet on their key, and only whether any differs is carried on; a unit of one version alone differs.
+    """
+    def side(units: DataFrame, name: str) -> DataFrame:
+        return units.filter("section IN ('summary', 'experience')").select(*UNIT, F.col("text").alias(name))
 
-def sections_changed(original: DataFrame, verified: DataFrame, confirmations: DataFrame) -> DataFrame:
-    """(resume_id, job_id, sections): what really changed among the sections the reviewer switched on, in order."""
-    shapes = _shape(original, "old").join(_shape(verified, "new"), "resume_id").select(
-        "resume_id", (~F.col("old_summary").eqNullSafe(F.col("new_summary"))).alias("summary_changed"),
-        (F.col("old_bullets") != F.col("new_bullets")).alias("bullets_changed"))
+    differs = ~F.col("old").eqNullSafe(F.col("new"))
+    shapes = side(original, "old").join(side(verified, "new"), UNIT, "full").groupBy("resume_id").agg(
+        F.bool_or((F.col("section") == "summary") & differs).alias("summary_changed"),
+        F.bool_or((F.col("section") == "experience") & differs).alias("bullets_changed"))
     sections = F.array_compact(F.array(
         F.when(F.col("rewrite_summary") & F.col("summary_changed"), "Summary"),
         F.when(F.col("rewrite_bullets") & F.col("bullets_changed"), "Experience"),
