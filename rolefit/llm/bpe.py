@@ -27,7 +27,7 @@ from rolefit.llm.common import text_slices
 #: Entries of the largest vocabulary that is broadcast.
 MAX_VOCABULARY = 2_000_000
 #: Pre-tokens in each of the two generations whose ids a worker remembers. Results do not depend on it.
-REMEMBERED = 350_000
+REMEMBERED = 100_000
 
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
