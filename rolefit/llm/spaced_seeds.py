@@ -1,18 +1,23 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A mask selects some of SPAN adjacent tokens and ignores the others, so that a hit survives substitutions at ignored places. The
+A mask selects some of the adjacent tokens and ignores the others, so that a hit survives substitutions at ignored places. The
 masked tokens of every position of every document and of every benchmark item are hashed, and the hashes joined. Each hit puts a
 document and an item on a diagonal (document position less item position); the tokens around the hit are then compared one to one along it, and
 the item counts as leaked if enough of them are equal, whatever stands at the places where they differ.
 
+Two long masks (MASKS) find what is copied almost whole. For items of WINDOW tokens or less, pair masks find all the rest that the rule
+accepts: of n equal tokens in m places, two stand at most (m - 1) / (n - 1) places apart, and every pair of an item's tokens at such
+distances is a seed. The commonest ones are left out, so many that CLOSE of the equal ones are still among the others. Longer items have
+the long masks only: overlaps with them that no long mask hits are not found.
+
 DataFrame functions only: tokens, hashes, join and verification stay in the JVM. Benchmark seeds are broadcast if they are at most
 BROADCAST_SEEDS, which is checked by counting them; beyond that the seeds meet in a shuffled join, which adaptive execution splits
-where one seed is frequent, and only hits meet the texts again. A run of hits on one diagonal is verified once, at its first hit.
+where one seed is frequent, and only hits meet the texts again. A run of hits on one diagonal, or a chain of pairs, is verified once, at its first hit.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Places of the tokens that a mask selects, of SPAN adjacent ones: any one substitution leaves one of the two masks whole at some position nearby.
@@ -20,6 +25,10 @@ SPAN = 11
 MASKS = ((0, 1, 2, 4, 7, 9, 10), (0, 1, 3, 6, 8, 9, 10))
 #: Tokens to either side of a hit that are compared, and how many equal ones make a leak (or this share of the item, if that is less).
 REACH, EQUAL, SHARE = 24, 12, 0.8
+#: Places on a diagonal around a hit; an item of no more tokens is compared whole.
+WINDOW = REACH + SPAN + REACH
+#: Equal tokens that are left in an accepted overlap with a short item when its commonest tokens are not counted.
+CLOSE = 7
 #: Seeds of the benchmark that are broadcast at most, some 50 bytes each.
 BROADCAST_SEEDS = 1_000_000
 
@@ -36,73 +45,120 @@ def positions(words: str) -> Column:
     return F.when(F.size(words) >= SPAN, F.sequence(F.lit(0), F.size(words) - SPAN))
 
 
-def seeds(words: str, at: str) -> Column:
+def pair_masks(gap: int) -> tuple[tuple[int, int], ...]:
+    return tuple((0, k) for k in range(1, gap + 1))
+
+
+def seeds(words: str, at: str, masks: tuple[tuple[int, ...], ...]) -> Column:
     """Hash of the selected tokens, for each mask."""
     def seed(k: int, mask: tuple[int, ...]) -> Column:
         return F.xxhash64(F.lit(k), *(F.get(words, F.col(at) + place) for place in mask))
 
-    return F.array(*(F.struct(F.lit(k).alias("mask"), seed(k, mask).alias("seed")) for k, mask in enumerate(MASKS)))
+    return F.array(*(F.struct(F.lit(k).alias("mask"), seed(k, mask).alias("seed")) for k, mask in enumerate(masks)))
+
+
+def need(n: Column) -> Column:
+    """Equal tokens that make a leak of an item of n tokens."""
+    return F.least(F.lit(EQUAL), F.ceil(F.lit(SHARE) * n)).cast("int")
 
 
-def seed_rows(df: DataFrame, keep: list[str], words: str, at: str) -> DataFrame:
-    """A row for each position and mask with its seed."""
-    placed = df.select(*keep, words, F.explode(positions(words)).alias(at))
-    return placed.select(*keep, words, at, F.inline(seeds(words, at)))
+def paired(item_rows: DataFrame) -> DataFrame:
+    """The items with the tokens that pairs are made of in _kept, null at the places of the others, and the widest distance in _gap."""
+    n = F.col("_n")
+    spare = F.greatest(F.lit(0), need(n) - CLOSE)
+    gap = F.when(n <= WINDOW, F.floor((n - 1) / (need(n) - spare - 1)).cast("int")).otherwise(0)
+    places = item_rows.select("_item", "_print", F.size("_item_words").alias("_n"), F.posexplode("_item_words").alias("_j", "_token"))
+    places = places.withColumn("_often", F.count(F.lit(1)).over(Window.partitionBy("_token")))
+    places = places.withColumn("_rank", F.row_number().over(Window.partitionBy("_item", "_print").orderBy(F.desc("_often"), "_j")))
+    place = F.struct("_j", "_token", F.when(F.col("_rank") > spare, F.col("_token")).alias("_kept"))
+    return (places.select("_item", "_print", gap.alias("_gap"), place.alias("_place"))
+            .groupBy("_item", "_print").agg(F.first("_gap").alias("_gap"), F.array_sort(F.collect_list("_place")).alias("_places"))
+            .select("_item", "_print", "_gap", F.col("_places")["_token"].alias("_item_words"), F.col("_places")["_kept"].alias("_kept")))
 
 
-def surroundings(words: str, at: str) -> tuple[Column, Column]:
-    """The tokens from REACH before a hit to REACH behind it, and how many of them stand before it: all that a hit carries on of its text."""
-    back = F.least(F.col(at), F.lit(REACH))
-    return F.slice(words, F.col(at) - back + 1, back + SPAN + REACH), back
+def pair_seeds(item_rows: DataFrame) -> DataFrame:
+    """Seeds of two tokens of each item."""
+    pairs = (item_rows.select("_item", "_print", "_kept", "_gap", F.posexplode("_kept").alias("_j", "_first")).where("_gap > 0 and _first is not null")
+             .select("_item", "_print", "_kept", "_j", "_first", F.explode(F.sequence(F.lit(1), "_gap")).alias("_apart"))
+             .select("_item", "_print", "_j", "_first", "_apart", F.get("_kept", F.col("_j") + F.col("_apart")).alias("_second")).where("_second is not null"))
+    mask = F.col("_apart") + (len(MASKS) - 1)
+    return pairs.select("_item", "_print", "_j", mask.alias("mask"), "_first", F.xxhash64(mask, "_first", "_second").alias("seed"))
 
 
-def starts_run() -> Column:
-    """Whether the places just before are no hit of the same mask on the same diagonal."""
-    def equal(mask: tuple[int, ...]) -> Column:
+def long_seeds(item_rows: DataFrame) -> DataFrame:
+    """Seeds of the long masks in the columns of pair_seeds."""
+    placed = item_rows.select("_item", "_print", "_item_words", F.explode(positions("_item_words")).alias("_j"))
+    return (placed.select("_item", "_print", "_j", F.get("_item_words", F.col("_j")).alias("_first"), F.inline(seeds("_item_words", "_j", MASKS)))
+            .select("_item", "_print", "_j", "mask", "_first", "seed"))
+
+
+def starts_run(masks: tuple[tuple[int, ...], ...]) -> Column:
+    """Whether the places just before are no hit of the same long mask on the same diagonal; of pairs, whether no pair ends where
+    this one starts and none that starts there is closer."""
+    def equal(item_words: str, place: int) -> Column:
+        return F.coalesce(F.get("_words", F.col("_i") + place) == F.get(item_words, F.col("_j") + place), F.lit(False))
+
+    def every(mask: tuple[int, ...]) -> Column:
         same = F.lit(True)
         for place in mask:
-            same = same & (F.get("_near", F.col("_back") + (place - 1)) == F.get("_item_near", F.col("_item_back") + (place - 1)))
+            same = same & equal("_item_words", place - 1)
         return same
 
-    before = F.lit(False)
+    linked = F.lit(False)
+    for apart in range(1, len(masks) - len(MASKS) + 1):
+        linked = linked | (F.col("_gap") >= apart) & equal("_kept", -apart) | (F.col("mask") > apart + len(MASKS) - 1) & equal("_kept", apart)
     for k, mask in enumerate(MASKS):
-        before = F.when(F.col("mask") == k, equal(mask)).otherwise(before)
-    return (F.col("_back") == 0) | (F.col("_item_back") == 0) | ~before
+        linked = F.when(F.col("mask") == k, every(mask)).otherwise(linked)
+    return ~linked
+
+
+def overlap(words: str, other_words: str, at: str, other_at: str) -> Column:
+    """The tokens of one side around a hit, as far as both texts go and the hit is verified: REACH to either side of a long mask;
+    around a pair the whole item."""
+    long = F.col("mask") < len(MASKS)
+    back = F.least(F.col(at), F.col(other_at), F.when(long, REACH).otherwise(WINDOW - 1))
+    ahead = F.least(F.size(words) - F.col(at), F.size(other_words) - F.col(other_at), F.when(long, SPAN + REACH).otherwise(WINDOW))
+    return F.slice(words, F.col(at) - back + 1, F.greatest(F.lit(0), back + ahead))
 
 
 def equal_around() -> Column:
-    """Equal tokens on the diagonal from REACH before the hit to REACH behind it, inside both texts."""
-    back = F.least("_back", "_item_back")
-    ahead = F.least(F.size("_near") - F.col("_back"), F.size("_item_near") - F.col("_item_back"))
-    pairs = F.zip_with(F.slice("_near", F.col("_back") - back + 1, back + ahead), F.slice("_item_near", F.col("_item_back") - back + 1, back + ahead),
-                       lambda a, b: a == b)
-    return F.size(F.filter(pairs, lambda same: same))
+    """Equal tokens on the diagonal."""
+    return F.size(F.filter(F.zip_with("_near", "_item_near", lambda a, b: a == b), lambda same: same))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text",
                broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """doc_key, item_key, n_equal and item_tokens: the items that a document holds, with the equal tokens of the best hit.
+    """doc_key, item_key, n_equal and item_tokens: the items that a document holds, with the equal tokens of the best hit (of a long mask
+    where one is accepted, else of a pair).
 
-    Null and empty texts, and texts and items of fewer than SPAN tokens, have no seeds and no rows; a document without leaks
+    Null and empty texts, and items of fewer than SPAN tokens, have no seeds and no rows; a document without leaks
     has no row. Rows of one key are taken together. Other columns of either table are not read.
     """
-    item_rows = items.select(F.col(item_key).alias("_item"), tokens(F.col(text)).alias("_item_words")).where(F.size("_item_words") >= SPAN)
-    item_seeds = seed_rows(item_rows, ["_item"], "_item_words", "_j").select("mask", "seed", "_item", "_j").distinct()
+    item_rows = paired(items.select(F.col(item_key).alias("_item"), tokens(F.col(text)).alias("_item_words")).where(F.size("_item_words") >= SPAN)
+                       .select("_item", F.xxhash64("_item_words").alias("_print"), "_item_words").distinct())
+    item_seeds = long_seeds(item_rows).unionByName(pair_seeds(item_rows))
+    number, last = item_seeds.agg(F.count(F.lit(1)), F.max("mask")).first()
+    masks = MASKS + pair_masks((last or 0) - len(MASKS) + 1)
     doc_rows = docs.select(F.col(doc_key).alias("_doc"), tokens(F.col(text)).alias("_words"))
-    doc_seeds = seed_rows(doc_rows, ["_doc"], "_words", "_i")
-    near, back = surroundings("_words", "_i")
-    item_near, item_back = surroundings("_item_words", "_j")
-    own = ["_doc", "_item", "mask", "_j", near.alias("_near"), back.alias("_back")]
-    if item_seeds.count() <= broadcast_seeds:
-        hits = doc_seeds.join(F.broadcast(item_seeds), ["mask", "seed"]).select(*own).join(F.broadcast(item_rows), "_item")
+    placed = doc_rows.where(F.size("_words") > 1).select("_doc", "_words", F.explode(F.sequence(F.lit(0), F.size("_words") - 2)).alias("_i"))
+    first = item_seeds.select(F.xxhash64("_first").alias("_first")).distinct()
+    item_seeds = item_seeds.drop("_first")
+    if number <= broadcast_seeds:
+        placed = placed.join(F.broadcast(first), F.xxhash64(F.get("_words", F.col("_i"))) == first["_first"], "left_semi")
+        doc_seeds = placed.select("_doc", "_words", "_i", F.inline(seeds("_words", "_i", masks)))
+        hits = doc_seeds.join(F.broadcast(item_seeds), ["mask", "seed"]).join(F.broadcast(item_rows), ["_item", "_print"])
     else:
-        hits = (doc_seeds.drop("_words").join(item_seeds, ["mask", "seed"]).drop("seed").join(doc_rows, "_doc").select(*own)
-                .join(item_rows, "_item"))
-    hits = hits.select("_doc", "_item", "mask", "_near", "_back", item_near.alias("_item_near"), item_back.alias("_item_back"),
-                       F.size("_item_words").alias("item_tokens"))
-    found = (hits.where(starts_run()).select("_doc", "_item", "item_tokens", equal_around().alias("n_equal"))
-             .where(F.col("n_equal") >= F.least(F.lit(EQUAL), F.ceil(F.lit(SHARE) * F.col("item_tokens")))))
-    return found.groupBy("_doc", "_item").agg(F.max("n_equal").cast("long").alias("n_equal"), F.max("item_tokens").cast("long").alias("item_tokens")).select(
+        doc_seeds = placed.select("_doc", "_i", F.inline(seeds("_words", "_i", masks)))
+        hits = doc_seeds.join(item_seeds, ["mask", "seed"]).drop("seed").join(doc_rows, "_doc").join(item_rows, ["_item", "_print"])
+    # generated columns keep the comparison, which cannot be compiled, out of the condition of the join, and whole texts out of the rows
+    around = F.struct(F.size("_item_words").alias("item_tokens"), overlap("_words", "_item_words", "_i", "_j").alias("_near"),
+                      overlap("_item_words", "_words", "_j", "_i").alias("_item_near"))
+    near = hits.where(starts_run(masks)).select("_doc", "_item", "mask", F.inline(F.array(around)))
+    found = (near.select("_doc", "_item", "mask", "item_tokens", equal_around().alias("n_equal"))
+             .where(F.col("n_equal") >= need(F.col("item_tokens"))))
+    of_long = F.max(F.when(F.col("mask") < len(MASKS), F.col("n_equal")))
+    return found.groupBy("_doc", "_item").agg(F.coalesce(of_long, F.max("n_equal")).cast("long").alias("n_equal"),
+                                              F.max("item_tokens").cast("long").alias("item_tokens")).select(
         F.col("_doc").alias(doc_key), F.col("_item").alias(item_key), "n_equal", "item_tokens")
 
 

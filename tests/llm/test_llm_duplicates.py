@@ -1,6 +1,8 @@
 """Leaks, near duplicates and repeats against brute force."""
 
 import hashlib
+import itertools
+import math
 import random
 
 import duckdb
@@ -49,6 +51,47 @@ def test_one_substitution_leaves_a_seed():
         assert any(all(at + k != place for k in mask) for mask in spaced_seeds.MASKS for at in range(n - spaced_seeds.SPAN + 1))
 
 
+def brute_leaks(docs, items):
+    """Every diagonal of every document and item by the rule of the verification alone."""
+    out = set()
+    for d, w in docs.items():
+        for k, v in items.items():
+            need = min(spaced_seeds.EQUAL, math.ceil(spaced_seeds.SHARE * len(v)))
+            for shift in range(1 - len(v), len(w)):
+                same = [w[j + shift] == v[j] for j in range(max(0, -shift), min(len(v), len(w) - shift))]
+                if any(sum(same[s:s + spaced_seeds.WINDOW]) >= need for s in range(max(1, len(same) - spaced_seeds.WINDOW + 1))):
+                    out.add((d, k))
+    return out
+
+
+@pytest.mark.parametrize("n,changed", [(12, 2), (15, 3), (16, 4), (18, 4)])
+def test_every_pattern_that_the_rule_accepts_has_a_seed(spark, n, changed):
+    words = [f"w{i}" for i in range(n - 4)] + ["the"] * 4
+    texts = [" ".join("x" if i in gone else w for i, w in enumerate(words)) for gone in itertools.combinations(range(n), changed)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "the " * 3 + " ".join(f"v{i}" for i in range(20)))], "item_id long, text string")
+    got = {r.doc_id: r.n_equal for r in spaced_seeds.find_leaks(docs, items).where("item_id = 1").collect()}
+    assert got == dict.fromkeys(range(len(texts)), n - changed)
+
+
+@pytest.mark.parametrize("broadcast_seeds", [spaced_seeds.BROADCAST_SEEDS, 0])
+def test_leaks_are_those_of_the_rule_without_masks(spark, broadcast_seeds):
+    g = random.Random(8)
+    items = {k: [g.choice(("the", "of", f"a{g.randrange(40)}", f"w{g.randrange(9_000)}")) for _ in range(n)] for k, n in enumerate((11, 12, 14, 20, 38, 59))}
+    docs, k = {}, 0
+    for v in items.values():
+        for equal in (8, 9, 10, 11, 12, 12, 12, 13):
+            for part in (v, v[:59], v[-59:], v[len(v) // 3:][:59]):
+                stay = set(g.sample(range(len(part)), min(equal, len(part))))
+                docs[k] = [f"z{g.randrange(99)}"] * g.randrange(4) + [w if i in stay else f"y{g.randrange(99)}" for i, w in enumerate(part)]
+                k += 1
+    docs[k] = items[1][2:]
+    rows = [spark.createDataFrame([(i, " ".join(w)) for i, w in x.items()], f"{c} long, text string") for c, x in (("doc_id", docs), ("item_id", items))]
+    want = brute_leaks(docs, items)
+    assert (k, 1) in want and len(want) > 50
+    assert {(r.doc_id, r.item_id) for r in spaced_seeds.find_leaks(*rows, broadcast_seeds=broadcast_seeds).collect()} == want
+
+
 def test_leaks_of_odd_rows(spark):
     docs = odd_documents(spark)
     items = docs.select(F.col("doc_id").alias("item_id"), "text", "score", "doc_id")
