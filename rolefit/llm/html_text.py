@@ -7,8 +7,9 @@ role that it is a menu, header, footer, sidebar, notice, advert, form or comment
 1. each line gets its text-to-tag ratio (characters outside links per tag; 0 for a line that is marked so),
 2. the ratios are smoothed with a Gaussian along the page,
 3. lines at or above a threshold from the spread of the smoothed ratios make clusters of adjacent content lines,
-4. from the root, the content region narrows down to the container that still holds most of the characters in clusters, and all its unmarked
-   lines are the text, short ones between clusters included; lines that are links only are not.
+4. from the root, the content region narrows down to the container that still holds most of the characters in clusters, but never into an
+   article or main element, and all its unmarked lines are the text, short ones between clusters included. Outside of such an element, lines that
+   are links only are not, and the unmarked lines that stand in the containers around the chosen one themselves are text too.
 
 A map without any shuffle; the page is read whole.
 """
@@ -53,6 +54,7 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, int, bool]] = []  # text, characters in links, tags, container, marked
         self.parents = [-1]  # of each container; 0 is the page
         self.weight = [1.0]
+        self.article = [False]  # whether the container is an article or main element or inside one
         self.stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]  # tag, container, marked, unread, in article
         self.parts: list[str] = []
         self.tags = self.link_chars = self.in_link = 0
@@ -101,6 +103,7 @@ class Lines(HTMLParser):
         if tag in CONTAINERS:
             self.parents.append(container)
             self.weight.append(ARTICLE_WEIGHT if within else 1.0)
+            self.article.append(within)
             container = len(self.parents) - 1
         self.stack.append((tag, container, marked, unread, within))
 
@@ -165,17 +168,21 @@ def extract(html: str) -> str:
     for node in range(1, len(parents)):
         children[parents[node]].append(node)
     region = 0
-    while children[region]:
+    around = []
+    while children[region] and not parser.article[region]:
         largest = max(children[region], key=lambda c: mass[c])
         if mass[largest] < SHARE * mass[region]:
             break
+        around.append(region)
         region = largest
     inside = np.zeros(len(parents), bool)
     inside[region] = True
     for node in range(region + 1, len(parents)):
         inside[node] = inside[parents[node]]
+    if not parser.article[region]:
+        inside[around] = True
     return "\n".join(text for (text, links, _, container, marked), taken in zip(lines, chosen)
-                     if inside[container] and not marked and (taken or links < len(text)))
+                     if inside[container] and not marked and (taken or links < len(text) or parser.article[container]))
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", html: str = "html", carry: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -26,6 +26,16 @@ def test_article_without_the_rest():
     assert html_text.extract("<nav>a<p>b</nav><article><p>Ly. Th.</article><div>A longer line that stands outside of the article here.</div>") == "Ly. Th."
 
 
+def test_nested_articles_are_whole():
+    long = "A long sentence of the body of this article that goes on and on. " * 9
+    for tag in ("div", "section", "blockquote", "figure"):
+        page = f"<body><p>outside</p><article><h1>Head</h1><p>Lead</p><{tag} class=body><p>{long}</p></{tag}><section><p>Short.</p></section><p><a href=x>More of it</a></p></article></body>"
+        assert html_text.extract(page) == f"Head\nLead\n{long.strip()}\nShort.\nMore of it"
+    table = f"<main><h1>Head</h1><table><tr><td>{long}</td><td>Cell</td></tr></table><p>End</p></main>"
+    assert html_text.extract(table) == f"Head\n{long.strip()}\nCell\nEnd"
+    assert html_text.extract(f"<body><div><h1>Head</h1><p>Lead</p><div>{long}</div></div></body>") == f"Head\nLead\n{long.strip()}"
+
+
 def test_broken_and_empty_pages():
     assert html_text.extract("") == "" and html_text.extract("<nav>x</nav>") == ""
     assert html_text.extract("plain &lt;text&gt;") == "plain <text>"
