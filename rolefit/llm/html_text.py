@@ -2,7 +2,8 @@
 
 The standard library's parser reads a page once, event by event, into lines: one per block, with its text, the number of tags
 that made it, its place among the enclosing containers and whether an enclosing element says by its tag or by a word of its class, id or
-role that it is a menu, header, footer, sidebar, notice, advert, form or comment section. Then
+role that it is a menu, header, footer, sidebar, notice, advert, form or comment section (inside an article, by a whole class, id or
+role and not by the id of a heading or section). Then
 
 1. each line gets its text-to-tag ratio (characters outside links per tag; 0 for a line that is marked so),
 2. the ratios are smoothed with a Gaussian along the page,
@@ -39,6 +40,12 @@ MARK_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor
                        "notices alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs footer sidebar aside widget widgets "
                        "comment comments disqus replies reply share sharing social related recommended newsletter subscribe subscription signup "
                        "login search form toolbar pagination pager tags masthead skip".split())
+#: Words that make a known compound with mark words, as in related-posts; any other word beside them is part of a name, as in related-work.
+COMPOUND_WORDS = frozenset("area articles bar block box button buttons container content count dialog field icon icons inline inner item items label "
+                           "left link links list media middle mobile module network outer panel placeholder post posts right row section "
+                           "site slot small stories thread title top bottom trail unit wrap wrapper".split())
+#: Elements whose ids name what they are about.
+NAMED = frozenset("section h1 h2 h3 h4 h5 h6".split())
 HEADER_WORDS = frozenset("header topbar top".split())
 _WORD = re.compile(r"[a-z0-9]+")
 _CLOSES_P = BLOCKS - frozenset(("title", "head", "option", "select"))
@@ -46,6 +53,12 @@ _CLOSES_P = BLOCKS - frozenset(("title", "head", "option", "select"))
 SIGMA, RADIUS, SHARE, ARTICLE_WEIGHT = 1.0, 3, 0.8, 1000.0
 
 
+def is_mark(name: str) -> bool:
+    """Whether a class, id or role as a whole is a mark word or a compound of mark words and known others."""
+    words = _WORD.findall(name)
+    return any(w in MARK_WORDS for w in words) and all(w in MARK_WORDS or w in COMPOUND_WORDS or w.isdigit() for w in words)
+
+
 class Lines(HTMLParser):
     """Collects the lines of a page."""
 
@@ -92,13 +105,14 @@ class Lines(HTMLParser):
         if tag not in BLOCKS and tag not in UNREAD:
             return
         _, container, marked, unread, within = self.stack[-1]
-        words = set()
-        for name, value in attrs:
-            if value and name in ("class", "id", "role"):
-                words.update(_WORD.findall(value.lower()))
+        names = [(name, value.lower()) for name, value in attrs if value and name in ("class", "id", "role")]
         within = within or tag in ("article", "main")
         if tag not in ("html", "body", "article", "main"):
-            marked = marked or tag in MARKED or bool(words & MARK_WORDS) or not within and (tag == "header" or bool(words & HEADER_WORDS))
+            if within:
+                marked = marked or tag in MARKED or any(is_mark(one) for name, value in names if name != "id" or tag not in NAMED for one in value.split())
+            else:
+                words = {word for _, value in names for word in _WORD.findall(value)}
+                marked = marked or tag in MARKED or bool(words & MARK_WORDS) or tag == "header" or bool(words & HEADER_WORDS)
         unread = unread or tag in UNREAD
         if tag in CONTAINERS:
             self.parents.append(container)

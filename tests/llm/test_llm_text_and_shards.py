@@ -36,6 +36,13 @@ def test_nested_articles_are_whole():
     assert html_text.extract(f"<body><div><h1>Head</h1><p>Lead</p><div>{long}</div></div></body>") == f"Head\nLead\n{long.strip()}"
 
 
+def test_slugs_inside_an_article_are_no_marks():
+    page = """<article><h2 id="related-work">Related work</h2><p>Some text of it.</p><h2 id="search">Search</h2><section id="form-and-function"><p>Form.</p></section>
+<section id="social-change"><p>Change.</p></section><p class="notice-board">Board.</p><div class="ad">Buy</div><div class="wide related-posts">Others</div>
+<div id="newsletter-signup">Mail</div><div class="social-share">Share</div><aside>Aside</aside></article>"""
+    assert html_text.extract(page) == "Related work\nSome text of it.\nSearch\nForm.\nChange.\nBoard."
+
+
 def test_broken_and_empty_pages():
     assert html_text.extract("") == "" and html_text.extract("<nav>x</nav>") == ""
     assert html_text.extract("plain &lt;text&gt;") == "plain <text>"
