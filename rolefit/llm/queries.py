@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefit.llm import bpe, digest, hilbert_shards, html_text, jaccard_join, langid, quality, repeats, secret_scan, spaced_seeds
+from rolefit.llm import (bpe, digest, fill_middle, fm_substrings, hilbert_shards, html_text, jaccard_join, langid, periodic_runs, quality, repeats,
+                         secret_scan, spaced_seeds)
 from rolefit.llm.common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +87,18 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_repeats")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.digest_table(repeats.remove_repeats(read(spark, folder, "documents")))
+
+
+@query("op11_periodic_runs", periodic_runs.oracle_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.digest_table(periodic_runs.find_runs(periodic_runs.planted(read(spark, folder, "documents"))))
+
+
+@query("op12_fm_substrings", fm_substrings.oracle_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return fm_substrings.digest_table(fm_substrings.remove_substrings(read(spark, folder, "documents")))
+
+
+@query("op13_fill_middle", fill_middle.oracle_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_middle.digest_table(fill_middle.fill_middle(read(spark, folder, "documents")))
