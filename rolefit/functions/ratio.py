@@ -16,7 +16,8 @@ from pyspark.sql.types import DoubleType
 def gestalt_ratio(a: Column, b: Column, threshold: float = 0.0) -> Column:
     """Similarity of two strings, 0 to 1; the argument order matters.
 
-    Below a positive threshold the result is null, and two upper bounds spare most of the full comparisons.
+    Below a positive threshold the result is null, and two upper bounds spare most of the full comparisons. A null argument gives null. Equal pairs of
+    one batch are compared once.
     """
 
     def score(x: str, y: str):
@@ -28,6 +29,7 @@ def gestalt_ratio(a: Column, b: Column, threshold: float = 0.0) -> Column:
 
     @F.pandas_udf(DoubleType())
     def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([score(x, y) for x, y in zip(left, right)], dtype="float64")
+        known = {(x, y): None if x is None or y is None else score(x, y) for x, y in set(zip(left, right))}
+        return pd.Series([known[pair] for pair in zip(left, right)], dtype="float64")
 
     return ratio(a, b)

@@ -19,16 +19,26 @@ _FLAG_TYPE = ("struct<prio:int,check_ord:int,item_ord:int,flag_type:string,categ
               "detail:string,requires_acknowledgement:boolean>")
 
 
+def candidate_side(candidates: DataFrame) -> DataFrame:
+    """The candidate columns (r_) the checks read, one row per resume_id; the domain is normalised here, once per candidate."""
+    return candidates.select("resume_id", F.col("total_years").alias("r_years"), F.col("primary_domain").alias("r_domain"),
+                             F.col("location").alias("r_location"), F.col("certifications").alias("r_certs"),
+                             normalise_domain(strip(F.coalesce("primary_domain", F.lit("")))).alias("r_norm"), F.lit(True).alias("r_known"))
+
+
+def posting_side(postings: DataFrame) -> DataFrame:
+    """The posting columns (j_) the checks read, one row per job_id."""
+    return postings.select("job_id", F.col("min_years").alias("j_min"), F.col("max_years").alias("j_max"),
+                           parse_seniority(F.col("seniority_raw")).alias("j_seniority"),
+                           F.col("primary_domain").alias("j_domain"), F.col("location").alias("j_location"),
+                           F.col("work_mode").alias("j_work_mode"), F.col("notice_period").alias("j_notice"),
+                           F.col("certifications_required").alias("j_certs"),
+                           normalise_domain(strip(F.coalesce("primary_domain", F.lit("")))).alias("j_norm"), F.lit(True).alias("j_known"))
+
+
 def pair_context(candidates: DataFrame, postings: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs with the candidate columns (r_) and posting columns (j_) the checks read."""
-    r = candidates.select("resume_id", F.col("total_years").alias("r_years"), F.col("primary_domain").alias("r_domain"),
-                          F.col("location").alias("r_location"), F.col("certifications").alias("r_certs"))
-    j = postings.select("job_id", F.col("min_years").alias("j_min"), F.col("max_years").alias("j_max"),
-                        parse_seniority(F.col("seniority_raw")).alias("j_seniority"),
-                        F.col("primary_domain").alias("j_domain"), F.col("location").alias("j_location"),
-                        F.col("work_mode").alias("j_work_mode"), F.col("notice_period").alias("j_notice"),
-                        F.col("certifications_required").alias("j_certs"))
-    return pairs.select("resume_id", "job_id").join(r, "resume_id").join(j, "job_id")
+    """Pairs with the columns of both sides."""
+    return pairs.select("resume_id", "job_id").join(candidate_side(candidates), "resume_id").join(posting_side(postings), "job_id")
 
 
 def _flag(check: int, kind: str, category: str, title, message, detail, ack: bool, item: Column | None = None) -> Column:
@@ -82,26 +92,14 @@ def domain_clusters(norm: Column) -> Column:
     return F.transform(touched, lambda terms: F.get(terms, F.lit(0)))
 
 
-def domain_similarity(domain_pairs: DataFrame) -> DataFrame:
-    """(domain_a, domain_b, tier, similarity) of the distinct pairs of raw domain texts.
+def domain_tier(raw_a: Column, raw_b: Column, a: Column, b: Column) -> Column:
+    """What settles the similarity of two domains, of their texts and normal forms: unknown, equal, contained, cluster or fuzzy."""
+    return (F.when((raw_a == "") | (raw_b == ""), "unknown").when(a == b, "equal").when(F.contains(a, b) | F.contains(b, a), "contained")
+            .when(F.arrays_overlap(domain_clusters(a), domain_clusters(b)), "cluster").otherwise("fuzzy"))
 
-    Only domain pairs that occur are compared, each once. The character ratio runs on what the cheap tiers leave open.
-    """
-    known = domain_pairs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("domain_a", "domain_b")]).distinct()
-    values = known.select(F.explode(F.array("domain_a", "domain_b")).alias("domain")).distinct()
-    # grouped once more, so that the normalised text is a value behind an aggregate, not an expression repeated in every test below
-    norms = (values.groupBy("domain").agg(F.first(normalise_domain(F.col("domain"))).alias("norm"))
-             .withColumn("clusters", domain_clusters(F.col("norm"))))
-
-    def side(x: str) -> DataFrame:
-        return norms.select(F.col("domain").alias(f"domain_{x}"), F.col("norm").alias(x), F.col("clusters").alias(f"clusters_{x}"))
-
-    norm = known.join(side("a"), "domain_a").join(side("b"), "domain_b")
-    a, b = F.col("a"), F.col("b")
-    unknown = (F.col("domain_a") == "") | (F.col("domain_b") == "")
-    tier = (F.when(unknown, "unknown").when(a == b, "equal")
-            .when(F.contains(a, b) | F.contains(b, a), "contained")
-            .when(F.arrays_overlap("clusters_a", "clusters_b"), "cluster").otherwise("fuzzy"))
+
+def tier_similarity(tier: Column, a: Column, b: Column) -> Column:
+    """The similarity of two normal forms. Only what the cheap tiers leave open reaches the character ratio, which gets nulls for all others."""
     stop = F.array(*[F.lit(w) for w in R.DOMAIN_STOP_WORDS])
 
     def content_words(c: Column) -> Column:
@@ -110,24 +108,41 @@ def domain_similarity(domain_pairs: DataFrame) -> DataFrame:
     wa, wb = content_words(a), content_words(b)
     jaccard = F.when((F.size(wa) > 0) & (F.size(wb) > 0),
                      F.size(F.array_intersect(wa, wb)) / F.size(F.array_union(wa, wb))).otherwise(0.0)
-    tiered = norm.withColumn("tier", tier)
-    settled = tiered.filter("tier <> 'fuzzy'").select(
-        "domain_a", "domain_b", "tier",
-        F.when(F.col("tier").isin("unknown", "equal"), 1.0).otherwise(R.DOMAIN_NEAR).alias("similarity"))
-    open_pairs = tiered.filter("tier = 'fuzzy'").select(
-        "domain_a", "domain_b", "tier", F.greatest(jaccard, gestalt_ratio(a, b)).alias("similarity"))
-    return settled.unionByName(open_pairs)
+    open_ = tier == "fuzzy"
+    ratio = gestalt_ratio(F.when(open_, a), F.when(open_, b))
+    return F.when(tier.isin("unknown", "equal"), 1.0).when(open_, F.greatest(jaccard, ratio)).otherwise(R.DOMAIN_NEAR)
+
+
+def domain_similarity(domain_pairs: DataFrame) -> DataFrame:
+    """(domain_a, domain_b, tier, similarity) of the distinct pairs of raw domain texts; only domain pairs that occur are compared, each once.
+
+    domain_pairs: (domain_a, domain_b), and the normal forms norm_a and norm_b where they are known.
+    """
+    if "norm_a" not in domain_pairs.columns:
+        domain_pairs = domain_pairs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("domain_a", "domain_b")]).select(
+            "*", normalise_domain(F.col("domain_a")).alias("norm_a"), normalise_domain(F.col("domain_b")).alias("norm_b"))
+    raw_a, raw_b, a, b = (F.col(c) for c in ("domain_a", "domain_b", "norm_a", "norm_b"))
+    tiered = domain_pairs.distinct().withColumn("tier", domain_tier(raw_a, raw_b, a, b))
+    return tiered.select("domain_a", "domain_b", "tier", tier_similarity(F.col("tier"), a, b).alias("similarity"))
 
 
 def domain_pairs(context: DataFrame) -> DataFrame:
-    return context.select(strip(F.col("r_domain")).alias("domain_a"), strip(F.col("j_domain")).alias("domain_b"))
+    """The domain pairs of the context with their normal forms: two columns that depend on the texts alone."""
+    return context.select(F.coalesce(strip(F.col("r_domain")), F.lit("")).alias("domain_a"), F.coalesce(strip(F.col("j_domain")), F.lit("")).alias("domain_b"),
+                          F.col("r_norm").alias("norm_a"), F.col("j_norm").alias("norm_b"))
 
 
-def with_similarity(context: DataFrame, similarity: DataFrame) -> DataFrame:
-    """Adds the similarity of the two domains to each pair (null when either is unknown)."""
-    keyed = (context.withColumn("domain_a", strip(F.col("r_domain"))).withColumn("domain_b", strip(F.col("j_domain"))))
-    scores = similarity.filter("tier <> 'unknown'").select("domain_a", "domain_b", "tier", "similarity")
-    return keyed.join(scores, ["domain_a", "domain_b"], "left")
+def with_similarity(context: DataFrame, similarity: DataFrame | None = None) -> DataFrame:
+    """Adds domain_a, domain_b, tier and similarity to each pair (similarity null when either domain is unknown). Without a table of similarities they are
+    worked out inside the row; equal pairs of domains that lie in one batch of rows are compared once."""
+    keyed = context.withColumns({"domain_a": strip(F.col("r_domain")), "domain_b": strip(F.col("j_domain"))})
+    if similarity is not None:
+        scores = similarity.filter("tier <> 'unknown'").select("domain_a", "domain_b", "tier", "similarity")
+        return keyed.join(scores, ["domain_a", "domain_b"], "left")
+    known = (F.coalesce("domain_a", F.lit("")) != "") & (F.coalesce("domain_b", F.lit("")) != "")
+    tier = F.when(known, domain_tier(F.col("domain_a"), F.col("domain_b"), F.col("r_norm"), F.col("j_norm")))
+    tiered = keyed.withColumn("tier", tier)
+    return tiered.withColumn("similarity", F.when(F.col("tier").isNotNull(), tier_similarity(F.col("tier"), F.col("r_norm"), F.col("j_norm"))))
 
 
 def domain_flag() -> Column:
@@ -193,7 +208,7 @@ def flag_experience(context: DataFrame) -> DataFrame:
     return _single(context, experience_flag())
 
 
-def flag_domain(context: DataFrame, similarity: DataFrame) -> DataFrame:
+def flag_domain(context: DataFrame, similarity: DataFrame | None = None) -> DataFrame:
     return _single(with_similarity(context, similarity), domain_flag())
 
 
@@ -219,10 +234,11 @@ def missing_certifications(context: DataFrame) -> DataFrame:
     return context.select("resume_id", "job_id", F.posexplode(missing_certs()).alias("pos", "certification"))
 
 
-def flags_array(context: DataFrame, similarity: DataFrame | None = None) -> DataFrame:
-    """One row per pair with its ordered array of flags: red, yellow, info; then check order; then posting order."""
+def flags_array(context: DataFrame, similarity: DataFrame | None = None, domains: bool = False) -> DataFrame:
+    """One row per pair with its ordered array of flags: red, yellow, info; then check order; then posting order. domains, or a table of similarities, adds
+    the domain check."""
     checks = [experience_flag(), seniority_flag(), location_flag(), notice_flag()]
-    if similarity is not None:
+    if domains or similarity is not None:
         context = with_similarity(context, similarity)
         checks.insert(1, domain_flag())
     typed = F.array(*[c.cast(_FLAG_TYPE) for c in checks])
@@ -230,33 +246,32 @@ def flags_array(context: DataFrame, similarity: DataFrame | None = None) -> Data
     return context.withColumn("flags", flags)
 
 
-def run_flags(context: DataFrame, similarity: DataFrame | None = None) -> DataFrame:
+def run_flags(context: DataFrame, similarity: DataFrame | None = None, domains: bool = False) -> DataFrame:
     """(resume_id, job_id, ord, ...) for all flags of all pairs."""
-    return (flags_array(context, similarity).select("resume_id", "job_id", F.posexplode("flags").alias("ord", "f"))
+    return (flags_array(context, similarity, domains).select("resume_id", "job_id", F.posexplode("flags").alias("ord", "f"))
             .select("resume_id", "job_id", "ord", *[f"f.{c}" for c in FLAG_FIELDS]))
 
 
-def acknowledged(confirmations: DataFrame) -> DataFrame:
-    """(resume_id, job_id, category) of acknowledged categories; input has an array column acknowledged."""
-    return confirmations.select("resume_id", "job_id", F.explode("acknowledged").alias("category")).distinct()
+def gate_columns() -> tuple[Column, Column, Column]:
+    """open_red, open_skills and can_proceed of a pair row with flags, items (skill, status), acknowledged categories and decisions (skill, add)."""
+    blocking = F.filter("flags", lambda f: (f["flag_type"] == "red") & f["requires_acknowledgement"] & ~F.array_contains("acknowledged", f["category"]))
+    decided = F.transform(F.filter("decisions", lambda d: d["add"].isNotNull()), lambda d: d["skill"])
+    waiting = F.filter("items", lambda i: i["status"].isin("can_add", "partial") & ~F.array_contains(decided, i["skill"]))
+    open_red, open_skills = (F.coalesce(F.when(c.isNotNull(), F.size(c)), F.lit(0)).cast("long") for c in (blocking, waiting))
+    return open_red.alias("open_red"), open_skills.alias("open_skills"), ((open_red == 0) & (open_skills == 0)).alias("can_proceed")
+
+
+def flag_gate(rows: DataFrame) -> DataFrame:
+    """Per pair row: open red flags, open skill decisions and whether the pair may proceed."""
+    return rows.select("resume_id", "job_id", *gate_columns())
 
 
-def flag_gate(pairs: DataFrame, flags: DataFrame, skills: DataFrame, confirmations: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Per pair: open red flags, open skill decisions and whether the pair may proceed."""
-    key = ["resume_id", "job_id"]
-    open_flags = (
-        flags.filter((F.col("flag_type") == "red") & F.col("requires_acknowledgement"))
-        .join(acknowledged(confirmations), [*key, "category"], "left_anti")
-        .groupBy(*key).agg(F.count(F.lit(1)).alias("open_red")))
-    open_skills = (
-        skills.filter(F.col("status").isin("can_add", "partial"))
-        .join(decisions.filter(F.col("add").isNotNull()).select(*key, "skill"), [*key, "skill"], "left_anti")
-        .groupBy(*key).agg(F.count(F.lit(1)).alias("open_skills")))
-    counted = pairs.select(*key).join(open_flags, key, "left").join(open_skills, key, "left").na.fill(0)
-    return counted.withColumn("can_proceed", (F.col("open_red") == 0) & (F.col("open_skills") == 0))
+def acknowledged_flags() -> Column:
+    """The flags of a pair row whose category was acknowledged, with their place."""
+    placed = F.transform("flags", lambda f, i: F.struct(i.alias("ord"), f["title"].alias("title"), f["category"].alias("category")))
+    return F.filter(placed, lambda f: F.array_contains("acknowledged", f["category"]))
 
 
-def known_gaps(flags: DataFrame, confirmations: DataFrame) -> DataFrame:
+def known_gaps(rows: DataFrame) -> DataFrame:
     """Titles of the flags whose category was acknowledged."""
-    key = ["resume_id", "job_id", "category"]
-    return flags.join(acknowledged(confirmations), key, "left_semi").select("resume_id", "job_id", "ord", "title")
+    return rows.select("resume_id", "job_id", F.explode(acknowledged_flags()).alias("g")).select("resume_id", "job_id", "g.ord", "g.title")

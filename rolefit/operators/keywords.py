@@ -5,10 +5,8 @@ letters has an inflected form among the words of the text. Tests are made per *p
 linear in the pairs table. What a pair needs is prepared once per resume and once per job:
 
 * Job side: keywords lower-cased and split into words once.
-* Resume side: an index of which keyword words a resume contains in any form. It comes from one equi-join. A word w
-  and a token t are forms of each other exactly when a stem of w equals t minus one ending, so both sides are reduced
-  to stems (a handful each) instead of listing every form. The index holds at most the words of the resume's own
-  text, never resumes x keywords.
+* Resume side: which keyword words a resume contains in any form, and which keywords literally (rolefit.operators.word_index). Both come from one
+  dictionary of the distinct tokens of the corpus. Pairs carry these arrays, never a text: no text is searched above the pair join.
 
 Keywords whose words are all shorter than three letters hold for every resume; they are a flag on the keyword and
 never expanded to rows.
@@ -21,12 +19,13 @@ from pyspark.sql import functions as F
 
 from rolefit import refdata as R
 from rolefit.functions.text import empty_if_null, tokens
+from rolefit.operators.word_index import keyword_words, long_words, text_index, word_stems, written_dictionary
 
 SCOPES = ("all", "summary", "skills")
 
 
-def scope_texts(resumes: DataFrame) -> DataFrame:
-    """One row per resume with the lower-cased text of the three scopes.
+def scope_texts(resumes: DataFrame, verified: bool = False) -> DataFrame:
+    """One row per resume with the lower-cased text of the three scopes, and in the order of a verified resume where that is wanted.
 
     Input columns: resume_id, summary, skills, tech_stack, bullets.
     """
@@ -38,6 +37,7 @@ def scope_texts(resumes: DataFrame) -> DataFrame:
         .alias("text_all"),
         F.lower(summary).alias("text_summary"),
         F.lower(F.concat_ws(" ", F.concat(skills, tech))).alias("text_skills"),
+        *([verified_text().alias("text_verified")] if verified else ()),
     )
 
 
@@ -52,40 +52,6 @@ def token_index(resumes: DataFrame) -> DataFrame:
     )
 
 
-def _word_stems(word: Column) -> list[Column]:
-    """The word itself and, for each suffix it carries over a root of three letters or more, root and root + e."""
-    stems = [word]
-    for suffix in R.STRIPPED_SUFFIXES:
-        fits = F.endswith(word, F.lit(suffix)) & (F.length(word) >= len(suffix) + R.MIN_WORD_CHARS)
-        root = F.when(fits, F.substring(word, F.lit(1), F.length(word) - len(suffix)))
-        stems += [root, F.concat(root, F.lit("e"))]
-    return stems
-
-
-def word_stems(word: Column) -> Column:
-    return F.array_distinct(F.array_compact(F.array(*_word_stems(word))))
-
-
-def token_stems(token: Column) -> Column:
-    """Everything the token could be an inflected form of: itself and itself minus one ending; null where none fits.
-
-    No two of them are equal. Nulls are left in: filtering exploded rows stays inside generated code.
-    """
-    parts = [token]
-    for ending in R.WORD_ENDINGS:
-        fits = F.endswith(token, F.lit(ending)) & (F.length(token) >= len(ending) + R.MIN_WORD_CHARS)
-        parts.append(F.when(fits, F.substring(token, F.lit(1), F.length(token) - len(ending))))
-    return F.array(*parts)
-
-
-def keyword_words(keyword: Column) -> Column:
-    return F.filter(F.split(keyword, "[^a-z0-9]+"), lambda w: w != "")
-
-
-def long_words(keyword: Column) -> Column:
-    return F.array_distinct(F.filter(keyword_words(keyword), lambda w: F.length(w) >= R.MIN_WORD_CHARS))
-
-
 def job_keywords(jobs: DataFrame) -> DataFrame:
     """Long form (job_id, kind, pos, keyword): lower-cased, duplicates and positions kept, pos from 0."""
     def side(kind: str) -> DataFrame:
@@ -104,94 +70,84 @@ def variant_index(keywords: DataFrame) -> DataFrame:
     return words.select("word", F.explode(F.array_distinct(forms)).alias("variant"))
 
 
-def prepared_jobs(jobs: DataFrame) -> DataFrame:
-    """(job_id, hard, soft, job_words): arrays of (term, keyword, long words, n_words) in job order, and all long words."""
+def prepared_jobs(jobs: DataFrame, lists: dict[str, str] | None = None) -> DataFrame:
+    """(job_id, an array of (term, keyword, long words, n_words) for each list in job order, job_words, job_terms): the last two are the distinct long words
+    and keywords of all lists. lists names the columns they come from; hard and soft keywords by default."""
+    lists = lists or {"hard": "hard_keywords", "soft": "soft_keywords"}
+
     def side(column: str) -> Column:
         return F.transform(
             empty_if_null(F.col(column)),
             lambda k: F.struct(k.alias("term"), F.lower(k).alias("keyword"), long_words(F.lower(k)).alias("long"),
                                F.size(keyword_words(F.lower(k))).alias("n_words")))
 
-    sides = jobs.select("job_id", side("hard_keywords").alias("hard"), side("soft_keywords").alias("soft"))
-    return sides.withColumn("job_words", F.array_distinct(F.flatten(
-        F.transform(F.concat("hard", "soft"), lambda k: k["long"]))))
+    sides = jobs.select("job_id", *[side(column).alias(name) for name, column in lists.items()])
+    return sides.withColumn("job_words", F.array_distinct(F.flatten(F.transform(F.concat(*lists), lambda k: k["long"])))).withColumn(
+        "job_terms", F.array_distinct(F.transform(F.concat(*lists), lambda k: k["keyword"])))
 
 
-def resume_words(resumes: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Per resume and scope, the keyword words that occur in it in any form (arrays words_all, ...)."""
-    vocabulary = (
-        keywords.select(F.explode(long_words(F.lower("keyword"))).alias("word")).distinct()
-        .select("word", F.explode(word_stems(F.col("word"))).alias("stem"))
-    )
-    hits = (
-        token_index(resumes)
-        .select("resume_id", "scope", F.explode(token_stems(F.col("token"))).alias("stem"))
-        .filter("stem IS NOT NULL").join(vocabulary, "stem")
-    )
-    return hits.groupBy("resume_id").agg(
-        *[F.collect_set(F.when(F.col("scope") == s, F.col("word"))).alias(f"words_{s}") for s in SCOPES])
+def keywords_of(prepared: DataFrame) -> DataFrame:
+    """(keyword): every keyword of prepared jobs."""
+    return prepared.select(F.explode("job_terms").alias("keyword"))
 
 
-def _hit(keyword: Column, text: Column, words: str) -> Column:
-    by_form = (
-        ((keyword["n_words"] > 1) | ((keyword["n_words"] == 1) & (F.size(keyword["long"]) > 0)))
-        & F.forall(keyword["long"], lambda w: F.array_contains(F.col(words), w))
-    )
-    return by_form | F.contains(text, keyword["keyword"])
+def index_columns(suffix: str = "", scopes: tuple[str, ...] = SCOPES) -> list[str]:
+    return [f"{c}_{s}{suffix}" for c in ("words", "literals") for s in scopes]
+
+
+def narrowed(rows: DataFrame, suffix: str = "", scopes: tuple[str, ...] = SCOPES) -> DataFrame:
+    """The index of the resume in a pair row, cut down to what its job asks for: found once by hash for all keywords of the pair."""
+    for s in scopes:
+        rows = rows.withColumn(f"words_{s}{suffix}", F.array_intersect("job_words", f"words_{s}{suffix}"))
+        rows = rows.withColumn(f"literals_{s}{suffix}", F.array_intersect("job_terms", f"literals_{s}{suffix}"))
+    return rows
+
+
+def holds(keyword: Column, words: str, literals: str) -> Column:
+    """Whether a prepared keyword holds for the resume with these words and literals."""
+    have, named = F.col(words), F.col(literals)
+    formed = (F.size(keyword["long"]) == 0) | ((F.size(have) > 0) & F.forall(keyword["long"], lambda w: F.array_contains(have, w)))
+    by_form = ((keyword["n_words"] > 1) | ((keyword["n_words"] == 1) & (F.size(keyword["long"]) > 0))) & formed
+    return by_form | (keyword["keyword"] == "") | ((F.size(named) > 0) & F.array_contains(named, keyword["keyword"]))
+
+
+def tested(kind: str, suffix: str = "", scopes: tuple[str, ...] = SCOPES) -> Column:
+    """The keywords of a list with in_<scope> for the scopes, all being the first. The others are parts of the whole text."""
+    whole = F.transform(F.col(kind), lambda k: F.struct(k.alias("k"), holds(k, f"words_all{suffix}", f"literals_all{suffix}").alias("in_all")))
+    return F.transform(whole, lambda h: F.struct(
+        h["k"]["term"].alias("term"), h["k"]["keyword"].alias("keyword"), h["in_all"].alias("in_all"),
+        *[(h["in_all"] & holds(h["k"], f"words_{s}{suffix}", f"literals_{s}{suffix}")).alias(f"in_{s}") for s in scopes[1:]]))
 
 
-def pair_keyword_hits(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, per_resume: DataFrame | None = None) -> DataFrame:
-    """One row per pair: arrays hard and soft of (term, keyword, in_all, in_summary, in_skills) in job order.
+def pair_keyword_hits(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, per_resume: DataFrame | None = None,
+                      scopes: tuple[str, ...] = SCOPES) -> DataFrame:
+    """One row per pair: arrays hard and soft of (term, keyword, in_all, in_summary, in_skills) in job order; scopes leaves out what is not wanted.
 
-    The pairs meet the short job side first and the resumes last, so that every text is shuffled once, to its own key. It travels
-    once for all scopes: the texts of summary and skills are parts of it, cut out again by their lengths. Columns of per_resume (one
-    row per resume_id) come along with the resumes; they are null where it lacks one.
+    The pairs meet the short job side first and the resumes' index last. Columns of per_resume (one row per resume_id) come along with the
+    resumes; they are null where it lacks one.
     """
     prepared = prepared_jobs(jobs)
-    ready = _whole_texts(resumes).join(resume_words(resumes, job_keywords(jobs).select("keyword")), "resume_id", "left")
-    for s in SCOPES:
-        ready = ready.withColumn(f"words_{s}", empty_if_null(F.col(f"words_{s}")))
+    texts = scope_texts(resumes)
+    known = written_dictionary(texts.select("text_all"), keywords_of(prepared))
+    ready = text_index(texts, known, scopes)
     carried = []
     if per_resume is not None:
         carried = [c for c in per_resume.columns if c != "resume_id"]
         ready = ready.join(per_resume, "resume_id", "left")
-    joined = (pairs.select("resume_id", "job_id").join(prepared, "job_id").join(ready, "resume_id")
-              # the few words of this job that the resume has, found once by hash for all keywords of the pair
-              .withColumn("words_all", F.array_intersect("job_words", "words_all")))
-    text = {"all": F.col("text_all"), "skills": F.substring("text_all", F.col("skills_at"), F.col("skills_chars")),
-            "summary": F.substring("text_all", F.length("text_all") - F.col("summary_chars") + 1, F.col("summary_chars"))}
+    joined = narrowed(pairs.select("resume_id", "job_id").join(prepared, "job_id").join(ready, "resume_id"), scopes=scopes)
+    return joined.select("resume_id", "job_id", *[tested(kind, scopes=scopes).alias(kind) for kind in ("hard", "soft")], *carried)
 
-    def tested(kind: str) -> Column:
-        # the other scopes are parts of the whole text: what the whole lacks they need not be searched for
-        whole = F.transform(F.col(kind), lambda k: F.struct(k.alias("k"), _hit(k, text["all"], "words_all").alias("in_all")))
-        return F.transform(whole, lambda h: F.struct(
-            h["k"]["term"].alias("term"), h["k"]["keyword"].alias("keyword"), h["in_all"].alias("in_all"),
-            *[(h["in_all"] & _hit(h["k"], text[s], f"words_{s}")).alias(f"in_{s}") for s in SCOPES[1:]]))
 
-    return joined.select("resume_id", "job_id", tested("hard").alias("hard"), tested("soft").alias("soft"), *carried)
-
-
-def _whole_texts(resumes: DataFrame) -> DataFrame:
-    """(resume_id, text_all, summary_chars, skills_at, skills_chars): text_all begins with skills and tech stack and ends with the summary."""
-    skills, tech, bullets = (empty_if_null(F.col(c)) for c in ("skills", "tech_stack", "bullets"))
-    parts = resumes.select("resume_id", F.lower(F.concat_ws(" ", skills)).alias("s"), F.lower(F.concat_ws(" ", tech)).alias("t"),
-                           F.lower(F.concat_ws(" ", bullets)).alias("b"), F.lower(F.coalesce("summary", F.lit(""))).alias("m"),
-                           (F.size(skills) == 0).alias("no_s"), (F.size(tech) == 0).alias("no_t"))
-    gap = F.when(F.col("no_s") | F.col("no_t"), 0).otherwise(1)
-    return parts.select("resume_id", F.concat_ws(" ", "s", "t", "b", "m").alias("text_all"), F.length("m").alias("summary_chars"),
-                        F.when(F.col("no_s"), 2).otherwise(1).alias("skills_at"), (F.length("s") + F.length("t") + gap).alias("skills_chars"))
-
-
-def keyword_hits(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Long form: (resume_id, job_id, kind, pos, keyword, in_all, in_summary, in_skills)."""
-    hits = pair_keyword_hits(resumes, jobs, pairs)
+def keyword_hits(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, scopes: tuple[str, ...] = SCOPES) -> DataFrame:
+    """Long form: (resume_id, job_id, kind, pos, keyword, in_all, in_summary, in_skills), of the scopes that are wanted."""
+    hits = pair_keyword_hits(resumes, jobs, pairs, scopes=scopes)
 
     def side(kind: str) -> Column:
         return F.transform(F.col(kind), lambda h, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), h.alias("h")))
 
     return (
         hits.select("resume_id", "job_id", F.explode(F.concat(side("hard"), side("soft"))).alias("k"))
-        .select("resume_id", "job_id", "k.kind", "k.pos", "k.h.keyword", "k.h.in_all", "k.h.in_summary", "k.h.in_skills")
+        .select("resume_id", "job_id", "k.kind", "k.pos", "k.h.keyword", *[f"k.h.in_{s}" for s in scopes])
     )
 
 
@@ -203,18 +159,18 @@ def _share(part: Column, whole: Column) -> Column:
     return part / F.greatest(F.size(whole), F.lit(1))
 
 
-def keyword_match_score() -> Column:
-    hard, soft = F.col("hard"), F.col("soft")
+def keyword_match_score(hard: str = "hard", soft: str = "soft") -> Column:
+    hard, soft = F.col(hard), F.col(soft)
     points = _share(_count(hard, "in_all"), hard) * 20 + _share(_count(soft, "in_all"), soft) * 10
     return F.when((F.size(hard) == 0) & (F.size(soft) == 0), F.lit(R.NEUTRAL_KEYWORD_MATCH)).otherwise(
         F.least(F.bround(points, 1), F.lit(R.SIGNAL_MAX["keyword_match"])))
 
 
-def keyword_placement_score(keywords: int = R.PLACEMENT_KEYWORDS) -> Column:
+def keyword_placement_score(hard: str = "hard", keywords: int = R.PLACEMENT_KEYWORDS) -> Column:
     """Of the first keywords of the job, which the signal is about, the share in summary and skills."""
-    first = F.slice(F.col("hard"), 1, keywords)
+    first = F.slice(F.col(hard), 1, keywords)
     points = _share(_count(first, "in_summary"), first) * 8 + _share(_count(first, "in_skills"), first) * 7
-    return F.when(F.size("hard") == 0, F.lit(R.NEUTRAL_KEYWORD_PLACEMENT)).otherwise(
+    return F.when(F.size(hard) == 0, F.lit(R.NEUTRAL_KEYWORD_PLACEMENT)).otherwise(
         F.least(F.bround(points, 1), F.lit(R.SIGNAL_MAX["keyword_placement"])))
 
 
@@ -247,20 +203,27 @@ def most_missed(gap: DataFrame, k: int) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(by_count)).filter(F.col("rank") <= k)
 
 
-def verified_text(resumes: DataFrame) -> DataFrame:
+def verified_text() -> Column:
     """Lower-case text of a verified resume: summary, skills, tech stack, bullets."""
     parts = [F.concat_ws(" ", empty_if_null(F.col(c))) for c in ("skills", "tech_stack", "bullets")]
-    return resumes.select("resume_id", F.lower(F.concat_ws(" ", F.coalesce("summary", F.lit("")), *parts)).alias("text"))
+    return F.lower(F.concat_ws(" ", F.coalesce("summary", F.lit("")), *parts))
+
+
+def present(terms: Column, literals: str) -> Column:
+    """(pos, keyword) of the prepared terms that occur literally in the text of the row."""
+    found = F.transform(terms, lambda k, i: F.struct(i.alias("pos"), k["term"].alias("keyword"), k["keyword"].alias("low")))
+    return F.filter(found, lambda k: (k["low"] == "") | F.array_contains(F.col(literals), k["low"]))
 
 
 def keywords_present(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Hard keywords of the job that occur literally in the resume text: (resume_id, job_id, pos, keyword)."""
-    keywords = jobs.select("job_id", empty_if_null(F.col("hard_keywords")).alias("hard_keywords"))
-    joined = pairs.select("resume_id", "job_id").join(keywords, "job_id").join(verified_text(resumes), "resume_id")
-    present = F.filter(
-        F.transform("hard_keywords", lambda k, i: F.struct(i.alias("pos"), k.alias("keyword"))),
-        lambda s: F.contains(F.col("text"), F.lower(s["keyword"])))
-    return joined.select("resume_id", "job_id", F.explode(present).alias("p")).select(
+    prepared = prepared_jobs(jobs, {"hard": "hard_keywords"})
+    texts = resumes.select("resume_id", verified_text().alias("text_verified"))
+    known = written_dictionary(texts.select("text_verified"), keywords_of(prepared), forms=False)
+    index = text_index(texts, known, ("verified",)).select("resume_id", "literals_verified")
+    joined = pairs.select("resume_id", "job_id").join(prepared.drop("job_words"), "job_id").join(index, "resume_id").withColumn(
+        "literals_verified", F.array_intersect("job_terms", "literals_verified"))
+    return joined.select("resume_id", "job_id", F.explode(present(F.col("hard"), "literals_verified")).alias("p")).select(
         "resume_id", "job_id", "p.pos", "p.keyword")
 
 

@@ -9,10 +9,11 @@ from rolefit import refdata as R
 from rolefit.functions.text import empty_if_null, falsy_to_null
 
 
-def _with_norm(vectors: DataFrame, key: str, name: str) -> DataFrame:
+def vector_side(vectors: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, <name>_vec, <name>_length) in double precision."""
     vec = F.transform("embedding", lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x))
-    return vectors.select(key, vec.alias(f"{name}_vec"), norm.alias(f"{name}_norm"))
+    return vectors.select(key, vec.alias(f"{name}_vec"), norm.alias(f"{name}_length"))
 
 
 def semantic_match(resume_vecs: DataFrame, job_vecs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -20,22 +21,30 @@ def semantic_match(resume_vecs: DataFrame, job_vecs: DataFrame, pairs: DataFrame
 
     A model's judgement cannot be reproduced; this is a different, deterministic measure on the same pairs.
     """
-    r = _with_norm(resume_vecs, "resume_id", "r")
-    j = _with_norm(job_vecs, "job_id", "j")
+    r = vector_side(resume_vecs, "resume_id", "r")
+    j = vector_side(job_vecs, "job_id", "j")
+    return pairs.join(r, "resume_id").join(j, "job_id").select("resume_id", "job_id", match_score().alias("match_score"))
+
+
+def match_score() -> Column:
+    """The score of a pair row with both vectors; null where one is missing."""
     dot = F.aggregate(F.zip_with("r_vec", "j_vec", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    norms = F.col("r_norm") * F.col("j_norm")
+    norms = F.col("r_length") * F.col("j_length")
     cosine = F.when(norms > 0, dot / F.when(norms > 0, norms)).otherwise(0.0)
-    return pairs.join(r, "resume_id").join(j, "job_id").select(
-        "resume_id", "job_id", F.bround(F.greatest(cosine, F.lit(0.0)) * 100, 2).alias("match_score"))
+    return F.when(norms.isNotNull(), F.bround(F.greatest(cosine, F.lit(0.0)) * 100, 2))
+
+
+def uplifted(before: Column, raw_after: Column) -> Column:
+    """The match after a rewrite: never below the one before; estimated where it was not computed; null where neither was."""
+    estimate = F.when(before.isNotNull(), F.least(before + R.UPLIFT_STEP, F.lit(R.UPLIFT_CAP)))
+    return F.coalesce(F.when(raw_after.isNotNull(), F.greatest(raw_after, before)), estimate)
 
 
 def match_uplift(before: DataFrame, after: DataFrame) -> DataFrame:
     """(resume_id, job_id, match_before, match_after, match_delta). after may lack pairs; it never ends below before."""
     b = before.select("resume_id", "job_id", F.col("match_score").alias("match_before"))
     a = after.select("resume_id", "job_id", F.col("match_score").alias("raw_after"))
-    estimate = F.least(F.col("match_before") + R.UPLIFT_STEP, F.lit(R.UPLIFT_CAP))
-    result = F.coalesce(F.when(F.col("raw_after").isNotNull(), F.greatest("raw_after", "match_before")), estimate)
-    return (b.join(a, ["resume_id", "job_id"], "full").withColumn("match_after", result)
+    return (b.join(a, ["resume_id", "job_id"], "full").withColumn("match_after", uplifted(F.col("match_before"), F.col("raw_after")))
             .select("resume_id", "job_id", "match_before", "match_after",
                     F.bround(F.col("match_after") - F.col("match_before"), 2).alias("match_delta")))
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolefit import refdata as R
+from rolefit.operators.flags import acknowledged_flags, missing_certs
+from rolefit.operators.verify import section_list
 
 PAIR = ["resume_id", "job_id"]
 LIMITS = {**R.SIGNAL_MAX, "total": 100.0}
@@ -17,11 +19,14 @@ def score_delta_report(before: DataFrame, after: DataFrame) -> DataFrame:
 
     The two score tables meet once per pair, before they are turned into rows.
     """
+    return delta_rows(before.select(*PAIR, *LIMITS).join(after.select(*PAIR, *[F.col(s).alias(f"{s}_after") for s in LIMITS]), PAIR))
+
+
+def delta_rows(rows: DataFrame) -> DataFrame:
+    """The same of pair rows that hold the signals and, named with _after, those after the rewrite."""
     limit = F.coalesce(*[F.when(F.col("signal") == s, m) for s, m in LIMITS.items()])
-    wide = before.select(*PAIR, F.struct(*LIMITS).alias("b")).join(after.select(*PAIR, F.struct(*LIMITS).alias("a")), PAIR)
-    rows = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(f"b.{s}").alias("before"), F.col(f"a.{s}").alias("after"))
-                               for s in LIMITS]))
-    return (wide.select(*PAIR, rows.alias("r")).select(*PAIR, "r.*")
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("before"), F.col(f"{s}_after").alias("after")) for s in LIMITS]))
+    return (rows.select(*PAIR, each.alias("r")).select(*PAIR, "r.*")
             .select(*PAIR, "signal", limit.alias("max_points"), "before", "after",
                     F.bround(F.col("after") - F.col("before"), 1).alias("delta")))
 
@@ -33,49 +38,26 @@ def score_delta_means(report: DataFrame) -> DataFrame:
         F.bround(F.avg("after"), 3).alias("mean_after")).filter("signal IS NOT NULL"))
 
 
-def analysis_table(context: DataFrame, scores: DataFrame, match: DataFrame, flags: DataFrame, skills: DataFrame,
-                   missing: DataFrame) -> DataFrame:
-    """One row per pair: match, score breakdown, flags, skills, years, domains and missing certifications.
+def analysis_table(rows: DataFrame) -> DataFrame:
+    """Match, score breakdown, flags, skills, years, domains and missing certifications of pair rows that hold the columns of both sides, the signals,
+    match_score, flags and items."""
+    return rows.select(
+        *PAIR, "match_score", *R.SIGNAL_MAX, "total", F.col("r_years").alias("experience_candidate"), F.col("j_min").alias("experience_required_min"),
+        F.col("j_max").alias("experience_required_max"), F.col("r_domain").alias("domain_candidate"), F.col("j_domain").alias("domain_job"),
+        F.col("j_certs").alias("required_certifications"), F.when(F.size(missing_certs()) > 0, missing_certs()).alias("missing_certifications"),
+        F.when(F.size("flags") > 0, F.col("flags")).alias("flags"), F.when(F.size("items") > 0, F.sort_array("items")).alias("skills"))
 
-    context is flags.pair_context; flags, skills and missing are the long tables of their operators.
-    """
-    flag_list = flags.groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct("ord", "flag_type", "category", "title"))).alias("flags"))
-    skill_list = skills.groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct("skill", "status", "related_skill"))).alias("skills"))
-    lacking = missing.groupBy(*PAIR).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "certification"))), lambda m: m["certification"]).alias("missing_certifications"))
-    facts = context.select(
-        *PAIR, F.col("r_years").alias("experience_candidate"), F.col("j_min").alias("experience_required_min"),
-        F.col("j_max").alias("experience_required_max"), F.col("r_domain").alias("domain_candidate"),
-        F.col("j_domain").alias("domain_job"), F.col("j_certs").alias("required_certifications"))
-    out = facts
-    for part in (match, scores, flag_list, skill_list, lacking):
-        out = out.join(part, PAIR, "left")
-    return out
-
-
-def outcome_table(before: DataFrame, after: DataFrame, match: DataFrame, added: DataFrame, injected: DataFrame,
-                  sections: DataFrame, gaps: DataFrame, suggestions: DataFrame) -> DataFrame:
-    """Final row per pair. added: (pair, skill), injected: (pair, keyword), gaps: (pair, ord, title), suggestions of the rewrite:
-    (resume_id, ord, suggestion)."""
-    def gathered(df: DataFrame, value: str, name: str, order: str | None = None) -> DataFrame:
-        if order is None:
-            return df.groupBy(*PAIR).agg(F.array_sort(F.collect_set(value)).alias(name))
-        return df.groupBy(*PAIR).agg(F.transform(
-            F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value]).alias(name))
-
-    out = before.select(*PAIR, F.col("total").alias("score_before")).join(
-        after.select(*PAIR, F.col("total").alias("score_after")), PAIR)
-    for part in (match.drop("match_delta"), gathered(added, "skill", "skills_added"),
-                 gathered(injected, "keyword", "keywords_injected"),
-                 sections.withColumnRenamed("sections", "sections_rewritten"), gathered(gaps, "title", "known_gaps", "ord")):
-        out = out.join(part, PAIR, "left")
-    advice = suggestions.groupBy("resume_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("ord", "suggestion"))), lambda s: s["suggestion"]).alias("suggestions"))
-    out = out.join(advice, "resume_id", "left")
+
+def outcome_table(rows: DataFrame) -> DataFrame:
+    """Final row per pair: scores and match before and after, skills added, keywords injected, sections rewritten, known gaps, suggestions. rows are pair rows
+    with both totals, match_before, match_after, decisions, terms_before and terms_after (keywords present), changed sections, flags and suggestions."""
     none = F.array().cast("array<string>")
-    for c in ("skills_added", "keywords_injected", "sections_rewritten", "known_gaps", "suggestions"):
-        out = out.withColumn(c, F.coalesce(c, none))
-    return out
+    added = F.transform(F.filter("decisions", lambda d: d["add"]), lambda d: d["skill"])
+    lists = {"skills_added": F.sort_array(F.array_distinct(added)), "keywords_injected": F.sort_array(F.array_except("terms_after", "terms_before")),
+             "sections_rewritten": F.when(F.col("summary_changed").isNotNull() | F.col("bullets_changed").isNotNull(), section_list()),
+             "known_gaps": F.transform(acknowledged_flags(), lambda f: f["title"]), "suggestions": F.col("suggestions")}
+    return rows.select(*PAIR, F.col("total").alias("score_before"), F.col("total_after").alias("score_after"), "match_before", "match_after",
+                       *[F.coalesce(c, none).alias(name) for name, c in lists.items()])
 
 
 def write_report(df: DataFrame, path: str, by: str | None = None, mode: str = "overwrite") -> None:

@@ -126,13 +126,13 @@ def health_by_source(docs: DataFrame) -> DataFrame:
 SIGNALS = tuple(R.SIGNAL_MAX)
 
 
-def _total() -> Column:
+def _total(suffix: str = "") -> Column:
     """Sum of the signals, added up in the order the report lists them."""
     order = ("keyword_match", "section_completeness", "format_parsability", "keyword_placement", "date_consistency",
              "file_health")
     total = F.lit(0.0)
     for signal in order:
-        total = total + F.col(signal)
+        total = total + F.col(f"{signal}{suffix}")
     return F.bround(total, 1)
 
 
@@ -142,43 +142,59 @@ def _filled(scores: DataFrame) -> DataFrame:
                            "format_parsability": R.UNREADABLE_FORMAT, "file_health": 0.0})
 
 
-def score_pairs(resumes: DataFrame, header: DataFrame, history: DataFrame, education: DataFrame, doc_facts: DataFrame,
-                section_facts: DataFrame, jobs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Six signals and total per pair.
-
-    The four per-resume signals are computed once per resume, not per pair, and meet the pairs on the same key. A resume that one of the
-    tables lacks keeps its pairs.
-    """
+def resume_facts(header: DataFrame, history: DataFrame, education: DataFrame, doc_facts: DataFrame, section_facts: DataFrame) -> DataFrame:
+    """The four signals that depend on the resume alone, one row per resume that any of the tables has."""
     facts = doc_facts.withColumnRenamed("doc_id", "resume_id")
-    per_resume = (
+    return (
         section_completeness(header, history, education)
         .join(date_consistency(header, history), "resume_id", "full")
         .join(format_parsability(doc_facts, section_facts).withColumnRenamed("doc_id", "resume_id"), "resume_id", "full")
         .join(text_health(facts, key="resume_id"), "resume_id", "full")
     )
-    scores = _filled(K.keyword_scores(K.pair_keyword_hits(resumes, jobs, pairs, per_resume)))
-    return scores.withColumn("total", _total()).select("resume_id", "job_id", *SIGNALS, "total")
 
 
-def score_rewrites(rewrites: DataFrame, header: DataFrame, history: DataFrame, education: DataFrame, jobs: DataFrame,
-                   pairs: DataFrame) -> DataFrame:
-    """Score of rewritten resumes: contact data and education of the original, format and health at their maximum.
-
-    history holds the rewritten entries; those without title or company do not count.
-    """
+def rewrite_facts(rewrites: DataFrame, header: DataFrame, history: DataFrame, education: DataFrame) -> DataFrame:
+    """The same of rewritten resumes: contact data and education of the original, format and health at their maximum. history holds the rewritten
+    entries; those without title or company do not count."""
     entries = history.filter(F.col("title").isNotNull() & F.col("company").isNotNull())
     texts = rewrites.select("resume_id", F.coalesce("summary", F.lit("")).alias("summary"), "skills")
     contact = texts.join(header.select("resume_id", "full_name", "email", "phone"), "resume_id", "left")
-    per_resume = (
+    return (
         section_completeness(contact, entries, education)
         .join(date_consistency(contact, entries), "resume_id")
         .withColumn("format_parsability", F.lit(R.SIGNAL_MAX["format_parsability"]))
         .withColumn("file_health", F.lit(R.SIGNAL_MAX["file_health"]))
     )
+
+
+def score_pairs(resumes: DataFrame, header: DataFrame, history: DataFrame, education: DataFrame, doc_facts: DataFrame,
+                section_facts: DataFrame, jobs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Six signals and total per pair.
+
+    The four per-resume signals are computed once per resume, not per pair, and meet the pairs on the same key. A resume that one of the
+    tables lacks keeps its pairs.
+    """
+    per_resume = resume_facts(header, history, education, doc_facts, section_facts)
+    scores = _filled(K.keyword_scores(K.pair_keyword_hits(resumes, jobs, pairs, per_resume)))
+    return scores.withColumn("total", _total()).select("resume_id", "job_id", *SIGNALS, "total")
+
+
+def score_rewrites(rewrites: DataFrame, header: DataFrame, history: DataFrame, education: DataFrame, jobs: DataFrame,
+                   pairs: DataFrame) -> DataFrame:
+    """Score of rewritten resumes, see rewrite_facts."""
+    per_resume = rewrite_facts(rewrites, header, history, education)
     scores = _filled(K.keyword_scores(K.pair_keyword_hits(rewrites, jobs, pairs, per_resume)))
     return scores.withColumn("total", _total()).select("resume_id", "job_id", *SIGNALS, "total")
 
 
+def scored(rows: DataFrame, hard: str, soft: str, suffix: str = "") -> DataFrame:
+    """Pair rows with tested keywords and per-resume signals (named with the suffix): the six signals and total<suffix> in their place."""
+    empty = {"section_completeness": 0.0, "date_consistency": R.NEUTRAL_DATES, "format_parsability": R.UNREADABLE_FORMAT, "file_health": 0.0}
+    rows = rows.withColumns({f"keyword_match{suffix}": K.keyword_match_score(hard, soft), f"keyword_placement{suffix}": K.keyword_placement_score(hard),
+                             **{f"{c}{suffix}": F.coalesce(F.col(f"{c}{suffix}"), F.lit(v)) for c, v in empty.items()}})
+    return rows.withColumn(f"total{suffix}", _total(suffix))
+
+
 def rank_pairs(scores: DataFrame, k: int, by: str = "resume_id", score: str = "total") -> DataFrame:
     """Best k counterparts per resume (by='resume_id') or per job (by='job_id'); ties by the other key."""
     other = "job_id" if by == "resume_id" else "resume_id"

@@ -12,51 +12,68 @@ from rolefit.operators.keywords import pair_keyword_hits
 PAIR = ["resume_id", "job_id"]
 
 
-def _job_skills(jobs: DataFrame) -> DataFrame:
+def job_skills() -> Column:
+    """The distinct skills of a job row in order: required_skills, then technologies."""
     wanted = F.array_distinct(F.concat(empty_if_null(F.col("required_skills")), empty_if_null(F.col("technologies"))))
-    return jobs.select("job_id", F.filter(wanted, lambda s: strip(s) != "").alias("skills"))
+    return F.filter(wanted, lambda s: strip(s) != "")
+
+
+def own_groups(resumes: DataFrame, related: DataFrame) -> DataFrame:
+    """(resume_id, own_by_group): of each related-skill group the first own skill by name."""
+    listed = resumes.select("resume_id", F.explode(F.array_distinct(F.concat(
+        empty_if_null(F.col("skills")), empty_if_null(F.col("tech_stack"))))).alias("own"))
+    every = (listed.join(related, F.lower("own") == F.col("skill"))
+             .groupBy("resume_id").agg(F.sort_array(F.collect_set(F.struct("skill_group", "own"))).alias("g")))
+    first = F.filter("g", lambda x, i: (i == 0) | (F.get("g", i - 1)["skill_group"] != x["skill_group"]))
+    return every.select("resume_id", F.map_from_entries(first).alias("own_by_group"))
+
+
+def job_groups(wanted: DataFrame, related: DataFrame) -> DataFrame:
+    """(job_id, groups): (pos, skill_group) of the skills of each job that are in a group. wanted: (job_id, skills)."""
+    return (wanted.select("job_id", F.posexplode("skills").alias("pos", "term")).join(related, F.lower("term") == F.col("skill"))
+            .groupBy("job_id").agg(F.collect_set(F.struct("pos", "skill_group")).alias("groups")))
+
+
+def skill_items(tested: str = "skills") -> Column:
+    """(skill, status, related_skill) of a pair row's tested skills, with its groups and own_by_group. matched: in the skill lists; can_add: only elsewhere
+    in the resume; partial: the resume lists a skill of the same related-skill group; missing otherwise."""
+    def item(h: Column, i: Column) -> Column:
+        same = F.filter("groups", lambda g: g["pos"] == i)
+        near = F.array_min(F.transform(same, lambda g: F.try_element_at(F.col("own_by_group"), g["skill_group"])))
+        status = F.when(h["in_skills"], "matched").when(h["in_all"], "can_add").when(near.isNotNull(), "partial").otherwise("missing")
+        return F.struct(h["term"].alias("skill"), status.alias("status"), F.when(~h["in_all"], near).alias("related_skill"))
+
+    return F.transform(F.col(tested), item)
 
 
 def skill_breakdown(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, related: DataFrame) -> DataFrame:
     """(resume_id, job_id, skill, status, related_skill) for the distinct skills of each job.
 
-    matched: in the skill lists; can_add: only elsewhere in the resume; partial: the resume lists a skill of the same
-    related-skill group; missing otherwise. related is a table (skill, skill_group) of lower-case skills.
+    related is a table (skill, skill_group) of lower-case skills.
     A deterministic stand-in for a model's judgement: a table of inferred statuses of this schema can replace it.
     """
-    wanted = _job_skills(jobs)
+    wanted = jobs.select("job_id", job_skills().alias("skills"))
     as_keywords = wanted.select("job_id", F.col("skills").alias("hard_keywords"),
                                 F.array().cast("array<string>").alias("soft_keywords"))
-    listed = resumes.select("resume_id", F.explode(F.array_distinct(F.concat(
-        empty_if_null(F.col("skills")), empty_if_null(F.col("tech_stack"))))).alias("own"))
-    resume_groups = (listed.join(related, F.lower("own") == F.col("skill"))
-                     .groupBy("resume_id", "skill_group").agg(F.min("own").alias("own"))
-                     .groupBy("resume_id").agg(F.map_from_entries(F.collect_list(F.struct("skill_group", "own"))).alias("own_by_group")))
-    job_groups = (wanted.select("job_id", F.posexplode("skills").alias("pos", "term"))
-                  .join(related, F.lower("term") == F.col("skill"), "left")
-                  .groupBy("job_id", "pos").agg(F.collect_set("skill_group").alias("groups"))
-                  .groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "groups"))),
-                                                     lambda g: g["groups"]).alias("groups")))
+    per_resume = resumes.select("resume_id").join(own_groups(resumes, related), "resume_id", "left")
+    joined = pair_keyword_hits(resumes, as_keywords, pairs, per_resume, ("all", "skills")).join(job_groups(wanted, related), "job_id", "left")
+    return exploded_items(joined.select(*PAIR, skill_items("hard").alias("items")))
+
+
+def exploded_items(rows: DataFrame) -> DataFrame:
+    return rows.select(*PAIR, F.explode("items").alias("i")).select(*PAIR, "i.skill", "i.status", "i.related_skill")
 
-    def item(h: Column, i: Column) -> Column:
-        near = F.array_min(F.transform(F.get("groups", i), lambda g: F.try_element_at(F.col("own_by_group"), g)))
-        return F.struct(h["term"].alias("skill"), h["in_skills"].alias("listed"), h["in_all"].alias("told"), near.alias("near"))
 
-    per_resume = resumes.select("resume_id").join(resume_groups, "resume_id", "left")
-    joined = pair_keyword_hits(resumes, as_keywords, pairs, per_resume).join(job_groups, "job_id", "left")
-    status = (F.when(F.col("i.listed"), "matched").when(F.col("i.told"), "can_add")
-              .when(F.col("i.near").isNotNull(), "partial").otherwise("missing"))
-    return (joined.select(*PAIR, F.explode(F.transform("hard", item)).alias("i"))
-            .select(*PAIR, "i.skill", status.alias("status"), F.when(~F.col("i.told"), F.col("i.near")).alias("related_skill")))
+def skill_summary(rows: DataFrame) -> DataFrame:
+    """Skills per status and decisions to add and to skip, for every pair row with items and decisions (skill, add); an add of null is no decision."""
+    def counted(array: str, test) -> Column:
+        return F.size(F.filter(array, test)).cast("long")
 
+    def with_status(name: str) -> Column:
+        return counted("items", lambda i: i["status"] == name).alias(name)
 
-def skill_summary(pairs: DataFrame, items: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Skills per status and decisions to add and to skip, for every pair. decisions: (resume_id, job_id, skill, add); an
-    add of null is no decision."""
-    counts = items.groupBy(*PAIR).pivot("status", list(R.SKILL_STATUSES)).agg(F.count(F.lit(1)))
-    chosen = decisions.groupBy(*PAIR).agg(F.count(F.when(F.col("add"), 1)).alias("n_add"),
-                                          F.count(F.when(~F.col("add"), 1)).alias("n_skip"))
-    return pairs.select(*PAIR).join(counts, PAIR, "left").join(chosen, PAIR, "left").na.fill(0)
+    return rows.select(*PAIR, *[with_status(name) for name in R.SKILL_STATUSES],
+                       counted("decisions", lambda d: d["add"]).alias("n_add"), counted("decisions", lambda d: ~d["add"]).alias("n_skip"))
 
 
 def _merged(existing: Column, added: Column) -> Column:
@@ -67,16 +84,10 @@ def _merged(existing: Column, added: Column) -> Column:
     return F.concat(existing, new)
 
 
-def skill_merge(resumes: DataFrame, pairs: DataFrame, additions: DataFrame) -> DataFrame:
-    """(resume_id, job_id, skills, tech_stack) of every pair with its additions; additions: (resume_id, job_id, ord, skill)."""
-    added = additions.groupBy(*PAIR).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", "skill"))), lambda s: s["skill"]).alias("added"))
-    lists = resumes.select("resume_id", empty_if_null(F.col("skills")).alias("skills"),
-                           empty_if_null(F.col("tech_stack")).alias("tech_stack"))
-    every = pairs.select(*PAIR).join(added, PAIR, "left").withColumn("added", empty_if_null(F.col("added")))
-    return every.join(lists, "resume_id").select(
-        *PAIR, _merged(F.col("skills"), F.col("added")).alias("skills"),
-        _merged(F.col("tech_stack"), F.col("added")).alias("tech_stack"))
+def skill_merge(rows: DataFrame) -> DataFrame:
+    """(resume_id, job_id, skills, tech_stack) of pair rows with their additions in order (added) and the lists of the resume (own_skills, own_tech)."""
+    added, none = empty_if_null(F.col("added")), F.array().cast("array<string>")
+    return rows.select(*PAIR, _merged(F.coalesce("own_skills", none), added).alias("skills"), _merged(F.coalesce("own_tech", none), added).alias("tech_stack"))
 
 
 def category_lines(entries: DataFrame) -> DataFrame:

@@ -204,23 +204,29 @@ def revert_apply(original: DataFrame, rewritten: DataFrame, scoped: DataFrame) -
 
 
 # --- H6 ---------------------------------------------------------------------------------------------------------------
-def sections_changed(original: DataFrame, verified: DataFrame, confirmations: DataFrame) -> DataFrame:
-    """(resume_id, job_id, sections): what really changed among the sections the reviewer switched on, in order.
-
-    The units of both versions meet on their key, and only whether any differs is carried on; a unit of one version alone differs.
-    """
+def changed_units(original: DataFrame, verified: DataFrame) -> DataFrame:
+    """(resume_id, summary_changed, bullets_changed). The units of both versions meet on their key, and only whether any differs is carried on; a unit of one
+    version alone differs."""
     def side(units: DataFrame, name: str) -> DataFrame:
         return units.filter("section IN ('summary', 'experience')").select(*UNIT, F.col("text").alias(name))
 
     differs = ~F.col("old").eqNullSafe(F.col("new"))
-    shapes = side(original, "old").join(side(verified, "new"), UNIT, "full").groupBy("resume_id").agg(
+    return side(original, "old").join(side(verified, "new"), UNIT, "full").groupBy("resume_id").agg(
         F.bool_or((F.col("section") == "summary") & differs).alias("summary_changed"),
         F.bool_or((F.col("section") == "experience") & differs).alias("bullets_changed"))
-    sections = F.array_compact(F.array(
+
+
+def section_list() -> Column:
+    """What really changed among the sections the reviewer switched on, in order, of a row with both."""
+    return F.array_compact(F.array(
         F.when(F.col("rewrite_summary") & F.col("summary_changed"), "Summary"),
         F.when(F.col("rewrite_bullets") & F.col("bullets_changed"), "Experience"),
         F.when(F.col("reorder_sections"), "Section Order")))
-    return confirmations.join(shapes, "resume_id").select("resume_id", "job_id", sections.alias("sections"))
+
+
+def sections_changed(original: DataFrame, verified: DataFrame, confirmations: DataFrame) -> DataFrame:
+    """(resume_id, job_id, sections), see section_list."""
+    return confirmations.join(changed_units(original, verified), "resume_id").select("resume_id", "job_id", section_list().alias("sections"))
 
 
 def section_counts(changed: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from rolefit.operators import signals as S
 from rolefit.operators import skills as SK
 from rolefit.operators import verify as V
 from rolefit.plans import scoring
+from rolefit.plans.spine import pair_rows, scoped_flags, verified_units
 from rolefit.sources.adapters import Views
 from rolefit.sources.corpus import decode_utf8, read_text_corpus, work_folder
 from rolefit.streaming import sessions as ST
@@ -83,14 +84,14 @@ query("b6_contact_restore")(lambda v: B.contact_restore(v.blanked_candidates, v.
 # --- keywords ------------------------------------------------------------------------------------------------------
 query("c1_token_index")(lambda v: K.token_index(v.resumes))
 query("c2_variant_index")(lambda v: K.variant_index(K.job_keywords(v.jobs)))
-query("c3_keyword_hits")(lambda v: K.keyword_hits(v.resumes, v.jobs, v.pairs))
-query("c4_keyword_match")(lambda v: K.keyword_match(scoring.pair_hits(v)))
+query("c3_keyword_hits")(lambda v: K.keyword_hits(v.keyed_resumes, v.jobs, v.pairs))
+query("c4_keyword_match")(lambda v: K.keyword_match(scoring.pair_hits(v, ("all",))))
 query("c5_keyword_placement")(lambda v: K.keyword_placement(scoring.pair_hits(v)))
-query("c6_keyword_gap")(lambda v: K.keyword_gap(K.keyword_hits(v.resumes, v.jobs, v.pairs)))
-query("c6_most_missed")(lambda v: K.most_missed(K.keyword_gap(K.keyword_hits(v.resumes, v.jobs, v.pairs)), 5))
+query("c6_keyword_gap")(lambda v: K.keyword_gap(K.keyword_hits(v.keyed_resumes, v.jobs, v.pairs, ("all",))))
+query("c6_most_missed")(lambda v: K.most_missed(K.keyword_gap(K.keyword_hits(v.keyed_resumes, v.jobs, v.pairs, ("all",))), 5))
 query("c7_keywords_present")(lambda v: K.keywords_present(v.rewritten_resumes, v.jobs, v.pairs))
 query("c7_keywords_injected")(lambda v: K.keywords_injected(
-    K.keywords_present(v.resumes, v.jobs, v.pairs), K.keywords_present(v.rewritten_resumes, v.jobs, v.pairs)))
+    K.keywords_present(v.keyed_resumes, v.jobs, v.pairs), K.keywords_present(v.rewritten_resumes, v.jobs, v.pairs)))
 
 # --- signals ---------------------------------------------------------------------------------------------------------
 query("d1_section_completeness")(lambda v: S.section_completeness(v.candidates, v.history, v.education))
@@ -121,53 +122,40 @@ query("e1_flag_experience")(lambda v: E.flag_experience(context(v)))
 query("e2_domain_tiers")(lambda v: similarity(v).select(
     "domain_a", "domain_b", "tier", F.when(F.col("tier") != "fuzzy", F.col("similarity")).alias("similarity")))
 query("e2_domain_similarity")(similarity)
-query("e3_flag_domain")(lambda v: E.flag_domain(context(v), similarity(v)))
+query("e3_flag_domain")(lambda v: E.flag_domain(context(v)))
 query("e4_flag_seniority")(lambda v: E.flag_seniority(context(v)))
 query("e5_flag_certifications")(lambda v: E.flag_certifications(context(v)).drop("item_ord"))
 query("e5_missing_certifications")(lambda v: E.missing_certifications(context(v)))
 query("e6_flag_location")(lambda v: E.flag_location(context(v)))
 query("e7_flag_notice")(lambda v: E.flag_notice(context(v)))
 query("e8_flags_all")(lambda v: E.run_flags(context(v)))
-query("e8_flags_with_domain")(lambda v: E.run_flags(context(v), similarity(v)))
+query("e8_flags_with_domain")(lambda v: E.run_flags(context(v), domains=True))
 
 
 # --- gate, skills ------------------------------------------------------------------------------------------------------
 def skill_items(v: Views) -> DataFrame:
-    return SK.skill_breakdown(v.resumes, v.skill_jobs, v.pairs, v.related_skills)
-
-
-def pair_flags(v: Views) -> DataFrame:
-    """All flags of the pairs, the domain included."""
-    context = E.pair_context(v.candidates, v.postings, v.pairs)
-    return E.run_flags(context, E.domain_similarity(E.domain_pairs(context)))
+    return SK.skill_breakdown(v.keyed_resumes, v.skill_jobs, v.pairs, v.related_skills)
 
 
 def entries(v: Views) -> DataFrame:
     return AL.entry_segment(v.lines)
 
 
-@query("e9_flag_gate")
-def _flag_gate(v: Views) -> DataFrame:
-    items = skill_items(v)
-    return E.flag_gate(v.pairs, pair_flags(v), items, v.confirmations, v.decisions_of(items))
-
-
-query("e9_known_gaps")(lambda v: E.known_gaps(pair_flags(v), v.confirmations))
+query("e9_flag_gate")(lambda v: E.flag_gate(pair_rows(v, "flags", "skills")))
+query("e9_known_gaps")(lambda v: E.known_gaps(pair_rows(v, "flags")))
 query("f1_skill_breakdown")(skill_items)
-query("f2_skill_summary")(lambda v: SK.skill_summary(v.pairs, skill_items(v), v.decisions_of(skill_items(v))))
+query("f2_skill_summary")(lambda v: SK.skill_summary(pair_rows(v, "skills")))
 
 
-def additions(v: Views) -> DataFrame:
+@query("f3_skill_merge")
+def _merge(v: Views) -> DataFrame:
     """Approved skills by name, then the keywords of the job that the rewritten resume contains."""
-    approved = v.decisions_of(skill_items(v)).filter("add").select(
-        "resume_id", "job_id", F.struct(F.lit(0).alias("kind"), F.lit(0).alias("pos"), "skill").alias("ord"), "skill")
-    present = K.keywords_present(v.rewritten_resumes, v.jobs, v.pairs).withColumnRenamed("keyword", "skill")
-    return approved.unionByName(present.select(
-        "resume_id", "job_id", F.struct(F.lit(1).alias("kind"), "pos", "skill").alias("ord"), "skill"))
+    rows = pair_rows(v, "skills", "after", "lists")
+    approved = F.sort_array(F.transform(F.filter("decisions", lambda d: d["add"]), lambda d: d["skill"]))
+    rows = rows.withColumn("added", F.concat(approved, F.coalesce("terms_after", F.array().cast("array<string>"))))
+    return SK.skill_merge(rows).select("resume_id", "job_id", F.array_join("skills", "|").alias("skills"), F.array_join("tech_stack", "|").alias("tech_stack"))
 
 
-query("f3_skill_merge")(lambda v: SK.skill_merge(v.resumes, v.pairs, additions(v)).select(
-    "resume_id", "job_id", F.array_join("skills", "|").alias("skills"), F.array_join("tech_stack", "|").alias("tech_stack")))
 query("f4_skill_route")(lambda v: SK.skill_route(SK.category_lines(entries(v)), v.new_skills))
 query("f4_routed_lines")(lambda v: SK.routed_lines(SK.skill_route(SK.category_lines(entries(v)), v.new_skills)))
 query("f5_category_lines")(lambda v: SK.category_lines(entries(v)).select("doc_id", "pos.page", "pos.block", "pos.entry", "text"))
@@ -199,10 +187,6 @@ def changes(v: Views) -> DataFrame:
     return V.change_map(v.unit_pairs)
 
 
-def scoped_flags(v: Views) -> DataFrame:
-    return V.revert_scope(v.original_units, v.rewritten_units, v.guard_flags, v.verdicts, v.approved)
-
-
 def item_facts(records: DataFrame) -> DataFrame:
     """Technologies, certifications, degrees and institutions of records that list them."""
     kinds = {"skills": "technology", "certifications": "certification", "degrees": "degree", "institutions": "institution"}
@@ -210,10 +194,6 @@ def item_facts(records: DataFrame) -> DataFrame:
     return facts[0].unionByName(facts[1]).unionByName(facts[2]).unionByName(facts[3])
 
 
-def verified_units(v: Views) -> DataFrame:
-    return V.revert_apply(v.original_units, v.rewritten_units, scoped_flags(v))
-
-
 query("h1_change_map")(lambda v: changes(v).select(
     "resume_id", F.col("ord.s").alias("section_ord"), "ord.bullet_idx", "ord.form", "key", "new_text"))
 query("h2_change_dedupe")(lambda v: V.change_dedupe(changes(v)).select("resume_id", "norm", "key", "new_text"))
@@ -258,27 +238,25 @@ query("i7_template_merge")(lambda v: AL.template_merge(v.templates, B.placeholde
 query("i7_unresolved_tokens")(lambda v: AL.unresolved_tokens(v.templates, B.placeholder_rows(v.nested_resumes)))
 
 # --- reports -----------------------------------------------------------------------------------------------------------
-query("j1_score_delta_report")(lambda v: J.score_delta_report(scoring.scores_before(v), scoring.scores_after(v)))
-query("j1_score_delta_means")(lambda v: J.score_delta_means(J.score_delta_report(scoring.scores_before(v), scoring.scores_after(v))))
+query("j1_score_delta_report")(lambda v: J.delta_rows(pair_rows(v, "scores", "scores_after")))
+query("j1_score_delta_means")(lambda v: J.score_delta_means(J.delta_rows(pair_rows(v, "scores", "scores_after"))))
 
 
 @query("j2_outcome_table")
 def _outcome(v: Views) -> DataFrame:
-    out = J.outcome_table(
-        scoring.scores_before(v), scoring.scores_after(v), M.match_uplift(match_before(v), match_after(v)),
-        v.decisions_of(skill_items(v)).filter("add"),
-        K.keywords_injected(K.keywords_present(v.resumes, v.jobs, v.pairs), K.keywords_present(v.rewritten_resumes, v.jobs, v.pairs)),
-        V.sections_changed(v.original_units, verified_units(v), v.confirmations),
-        E.known_gaps(pair_flags(v), v.confirmations), v.suggestions)
+    rows = pair_rows(v, "flags", "skills", "scores", "scores_after", "match", "outcome")
+    # after the rewrite: a mirrored score for the pairs that matched at all, nothing for the others
+    rows = rows.withColumn("match_before", F.col("match_score")).withColumn(
+        "match_after", M.uplifted(F.col("match_before"), F.when(F.col("match_before") > 0, F.bround(100 - F.col("match_before"), 2))))
+    out = J.outcome_table(rows)
     lists = ("skills_added", "keywords_injected", "sections_rewritten", "known_gaps", "suggestions")
     return out.select(*[c for c in out.columns if c not in lists], *[F.array_join(c, "|").alias(c) for c in lists])
 
 
 @query("j3_analysis_table")
 def _analysis(v: Views) -> DataFrame:
-    context = E.pair_context(v.candidates, v.postings, v.pairs)
-    out = J.analysis_table(context, scoring.scores_before(v), match_before(v), pair_flags(v), skill_items(v),
-                           E.missing_certifications(context))
+    rows = pair_rows(v, "flags", "skills", "scores", "match").filter("r_known AND j_known")
+    out = J.analysis_table(rows)
     return out.select(
         "resume_id", "job_id", "match_score", *S.SIGNALS, "total", "experience_candidate", "experience_required_min",
         "experience_required_max", "domain_candidate", "domain_job",

@@ -9,12 +9,12 @@ from rolefit.operators import signals as S
 from rolefit.sources.adapters import Views
 
 
-def pair_hits(v: Views) -> DataFrame:
-    return K.pair_keyword_hits(v.resumes, v.jobs, v.pairs)
+def pair_hits(v: Views, scopes: tuple[str, ...] = K.SCOPES) -> DataFrame:
+    return K.pair_keyword_hits(v.keyed_resumes, v.jobs, v.pairs, scopes=scopes)
 
 
 def scores_before(v: Views) -> DataFrame:
-    return _scores(v, v.resumes, v.documents)
+    return _scores(v, v.keyed_resumes, v.documents)
 
 
 def scores_of(v: Views, documents: DataFrame) -> DataFrame:

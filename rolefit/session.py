@@ -12,7 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # text work is heavy for its bytes: smaller splits than the default
+    # text and pair work is heavy for its bytes: smaller splits than the default, and small shuffles keep to all cores
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.files.maxPartitionBytes": str(64 << 20),
     # state of the streaming jobs lives outside the JVM heap
     "spark.sql.streaming.stateStore.providerClass":

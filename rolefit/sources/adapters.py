@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolefit.sources.corpus import read_table
@@ -31,8 +31,8 @@ class Views:
             "doc_id AS resume_id", "lang", "source", "text AS raw_text",
             r"split(text, '\n')[0] AS summary",
             r"filter(split(text, '\n'), (l, i) -> i > 0 AND trim(l) <> '') AS bullets",
-            "array_sort(array_distinct(regexp_extract_all(lower(text), '[a-z]{7,}', 0))) AS skills",
-            "array_sort(array_distinct(regexp_extract_all(lower(text), '[a-z]{10,}', 0))) AS tech_stack",
+            "sort_array(array_distinct(regexp_extract_all(lower(text), '[a-z]{7,}', 0))) AS skills",
+            "sort_array(array_distinct(regexp_extract_all(lower(text), '[a-z]{10,}', 0))) AS tech_stack",
         )
 
     @cached_property
@@ -40,16 +40,25 @@ class Views:
         """The resume table: a projection of the documents, of which a plan reads the columns that it needs."""
         return self.resumes_of(self.documents)
 
+    @cached_property
+    def keyed_documents(self) -> DataFrame:
+        """The documents dealt out by key, for plans whose resumes meet pairs: a text travels once, and what is derived from it stays where it is."""
+        return self.documents.repartition("doc_id")
+
+    @cached_property
+    def keyed_resumes(self) -> DataFrame:
+        return self.resumes_of(self.keyed_documents)
+
     @cached_property
     def jobs(self) -> DataFrame:
         none = "CAST(array() AS ARRAY<STRING>)"
         return self.table("benchmark").selectExpr(
             "item_id AS job_id", "text AS raw_text",
             f"""CASE WHEN item_id % 11 = 0 THEN {none} ELSE concat(
-                  array_sort(array_distinct(regexp_extract_all(lower(text), '[a-z]{{6,}}', 0))),
+                  sort_array(array_distinct(regexp_extract_all(lower(text), '[a-z]{{6,}}', 0))),
                   CASE WHEN item_id % 5 = 0 THEN array('the theon', 'ci/cd') ELSE {none} END) END AS hard_keywords""",
             f"""CASE WHEN item_id % 11 = 0 THEN {none} ELSE
-                  array_sort(array_distinct(filter(regexp_extract_all(lower(text), '[a-z]+', 0),
+                  sort_array(array_distinct(filter(regexp_extract_all(lower(text), '[a-z]+', 0),
                     w -> length(w) BETWEEN 4 AND 5))) END AS soft_keywords""",
         )
 
@@ -202,7 +211,7 @@ class Views:
         rewritten = """CASE WHEN i % 3 = 0 THEN replace(m, 'the', 'each') WHEN i % 5 = 0 THEN concat(m, ' 42')
             WHEN i % 11 = 0 THEN concat(m, ' and much more of it again') ELSE m END"""
         lines = f"transform(transform(split(raw_text, '\\n'), (l, i) -> IF(trim(l) = '', NULL, {marked})), (m, i) -> {rewritten})"
-        return self.resumes.select("resume_id", "skills", "tech_stack", F.expr(lines).alias("lines")).filter(
+        return self.keyed_resumes.select("resume_id", "skills", "tech_stack", F.expr(lines).alias("lines")).filter(
             "exists(lines, l -> l IS NOT NULL)").selectExpr(
             "resume_id", "skills", "tech_stack", "lines[0] AS summary", "filter(lines, (l, i) -> i > 0 AND l IS NOT NULL) AS bullets")
 
@@ -313,10 +322,10 @@ class Views:
             "skill", "regexp_replace(skill, '(ation|tion|ment|ing|ed|er|al|ly|s)$', '') AS skill_group")
 
     @staticmethod
-    def decisions_of(items: DataFrame) -> DataFrame:
-        """A row for every open skill; add is null where nobody decided yet, which is so for names of more than seven letters."""
-        return items.filter("status IN ('can_add', 'partial')").selectExpr(
-            "resume_id", "job_id", "skill", "CASE WHEN length(skill) <= 7 THEN job_id % 2 = 0 END AS add")
+    def decided() -> Column:
+        """Decisions (skill, add) on the open items of a pair row; add is null where nobody decided yet, which is so for names of more than seven letters."""
+        return F.expr("""transform(filter(items, i -> i.status IN ('can_add', 'partial')),
+            i -> struct(i.skill AS skill, CASE WHEN length(i.skill) <= 7 THEN job_id % 2 = 0 END AS add))""")
 
     @cached_property
     def confirmations(self) -> DataFrame:
