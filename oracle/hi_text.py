@@ -142,6 +142,22 @@ SELECT doc_id, key, page, block, entry, CASE WHEN near THEN 2 ELSE 3 END AS tier
       AND least(length(e.norm), length(d.norm)) / greatest(length(e.norm), length(d.norm)) >= 0.65::DOUBLE AS near,
     starts_with(e.norm, d.norm) AND length(d.norm) >= 60 AS leads
   FROM deduped_v d JOIN entrynorm_v e ON e.doc_id = d.resume_id WHERE e.norm <> d.norm) WHERE near OR leads""",
+    "i3_entry_align_prefix": f"""
+SELECT * FROM (WITH RECURSIVE c AS (
+  SELECT e.doc_id, d.norm AS key, e.page, e.block, e.entry, -length(d.norm) AS neg_len, d.ord, e.n_lines, length(d.norm) AS a, e.norm AS text,
+    least(length(e.norm), length(d.norm)) / greatest(length(e.norm), length(d.norm)) AS ratio
+  FROM deduped_v d JOIN entrynorm_v e ON e.doc_id = d.resume_id WHERE starts_with(e.norm, d.norm) OR starts_with(d.norm, e.norm)),
+t AS (SELECT *, CASE WHEN key = text THEN 1 WHEN ratio >= {R.PREFIX_RATIO} THEN 2 WHEN starts_with(text, key) AND a >= {R.LEAD_PREFIX_CHARS} THEN 3 END AS tier FROM c),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, neg_len, ord, tier, pref, block, entry) AS i,
+    dense_rank() OVER (PARTITION BY doc_id ORDER BY key) AS k, dense_rank() OVER (PARTITION BY doc_id ORDER BY page, block, entry) AS p
+  FROM (SELECT *, CASE tier WHEN 2 THEN -ratio ELSE -n_lines END AS pref,
+      CASE tier WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN ratio ELSE {R.LEAD_PREFIX_SCORE}::DOUBLE END AS score FROM t WHERE tier IS NOT NULL)),
+r AS (
+  SELECT doc_id, 0::BIGINT AS i, []::BIGINT[] AS ks, []::BIGINT[] AS ps, false AS took FROM n WHERE n.i = 1
+  UNION ALL
+  SELECT doc_id, i, CASE WHEN free THEN list_append(ks, k) ELSE ks END, CASE WHEN free THEN list_append(ps, p) ELSE ps END, free FROM (
+    SELECT n.doc_id, n.i, ks, ps, k, p, NOT list_contains(ks, k) AND NOT list_contains(ps, p) AS free FROM r JOIN n ON n.doc_id = r.doc_id AND n.i = r.i + 1))
+SELECT n.doc_id, n.key, n.page, n.block, n.entry, n.tier, n.score FROM r JOIN n ON n.doc_id = r.doc_id AND n.i = r.i WHERE took)""",
     "i4_align_gate": """
 SELECT doc_id, n_keys, n_matched, match_rate, CASE WHEN match_rate < 0.1 THEN 'regenerate' ELSE 'in place' END AS decision FROM (
   SELECT doc_id, coalesce(n_keys, 0) AS n_keys, coalesce(n_matched, 0) AS n_matched,

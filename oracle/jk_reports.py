@@ -30,6 +30,9 @@ LEFT JOIN (SELECT resume_id, string_agg('Back up the number in line ' || bullet_
            WHERE ends_with(rewritten_text, ' 42') AND NOT ends_with(original_text, ' 42') GROUP BY 1) y USING (resume_id)
 LEFT JOIN (SELECT resume_id, job_id, string_agg(title, '|' ORDER BY ord) AS v FROM orderedflag1_v JOIN ack_v USING (resume_id, job_id, category)
            GROUP BY ALL) g USING (resume_id, job_id)""",
+    "j2_sink": """
+SELECT b.resume_id, b.job_id, b.total AS score_before, a.total AS score_after, round_even(a.total - b.total, 1) AS score_delta
+FROM score_v b JOIN rescore_v a USING (resume_id, job_id)""",
     "j3_analysis_table": """
 SELECT c.resume_id, c.job_id, m.match_score, s.keyword_match, s.section_completeness, s.format_parsability, s.keyword_placement,
   s.date_consistency, s.file_health, s.total, c.yr AS experience_candidate, c.lo AS experience_required_min,

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,8 +99,8 @@ def charset_report(lines: DataFrame) -> DataFrame:
 # --- I3 ---------------------------------------------------------------------------------------------------------------
 # A key goes through the pages in order. On a page the keys are served longest first, and each takes its best entry
 # that is still free: an equal one, else a prefix either way, else an entry that begins with it, else a similar one.
-# The preference of a key for an entry does not depend on what is taken, so all of it is computed by joins first, and
-# only the serving order is sequential.
+# The preference of a key for an entry does not depend on what is taken, so all of it is computed by joins first. Serving then goes in rounds
+# over all documents at once (serve).
 ENTRY = ["page", "block", "entry"]
 SHORT_ANCHOR, LONG_ANCHOR = 1, 16
 LENGTH_RATIO = R.FUZZY_RATIO / (2 - R.FUZZY_RATIO)  # shorter/longer length that the similarity bound still allows
@@ -148,61 +147,82 @@ def prefix_candidates(keys: DataFrame, entries: DataFrame) -> DataFrame:
                     F.when(near, ratio).otherwise(R.LEAD_PREFIX_SCORE).alias("score")))
 
 
-def fuzzy_candidates(page_keys: DataFrame, entries: DataFrame) -> DataFrame:
-    """page_keys: keys with the page on which they look. Lengths too far apart never meet, and entries of a page that
-    are copies of each other are compared once."""
+#: Character classes that are counted; all other characters are one more class.
+_CLASSES = (*"abcdefghijklmnopqrstuvwxyz ", "0123456789")
+
+
+def character_counts(c: Column) -> Column:
+    """How often each class of characters occurs in a text."""
+    counts = [F.length(c) - F.length(F.translate(c, chars, "")) for chars in _CLASSES]
+    rest = F.length(F.translate(c, "".join(_CLASSES), ""))
+    return F.array(*counts, rest)
+
+
+def most_shared(a: Column, b: Column) -> Column:
+    """An upper bound, from the counts of both, of the characters that two texts can have in matching blocks."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+
+
+def comparable(page_keys: DataFrame, entries: DataFrame) -> DataFrame:
+    """Keys and the distinct entries of their page whose ratio can reach the bound: by their lengths, then by their characters."""
     def band(c: str) -> Column:
         return F.floor(F.log(F.length(c).cast("double")) / math.log(1 / LENGTH_RATIO)).cast("int")
 
-    left = page_keys.withColumn("band", F.explode(F.array(band("key") - 1, band("key"), band("key") + 1)))
-    right = entries.select("doc_id", "page", "norm").distinct().withColumn("band", band("norm"))
+    left = page_keys.withColumn("key_counts", character_counts(F.col("key"))).withColumn(
+        "band", F.explode(F.array(band("key") - 1, band("key"), band("key") + 1)))
+    right = entries.select("doc_id", "page", "norm").distinct().withColumn("band", band("norm")).withColumn("norm_counts", character_counts(F.col("norm")))
     a, b = F.length("key"), F.length("norm")
-    met = left.join(right, ["doc_id", "page", "band"]).filter(
-        (F.col("key") != F.col("norm")) & (2 * F.least(a, b) >= R.FUZZY_RATIO * (a + b)))
-    scored = met.withColumn("ratio", gestalt_ratio(F.col("key"), F.col("norm"), R.FUZZY_RATIO)).filter("ratio IS NOT NULL")
+    near = 2 * F.least(a, b) >= R.FUZZY_RATIO * (a + b)
+    met = left.join(right, ["doc_id", "page", "band"]).filter((F.col("key") != F.col("norm")) & near)
+    return met.filter(2 * most_shared(F.col("key_counts"), F.col("norm_counts")) >= R.FUZZY_RATIO * (a + b)).drop("key_counts", "norm_counts")
+
+
+def fuzzy_candidates(page_keys: DataFrame, entries: DataFrame) -> DataFrame:
+    """page_keys: keys with the page on which they look. Only comparable() pairs reach the ratio, and entries of a page that
+    are copies of each other are compared once."""
+    scored = comparable(page_keys, entries).withColumn("ratio", gestalt_ratio(F.col("key"), F.col("norm"), R.FUZZY_RATIO)).filter("ratio IS NOT NULL")
     sure = F.col("ratio") > R.FUZZY_STOP_RATIO  # the search of a key stops at the first entry above this
     return scored.join(entries.select("doc_id", *ENTRY, "norm"), ["doc_id", "page", "norm"]).select("doc_id", "key", "neg_len", "ord", *ENTRY, F.lit(4).alias("tier"),
                          F.when(sure, -2.0).otherwise(-F.col("ratio")).alias("pref"), F.col("ratio").alias("score"))
 
 
-def _serving():
-    """The serving loop as a nested function, so that it travels to the executors by value."""
-
-    def serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # rows arrive in serving order; only what is taken in the current document is remembered
-        doc = page = None
-        matched, used = set(), set()
-        for batch in batches:
-            keep = []
-            for i, (d, p, k, b, e) in enumerate(
-                    zip(batch["doc_id"], batch["page"], batch["key"], batch["block"], batch["entry"])):
-                if d != doc:
-                    doc, page, matched, used = d, p, set(), set()
-                elif p != page:
-                    page, used = p, set()
-                if k not in matched and (b, e) not in used:
-                    matched.add(k)
-                    used.add((b, e))
-                    keep.append(i)
-            yield batch.iloc[keep]
-
-    return serve
-
-
-def _settle(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(settled, open): a key's best entry is settled at once when no key served before it can want that entry and
-    the key could not be matched on an earlier page. The rest of the candidates of settled keys and entries vanish."""
+def settled_now(candidates: DataFrame) -> DataFrame:
+    """The keys whose best entry no key served before them can want, on the first page on which they can be served."""
     rank, place = F.struct("neg_len", "ord"), F.struct("tier", "pref", "block", "entry", "score")
     best = candidates.groupBy("doc_id", "page", "key").agg(F.min(place).alias("best"), F.min(rank).alias("rank"))
     first_page = candidates.groupBy("doc_id", "key").agg(F.min("page").alias("page"))
     first_taker = candidates.groupBy("doc_id", *ENTRY).agg(F.min(rank).alias("rank"))
-    settled = (
-        best.join(first_page, ["doc_id", "key", "page"], "left_semi")
-        .select("doc_id", "key", "page", "rank", "best.tier", "best.score", "best.block", "best.entry")
-        .join(first_taker, ["doc_id", *ENTRY, "rank"], "left_semi"))
-    rest = (candidates.join(settled, ["doc_id", "key"], "left_anti")
-            .join(settled, ["doc_id", *ENTRY], "left_anti"))
-    return settled.drop("rank"), rest
+    return (best.join(first_page, ["doc_id", "key", "page"], "left_semi")
+            .select("doc_id", "key", "page", "best.block", "best.entry", "best.tier", "best.score", "rank")
+            .join(first_taker, ["doc_id", *ENTRY, "rank"], "left_semi").select("doc_id", "key", *ENTRY, "tier", "score"))
+
+
+def serve(candidates: DataFrame) -> DataFrame:
+    """(doc_id, key, page, block, entry, tier, score) as if, page by page, the keys took their best free entry in serving order.
+
+    What is settled at once is what that order would give; it goes with all candidates of its keys and entries, and what is left is the same
+    problem again. Every round settles a key of each open document at least, so the rounds end; they are as many as the longest chain of keys that wait
+    for each other, whatever the number of documents. Each round is written, so that a lost executor repeats no earlier one.
+    """
+    done = []
+    while True:
+        settled = materialise(settled_now(candidates), "align-settled")
+        done.append(settled)
+        candidates = materialise(candidates.join(settled, ["doc_id", "key"], "left_anti").join(settled, ["doc_id", *ENTRY], "left_anti"), "align-open")
+        if candidates.isEmpty():
+            return reduce(DataFrame.union, done)
+
+
+def _best_reason(candidates: DataFrame) -> DataFrame:
+    """One candidate for each key and entry: by its best tier."""
+    return (candidates.groupBy("doc_id", "key", "neg_len", "ord", *ENTRY).agg(F.min(F.struct("tier", "pref", "score")).alias("p"))
+            .select("doc_id", "key", "neg_len", "ord", *ENTRY, "p.tier", "p.pref", "p.score"))
+
+
+def prefix_align(changes: DataFrame, entries: DataFrame) -> DataFrame:
+    """The alignment by equal texts and prefixes alone: (doc_id, key, page, block, entry, tier, score)."""
+    keys, items = align_keys(changes).drop("new_text"), align_entries(entries)
+    return serve(materialise(_best_reason(exact_candidates(keys, items).unionByName(prefix_candidates(keys, items))), "align-candidates"))
 
 
 def entry_align(changes: DataFrame, entries: DataFrame) -> DataFrame:
@@ -223,15 +243,7 @@ def entry_align(changes: DataFrame, entries: DataFrame) -> DataFrame:
                  .select("doc_id", "page").distinct())
     displaced = fuzzy_candidates(
         equal.select("doc_id", "key", "neg_len", "ord", "page").distinct().join(contested, ["doc_id", "page"], "left_semi"), items)
-    candidates = materialise(
-        first.unionByName(displaced).groupBy("doc_id", "key", "neg_len", "ord", *ENTRY)
-        .agg(F.min(F.struct("tier", "pref", "score")).alias("p"))
-        .select("doc_id", "key", "neg_len", "ord", *ENTRY, "p.tier", "p.pref", "p.score"), "align-candidates")
-    settled, rest = _settle(candidates)
-    columns = ["doc_id", "key", *ENTRY, "tier", "score"]
-    ordered = (rest.repartition("doc_id")
-               .sortWithinPartitions("doc_id", "page", "neg_len", "ord", "tier", "pref", "block", "entry").select(*columns))
-    return settled.select(*columns).unionByName(ordered.mapInPandas(_serving(), ordered.schema))
+    return serve(materialise(_best_reason(first.unionByName(displaced)), "align-candidates"))
 
 
 # --- I4 ---------------------------------------------------------------------------------------------------------------

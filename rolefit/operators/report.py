@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rolefit import refdata as R
 from rolefit.operators.flags import acknowledged_flags, missing_certs
 from rolefit.operators.verify import section_list
+from rolefit.sources.corpus import materialise
 
 PAIR = ["resume_id", "job_id"]
 LIMITS = {**R.SIGNAL_MAX, "total": 100.0}
@@ -60,6 +61,19 @@ def outcome_table(rows: DataFrame) -> DataFrame:
                        *[F.coalesce(c, none).alias(name) for name, c in lists.items()])
 
 
+def score_outcomes(rows: DataFrame) -> DataFrame:
+    """(resume_id, job_id, score_before, score_after, score_delta) of pair rows with both totals."""
+    return rows.select(*PAIR, F.col("total").alias("score_before"), F.col("total_after").alias("score_after"),
+                       F.bround(F.col("total_after") - F.col("total"), 1).alias("score_delta"))
+
+
+def write_partitions(df: DataFrame, path: str, by: str) -> None:
+    """Replace the partitions of a Parquet table for which df has rows, and no others: writing the same rows again changes nothing. df may come from the
+    table itself; it is written aside first, and a partition is replaced only when the whole job has ended."""
+    aside = materialise(df, "partitions")
+    (aside.hint("rebalance", F.col(by)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path))
+
+
 def write_report(df: DataFrame, path: str, by: str | None = None, mode: str = "overwrite") -> None:
     """Parquet sink. With a partition column the rows are first gathered by it, so that no task writes every folder; adaptive
     execution splits a value that is too large for one task."""

@@ -220,6 +220,7 @@ query("i3_exact_candidates")(lambda v: AL.exact_candidates(
     AL.align_keys(V.change_dedupe(changes(v))), AL.align_entries(entries(v))).select("doc_id", "key", "page", "block", "entry"))
 query("i3_prefix_candidates")(lambda v: AL.prefix_candidates(
     AL.align_keys(V.change_dedupe(changes(v))), AL.align_entries(entries(v))).select("doc_id", "key", "page", "block", "entry", "tier"))
+query("i3_entry_align_prefix")(lambda v: AL.prefix_align(V.change_dedupe(changes(v)), entries(v)))
 query("i3_entry_align")(lambda v: AL.entry_align(V.change_dedupe(changes(v)), entries(v)))
 
 
@@ -266,6 +267,16 @@ def _analysis(v: Views) -> DataFrame:
         F.array_join(F.transform("skills", lambda s: F.concat(s["skill"], F.lit(":"), s["status"])), "|").alias("skills"))
 
 
+@query("j2_sink")
+def _sink(v: Views) -> DataFrame:
+    """The outcome scores written by job, the jobs with an even id written once more, and read back."""
+    rows = J.score_outcomes(pair_rows(v, "scores", "scores_after"))
+    out = work_folder(v.spark, "outcomes")
+    J.write_partitions(rows, out, "job_id")
+    J.write_partitions(v.spark.read.parquet(out).filter("job_id % 2 = 0"), out, "job_id")
+    return v.spark.read.parquet(out).withColumn("job_id", F.col("job_id").cast("long"))
+
+
 # --- sessions ----------------------------------------------------------------------------------------------------------
 def event_stream(v: Views) -> DataFrame:
     schema = v.table("events").schema
