@@ -91,6 +91,12 @@ LEFT JOIN (SELECT resume_id, string_agg(title || ' @ ' || company || ': Worked a
 }
 
 QUERIES = {
+    "g1_top_jobs_all": """
+SELECT resume_id, job_id, match_score, row_number() OVER (PARTITION BY resume_id ORDER BY match_score DESC, job_id) AS rank FROM (
+  SELECT a.vec_id AS resume_id, b.vec_id AS job_id, round_even(greatest(list_inner_product(a.v, b.v)
+    / nullif(sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)), 0), 0) * 100, 2) AS match_score
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) a, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) b WHERE a.vec_id % 50 = 0)
+QUALIFY row_number() OVER (PARTITION BY resume_id ORDER BY match_score DESC, job_id) <= 5""",
     "e9_flag_gate": """
 SELECT p.resume_id, p.job_id, coalesce(f.n, 0) AS open_red, coalesce(s.n, 0) AS open_skills,
   coalesce(f.n, 0) = 0 AND coalesce(s.n, 0) = 0 AS can_proceed

@@ -12,6 +12,7 @@ from rolefit.operators import flags as E
 from rolefit.operators import intake as A
 from rolefit.operators import keywords as K
 from rolefit.operators import match as M
+from rolefit.operators import nearest as N
 from rolefit.operators import records as B
 from rolefit.operators import report as J
 from rolefit.operators import signals as S
@@ -177,6 +178,8 @@ def match_after(v: Views) -> DataFrame:
 
 query("g1_semantic_match")(match_before)
 query("g1_top_jobs")(lambda v: S.rank_pairs(match_before(v), 3, score="match_score"))
+query("g1_top_jobs_all")(lambda v: N.top_matches(
+    v.vectors.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "resume_id"), v.vectors.withColumnRenamed("vec_id", "job_id"), 5))
 query("g2_match_uplift")(lambda v: M.match_uplift(match_before(v), match_after(v)))
 query("g3_evidence_table")(lambda v: M.evidence_table(v.nested_resumes, v.evidence_jobs, v.applications))
 query("g3_evidence_sizes")(lambda v: M.evidence_sizes(M.evidence_table(v.nested_resumes, v.evidence_jobs, v.applications)))

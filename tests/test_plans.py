@@ -5,7 +5,7 @@ import pytest
 from rolefit.plans.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-PYTHON_ALLOWED = ("e2_", "e3_", "e8_flags_with_domain", "e9_", "i3_entry_align", "j2_", "j3_", "k3_stream_expiry")
+PYTHON_ALLOWED = ("e2_", "e3_", "e8_flags_with_domain", "e9_", "g1_top_jobs_all", "i3_entry_align", "j2_", "j3_", "k3_stream_expiry")
 
 
 def plan(df) -> str:
