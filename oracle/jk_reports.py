@@ -57,6 +57,9 @@ SELECT session_id, created, make_timestamp(CAST((floor((epoch(created) + 86400)
   SELECT session_id, min(ts) AS created FROM submission_v GROUP BY 1)""",
     "k4_once_only": """
 SELECT session_id, first(event_id ORDER BY ts, event_id) AS event_id, first(ts ORDER BY ts, event_id) AS ts
+FROM submission_v WHERE status = 'analyzed' GROUP BY 1""",
+    "k4_stream_done_table": """
+SELECT session_id, first(event_id ORDER BY ts, event_id) AS event_id, first(ts ORDER BY ts, event_id) AS ts
 FROM submission_v WHERE status = 'analyzed' GROUP BY 1""",
     "k4_stream_once_only": "SELECT DISTINCT session_id FROM submission_v WHERE status = 'analyzed'",
     "k3_stream_expiry": """

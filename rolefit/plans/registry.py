@@ -311,4 +311,5 @@ def _stream_expiry(v: Views) -> DataFrame:
 
 
 query("k4_once_only")(lambda v: ST.once_only(v.submissions))
+query("k4_stream_done_table")(lambda v: ST.run_once_only(event_stream(v)))
 query("k4_stream_once_only")(lambda v: ST.run_to_end(ST.stream_once_only(event_stream(v)), "stream-once").select("session_id"))

@@ -14,17 +14,19 @@ def pair_hits(v: Views, scopes: tuple[str, ...] = K.SCOPES) -> DataFrame:
 
 
 def scores_before(v: Views) -> DataFrame:
-    return _scores(v, v.keyed_resumes, v.documents)
+    return S.score_pairs(v.keyed_resumes, v.candidates, v.history, v.education, v.doc_facts, v.section_facts, v.jobs, v.pairs)
 
 
 def scores_of(v: Views, documents: DataFrame) -> DataFrame:
-    """Scores of the resumes in a micro-batch of the documents table against all their jobs."""
-    return _scores(v, v.resumes_of(documents), documents)
+    """Scores of the resumes in a micro-batch of the documents table against all their jobs. Every static table is cut down to the batch's resumes
+    before anything of it is grouped."""
+    ids = documents.selectExpr("doc_id AS resume_id")
 
+    def own(table: DataFrame, key: str = "resume_id") -> DataFrame:
+        return table.join(ids.withColumnRenamed("resume_id", key), key, "left_semi")
 
-def _scores(v: Views, resumes: DataFrame, documents: DataFrame) -> DataFrame:
-    return S.score_pairs(resumes, v.candidates, v.history, v.education, v.doc_facts_of(documents),
-                         v.section_facts, v.jobs, v.pairs)
+    return S.score_pairs(v.resumes_of(documents), own(v.candidates), v.history_of(own(v.table("orders"), "o_custkey")), own(v.education), v.doc_facts_of(documents),
+                         own(v.section_facts, "doc_id"), v.jobs, own(v.pairs))
 
 
 def scores_after(v: Views) -> DataFrame:

@@ -133,7 +133,10 @@ class Views:
 
     @cached_property
     def history(self) -> DataFrame:
-        return self.table("orders").selectExpr(
+        return self.history_of(self.table("orders"))
+
+    def history_of(self, orders: DataFrame) -> DataFrame:
+        return orders.selectExpr(
             "o_custkey AS resume_id",
             """row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_custkey % 4 = 0 THEN o_orderkey
                  ELSE -CAST(date_format(o_orderdate, 'yyyyMMdd') AS BIGINT) END, o_orderkey) AS pos""",

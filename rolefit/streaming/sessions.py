@@ -146,6 +146,27 @@ def stream_once_only(events: DataFrame, memory: str = "24 hours") -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(["session_id"])
 
 
+def run_once_only(stream: DataFrame, done: str | None = None) -> DataFrame:
+    """Streaming form of once_only without a horizon, run over what is there now: a table of done sessions, which every micro-batch is checked against and
+    extends, so that a session that comes back after days is still known. Returns that table (session_id, event_id, ts).
+
+    done is its folder, kept from run to run together with the checkpoint beside it; a new one by default. A replayed batch sees the batches before it only and
+    overwrites its own part.
+    """
+    spark = stream.sparkSession
+    done = done or work_folder(spark, "done-sessions")
+    columns = stream.select("session_id", "event_id", "ts").schema
+    with_batch = StructType([*columns.fields, StructField("batch", LongType())])
+    spark.createDataFrame([], columns).write.mode("overwrite").parquet(f"{done}/batch=-1")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        earlier = batch.sparkSession.read.schema(with_batch).parquet(done)
+        once_only(batch, earlier.filter(F.col("batch") < batch_id)).write.mode("overwrite").parquet(f"{done}/batch={batch_id}")
+
+    (stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{done}-checkpoint").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(done).drop("batch")
+
+
 # --- K1 ---------------------------------------------------------------------------------------------------------------
 def stream_score(resume_stream: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
     """Score arriving resumes with a batch job and append the result.

@@ -1,4 +1,6 @@
 import __spark_entry__ as entry
+from rolefit.plans import scoring
+from rolefit.sources.adapters import Views
 from rolefit.streaming import sessions as ST
 
 FOLDER = "/root/testdata/sf0.001"
@@ -37,3 +39,38 @@ def test_an_expired_session_does_not_start_anew(spark, tmp_path):
 def test_status_over_several_batches(spark, tmp_path):
     stream, events = one_batch_per_day(spark, tmp_path, (0, 2, 3))
     assert rows(ST.run_status(stream)) == rows(ST.session_status(events))
+
+
+def test_a_session_that_comes_back_after_days_is_still_known(spark, tmp_path):
+    stream, events = one_batch_per_day(spark, tmp_path, (0, 2, 6))
+    got = rows(ST.run_once_only(stream))
+    assert got == rows(ST.once_only(events)) and len(got) == 1
+
+
+def test_done_sessions_are_kept_between_runs(spark, tmp_path):
+    stream, events = one_batch_per_day(spark, tmp_path, (1, 3))
+    first = rows(ST.run_once_only(stream, str(tmp_path / "done")))
+    assert rows(ST.run_once_only(stream, str(tmp_path / "done"))) == first == rows(ST.once_only(events))
+
+
+def test_scores_of_two_files_equal_the_batch(spark, tmp_path):
+    views = Views(spark, FOLDER)
+    folder = str(tmp_path / "documents")
+    for part in (0, 1):
+        views.documents.filter(f"doc_id % 2 = {part}").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(views.documents.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = str(tmp_path / "scores")
+    ST.stream_score(stream, lambda batch: scoring.scores_of(views, batch), out, str(tmp_path / "checkpoint")).awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.select("batch").distinct().count() == 2
+    assert rows(got.drop("batch")) == rows(scoring.scores_before(views))
+
+
+def test_a_batch_groups_no_history_but_its_own(spark):
+    views = Views(spark, FOLDER)
+    plan = scoring.scores_of(views, views.documents.limit(2))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    windows = [i for i, line in enumerate(plan) if "Window [row_number" in line]
+    assert windows
+    for i in windows:  # between the numbering of a history and the orders lies the join with the batch
+        below = plan[i:next(k for k in range(i, len(plan)) if "o_orderkey" in plan[k] and "Relation" in plan[k])]
+        assert any("LeftSemi" in line for line in below)
