@@ -1,8 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rolefit.operators import keywords as K
+from rolefit.operators import word_index as W
 
 RESUMES = "resume_id long, summary string, skills array<string>, tech_stack array<string>, bullets array<string>"
 JOBS = "job_id long, hard_keywords array<string>, soft_keywords array<string>"
@@ -104,3 +106,25 @@ def test_injected_keywords_are_the_new_ones(spark):
     old, new = K.keywords_present(before, jobs, pairs), K.keywords_present(after, jobs, pairs)
     assert sorted(r.keyword for r in old.collect()) == ["Spark", "sql x"]   # matches across two list elements
     assert [r.keyword for r in K.keywords_injected(old, new).collect()] == ["Kafka"]
+
+
+@pytest.mark.parametrize("letters", ["ab1", "ab .", "aé+ ", "数据a ", "+-. "])
+def test_literals_are_what_contains_finds(spark, letters):
+    rnd = random.Random(len(letters) + ord(letters[1]))
+    texts = ["".join(rnd.choices(letters, k=rnd.randint(0, 12))) for _ in range(60)] + ["", " ", "\n"]
+    keywords = sorted({"".join(rnd.choices(letters, k=rnd.randint(0, 5))) for _ in range(80)})
+    table = spark.createDataFrame([(i, t, t[:4], t[::-1]) for i, t in enumerate(texts)], "resume_id long, text_all string, text_part string, text_other string")
+    known = W.written_dictionary(table.select("text_all"), spark.createDataFrame([(k,) for k in keywords], "keyword string"))
+    got = {r.resume_id: r for r in W.text_index(table, known, ("all",)).collect()}
+    assert set(got) == set(range(len(texts)))
+    for i, t in enumerate(texts):
+        assert set(got[i].literals_all) == {k for k in keywords if k and k in t}, t
+
+
+def test_literals_of_reordered_text(spark):
+    rows = [(1, "x c b", "b x c"), (2, "b", "b"), (3, "zz", "zz")]
+    table = spark.createDataFrame(rows, "resume_id long, text_all string, text_verified string")
+    words = spark.createDataFrame([("b x",), ("c b",), ("zz",), ("b",)], "keyword string")
+    known = W.written_dictionary(table.select("text_all"), words)
+    got = {r.resume_id: (set(r.literals_all), set(r.literals_verified)) for r in W.text_index(table, known, ("all",), ("verified",)).collect()}
+    assert got == {1: ({"c b", "b"}, {"b x", "b"}), 2: ({"b"}, {"b"}), 3: ({"zz"}, {"zz"})}

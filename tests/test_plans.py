@@ -57,3 +57,39 @@ def text_below_job_exchange(spark, name) -> list[str]:
 @pytest.mark.parametrize("name", ["c3_keyword_hits", "c7_keywords_present", "d5_score_total", "d6_score_after"])
 def test_texts_are_not_shuffled_by_job(spark, name):
     assert text_below_job_exchange(spark, name) == []
+
+
+#: Hash exchanges without broadcasts, before anything is reused: what each report may need at most.
+EXCHANGES = {"e9_flag_gate": 25, "f2_skill_summary": 20, "j3_analysis_table": 45, "j2_outcome_table": 80, "h6_sections_changed": 25}
+
+
+@pytest.mark.parametrize("name", EXCHANGES)
+def test_reports_keep_to_few_exchanges(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert plan(QUERIES[name](spark, FOLDER)).count("Exchange hashpartitioning") <= EXCHANGES[name]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("name", ["c3_keyword_hits", "c4_keyword_match", "e9_flag_gate"])
+def test_no_text_is_searched_above_the_pair_join(spark, name):
+    lines = plan(QUERIES[name](spark, FOLDER)).splitlines()
+    pair_join = next(i for i, line in enumerate(lines) if "Join" in line and "resume_id" in line)
+    assert not any("text_all" in line for line in lines[:pair_join + 1])
+
+
+def test_written_partitions_replace_only_their_own(spark, tmp_path):
+    from rolefit.operators.report import write_partitions
+    out = str(tmp_path / "table")
+
+    def table():
+        return sorted(tuple(r) for r in spark.read.parquet(out).select("id", "job_id", "v").collect())
+
+    write_partitions(spark.range(60).selectExpr("id", "id % 3 AS job_id", "'a' AS v"), out, "job_id")
+    first = table()
+    write_partitions(spark.read.parquet(out), out, "job_id")  # from itself: nothing changes
+    assert table() == first
+    write_partitions(spark.createDataFrame([(7, 1, "b")], "id long, job_id long, v string"), out, "job_id")
+    assert table() == sorted([r for r in first if r[1] != 1] + [(7, 1, "b")])

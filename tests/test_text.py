@@ -4,6 +4,7 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from rolefit.operators import align as AL
 from rolefit.operators import skills as SK
@@ -182,3 +183,24 @@ def test_skill_merge_is_idempotent(spark):
     assert (once.skills, once.tech_stack) == (["SQL", "Rust", "JAVA"], ["Java", "sql", "Rust"])
     again = SK.skill_merge(spark.createDataFrame([(1, once.skills, once.tech_stack)], resumes.schema), pairs, added).orderBy("job_id").first()
     assert (again.skills, again.tech_stack) == (once.skills, once.tech_stack)
+
+
+def test_character_counts_never_rule_out_what_the_ratio_accepts(spark):
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choices("abc 12éß-Z", k=rnd.randint(1, 14))) for _ in range(50)]
+    pairs = [(a, b) for a in texts[:25] for b in texts[25:]]
+    df = spark.createDataFrame(pairs, "a string, b string").withColumns({"x": AL.character_counts(F.col("a")), "y": AL.character_counts(F.col("b"))})
+    for r in df.select("a", "b", AL.most_shared(F.col("x"), F.col("y")).alias("n")).collect():
+        m = SequenceMatcher(None, r.a, r.b)
+        assert r.n >= sum(block.size for block in m.get_matching_blocks()) and 2 * r.n <= len(r.a) + len(r.b)
+
+
+def test_prefix_alignment_serves_long_keys_first(spark):
+    """Keys wait for each other: the longest takes the entry that the second wants most, which takes that of the third, in as many rounds."""
+    base = "built many data pipelines in spark"
+    keys = [base + " abcd", base + " abc", base + " ab", base + " a"]
+    entries = [(1, 0, 0, i, 1, t) for i, t in enumerate([base + " abcde", base + " abcdef", base])]
+    changed = spark.createDataFrame([(1, k, k.upper(), i) for i, k in enumerate(keys)], "resume_id long, norm string, new_text string, ord int")
+    segmented = spark.createDataFrame(entries, "doc_id long, page long, block int, entry long, n_lines long, text string")
+    got = {r.key: r.entry for r in AL.prefix_align(changed, segmented).collect()}
+    assert got == {keys[0]: 0, keys[1]: 1, keys[2]: 2}
