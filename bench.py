@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -15,6 +16,7 @@ HEADLINE = (
     "e9_flag_gate", "f1_skill_breakdown", "f4_skill_route", "g1_semantic_match", "g3_evidence_table", "h2_change_dedupe",
     "h5_revert_apply", "i1_entry_segment", "i5_text_apply", "j1_score_delta_report", "k2_bad_transitions",
     "f3_skill_merge", "i3_entry_align", "j2_outcome_table", "j3_analysis_table", "k1_stream_score",
+    "g1_top_jobs_all", "i3_entry_align_prefix",
 )
 
 
@@ -29,6 +31,7 @@ def main() -> None:
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName("rolefit-bench")
                .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "16g")
                .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false"))
+    builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="rolefit-bench-"))  # local[n]: one machine
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
