@@ -1,186 +1,165 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A mask selects some of the adjacent tokens and ignores the others, so that a hit survives substitutions at ignored places. The
-masked tokens of every position of every document and of every benchmark item are hashed, and the hashes joined. Each hit puts a
-document and an item on a diagonal (document position less item position); the tokens around the hit are then compared one to one along it, and
-the item counts as leaked if enough of them are equal, whatever stands at the places where they differ.
-
-Two long masks (MASKS) find what is copied almost whole. For items of WINDOW tokens or less, pair masks find all the rest that the rule
-accepts: of n equal tokens in m places, two stand at most (m - 1) / (n - 1) places apart, and every pair of an item's tokens at such
-distances is a seed. The commonest ones are left out, so many that CLOSE of the equal ones are still among the others. Longer items have
-the long masks only: overlaps with them that no long mask hits are not found.
-
-DataFrame functions only: tokens, hashes, join and verification stay in the JVM. Benchmark seeds are broadcast if they are at most
-BROADCAST_SEEDS, which is checked by counting them; beyond that the seeds meet in a shuffled join, which adaptive execution splits
-where one seed is frequent, and only hits meet the texts again. A run of hits on one diagonal, or a chain of pairs, is verified once, at its first hit.
+The rule: a document holds an item if, on one diagonal (document place less item place), some WINDOW adjacent tokens of the item, or the
+whole item if it is shorter, stand there with at least SHARE of them equal, whatever stands at the other places. n_equal is the number of equal
+tokens in the best such window.
+
+A mask selects some of the adjacent tokens and ignores the others, so that a hit survives substitutions at ignored places. The masked tokens of
+every position of every document and of every item are hashed, and the hashes joined. The fixed masks of FAMILIES are chosen, by enumeration of
+all patterns of substitutions that the rule accepts, so that every accepted window has a hit of one of them (the tests enumerate them again); so nothing that the
+rule accepts is lost, and items of any length have seeds. The tokens around a hit are then compared one to one along the diagonal. Tokens are compared by
+64-bit hashes. In a run of hits of one mask on one diagonal, the first and then every WINDOW-th is verified; the places around it reach all windows of the run.
+
+DataFrame functions only: tokens, hashes, join and verification stay in the JVM. Benchmark seeds are a stated query set: they are written once and
+broadcast in blocks of BROADCAST_SEEDS, each with the hashes of the REGION tokens around it at most, so a block is bounded whatever
+the items are; every block meets all documents. Documents are never shuffled; only what was found is, by its keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from functools import reduce
 
-#: Places of the tokens that a mask selects, of SPAN adjacent ones: any one substitution leaves one of the two masks whole at some position nearby.
-SPAN = 11
-MASKS = ((0, 1, 2, 4, 7, 9, 10), (0, 1, 3, 6, 8, 9, 10))
-#: Tokens to either side of a hit that are compared, and how many equal ones make a leak (or this share of the item, if that is less).
-REACH, EQUAL, SHARE = 24, 12, 0.8
-#: Places on a diagonal around a hit; an item of no more tokens is compared whole.
-WINDOW = REACH + SPAN + REACH
-#: Equal tokens that are left in an accepted overlap with a short item when its commonest tokens are not counted.
-CLOSE = 7
-#: Seeds of the benchmark that are broadcast at most, some 50 bytes each.
-BROADCAST_SEEDS = 1_000_000
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-TOKEN_BREAK = r"[^\p{L}\p{N}]+"
+from rolefit.llm.common import checkpointed
+
+#: Adjacent tokens of an item that are judged together, and the share of them that must be equal, in tenths.
+WINDOW, SHARE = 15, 8
+#: Masks by the item lengths that they serve: least and greatest length, places that each mask selects. Of 15 places 3 may differ, of 10
+#: to 14 places 2, of 5 to 9 places 1, of fewer none.
+FAMILIES = (
+    (15, None, ((0, 1, 2, 3, 5, 6), (0, 1, 4, 8, 9, 10), (0, 1, 3, 5, 6, 10))),
+    (10, 14, ((0, 1, 2, 4, 5), (0, 1, 3, 6, 7), (0, 1, 2, 3, 4))),
+    (5, 9, ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))),
+    (4, 4, ((0, 1, 2, 3),)),
+    (3, 3, ((0, 1, 2),)),
+    (2, 2, ((0, 1),)),
+    (1, 1, ((0,),)),
+)
+#: All masks, each with the least and the greatest length that it serves.
+MASKS = tuple((mask, low, high) for low, high, masks in FAMILIES for mask in masks)
+#: Places around a verified hit: a window before it and two from it on; as bits they fit in a long.
+REGION = 3 * WINDOW
+#: Seeds in a block that is broadcast, some 400 bytes each at most.
+BROADCAST_SEEDS = 200_000
+
+TOKEN_BREAK = r"[^\p{L}\p{N}\p{M}]+"
+#: Scripts written without blanks: each of their characters is a token.
+SCRIPTS = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits in lower case; a null text has none."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_BREAK), "")
+    """Runs of letters, digits and marks in lower case, and single characters of SCRIPTS; a null text has none."""
+    unbroken = "([" + "".join(rf"\p{{Is{script}}}" for script in SCRIPTS) + "])"
+    text = F.lower(F.coalesce(text, F.lit("")))
+    parted = F.when(text.rlike(unbroken), F.regexp_replace(text, unbroken, " $1 ")).otherwise(text)
+    return F.array_remove(F.split(parted, TOKEN_BREAK), "")
 
 
-def positions(words: str) -> Column:
-    """The places where SPAN tokens start."""
-    return F.when(F.size(words) >= SPAN, F.sequence(F.lit(0), F.size(words) - SPAN))
+def need(n: Column) -> Column:
+    """Equal tokens that make a leak of an item of n tokens: SHARE tenths of its window, rounded up."""
+    return F.floor((F.least(n, F.lit(WINDOW)) * SHARE + 9) / 10).cast("int")
 
 
-def pair_masks(gap: int) -> tuple[tuple[int, int], ...]:
-    return tuple((0, k) for k in range(1, gap + 1))
+def seed(words: str, at: str, mask: int) -> Column:
+    """Hash of the selected tokens from a place on; where the text ends before the mask does it may hit by chance, and is verified."""
+    return F.xxhash64(F.lit(mask), *(F.get(words, F.col(at) + place) for place in MASKS[mask][0]))
 
 
-def seeds(words: str, at: str, masks: tuple[tuple[int, ...], ...]) -> Column:
-    """Hash of the selected tokens, for each mask."""
-    def seed(k: int, mask: tuple[int, ...]) -> Column:
-        return F.xxhash64(F.lit(k), *(F.get(words, F.col(at) + place) for place in mask))
+def seed_rows(items: DataFrame, item_key: str, text: str) -> DataFrame:
+    """One row per mask and place of each different item: the seed, the item's length, the hashes of the tokens around, with the number of those
+    before the place, and whether it is a WINDOW-th place. Places of an item with the same surroundings are one row."""
+    rows = items.select(F.col(item_key).alias("_item"), tokens(F.col(text)).alias("_item_words")).where(F.size("_item_words") > 0).distinct()
+    n, j = F.size("_item_words"), F.col("_j")
+    placed = rows.select("_item", "_item_words", n.alias("_n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_j"))
+    serves = [F.col("_n").between(low, high) if high else F.col("_n") >= low for _, low, high in MASKS]
+    every = F.array(*(F.when(serves[k] & (j + mask[-1] < F.col("_n")), F.struct(F.lit(k).alias("_mask"), seed("_item_words", "_j", k).alias("_seed")))
+                      for k, (mask, _, _) in enumerate(MASKS)))
+    seeds = placed.select("_item", "_item_words", "_n", "_j", F.explode(every).alias("_hit")).where("_hit is not null")
+    back = F.least(j, F.lit(WINDOW))
+    # a generated column cuts the surroundings out before any row is copied with all tokens of its item
+    cut = F.inline(F.array(F.struct(back.alias("_back"), F.slice("_item_words", j - back + 1, back + 2 * WINDOW).alias("_near"))))
+    around = F.transform("_near", lambda word: F.xxhash64(word))
+    return (seeds.select("_item", "_n", (j % WINDOW == 0).alias("_always"), "_hit.*", cut)
+            .select("_item", "_n", "_always", "_mask", "_seed", "_back", around.alias("_around"))
+            .groupBy("_item", "_n", "_mask", "_seed", "_back", "_around").agg(F.max("_always").alias("_always")))
 
-    return F.array(*(F.struct(F.lit(k).alias("mask"), seed(k, mask).alias("seed")) for k, mask in enumerate(masks)))
 
+def starts_run(masks: list[int]) -> Column:
+    """Whether a hit is to be verified: the one before it on the diagonal is no hit of the same mask, or it is a WINDOW-th place of the item."""
+    def before(mask: int) -> Column:
+        same = (F.coalesce(F.xxhash64(F.get("_words", F.col("_i") + (place - 1))) == F.get("_around", F.col("_back") + (place - 1)), F.lit(False))
+                for place in MASKS[mask][0])
+        return reduce(Column.__and__, same) & (F.col("_i") > 0) & (F.col("_back") > 0)
+
+    hit = F.lit(False)
+    for mask in masks:
+        hit = F.when(F.col("_mask") == mask, before(mask)).otherwise(hit)
+    return F.col("_always") | ~hit
 
-def need(n: Column) -> Column:
-    """Equal tokens that make a leak of an item of n tokens."""
-    return F.least(F.lit(EQUAL), F.ceil(F.lit(SHARE) * n)).cast("int")
-
-
-def paired(item_rows: DataFrame) -> DataFrame:
-    """The items with the tokens that pairs are made of in _kept, null at the places of the others, and the widest distance in _gap."""
-    n = F.col("_n")
-    spare = F.greatest(F.lit(0), need(n) - CLOSE)
-    gap = F.when(n <= WINDOW, F.floor((n - 1) / (need(n) - spare - 1)).cast("int")).otherwise(0)
-    places = item_rows.select("_item", "_print", F.size("_item_words").alias("_n"), F.posexplode("_item_words").alias("_j", "_token"))
-    places = places.withColumn("_often", F.count(F.lit(1)).over(Window.partitionBy("_token")))
-    places = places.withColumn("_rank", F.row_number().over(Window.partitionBy("_item", "_print").orderBy(F.desc("_often"), "_j")))
-    place = F.struct("_j", "_token", F.when(F.col("_rank") > spare, F.col("_token")).alias("_kept"))
-    return (places.select("_item", "_print", gap.alias("_gap"), place.alias("_place"))
-            .groupBy("_item", "_print").agg(F.first("_gap").alias("_gap"), F.array_sort(F.collect_list("_place")).alias("_places"))
-            .select("_item", "_print", "_gap", F.col("_places")["_token"].alias("_item_words"), F.col("_places")["_kept"].alias("_kept")))
-
-
-def pair_seeds(item_rows: DataFrame) -> DataFrame:
-    """Seeds of two tokens of each item."""
-    pairs = (item_rows.select("_item", "_print", "_kept", "_gap", F.posexplode("_kept").alias("_j", "_first")).where("_gap > 0 and _first is not null")
-             .select("_item", "_print", "_kept", "_j", "_first", F.explode(F.sequence(F.lit(1), "_gap")).alias("_apart"))
-             .select("_item", "_print", "_j", "_first", "_apart", F.get("_kept", F.col("_j") + F.col("_apart")).alias("_second")).where("_second is not null"))
-    mask = F.col("_apart") + (len(MASKS) - 1)
-    return pairs.select("_item", "_print", "_j", mask.alias("mask"), "_first", F.xxhash64(mask, "_first", "_second").alias("seed"))
-
-
-def long_seeds(item_rows: DataFrame) -> DataFrame:
-    """Seeds of the long masks in the columns of pair_seeds."""
-    placed = item_rows.select("_item", "_print", "_item_words", F.explode(positions("_item_words")).alias("_j"))
-    return (placed.select("_item", "_print", "_j", F.get("_item_words", F.col("_j")).alias("_first"), F.inline(seeds("_item_words", "_j", MASKS)))
-            .select("_item", "_print", "_j", "mask", "_first", "seed"))
-
-
-def starts_run(masks: tuple[tuple[int, ...], ...]) -> Column:
-    """Whether the places just before are no hit of the same long mask on the same diagonal; of pairs, whether no pair ends where
-    this one starts and none that starts there is closer."""
-    def equal(item_words: str, place: int) -> Column:
-        return F.coalesce(F.get("_words", F.col("_i") + place) == F.get(item_words, F.col("_j") + place), F.lit(False))
-
-    def every(mask: tuple[int, ...]) -> Column:
-        same = F.lit(True)
-        for place in mask:
-            same = same & equal("_item_words", place - 1)
-        return same
-
-    linked = F.lit(False)
-    for apart in range(1, len(masks) - len(MASKS) + 1):
-        linked = linked | (F.col("_gap") >= apart) & equal("_kept", -apart) | (F.col("mask") > apart + len(MASKS) - 1) & equal("_kept", apart)
-    for k, mask in enumerate(MASKS):
-        linked = F.when(F.col("mask") == k, every(mask)).otherwise(linked)
-    return ~linked
-
-
-def overlap(words: str, other_words: str, at: str, other_at: str) -> Column:
-    """The tokens of one side around a hit, as far as both texts go and the hit is verified: REACH to either side of a long mask;
-    around a pair the whole item."""
-    long = F.col("mask") < len(MASKS)
-    back = F.least(F.col(at), F.col(other_at), F.when(long, REACH).otherwise(WINDOW - 1))
-    ahead = F.least(F.size(words) - F.col(at), F.size(other_words) - F.col(other_at), F.when(long, SPAN + REACH).otherwise(WINDOW))
-    return F.slice(words, F.col(at) - back + 1, F.greatest(F.lit(0), back + ahead))
-
-
-def equal_around() -> Column:
-    """Equal tokens on the diagonal."""
-    return F.size(F.filter(F.zip_with("_near", "_item_near", lambda a, b: a == b), lambda same: same))
+
+def equal_bits() -> Column:
+    """The places around a hit as bits, set where the tokens are equal."""
+    same = F.zip_with("_near", "_item_near", lambda word, other: F.coalesce(F.xxhash64(word) == other, F.lit(False)).cast("long"))
+    return F.aggregate(same, F.lit(0).cast("long"), lambda bits, bit: bits * 2 + bit)
+
+
+def best_window(bits: str) -> Column:
+    """The most bits that are set in WINDOW adjacent ones."""
+    return F.greatest(*(F.bit_count(F.shiftright(bits, s).bitwiseAND((1 << WINDOW) - 1)) for s in range(REGION - WINDOW + 1)))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text",
                broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """doc_key, item_key, n_equal and item_tokens: the items that a document holds, with the equal tokens of the best hit (of a long mask
-    where one is accepted, else of a pair).
+    """doc_key, item_key, n_equal and item_tokens: the items that a document holds, with the equal tokens of the best window.
 
-    Null and empty texts, and items of fewer than SPAN tokens, have no seeds and no rows; a document without leaks
-    has no row. Rows of one key are taken together. Other columns of either table are not read.
+    Null texts and texts without tokens, on either side, have no rows; a document without leaks has no row. Rows of one key, the null key
+    too, are taken together. An item of one token is held by every document with that token. Other columns of either table are not read.
     """
-    item_rows = paired(items.select(F.col(item_key).alias("_item"), tokens(F.col(text)).alias("_item_words")).where(F.size("_item_words") >= SPAN)
-                       .select("_item", F.xxhash64("_item_words").alias("_print"), "_item_words").distinct())
-    item_seeds = long_seeds(item_rows).unionByName(pair_seeds(item_rows))
-    number, last = item_seeds.agg(F.count(F.lit(1)), F.max("mask")).first()
-    masks = MASKS + pair_masks((last or 0) - len(MASKS) + 1)
+    seeds = checkpointed(seed_rows(items, item_key, text))
+    number, masks = seeds.agg(F.count(F.lit(1)), F.sort_array(F.collect_set("_mask"))).first()
     doc_rows = docs.select(F.col(doc_key).alias("_doc"), tokens(F.col(text)).alias("_words"))
-    placed = doc_rows.where(F.size("_words") > 1).select("_doc", "_words", F.explode(F.sequence(F.lit(0), F.size("_words") - 2)).alias("_i"))
-    first = item_seeds.select(F.xxhash64("_first").alias("_first")).distinct()
-    item_seeds = item_seeds.drop("_first")
-    if number <= broadcast_seeds:
-        placed = placed.join(F.broadcast(first), F.xxhash64(F.get("_words", F.col("_i"))) == first["_first"], "left_semi")
-        doc_seeds = placed.select("_doc", "_words", "_i", F.inline(seeds("_words", "_i", masks)))
-        hits = doc_seeds.join(F.broadcast(item_seeds), ["mask", "seed"]).join(F.broadcast(item_rows), ["_item", "_print"])
-    else:
-        doc_seeds = placed.select("_doc", "_i", F.inline(seeds("_words", "_i", masks)))
-        hits = doc_seeds.join(item_seeds, ["mask", "seed"]).drop("seed").join(doc_rows, "_doc").join(item_rows, ["_item", "_print"])
-    # generated columns keep the comparison, which cannot be compiled, out of the condition of the join, and whole texts out of the rows
-    around = F.struct(F.size("_item_words").alias("item_tokens"), overlap("_words", "_item_words", "_i", "_j").alias("_near"),
-                      overlap("_item_words", "_words", "_j", "_i").alias("_item_near"))
-    near = hits.where(starts_run(masks)).select("_doc", "_item", "mask", F.inline(F.array(around)))
-    found = (near.select("_doc", "_item", "mask", "item_tokens", equal_around().alias("n_equal"))
-             .where(F.col("n_equal") >= need(F.col("item_tokens"))))
-    of_long = F.max(F.when(F.col("mask") < len(MASKS), F.col("n_equal")))
-    return found.groupBy("_doc", "_item").agg(F.coalesce(of_long, F.max("n_equal")).cast("long").alias("n_equal"),
-                                              F.max("item_tokens").cast("long").alias("item_tokens")).select(
-        F.col("_doc").alias(doc_key), F.col("_item").alias(item_key), "n_equal", "item_tokens")
+    places = doc_rows.where(F.size("_words") > 0).select("_doc", "_words", F.explode(F.sequence(F.lit(0), F.size("_words") - 1)).alias("_i"))
+    doc_seeds = places.select("_doc", "_words", "_i", F.explode(F.array(*(seed("_words", "_i", k) for k in masks or [0]))).alias("_seed"))
+    blocks = max(1, -(-number // max(1, broadcast_seeds)))
+    found = [_verified(doc_seeds, seeds.where(F.pmod(F.xxhash64("_item", "_mask", "_back", "_around"), F.lit(blocks)) == block), masks) for block in range(blocks)]
+    if blocks > 1:  # a written table for each block keeps the plan short
+        found = [checkpointed(rows) for rows in found]
+    return (reduce(DataFrame.unionAll, found).groupBy("_doc", "_item")
+            .agg(F.max(F.struct("n_equal", "_n")).alias("_best"))
+            .select(F.col("_doc").alias(doc_key), F.col("_item").alias(item_key), F.col("_best.n_equal").cast("long").alias("n_equal"),
+                    F.col("_best._n").cast("long").alias("item_tokens")))
+
+
+def _verified(doc_seeds: DataFrame, block: DataFrame, masks: list[int]) -> DataFrame:
+    """_doc, _item, _n and n_equal of the hits with the seeds of a block that the rule accepts, one row for each pair of keys and length."""
+    hits = doc_seeds.join(F.broadcast(block), "_seed").where(starts_run(masks))
+    front = F.least(F.col("_i"), F.col("_back"))
+    # a generated column keeps the comparison, which cannot be compiled, out of the stage of the join, and whole texts out of the rows
+    near = F.struct(F.slice("_words", F.col("_i") - front + 1, front + 2 * WINDOW).alias("_near"),
+                    F.slice("_around", F.col("_back") - front + 1, F.lit(REGION)).alias("_item_near"))
+    return (hits.select("_doc", "_item", "_n", F.inline(F.array(near))).select("_doc", "_item", "_n", equal_bits().alias("_bits"))
+            .select("_doc", "_item", "_n", best_window("_bits").alias("n_equal")).where(F.col("n_equal") >= need(F.col("_n")))
+            .groupBy("_doc", "_item", "_n").agg(F.max("n_equal").alias("n_equal")))
 
 
 def oracle_sql(docs: str = "documents", items: str = "benchmark") -> str:
-    """DuckDB SQL for the rows of find_leaks, with whole tokens in place of hashes."""
-    def picked(words: str, at: str, shift: int = 0) -> str:
-        # list positions count from 1
-        masks = ["[" + ", ".join(f"{words}[{at} + {place + 1 + shift}]" for place in mask) + "]" for mask in MASKS]
-        return "CASE m " + " ".join(f"WHEN {k} THEN {text}" for k, text in enumerate(masks)) + " END"
+    """DuckDB SQL for the rule itself, without masks: all equal tokens of a document and an item by diagonal."""
+    unbroken = "([" + "".join(rf"\p{{{script}}}" for script in SCRIPTS) + "])"
+
+    def words(table: str, key: str) -> str:
+        parted = rf"regexp_replace(lower(coalesce(text, '')), '{unbroken}', ' \1 ', 'g')"
+        return f"SELECT {key}, row_number() OVER () AS r, list_filter(string_split_regex({parted}, '{TOKEN_BREAK}'), lambda x: x <> '') AS w FROM {table}"
 
     return f"""
-WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {docs}),
-b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS v FROM {items}),
-masks AS (SELECT unnest([{", ".join(map(str, range(len(MASKS))))}]) AS m),
-dp AS (SELECT doc_id, w, unnest(range(0, len(w) - {SPAN - 1})) AS i FROM d WHERE len(w) >= {SPAN}),
-bp AS (SELECT item_id, v, unnest(range(0, len(v) - {SPAN - 1})) AS j FROM b WHERE len(v) >= {SPAN}),
-ds AS (SELECT doc_id, i, m, {picked("w", "i")} AS s FROM dp, masks),
-bs AS (SELECT item_id, j, m, {picked("v", "j")} AS s FROM bp, masks),
-hits AS (SELECT DISTINCT doc_id, item_id, m, i, j FROM ds JOIN bs USING (m, s)),
-leaders AS (SELECT * FROM hits h ANTI JOIN hits g ON h.doc_id = g.doc_id AND h.item_id = g.item_id AND h.m = g.m AND h.i = g.i + 1 AND h.j = g.j + 1),
-spans AS (SELECT doc_id, item_id, w, v, i, j, least(i, j, {REACH}) AS back, least(len(w) - i, len(v) - j, {SPAN + REACH}) AS ahead
-    FROM leaders JOIN d USING (doc_id) JOIN b USING (item_id)),
-scored AS (SELECT doc_id, item_id, len(list_filter(range(i - back, i + ahead), lambda p: w[p + 1] = v[p - i + j + 1])) AS n_equal, len(v) AS item_tokens FROM spans)
-SELECT doc_id, item_id, CAST(max(n_equal) AS BIGINT) AS n_equal, CAST(max(item_tokens) AS BIGINT) AS item_tokens FROM scored
-WHERE n_equal >= least({EQUAL}, ceil({SHARE} * item_tokens)) GROUP BY doc_id, item_id"""
+WITH d AS ({words(docs, "doc_id")}), b AS ({words(items, "item_id")}),
+dp AS (SELECT r, unnest(w) AS t, unnest(range(len(w))) AS i FROM d),
+bp AS (SELECT r AS s, len(w) AS n, unnest(w) AS t, unnest(range(len(w))) AS j FROM b),
+equal AS (SELECT r, s, n, j, i - j AS diagonal FROM dp JOIN bp USING (t)),
+many AS (SELECT r, s, diagonal FROM equal GROUP BY r, s, diagonal, n HAVING count(*) * 10 >= least(n, {WINDOW}) * {SHARE}),
+windows AS (SELECT r, s, n, count(*) OVER (PARTITION BY r, s, diagonal ORDER BY j RANGE BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS c
+    FROM equal SEMI JOIN many USING (r, s, diagonal)),
+found AS (SELECT r, s, n, max(c) AS c FROM windows GROUP BY r, s, n HAVING max(c) * 10 >= least(n, {WINDOW}) * {SHARE})
+SELECT doc_id, item_id, CAST(max({{'c': c, 'n': n}}).c AS BIGINT) AS n_equal, CAST(max({{'c': c, 'n': n}}).n AS BIGINT) AS item_tokens
+FROM found JOIN d USING (r) JOIN b ON b.r = s GROUP BY doc_id, item_id"""
