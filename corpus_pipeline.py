@@ -3,7 +3,7 @@ what it returns is written as Parquet and read again by the next. All stages but
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolefit.llm import bpe, jaccard_join, langid, secret_scan, spaced_seeds
@@ -16,10 +16,10 @@ LEAST_CERTAIN = 0.5
 BROADCAST_KEYS = 2_000_000
 
 
-def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows whose doc_id is none of the keys; rows with a null doc_id stay."""
-    gone = checkpointed(keys.select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, docs.doc_id == gone["_gone"], "left_anti")
+def without(docs: DataFrame, key: str | Column, keys: DataFrame) -> DataFrame:
+    """The rows whose key is none of the keys, the only column of the other table; rows with a null key stay."""
+    gone = checkpointed(keys.toDF("_gone").where("_gone is not null").distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, (docs[key] if isinstance(key, str) else key) == gone["_gone"], "left_anti")
 
 
 def accepted(language: str, certainty: float) -> bool:
@@ -32,18 +32,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; of several rows with one doc_id, one. Documents without words and
-    rows without doc_id are in no group and stay."""
-    groups = checkpointed(jaccard_join.similar_groups(docs))
-    kept = without(docs, groups.where("doc_id <> component_id"))
-    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """Of each group of linked documents the one with the smallest doc_id stays. Documents without words are in no group and stay. Where a doc_id is
+    null or repeats, rows are grouped by their number in a written copy; of a group the row with the smallest doc_id stays, null last,
+    ties to the smallest number."""
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        groups = checkpointed(jaccard_join.similar_groups(docs))
+        return without(docs, "doc_id", groups.where("doc_id <> component_id").select("doc_id"))
+    copy = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = checkpointed(jaccard_join.similar_groups(copy.select("_row", "text"), key="_row"))
+    member = groups.join(copy.select("_row", F.col("doc_id").alias("_doc")), "_row")
+    first = member.groupBy("component_id").agg(F.min(F.struct(F.col("_doc").isNull(), "_doc", "_row")).getField("_row").alias("_first"))
+    return without(copy, "_row", member.join(first, "component_id").where("_row <> _first").select("_row")).drop("_row")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
-    return without(docs, spaced_seeds.find_leaks(docs, read(spark, sf_dir, "benchmark")))
+    """Documents that hold a passage of the benchmark go. A text alone decides, so rows are dropped by the digest of their text, whatever their ids."""
+    prints = docs.select(F.md5(F.col("text").cast("binary")).alias("_print"), "text")
+    leaks = spaced_seeds.find_leaks(prints, read(spark, sf_dir, "benchmark"), doc_key="_print")
+    return without(docs, F.md5(F.col("text").cast("binary")), leaks.select("_print"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
