@@ -26,8 +26,9 @@ from rolefit.llm.common import text_slices
 
 #: Entries of the largest vocabulary that is broadcast.
 MAX_VOCABULARY = 2_000_000
-#: Pre-tokens in each of the two generations whose ids a worker remembers. Results do not depend on it.
-REMEMBERED = 100_000
+#: Pre-tokens in each of the two generations whose ids a worker remembers, and the characters of the longest one that it does. Results do not
+#: depend on them.
+REMEMBERED, REMEMBERED_LENGTH = 100_000, 32
 
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -149,6 +150,10 @@ class _Seen(dict):
         ids = self.earlier.get(token)
         if ids is None:
             ids = self.find(token.encode("utf-8", "surrogatepass"))
+            if len(token) > REMEMBERED_LENGTH:
+                return ids
+        if len(self) >= REMEMBERED:
+            self.renew()
         self[token] = ids
         return ids
 
@@ -161,8 +166,6 @@ def encoder(codec: Codec) -> Callable[[str], list[int]]:
     split, seen = regex.compile(codec.pattern).findall, _Seen(codec)
 
     def encode(text: str) -> list[int]:
-        if len(seen) > REMEMBERED:
-            seen.renew()
         return list(chain.from_iterable(map(seen.__getitem__, split(text))))
 
     return encode

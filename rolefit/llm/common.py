@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -13,10 +14,18 @@ from pyspark.sql import functions as F
 
 #: Rows that a Python step holds as Python objects at a time.
 SLICE_ROWS = 256
+#: Bytes of an Arrow batch, whatever its rows: long texts make batches of few rows.
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    return small_batches(spark).read.parquet(f"{folder}/{table}.parquet")
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, set to send Python workers batches of BATCH_BYTES."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,17 +55,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """Cut lineage by a compressed table in the shared folder, of which later steps read the columns that they need."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(small_batches(df.sparkSession))}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Each batch in slices of a few rows, with their texts; a null text is empty."""
+    """Each batch in slices of a few rows, with their texts; a null text is empty. What the worker has freed goes back to the system at the end."""
+    for part in slices(batches):
+        yield part, [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch in slices of a few rows."""
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
-            part = batch.slice(at, SLICE_ROWS)
-            yield part, [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]
+            yield batch.slice(at, SLICE_ROWS)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def fold(key: Column, parts: int) -> Column:

@@ -102,8 +102,11 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.n
 
 
 def bounded_sample(rows: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
-    """Rows drawn by the hash of their key so that each class has `per_class` rows to be expected, or all that it has."""
-    sizes = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MAX_LANGUAGES).collect()
+    """Rows drawn by the hash of their key so that each class has `per_class` rows to be expected, or all that it has; more than
+    MAX_LANGUAGES classes are an error."""
+    sizes = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} different labels")
     share = F.lit(0.0)
     for r in sizes:
         share = F.when(F.col(label) == r[label], F.lit(min(1.0, per_class / r["count"]))).otherwise(share)

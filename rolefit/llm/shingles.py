@@ -17,7 +17,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, n at least."""
     size = 1 << max(12, int(n - 1).bit_length())
-    if size > 1 << 20:  # rare long texts are not kept for
+    if size > 1 << 16:  # workers live long: the tables of rare long texts are not kept
         return _powers(n)
     if size not in _POWERS:
         _POWERS[size] = _powers(size)

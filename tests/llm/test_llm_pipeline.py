@@ -75,6 +75,14 @@ def test_secrets_are_gone_and_the_rest_is_as_it_was(stages):
     assert changed
 
 
+def test_leaks_go_whatever_their_ids(spark):
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    rows = [(None, "before " + item), (1, item + " after"), (1, "a clean text with the same number"), (None, "a clean text without one"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.decontamination(spark, docs, SMALL)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.where("text is not null").collect()) == [(0, rows[3][1]), (1, rows[2][1])] and kept.count() == 3
+
+
 def test_tokens_are_those_of_the_library(stages):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -89,13 +97,14 @@ def test_run_returns_the_last_stage(spark, stages):
 
 def test_pipeline_of_odd_rows(spark):
     rows = [(1, "the quick brown fox jumps over it", "en", "s", 5), (1, "the quick brown fox jumps over it", "en", "s", 5), (2, None, None, None, None), (3, "", "en", "s", 0),
-            (None, "ohne Nummer steht dieser Text hier", "de", None, 3), (4, "THE quick brown fox jumps over it", "en", "s", 5)]
+            (None, "ohne Nummer steht dieser Text hier", "de", None, 3), (4, "THE quick brown fox jumps over it", "en", "s", 5),
+            (None, "ohne Nummer steht dieser Text hier", "de", None, 3), (1, "another text altogether has the same number as the first", "en", "s", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = written(stage(spark, kept, SMALL))
         assert kept.schema == docs.schema, name
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1]
+    assert sorted(((r.doc_id or 0), r.text[:4]) for r in kept.collect()) == [(0, "ohne"), (1, "anot"), (1, "the ")]
     assert corpus_pipeline.accepted("en", 0.9) and not corpus_pipeline.accepted(langid.UNKNOWN, 1.0)
     none = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
