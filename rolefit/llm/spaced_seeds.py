@@ -44,8 +44,10 @@ REGION = 3 * WINDOW
 #: Seeds in a block that is broadcast, some 400 bytes each at most.
 BROADCAST_SEEDS = 200_000
 
-TOKEN_BREAK = r"[^\p{L}\p{N}\p{M}]+"
-#: Scripts written without blanks: each of their characters is a token.
+#: Letters of ASCII are named first because they are tested first.
+TOKEN_BREAK = r"[^a-z0-9\p{L}\p{N}\p{M}]+"
+#: Scripts written without blanks: each of their characters is a token. All lie beyond FIRST_UNBROKEN, which is a cheaper test.
+FIRST_UNBROKEN = r"[\x{E00}-\x{10FFFF}]"
 SCRIPTS = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
 
 
@@ -53,7 +55,7 @@ def tokens(text: Column) -> Column:
     """Runs of letters, digits and marks in lower case, and single characters of SCRIPTS; a null text has none."""
     unbroken = "([" + "".join(rf"\p{{Is{script}}}" for script in SCRIPTS) + "])"
     text = F.lower(F.coalesce(text, F.lit("")))
-    parted = F.when(text.rlike(unbroken), F.regexp_replace(text, unbroken, " $1 ")).otherwise(text)
+    parted = F.when(text.rlike(FIRST_UNBROKEN), F.regexp_replace(text, unbroken, " $1 ")).otherwise(text)
     return F.array_remove(F.split(parted, TOKEN_BREAK), "")
 
 
@@ -105,9 +107,12 @@ def equal_bits() -> Column:
     return F.aggregate(same, F.lit(0).cast("long"), lambda bits, bit: bits * 2 + bit)
 
 
-def best_window(bits: str) -> Column:
-    """The most bits that are set in WINDOW adjacent ones."""
-    return F.greatest(*(F.bit_count(F.shiftright(bits, s).bitwiseAND((1 << WINDOW) - 1)) for s in range(REGION - WINDOW + 1)))
+def best_window() -> Column:
+    """The most bits that are set in WINDOW adjacent ones; in a lambda, so that the bits are worked out once."""
+    def count(bits: Column) -> Column:
+        return F.greatest(*(F.bit_count(F.shiftright(bits, s).bitwiseAND((1 << WINDOW) - 1)) for s in range(REGION - WINDOW + 1)))
+
+    return F.element_at(F.transform(F.array(equal_bits()), count), 1)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text",
@@ -120,7 +125,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
     seeds = checkpointed(seed_rows(items, item_key, text))
     number, masks = seeds.agg(F.count(F.lit(1)), F.sort_array(F.collect_set("_mask"))).first()
     doc_rows = docs.select(F.col(doc_key).alias("_doc"), tokens(F.col(text)).alias("_words"))
-    places = doc_rows.where(F.size("_words") > 0).select("_doc", "_words", F.explode(F.sequence(F.lit(0), F.size("_words") - 1)).alias("_i"))
+    every = F.when(F.size("_words") > 0, F.sequence(F.lit(0), F.size("_words") - 1))
+    places = doc_rows.select("_doc", "_words", F.explode(every).alias("_i"))
     doc_seeds = places.select("_doc", "_words", "_i", F.explode(F.array(*(seed("_words", "_i", k) for k in masks or [0]))).alias("_seed"))
     blocks = max(1, -(-number // max(1, broadcast_seeds)))
     found = [_verified(doc_seeds, seeds.where(F.pmod(F.xxhash64("_item", "_mask", "_back", "_around"), F.lit(blocks)) == block), masks) for block in range(blocks)]
@@ -139,8 +145,8 @@ def _verified(doc_seeds: DataFrame, block: DataFrame, masks: list[int]) -> DataF
     # a generated column keeps the comparison, which cannot be compiled, out of the stage of the join, and whole texts out of the rows
     near = F.struct(F.slice("_words", F.col("_i") - front + 1, front + 2 * WINDOW).alias("_near"),
                     F.slice("_around", F.col("_back") - front + 1, F.lit(REGION)).alias("_item_near"))
-    return (hits.select("_doc", "_item", "_n", F.inline(F.array(near))).select("_doc", "_item", "_n", equal_bits().alias("_bits"))
-            .select("_doc", "_item", "_n", best_window("_bits").alias("n_equal")).where(F.col("n_equal") >= need(F.col("_n")))
+    return (hits.select("_doc", "_item", "_n", F.inline(F.array(near))).select("_doc", "_item", "_n", best_window().alias("n_equal"))
+            .where(F.col("n_equal") >= need(F.col("_n")))
             .groupBy("_doc", "_item", "_n").agg(F.max("n_equal").alias("n_equal")))
 
 
