@@ -1,5 +1,6 @@
 """Rewrites and text alignment."""
 
+from oracle.ab_records import QUERIES as RECORDS
 from rolefit import refdata as R
 
 B, DB = R.BULLET_CHARS, R.DOC_BULLET_CHARS
@@ -92,6 +93,50 @@ SELECT u.resume_id, u.section, u.entry_idx, u.bullet_idx, CASE WHEN u.section =
 FROM unit_v u LEFT JOIN (SELECT DISTINCT resume_id FROM scopedflag_v WHERE scope IN ('entry', 'section')) w USING (resume_id)
 LEFT JOIN (SELECT DISTINCT resume_id, bullet_index AS bullet_idx FROM scopedflag_v WHERE scope = 'bullet') b
   ON b.resume_id = u.resume_id AND b.bullet_idx = u.bullet_idx""",
+    "sectionlist_v": """
+SELECT c.resume_id, c.summary, c.skills, c.certifications, e.institution,
+  CASE WHEN c.resume_id % 3 = 0 THEN list_append(c.skills, 'Kafka') ELSE c.skills END AS new_skills,
+  CASE WHEN c.resume_id % 5 = 0 THEN list_append(c.certifications, 'CISSP') ELSE c.certifications END AS new_certifications,
+  CASE WHEN c.resume_id % 22 = 0 THEN upper(e.institution || ' East') WHEN c.resume_id % 11 = 0 THEN upper(e.institution) ELSE e.institution END AS new_institution
+FROM candidate_v c JOIN education_v e USING (resume_id)""",
+    "sectionold_v": """
+SELECT resume_id, 'summary' AS section, 0 AS entry_idx, 0 AS bullet_idx, summary AS text FROM sectionlist_v
+UNION ALL SELECT resume_id, 'skills', 0, generate_subscripts(skills, 1) - 1, unnest(skills) FROM sectionlist_v
+UNION ALL SELECT resume_id, 'tech_stack', 0, generate_subscripts(skills[1:2], 1) - 1, unnest(skills[1:2]) FROM sectionlist_v
+UNION ALL SELECT resume_id, 'certifications', 0, generate_subscripts(certifications, 1) - 1, unnest(certifications) FROM sectionlist_v
+UNION ALL SELECT resume_id, 'education', 0, 0, 'BSc, ' || institution FROM sectionlist_v
+UNION ALL SELECT resume_id, 'projects', pos - 1, 0, 'Worked as ' || title FROM history_v
+UNION ALL SELECT resume_id, 'projects', pos - 1, 1, 'At ' || company FROM history_v""",
+    "sectionnew_v": """
+SELECT resume_id, 'summary' AS section, 0 AS entry_idx, 0 AS bullet_idx, summary || ' and more' AS text FROM sectionlist_v
+UNION ALL SELECT resume_id, 'skills', 0, generate_subscripts(new_skills, 1) - 1, unnest(new_skills) FROM sectionlist_v
+UNION ALL SELECT resume_id, 'tech_stack', 0, generate_subscripts(new_skills[1:2], 1) - 1, unnest(new_skills[1:2]) || ' and more' FROM sectionlist_v
+UNION ALL SELECT resume_id, 'certifications', 0, generate_subscripts(new_certifications, 1) - 1, unnest(new_certifications) FROM sectionlist_v
+UNION ALL SELECT resume_id, 'education', 0, 0, 'BSc, ' || new_institution FROM sectionlist_v
+UNION ALL SELECT resume_id, 'projects', pos - 1, 0, 'Worked as ' || title FROM history_v WHERE pos <= 12
+UNION ALL SELECT resume_id, 'projects', pos - 1, 1, 'At ' || company || CASE WHEN pos % 7 = 3 THEN ' Ltd' ELSE '' END FROM history_v WHERE pos <= 12""",
+    "sectionscope_v": """
+SELECT resume_id, section, entry_idx, bullet_index, CASE WHEN resume_id % 7 < 2 THEN 'kept: clean' ELSE scope END AS scope FROM (
+  SELECT resume_id, 'skills' AS section, -1 AS entry_idx, -1 AS bullet_index, CASE WHEN resume_id % 4 = 0 AND resume_id % 5 <> 0 THEN 'kept: approved'
+    WHEN resume_id % 4 < 2 AND resume_id % 5 = 0 THEN 'kept: empty flag' ELSE 'section' END AS scope FROM candidate_v WHERE resume_id % 3 = 0
+  UNION ALL SELECT resume_id, 'certifications', -1, -1, 'section' FROM candidate_v WHERE resume_id % 5 = 0
+  UNION ALL SELECT resume_id, 'education', -1, -1, CASE WHEN resume_id % 2 = 0 THEN 'kept: in original' ELSE 'section' END FROM candidate_v WHERE resume_id % 11 = 0
+  UNION ALL SELECT resume_id, 'summary', -1, -1, 'section' FROM candidate_v WHERE resume_id % 2 = 0
+  UNION ALL SELECT resume_id, 'languages', -1, -1, 'kept: unknown section' FROM candidate_v WHERE resume_id % 17 = 0
+  UNION ALL SELECT resume_id, 'projects', place, bullet, CASE WHEN place >= n THEN 'section' WHEN place >= least(n, 12) THEN 'quarantined'
+    WHEN bullet IN (0, 1) THEN 'bullet' ELSE 'entry' END FROM (
+    SELECT resume_id, CASE WHEN resume_id % 13 = 5 THEN 100 + pos ELSE pos - 1 END AS place, count(*) OVER (PARTITION BY resume_id) AS n, pos,
+      CASE WHEN resume_id % 3 = 1 THEN -1 WHEN resume_id % 3 = 2 AND pos = 3 THEN 2 ELSE 1 END AS bullet FROM history_v) WHERE pos % 7 = 3 OR pos > 12)""",
+    "sectionhit_v": """
+SELECT resume_id, section FROM sectionscope_v WHERE scope = 'section'
+UNION SELECT resume_id, 'tech_stack' FROM sectionscope_v WHERE scope = 'section' AND section = 'skills'""",
+    "sectionunit_v": """
+SELECT *, EXISTS (SELECT 1 FROM sectionhit_v h WHERE h.resume_id = u.resume_id AND h.section = u.section) AS whole,
+  EXISTS (SELECT 1 FROM sectionscope_v f WHERE f.resume_id = u.resume_id AND f.section = u.section AND f.entry_idx = u.entry_idx AND f.scope = 'entry') AS entry,
+  EXISTS (SELECT 1 FROM sectionscope_v f WHERE f.resume_id = u.resume_id AND f.section = u.section AND f.entry_idx = u.entry_idx
+    AND f.bullet_index = u.bullet_idx AND f.scope = 'bullet') AS one
+FROM (SELECT resume_id, section, entry_idx, bullet_idx, o.text AS old_text, n.text AS new_text
+  FROM sectionold_v o FULL JOIN sectionnew_v n USING (resume_id, section, entry_idx, bullet_idx)) u""",
     "section_v": """
 SELECT c.resume_id, c.job_id, concat_ws('|', CASE WHEN c.rewrite_summary AND s.changed THEN 'Summary' END,
   CASE WHEN c.rewrite_bullets AND s.bullets_changed THEN 'Experience' END, CASE WHEN c.reorder_sections THEN 'Section Order' END) AS sections
@@ -123,6 +168,11 @@ UNION ALL SELECT resume_id, 'degree', 'MSc' FROM candidate_v WHERE resume_id % 7
 UNION ALL SELECT resume_id, 'institution', upper(institution || ' East') FROM education_v WHERE resume_id % 22 = 0""",
     "h5_revert_scope": "SELECT * FROM scopedflag_v",
     "h5_revert_apply": "SELECT * FROM verified_v",
+    "h5_section_scope": "SELECT * FROM sectionscope_v",
+    "h5_section_apply": """
+SELECT resume_id, section, entry_idx, bullet_idx, text FROM (
+  SELECT *, CASE WHEN whole OR entry THEN old_text WHEN one AND new_text IS NOT NULL THEN coalesce(old_text, new_text) ELSE new_text END AS text FROM sectionunit_v)
+WHERE text IS NOT NULL""",
     "h6_sections_changed": "SELECT * FROM section_v",
     "h6_section_counts": "SELECT section, count(*) AS n FROM (SELECT unnest(string_split(sections, '|')) AS section FROM section_v) WHERE section <> '' GROUP BY 1",
     "i1_entry_segment": "SELECT * FROM entry_v",
@@ -180,4 +230,7 @@ FROM candidate_v c LEFT JOIN history_v h ON h.resume_id = c.resume_id AND h.pos
     "i7_unresolved_tokens": """
 SELECT resume_id, 'MISSING' AS token FROM candidate_v
 UNION ALL SELECT resume_id, unnest(['EXP_1_TITLE', 'EXP_1_DATES']) FROM candidate_v WHERE resume_id NOT IN (SELECT resume_id FROM history_v)""",
+    "i7_unused_placeholders": f"""
+SELECT DISTINCT resume_id, placeholder FROM ({RECORDS["b4_placeholder_rows"]}) p
+WHERE placeholder NOT IN ('FULL_NAME', 'EMAIL', 'LOCATION', 'MISSING', 'EXP_1_TITLE', 'EXP_1_DATES')""",
 }

@@ -334,3 +334,15 @@ def unresolved_tokens(templates: DataFrame, placeholders: DataFrame) -> DataFram
     """(resume_id, token): tokens of a resume's template that have no placeholder row."""
     wanted = template_pieces(templates).filter("token IS NOT NULL").select("resume_id", "token").distinct()
     return wanted.join(placeholders.withColumnRenamed("placeholder", "token"), ["resume_id", "token"], "left_anti")
+
+
+def unused_placeholders(templates: DataFrame, placeholders: DataFrame) -> DataFrame:
+    """(resume_id, placeholder): placeholder rows of a resume with a template that none of its tokens takes.
+
+    A template's tokens stay one array of its row, so the placeholders meet one row per resume and no token is exploded.
+    Placeholders of resumes without a template have no row.
+    """
+    token = F.transform(F.regexp_extract_all("template", F.lit(f"({TOKEN})"), F.lit(1)), lambda t: F.regexp_replace(t, r"[{}]", ""))
+    taken = templates.filter("template IS NOT NULL").groupBy("resume_id").agg(F.flatten(F.collect_set(token)).alias("taken"))
+    return (placeholders.select("resume_id", "placeholder").distinct().join(taken, "resume_id")
+            .filter(~F.array_contains("taken", F.col("placeholder"))).select("resume_id", "placeholder"))

@@ -19,7 +19,7 @@ from rolefit.operators import signals as S
 from rolefit.operators import skills as SK
 from rolefit.operators import verify as V
 from rolefit.plans import scoring
-from rolefit.plans.spine import pair_rows, scoped_flags, verified_units
+from rolefit.plans.spine import pair_rows, scoped_flags, scoped_section_flags, verified_sections, verified_units
 from rolefit.sources.adapters import Views
 from rolefit.sources.corpus import decode_utf8, read_text_corpus, work_folder
 from rolefit.streaming import sessions as ST
@@ -209,6 +209,8 @@ query("h4_novel_items")(lambda v: V.novelty_flags(
     item_facts(v.candidate_items), item_facts(v.rewritten_items), v.approved))
 query("h5_revert_scope")(scoped_flags)
 query("h5_revert_apply")(verified_units)
+query("h5_section_scope")(scoped_section_flags)
+query("h5_section_apply")(verified_sections)
 query("h6_sections_changed")(lambda v: V.sections_changed(v.original_units, verified_units(v), v.confirmations).select(
     "resume_id", "job_id", F.array_join("sections", "|").alias("sections")))
 query("h6_section_counts")(lambda v: V.section_counts(V.sections_changed(v.original_units, verified_units(v), v.confirmations)))
@@ -240,6 +242,7 @@ query("i5_rebuilt_text")(lambda v: AL.rebuilt_text(
 query("i6_reading_order")(lambda v: AL.reading_order(v.stream_blocks))
 query("i7_template_merge")(lambda v: AL.template_merge(v.templates, B.placeholder_rows(v.nested_resumes)).select("resume_id", "text"))
 query("i7_unresolved_tokens")(lambda v: AL.unresolved_tokens(v.templates, B.placeholder_rows(v.nested_resumes)))
+query("i7_unused_placeholders")(lambda v: AL.unused_placeholders(v.templates, B.placeholder_rows(v.nested_resumes)))
 
 # --- reports -----------------------------------------------------------------------------------------------------------
 query("j1_score_delta_report")(lambda v: J.delta_rows(pair_rows(v, "scores", "scores_after")))

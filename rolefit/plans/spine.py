@@ -85,6 +85,15 @@ def verified_units(v: Views) -> DataFrame:
     return V.revert_apply(v.original_units, v.rewritten_units, materialise(scoped_flags(v), "scoped-flags"))
 
 
+def scoped_section_flags(v: Views) -> DataFrame:
+    return V.revert_scope(v.original_sections, v.rewritten_sections, v.section_flags, v.section_verdicts, v.section_approvals)
+
+
+def verified_sections(v: Views) -> DataFrame:
+    """The same over all sections of the candidates."""
+    return V.revert_apply(v.original_sections, v.rewritten_sections, materialise(scoped_section_flags(v), "scoped-section-flags"))
+
+
 def pair_rows(v: Views, *wanted: str) -> DataFrame:
     """The rows of all pairs with the wanted parts: flags, items and decisions (skills), signals and total (scores, scores_after), terms_before and
     terms_after (after), own lists (lists), match_score (match), sections and suggestions (outcome); acknowledged and the reviewer's switches always."""

@@ -229,6 +229,53 @@ class Views:
             "original_text", "rewritten_text",
         )
 
+    def sections_of(self, items: DataFrame, history: DataFrame, tail: str = "") -> DataFrame:
+        """Units of every section of a resume, in one pass over its lists and one over its history; each history entry is a project of two bullets."""
+        lists = f"""inline(flatten(array(
+            array(named_struct('section', 'summary', 'entry_idx', 0, 'bullet_idx', 0, 'text', concat(summary, '{tail}'))),
+            transform(skills, (s, i) -> named_struct('section', 'skills', 'entry_idx', 0, 'bullet_idx', i, 'text', s)),
+            transform(slice(skills, 1, 2), (s, i) -> named_struct('section', 'tech_stack', 'entry_idx', 0, 'bullet_idx', i, 'text', concat(s, '{tail}'))),
+            transform(certifications, (s, i) -> named_struct('section', 'certifications', 'entry_idx', 0, 'bullet_idx', i, 'text', s)),
+            transform(institutions, (s, i) -> named_struct('section', 'education', 'entry_idx', i, 'bullet_idx', 0, 'text', concat('BSc, ', s))))))"""
+        listed = items.join(self.candidates.select("resume_id", "summary"), "resume_id").selectExpr("resume_id", lists)
+        projects = history.selectExpr("resume_id", "'projects' AS section", "CAST(pos - 1 AS INT) AS entry_idx",
+                                      "posexplode(array(concat('Worked as ', title), concat('At ', company))) AS (bullet_idx, text)")
+        return listed.unionByName(projects)
+
+    @cached_property
+    def original_sections(self) -> DataFrame:
+        return self.sections_of(self.candidate_items, self.history)
+
+    @cached_property
+    def rewritten_sections(self) -> DataFrame:
+        """Summary and tech stack of every resume are longer, some lists and schools changed, and all projects from the thirteenth on are gone."""
+        return self.sections_of(self.rewritten_items, self.rewritten_history.filter("pos <= 12"), " and more")
+
+    @cached_property
+    def section_flags(self) -> DataFrame:
+        """Flags on all kinds of sections: what the rewrite added to lists and schools, a third of the summaries, a section that no resume has, and projects that
+        changed or went, by bullet, by entry or with an index out of range."""
+        flag = "named_struct('section', '{}', 'entry_index', -1, 'bullet_index', -1, 'original_text', {}, 'rewritten_text', {}, 'revert_to', {})"
+        none = "CAST(NULL AS STRING)"
+        kinds = (("skills", 3, none, "IF(resume_id % 5 = 0, '', 'Added Kafka')", none), ("certifications", 5, none, "'CISSP'", none),
+                 ("education", 11, "'School'", "'SCHOOL'", "IF(resume_id % 2 = 0, 'school', 'Elsewhere College')"),
+                 ("summary", 2, "summary", "concat(summary, ' and more')", none), ("languages", 17, none, "'Welsh'", none))
+        listed = ", ".join(f"IF(resume_id % {part} = 0, {flag.format(name, *texts)}, NULL)" for name, part, *texts in kinds)
+        lists = self.candidates.selectExpr("resume_id", f"inline(array_compact(array({listed})))")
+        projects = self.history.filter("pos % 7 = 3 OR pos > 12").selectExpr(
+            "resume_id", "'projects' AS section", "CAST(IF(resume_id % 13 = 5, 100 + pos, pos - 1) AS INT) AS entry_index",
+            "CASE resume_id % 3 WHEN 1 THEN -1 WHEN 2 THEN IF(pos = 3, 2, 1) ELSE 1 END AS bullet_index", "concat('At ', company) AS original_text",
+            "concat('At ', company, ' Ltd') AS rewritten_text", f"{none} AS revert_to")
+        return lists.unionByName(projects)
+
+    @cached_property
+    def section_verdicts(self) -> DataFrame:
+        return self.candidates.selectExpr("resume_id", "CASE resume_id % 7 WHEN 0 THEN 'true' WHEN 1 THEN 'perhaps' ELSE 'false' END AS is_clean")
+
+    @cached_property
+    def section_approvals(self) -> DataFrame:
+        return self.candidates.filter("resume_id % 4 < 2").selectExpr("resume_id", "IF(resume_id % 4 = 0, 'kafka', 'Go') AS skill")
+
     @cached_property
     def submissions(self) -> DataFrame:
         return self.submissions_of(self.table("events"))

@@ -204,3 +204,23 @@ def test_prefix_alignment_serves_long_keys_first(spark):
     segmented = spark.createDataFrame(entries, "doc_id long, page long, block int, entry long, n_lines long, text string")
     got = {r.key: r.entry for r in AL.prefix_align(changed, segmented).collect()}
     assert got == {keys[0]: 0, keys[1]: 1, keys[2]: 2}
+
+
+def test_unused_placeholders(spark):
+    templates = spark.createDataFrame([(1, "Dear {{NAME}}, {{NAME}} {{X_1}}"), (1, "{{CITY}}"), (2, ""), (3, None)], "resume_id long, template string")
+    rows = [(r, p, "v") for r in (1, 2, 3, 4) for p in ("NAME", "CITY", "X_2")] + [(1, "X_2", "again")]
+    placeholders = spark.createDataFrame(rows, "resume_id long, placeholder string, value string")
+    got = sorted(map(tuple, AL.unused_placeholders(templates, placeholders).collect()))
+    assert got == [(1, "X_2"), (2, "CITY"), (2, "NAME"), (2, "X_2")]
+    assert AL.unused_placeholders(templates.limit(0), placeholders).count() == 0
+
+
+def test_revert_of_lost_projects_is_quarantined(spark):
+    original = _units(spark, [(1, "projects", 0, 0, "a"), (1, "projects", 1, 0, "b"), (1, "certifications", 0, 0, "CKA")])
+    rewritten = _units(spark, [(1, "projects", 0, 0, "a new"), (1, "certifications", 0, 0, "CKA"), (1, "certifications", 0, 1, "PMP")])
+    flags = spark.createDataFrame([(1, "projects", 1, 0, "", "x"), (1, "projects", 0, 0, "", "x"), (1, "certifications", -1, -1, "", "PMP"), (1, "languages", 0, 0, "", "x")],
+                                  "resume_id long, section string, entry_index int, bullet_index int, original_text string, rewritten_text string")
+    scoped = V.revert_scope(original, rewritten, flags, spark.createDataFrame([(1, "false")], "resume_id long, is_clean string"),
+                            spark.createDataFrame([], "resume_id long, skill string"))
+    assert sorted(r.scope for r in scoped.collect()) == ["bullet", "kept: unknown section", "quarantined", "section"]
+    assert _rows(V.revert_apply(original, rewritten, scoped)) == [(1, "certifications", 0, 0, "CKA"), (1, "projects", 0, 0, "a")]
