@@ -1,9 +1,8 @@
 """Main text of web pages from streaming parser events.
 
 The standard library's parser reads a page once, event by event, into lines: one per block, with its text, the number of tags
-that made it, its place among the enclosing containers and whether an enclosing element says by its tag or by a word of its class, id or
-role that it is a menu, header, footer, sidebar, notice, advert, form or comment section (inside an article, by a whole class, id or
-role and not by the id of a heading or section). Then
+that made it, its place among the enclosing containers and whether an enclosing element says by its tag or by a whole class, id or
+role (not by the id of a heading or section) that it is a menu, header, footer, sidebar, notice, advert, form or comment section. Then
 
 1. each line gets its text-to-tag ratio (characters outside links per tag; 0 for a line that is marked so),
 2. the ratios are smoothed with a Gaussian along the page,
@@ -36,17 +35,20 @@ BLOCKS = CONTAINERS | frozenset("p li ul ol dl dt dd h1 h2 h3 h4 h5 h6 pre table
 UNREAD = frozenset("script style noscript template iframe object svg canvas head title select option button textarea datalist".split())
 MARKED = frozenset("nav footer aside form menu dialog".split())
 #: Words of class, id or role that mark an element as no part of the article.
-MARK_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
+MARK_WORDS = frozenset("ad adbox ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
                        "notices alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs footer sidebar aside widget widgets "
                        "comment comments disqus replies reply share sharing social related recommended newsletter subscribe subscription signup "
                        "login search form toolbar pagination pager tags masthead skip".split())
 #: Words that make a known compound with mark words, as in related-posts; any other word beside them is part of a name, as in related-work.
-COMPOUND_WORDS = frozenset("area articles bar block box button buttons container content count dialog field icon icons inline inner item items label "
-                           "left link links list media middle mobile module network outer panel placeholder post posts right row section "
-                           "site slot small stories thread title top bottom trail unit wrap wrapper".split())
+COMPOUND_WORDS = frozenset("area articles bar block box button buttons container content count dialog field global google icon icons info inline inner item "
+                           "items label large law left link links list main media middle mobile module network outer page panel placeholder post posts "
+                           "primary reader readers right row secondary section site slot small sticky stories thread title top bottom trail unit user "
+                           "users wrap wrapper".split())
 #: Elements whose ids name what they are about.
 NAMED = frozenset("section h1 h2 h3 h4 h5 h6".split())
-HEADER_WORDS = frozenset("header topbar top".split())
+HEADER_WORDS = frozenset("header topbar top masthead".split())
+#: Words beside which a header is that of the page; beside any other, as in post-header or top-story, it belongs to what it names.
+PAGE_WORDS = frozenset("bar container fixed global inner main page primary site sticky wrap wrapper".split())
 _WORD = re.compile(r"[a-z0-9]+")
 _CLOSES_P = BLOCKS - frozenset(("title", "head", "option", "select"))
 
@@ -59,6 +61,11 @@ def is_mark(name: str) -> bool:
     return any(w in MARK_WORDS for w in words) and all(w in MARK_WORDS or w in COMPOUND_WORDS or w.isdigit() for w in words)
 
 
+def is_page_header(name: str) -> bool:
+    words = _WORD.findall(name)
+    return any(w in HEADER_WORDS for w in words) and all(w in HEADER_WORDS or w in PAGE_WORDS for w in words)
+
+
 class Lines(HTMLParser):
     """Collects the lines of a page."""
 
@@ -108,11 +115,10 @@ class Lines(HTMLParser):
         names = [(name, value.lower()) for name, value in attrs if value and name in ("class", "id", "role")]
         within = within or tag in ("article", "main")
         if tag not in ("html", "body", "article", "main"):
-            if within:
-                marked = marked or tag in MARKED or any(is_mark(one) for name, value in names if name != "id" or tag not in NAMED for one in value.split())
-            else:
-                words = {word for _, value in names for word in _WORD.findall(value)}
-                marked = marked or tag in MARKED or bool(words & MARK_WORDS) or tag == "header" or bool(words & HEADER_WORDS)
+            values = [one for name, value in names if name != "id" or tag not in NAMED for one in value.split()]
+            marked = marked or tag in MARKED or any(is_mark(one) for one in values)
+            if not within:
+                marked = marked or tag == "header" or any(is_page_header(one) for one in values)
         unread = unread or tag in UNREAD
         if tag in CONTAINERS:
             self.parents.append(container)
@@ -176,8 +182,8 @@ def extract(html: str) -> str:
             mass[container] += (len(text) - links) * parser.weight[container]
     for node in range(len(parents) - 1, 0, -1):  # a container comes after its parent
         mass[parents[node]] += mass[node]
-    if not mass[0]:
-        return ""
+    if not mass[0]:  # no text but links: those of an article are its text
+        return "\n".join(text for text, _, _, container, marked in lines if parser.article[container] and not marked)
     children: list[list[int]] = [[] for _ in parents]
     for node in range(1, len(parents)):
         children[parents[node]].append(node)

@@ -43,6 +43,15 @@ def test_slugs_inside_an_article_are_no_marks():
     assert html_text.extract(page) == "Related work\nSome text of it.\nSearch\nForm.\nChange.\nBoard."
 
 
+def test_marks_are_whole_names_outside_an_article_too():
+    text = "A long sentence of the only text of this page that goes on and on. " * 4
+    for start in ('<div class="site has-sidebar">', '<div class="top-story">', '<div id="social-change">', '<div class="post-header">'):
+        assert html_text.extract(f"<body>{start}<p>{text}</p></div><div class='site-header'><p>Site</p></div></body>") == text.strip()
+    assert html_text.extract("<body><article><p><a href=x>Only a link</a></p><div class=ads><a href=y>Buy</a></div></article><p><a href=z>Other</a></p></body>") == "Only a link"
+    for name in ("reader-comments", "user-comments", "google-ads", "adbox", "promo-box-large", "cookie-law-info", "main-nav", "site-footer"):
+        assert html_text.extract(f"<article><p>{text}</p><div class={name}><p>{text}</p></div><div id={name}>Some</div></article>") == text.strip()
+
+
 def test_broken_and_empty_pages():
     assert html_text.extract("") == "" and html_text.extract("<nav>x</nav>") == ""
     assert html_text.extract("plain &lt;text&gt;") == "plain <text>"
