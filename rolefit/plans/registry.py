@@ -285,18 +285,14 @@ def _sink(v: Views) -> DataFrame:
 
 # --- sessions ----------------------------------------------------------------------------------------------------------
 def event_stream(v: Views) -> DataFrame:
-    schema = v.table("events").schema
-    stream = v.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(v.folder)
-    return v.submissions_of(stream)
+    return v.submissions_of(v.stream("events"))
 
 
 @query("k1_stream_score")
 def _stream_score(v: Views) -> DataFrame:
     """Documents arrive as a stream; every micro-batch runs the batch scoring job against the static tables."""
-    schema = v.table("documents").schema
-    stream = v.spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(v.folder)
     out = work_folder(v.spark, "stream-score")
-    ST.stream_score(stream, lambda batch: scoring.scores_of(v, batch), out, f"{out}-checkpoint").awaitTermination()
+    ST.stream_score(v.stream("documents"), lambda batch: scoring.scores_of(v, batch), out, f"{out}-checkpoint").awaitTermination()
     return v.spark.read.parquet(out).drop("batch")
 
 

@@ -22,6 +22,10 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, f"{self.folder}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """A table as a stream of its files. The pattern names the table alone, be it one file, which a stream takes only by a pattern, or a folder of them."""
+        return self.spark.readStream.schema(self.table(name).schema).parquet(f"{self.folder}/{name}.parque[t]")
+
     @cached_property
     def documents(self) -> DataFrame:
         return self.table("documents")

@@ -74,3 +74,13 @@ def test_a_batch_groups_no_history_but_its_own(spark):
     for i in windows:  # between the numbering of a history and the orders lies the join with the batch
         below = plan[i:next(k for k in range(i, len(plan)) if "o_orderkey" in plan[k] and "Relation" in plan[k])]
         assert any("LeftSemi" in line for line in below)
+
+
+def test_a_stream_reads_tables_of_one_file_and_of_many(spark, tmp_path):
+    one = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id long, text string")
+    one.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    one.coalesce(1).write.parquet(str(tmp_path / "aside"))
+    next((tmp_path / "aside").glob("part-*.parquet")).rename(tmp_path / "events.parquet")
+    views = Views(spark, str(tmp_path))
+    for name in ("documents", "events"):
+        assert rows(ST.run_to_end(views.stream(name), f"stream-{name}")) == rows(one)
