@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,37 +85,63 @@ EXPIRY_SCHEMA = StructType([StructField("session_id", LongType()), StructField("
 
 
 def expiry_processor(mark_seconds: int) -> StatefulProcessor:
-    """A processor that emits a session once the watermark has passed its creation by the life time, and never again.
+    """A processor of groups of sessions that emits a session once the watermark has passed its creation by the life time, and never again.
 
-    An expired session leaves a mark for mark_seconds of event time, so that what comes for it later does not start it anew. Built inside a function so that it reaches the executors by value.
+    The state of a group is one packed table of (session, creation, expired), so a call costs one read and one write whatever the number of sessions in it, and
+    one timer stands for the next of them that is due. An expired session leaves a mark for mark_seconds of event time, so that what comes for it later does not
+    start it anew. Built inside a function so that it reaches the executors by value.
     """
     ttl_ms, mark_ms = R.SESSION_TTL_SECONDS * 1000, mark_seconds * 1000
-    state_schema, row_schema = "created_ms long, expired boolean", EXPIRY_SCHEMA
+    state_schema, row_schema = "sessions binary, due_ms long", EXPIRY_SCHEMA
+    packed = [("session_id", "<i8"), ("created_ms", "<i8"), ("expired", "?"), ("unnamed", "?")]  # unnamed: events without a session are one
 
     class Expiry(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
-            self.created = handle.getValueState("created", state_schema)
+            self.sessions = handle.getValueState("sessions", state_schema)
+
+        def read(self) -> tuple[np.ndarray, int | None]:
+            if not self.sessions.exists():
+                return np.empty(0, packed), None
+            held, due = self.sessions.get()
+            return np.frombuffer(bytes(held), packed), int(due)
+
+        def keep(self, table: np.ndarray, due: int | None) -> None:
+            """Store the table and let the timer stand for the first moment at which one of its sessions is due."""
+            if due is not None:
+                self.handle.deleteTimer(due)
+            if not len(table):
+                self.sessions.clear()
+                return
+            first = int((table["created_ms"] + ttl_ms + np.where(table["expired"], mark_ms, 0)).min())
+            self.sessions.update((table.tobytes(), first))
+            self.handle.registerTimer(first)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            first = min(int(batch["ts"].min().timestamp() * 1000) for batch in rows)
-            if self.created.exists():
-                known, expired = self.created.get()
-                if expired or first >= known:
-                    return
-                self.handle.deleteTimer(int(known) + ttl_ms)
-            self.created.update((first, False))
-            self.handle.registerTimer(first + ttl_ms)
+            held, due = self.read()
+            parts = [held]
+            for batch in rows:
+                first = batch[batch["ts"].notna()].groupby(["unnamed", "session_id"])["ts"].min()
+                new = np.zeros(len(first), packed)
+                for column in ("unnamed", "session_id"):
+                    new[column] = first.index.get_level_values(column).to_numpy()
+                new["created_ms"] = first.to_numpy().astype("datetime64[ms]").astype("i8")
+                parts.append(new)
+            every = np.concatenate(parts)
+            # of a session the row that is known to be expired counts, else the earliest
+            every = every[np.lexsort((every["created_ms"], ~every["expired"], every["session_id"], every["unnamed"]))]
+            named = every[["session_id", "unnamed"]]
+            self.keep(every[np.concatenate([[True], named[1:] != named[:-1]])] if len(every) else every, due)
             yield from ()
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            created, expired = self.created.get()
-            if expired:
-                self.created.clear()
-                return
-            self.created.update((created, True))
-            self.handle.registerTimer(int(created) + ttl_ms + mark_ms)
-            yield pd.DataFrame({"session_id": [key[0]], "created": [pd.Timestamp(int(created), unit="ms")]})
+            table, due = self.read()
+            table, now = table.copy(), timerValues.getCurrentWatermarkInMs()
+            out = table[~table["expired"] & (table["created_ms"] + ttl_ms <= now)]
+            table["expired"] |= table["created_ms"] + ttl_ms <= now
+            self.keep(table[~table["expired"] | (table["created_ms"] + ttl_ms + mark_ms > now)], due)
+            ids = pd.arrays.IntegerArray(out["session_id"].astype("i8"), out["unnamed"].copy())
+            yield pd.DataFrame({"session_id": ids, "created": pd.to_datetime(out["created_ms"], unit="ms")})
 
         def close(self) -> None:
             pass
@@ -122,11 +149,13 @@ def expiry_processor(mark_seconds: int) -> StatefulProcessor:
     return Expiry(), row_schema
 
 
-def stream_expiry(events: DataFrame, lateness: str = "1 hour", mark_seconds: int = R.EXPIRED_MARK_SECONDS) -> DataFrame:
-    """Streaming form of session_expiry; needs the RocksDB state store provider."""
+def stream_expiry(events: DataFrame, lateness: str = "1 hour", mark_seconds: int = R.EXPIRED_MARK_SECONDS, groups: int = 1024) -> DataFrame:
+    """Streaming form of session_expiry; needs the RocksDB state store provider. Sessions are dealt into groups by hash: Python is called once per group and
+    micro-batch, not once per session."""
     processor, schema = expiry_processor(mark_seconds)
-    timed = events.select("session_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", lateness)
-    return timed.groupBy("session_id").transformWithStateInPandas(
+    timed = events.select(F.pmod(F.xxhash64("session_id"), F.lit(groups)).alias("part"), F.coalesce("session_id", F.lit(0)).cast("long").alias("session_id"),
+                          F.col("session_id").isNull().alias("unnamed"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", lateness)
+    return timed.groupBy("part").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 

@@ -84,3 +84,17 @@ def test_a_stream_reads_tables_of_one_file_and_of_many(spark, tmp_path):
     views = Views(spark, str(tmp_path))
     for name in ("documents", "events"):
         assert rows(ST.run_to_end(views.stream(name), f"stream-{name}")) == rows(one)
+
+
+def test_sessions_that_share_a_group_expire_each_for_itself(spark, tmp_path):
+    """Fifty sessions in two groups, two batches, events without a time and without a session."""
+    folder, days = str(tmp_path / "events"), {0: range(50), 1: range(0, 50, 2), 9: [99]}
+    for day, sessions in days.items():
+        found = [(s, day * 24 + s % 7) for s in sessions] + [(s, None) for s in (3, 60)] + [(None, day * 24)]
+        df = spark.createDataFrame(found, "session_id long, hour int").selectExpr(
+            "session_id", "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, hour) AS ts")
+        df.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = {r.session_id: r.created for r in ST.run_to_end(ST.stream_expiry(stream, groups=2), "expiry-groups").collect()}
+    want = {r.session_id: r.created for r in ST.session_expiry(spark.read.parquet(folder)).collect() if r.session_id not in (60, 99)}
+    assert got == want and len(got) == 51
