@@ -84,12 +84,19 @@ def _merged(existing: Column, added: Column) -> Column:
     return F.concat(existing, new)
 
 
-def skill_merge(rows: DataFrame) -> DataFrame:
+def merged_skills(rows: DataFrame) -> DataFrame:
     """(resume_id, job_id, skills, tech_stack) of pair rows with their additions in order (added) and the lists of the resume (own_skills, own_tech)."""
     added, none = empty_if_null(F.col("added")), F.array().cast("array<string>")
     return rows.select(*PAIR, _merged(F.coalesce("own_skills", none), added).alias("skills"), _merged(F.coalesce("own_tech", none), added).alias("tech_stack"))
 
 
+def skill_merge(resumes: DataFrame, pairs: DataFrame, added: DataFrame) -> DataFrame:
+    """The same of tables: the lists of the resume and the additions (resume_id, job_id, ord, skill) of each pair; a pair without any stays as it is."""
+    additions = added.groupBy(*PAIR).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "skill"))), lambda s: s["skill"]).alias("added"))
+    own = resumes.select("resume_id", F.col("skills").alias("own_skills"), F.col("tech_stack").alias("own_tech"))
+    return merged_skills(pairs.select(*PAIR).join(additions, PAIR, "left").join(own, "resume_id"))
+
+
 def category_lines(entries: DataFrame) -> DataFrame:
     """Distinct "Label: list" entries per document: (doc_id, pos, text), pos ordering them as they come."""
     first = strip(F.col("first_line"))
