@@ -113,6 +113,15 @@ def written_dictionary(texts: DataFrame, keywords: DataFrame, forms: bool = True
     return materialise(dictionary(materialise(units.distinct(), "units"), keywords, forms), "dictionary")
 
 
+def coded_dictionary(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((code, words, literals, sought), (unit, code)) of a dictionary, both written. Many units stand for the same, so the lists are as many as the keywords
+    give occasion for, while the units grow with the corpus."""
+    lists = ("words", "literals", "sought")
+    ordered = known.select("unit", *[F.sort_array(c).alias(c) for c in lists])
+    meanings = materialise(ordered.select(*lists).distinct().withColumn("code", F.monotonically_increasing_id()), "meanings")
+    return meanings, materialise(ordered.join(meanings, list(lists)).select("unit", "code"), "coded-units")
+
+
 def text_index(texts: DataFrame, known: DataFrame, scopes: tuple[str, ...], reordered: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of texts: resume_id and per scope words_<scope> (keyword words in any form) and literals_<scope>.
 
@@ -123,23 +132,33 @@ def text_index(texts: DataFrame, known: DataFrame, scopes: tuple[str, ...], reor
     marks = not known.where(~F.regexp_like("unit", F.lit("[a-z0-9]"))).isEmpty()
     mixed = not known.where(F.size("sought") > 0).isEmpty()
 
-    def listed(scope: str) -> Column:
+    def listed(number: int, scope: str) -> Column:
         text = F.col(f"text_{scope}")
         units = F.concat(tokens(text), runs_between(text)) if marks else tokens(text)
-        return F.transform(units, lambda u: F.struct(F.lit(scope).alias("scope"), u.alias("unit")))
+        return F.transform(units, lambda u: F.struct(F.lit(number).alias("scope"), u.alias("unit")))
 
-    rows = (texts.select("resume_id", F.explode(F.concat(*[listed(s) for s in scopes])).alias("u"))
+    rows = (texts.select("resume_id", F.explode(F.concat(*[listed(i, s) for i, s in enumerate(scopes)])).alias("u"))
             .select("resume_id", "u.scope", "u.unit").where("unit <> ''"))
 
-    # one list of what the units stand for, taken apart again inside the row
-    per_resume = rows.join(known, "unit").groupBy("resume_id").agg(
-        F.collect_list(F.struct("scope", "words", "literals", "sought")).alias("found"))
-
-    def gathered(scope: str, column: str) -> Column:
-        return F.array_distinct(F.flatten(F.transform(F.filter("found", lambda u: u["scope"] == scope), lambda u: u[column])))
-
-    per_resume = per_resume.select("resume_id", *[gathered(s, c).alias(f"{c}_{s}") for s in scopes for c in ("words", "literals")],
-                                   *([gathered(scopes[0], "sought").alias("sought")] if mixed else ()))
+    # a resume meets the units as numbers of what they stand for, each once per scope; the lists themselves come to the resume's own numbers
+    meanings, coded = coded_dictionary(known)
+    numbers = rows.join(coded, "unit").groupBy("resume_id").agg(F.collect_set(F.col("code") * len(scopes) + F.col("scope")).alias("codes"))
+    each = numbers.select("resume_id", F.explode("codes").alias("c")).select(
+        "resume_id", F.expr(f"c div {len(scopes)}").alias("code"), (F.col("c") % len(scopes)).alias("scope"))
+    # what several units of a resume stand for counts once before anything is collected
+    def labelled(kind: str) -> Column:
+        return F.transform(kind, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("keyword")))
+
+    entries = F.concat(*[labelled(kind) for kind in ("words", "literals", "sought")])
+    listed_once = each.join(meanings, "code").select("resume_id", "scope", F.explode(entries).alias("e")).select(
+        "resume_id", "scope", "e.kind", "e.keyword").distinct()
+
+    def gathered(number: int, kind: str) -> Column:
+        return F.collect_list(F.when((F.col("scope") == number) & (F.col("kind") == kind), F.col("keyword")))
+
+    per_resume = listed_once.groupBy("resume_id").agg(
+        *[gathered(i, c).alias(f"{c}_{s}") for i, s in enumerate(scopes) for c in ("words", "literals")],
+        *([gathered(0, "sought").alias("sought")] if mixed else ()))
     base = texts.select("resume_id", *([f"text_{s}" for s in (*scopes, *reordered)] if mixed else ()))
     none = F.array().cast("array<string>")
 

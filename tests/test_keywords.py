@@ -128,3 +128,14 @@ def test_literals_of_reordered_text(spark):
     known = W.written_dictionary(table.select("text_all"), words)
     got = {r.resume_id: (set(r.literals_all), set(r.literals_verified)) for r in W.text_index(table, known, ("all",), ("verified",)).collect()}
     assert got == {1: ({"c b", "b"}, {"b x", "b"}), 2: ({"b"}, {"b"}), 3: ({"zz"}, {"zz"})}
+
+
+def test_resumes_meet_numbers_and_not_the_lists_behind_the_units(spark):
+    """A hundred tokens stand for the same three keywords: their lists are kept once, and a resume that has all tokens collects each keyword once."""
+    tokens = [f"q{chr(97 + i % 26)}{chr(97 + i // 26)}legal" for i in range(100)]
+    table = spark.createDataFrame([(1, " ".join(tokens)), (2, tokens[0])], "resume_id long, text_all string")
+    known = W.written_dictionary(table.select("text_all"), spark.createDataFrame([("legal",), ("lega",), ("ega",)], "keyword string"))
+    meanings, coded = W.coded_dictionary(known)
+    assert coded.count() == 100 and meanings.count() == 1 and set(coded.columns) == {"unit", "code"}
+    for r in W.text_index(table, known, ("all",)).collect():
+        assert sorted(r.literals_all) == ["ega", "lega", "legal"]
