@@ -6,7 +6,8 @@ linear in the pairs table. What a pair needs is prepared once per resume and onc
 
 * Job side: keywords lower-cased and split into words once.
 * Resume side: which keyword words a resume contains in any form, and which keywords literally (rolefit.operators.word_index). Both come from one
-  dictionary of the distinct tokens of the corpus. Pairs carry these arrays, never a text: no text is searched above the pair join.
+  dictionary of the distinct tokens of the corpus, or, with not too many keywords, of the row itself. Pairs carry these arrays as numbers, never a text: no
+  text is searched above the pair join.
 
 Keywords whose words are all shorter than three letters hold for every resume; they are a flag on the keyword and
 never expanded to rows.
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 
 from rolefit import refdata as R
 from rolefit.functions.text import empty_if_null, tokens
-from rolefit.operators.word_index import keyword_words, long_words, text_index, word_stems, written_dictionary
+from rolefit.operators.word_index import coded, index_of, keyword_words, long_words, number, told_apart, word_stems
 
 SCOPES = ("all", "summary", "skills")
+#: So many jobs, with their keywords, are broadcast to the pairs; more meet them by a shuffle, and before the resumes do.
+BROADCAST_JOBS = 5_000
 
 
 def scope_texts(resumes: DataFrame, verified: bool = False) -> DataFrame:
@@ -71,24 +74,45 @@ def variant_index(keywords: DataFrame) -> DataFrame:
 
 
 def prepared_jobs(jobs: DataFrame, lists: dict[str, str] | None = None) -> DataFrame:
-    """(job_id, an array of (term, keyword, long words, n_words) for each list in job order, job_words, job_terms): the last two are the distinct long words
-    and keywords of all lists. lists names the columns they come from; hard and soft keywords by default."""
+    """(job_id, an array of (term, keyword, code, long, n_words) for each list in job order, job_stems, job_codes): code is the number of the keyword, long has
+    the numbers of the stems of each of its long words; the last two are all of these of all lists, each once. lists names the columns they come from; hard and
+    soft keywords by default."""
     lists = lists or {"hard": "hard_keywords", "soft": "soft_keywords"}
 
     def side(column: str) -> Column:
         return F.transform(
             empty_if_null(F.col(column)),
-            lambda k: F.struct(k.alias("term"), F.lower(k).alias("keyword"), long_words(F.lower(k)).alias("long"),
+            lambda k: F.struct(k.alias("term"), F.lower(k).alias("keyword"), number(F.lower(k)).alias("code"),
+                               F.transform(long_words(F.lower(k)), lambda w: F.transform(word_stems(w), number)).alias("long"),
                                F.size(keyword_words(F.lower(k))).alias("n_words")))
 
     sides = jobs.select("job_id", *[side(column).alias(name) for name, column in lists.items()])
-    return sides.withColumn("job_words", F.array_distinct(F.flatten(F.transform(F.concat(*lists), lambda k: k["long"])))).withColumn(
-        "job_terms", F.array_distinct(F.transform(F.concat(*lists), lambda k: k["keyword"])))
+    stems = F.flatten(F.flatten(F.transform(F.concat(*lists), lambda k: k["long"])))
+    return sides.withColumns({"job_stems": F.array_distinct(stems), "job_codes": F.array_distinct(F.transform(F.concat(*lists), lambda k: k["code"]))})
 
 
 def keywords_of(prepared: DataFrame) -> DataFrame:
     """(keyword): every keyword of prepared jobs."""
-    return prepared.select(F.explode("job_terms").alias("keyword"))
+    lists = [c for c, kind in prepared.dtypes if kind.startswith("array<struct<term:")]
+    return prepared.select(F.explode(F.transform(F.concat(*lists), lambda k: k["keyword"])).alias("keyword")).distinct()
+
+
+def few(jobs: DataFrame) -> bool:
+    return jobs.select("job_id").limit(BROADCAST_JOBS + 1).count() <= BROADCAST_JOBS
+
+
+def met(pairs: DataFrame, jobs: DataFrame, resumes: DataFrame, broadcast: bool) -> DataFrame:
+    """Pairs with both of their sides. Where the jobs are few, the pairs go to the resumes as two keys and nothing wide is shuffled."""
+    if broadcast:
+        return pairs.join(resumes, "resume_id").join(F.broadcast(jobs), "job_id")
+    return pairs.join(jobs, "job_id").join(resumes, "resume_id")
+
+
+def indexed(tables: list[DataFrame], keywords: DataFrame, first: str = "text_all", forms: bool = True):
+    """The index, in numbers, of each of these tables of texts (called with a table, its scopes and its reordered scopes); first names their first scope."""
+    told_apart(keywords)
+    index = index_of([t.select(first) for t in tables], keywords, forms)
+    return lambda table, scopes, reordered=(): coded(index(table, scopes, reordered))
 
 
 def index_columns(suffix: str = "", scopes: tuple[str, ...] = SCOPES) -> list[str]:
@@ -98,17 +122,18 @@ def index_columns(suffix: str = "", scopes: tuple[str, ...] = SCOPES) -> list[st
 def narrowed(rows: DataFrame, suffix: str = "", scopes: tuple[str, ...] = SCOPES) -> DataFrame:
     """The index of the resume in a pair row, cut down to what its job asks for: found once by hash for all keywords of the pair."""
     for s in scopes:
-        rows = rows.withColumn(f"words_{s}{suffix}", F.array_intersect("job_words", f"words_{s}{suffix}"))
-        rows = rows.withColumn(f"literals_{s}{suffix}", F.array_intersect("job_terms", f"literals_{s}{suffix}"))
+        rows = rows.withColumn(f"words_{s}{suffix}", F.array_intersect("job_stems", f"words_{s}{suffix}"))
+        rows = rows.withColumn(f"literals_{s}{suffix}", F.array_intersect("job_codes", f"literals_{s}{suffix}"))
     return rows
 
 
 def holds(keyword: Column, words: str, literals: str) -> Column:
     """Whether a prepared keyword holds for the resume with these words and literals."""
     have, named = F.col(words), F.col(literals)
-    formed = (F.size(keyword["long"]) == 0) | ((F.size(have) > 0) & F.forall(keyword["long"], lambda w: F.array_contains(have, w)))
+    formed = (F.size(keyword["long"]) == 0) | (
+        (F.size(have) > 0) & F.forall(keyword["long"], lambda stems: F.exists(stems, lambda stem: F.array_contains(have, stem))))
     by_form = ((keyword["n_words"] > 1) | ((keyword["n_words"] == 1) & (F.size(keyword["long"]) > 0))) & formed
-    return by_form | (keyword["keyword"] == "") | ((F.size(named) > 0) & F.array_contains(named, keyword["keyword"]))
+    return by_form | (keyword["keyword"] == "") | ((F.size(named) > 0) & F.array_contains(named, keyword["code"]))
 
 
 def tested(kind: str, suffix: str = "", scopes: tuple[str, ...] = SCOPES) -> Column:
@@ -120,21 +145,23 @@ def tested(kind: str, suffix: str = "", scopes: tuple[str, ...] = SCOPES) -> Col
 
 
 def pair_keyword_hits(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, per_resume: DataFrame | None = None,
-                      scopes: tuple[str, ...] = SCOPES) -> DataFrame:
+                      scopes: tuple[str, ...] = SCOPES, per_job: DataFrame | None = None) -> DataFrame:
     """One row per pair: arrays hard and soft of (term, keyword, in_all, in_summary, in_skills) in job order; scopes leaves out what is not wanted.
 
-    The pairs meet the short job side first and the resumes' index last. Columns of per_resume (one row per resume_id) come along with the
-    resumes; they are null where it lacks one.
+    Columns of per_resume (one row per resume_id) come along with the resumes, those of per_job (one row per job_id) with the jobs; they are null where it lacks
+    one.
     """
     prepared = prepared_jobs(jobs)
     texts = scope_texts(resumes)
-    known = written_dictionary(texts.select("text_all"), keywords_of(prepared))
-    ready = text_index(texts, known, scopes)
+    ready = indexed([texts], keywords_of(prepared))(texts, scopes)
     carried = []
+    if per_job is not None:
+        carried += [c for c in per_job.columns if c != "job_id"]
+        prepared = prepared.join(per_job, "job_id", "left")
     if per_resume is not None:
-        carried = [c for c in per_resume.columns if c != "resume_id"]
+        carried += [c for c in per_resume.columns if c != "resume_id"]
         ready = ready.join(per_resume, "resume_id", "left")
-    joined = narrowed(pairs.select("resume_id", "job_id").join(prepared, "job_id").join(ready, "resume_id"), scopes=scopes)
+    joined = narrowed(met(pairs.select("resume_id", "job_id"), prepared, ready, few(jobs)), scopes=scopes)
     return joined.select("resume_id", "job_id", *[tested(kind, scopes=scopes).alias(kind) for kind in ("hard", "soft")], *carried)
 
 
@@ -211,18 +238,17 @@ def verified_text() -> Column:
 
 def present(terms: Column, literals: str) -> Column:
     """(pos, keyword) of the prepared terms that occur literally in the text of the row."""
-    found = F.transform(terms, lambda k, i: F.struct(i.alias("pos"), k["term"].alias("keyword"), k["keyword"].alias("low")))
-    return F.filter(found, lambda k: (k["low"] == "") | F.array_contains(F.col(literals), k["low"]))
+    found = F.transform(terms, lambda k, i: F.struct(i.alias("pos"), k["term"].alias("keyword"), k["keyword"].alias("low"), k["code"].alias("code")))
+    return F.filter(found, lambda k: (k["low"] == "") | F.array_contains(F.col(literals), k["code"]))
 
 
 def keywords_present(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Hard keywords of the job that occur literally in the resume text: (resume_id, job_id, pos, keyword)."""
     prepared = prepared_jobs(jobs, {"hard": "hard_keywords"})
     texts = resumes.select("resume_id", verified_text().alias("text_verified"))
-    known = written_dictionary(texts.select("text_verified"), keywords_of(prepared), forms=False)
-    index = text_index(texts, known, ("verified",)).select("resume_id", "literals_verified")
-    joined = pairs.select("resume_id", "job_id").join(prepared.drop("job_words"), "job_id").join(index, "resume_id").withColumn(
-        "literals_verified", F.array_intersect("job_terms", "literals_verified"))
+    index = indexed([texts], keywords_of(prepared), "text_verified", forms=False)(texts, ("verified",)).select("resume_id", "literals_verified")
+    joined = met(pairs.select("resume_id", "job_id"), prepared.drop("job_stems"), index, few(jobs)).withColumn(
+        "literals_verified", F.array_intersect("job_codes", "literals_verified"))
     return joined.select("resume_id", "job_id", F.explode(present(F.col("hard"), "literals_verified")).alias("p")).select(
         "resume_id", "job_id", "p.pos", "p.keyword")
 

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from rolefit import refdata as R
 from rolefit.functions.text import empty_if_null, strip
 from rolefit.operators.keywords import pair_keyword_hits
+from rolefit.sources.corpus import materialise
 
 PAIR = ["resume_id", "job_id"]
+#: So many skills that are related to those of jobs are broadcast to the skills of the resumes; more meet them by a shuffle.
+BROADCAST_SKILLS = 500_000
 
 
 def job_skills() -> Column:
@@ -28,6 +31,14 @@ def own_groups(resumes: DataFrame, related: DataFrame) -> DataFrame:
     return every.select("resume_id", F.map_from_entries(first).alias("own_by_group"))
 
 
+def related_to(wanted: DataFrame, related: DataFrame) -> DataFrame:
+    """The related skills of the groups that skills of jobs are in; no other group is ever asked for. wanted: (job_id, skills)."""
+    terms = wanted.select(F.explode("skills").alias("skill")).select(F.lower("skill").alias("skill")).distinct()
+    groups = related.join(terms, "skill", "left_semi").select("skill_group").distinct()
+    small = materialise(related.join(groups, "skill_group", "left_semi").select("skill", "skill_group"), "related-skills")
+    return F.broadcast(small) if small.limit(BROADCAST_SKILLS + 1).count() <= BROADCAST_SKILLS else small
+
+
 def job_groups(wanted: DataFrame, related: DataFrame) -> DataFrame:
     """(job_id, groups): (pos, skill_group) of the skills of each job that are in a group. wanted: (job_id, skills)."""
     return (wanted.select("job_id", F.posexplode("skills").alias("pos", "term")).join(related, F.lower("term") == F.col("skill"))
@@ -55,8 +66,9 @@ def skill_breakdown(resumes: DataFrame, jobs: DataFrame, pairs: DataFrame, relat
     wanted = jobs.select("job_id", job_skills().alias("skills"))
     as_keywords = wanted.select("job_id", F.col("skills").alias("hard_keywords"),
                                 F.array().cast("array<string>").alias("soft_keywords"))
+    related = related_to(wanted, related)
     per_resume = resumes.select("resume_id").join(own_groups(resumes, related), "resume_id", "left")
-    joined = pair_keyword_hits(resumes, as_keywords, pairs, per_resume, ("all", "skills")).join(job_groups(wanted, related), "job_id", "left")
+    joined = pair_keyword_hits(resumes, as_keywords, pairs, per_resume, ("all", "skills"), job_groups(wanted, related))
     return exploded_items(joined.select(*PAIR, skill_items("hard").alias("items")))
 
 

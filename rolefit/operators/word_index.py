@@ -10,10 +10,17 @@ filed under the trigram that the fewest units have, which the trigrams of the un
 meets the units of the resumes.
 
 text_index() gathers per resume what its units stand for. Its arrays are bounded by the units of the resume's own text.
+
+Up to ROW_KEYWORDS keywords need none of that: row_index() cuts the tokens of a text into their parts and stems and meets them with the keywords inside the row
+of the text, so that nothing is shuffled. index_of() chooses.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import partial, reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +29,11 @@ from rolefit.functions.text import tokens
 from rolefit.sources.corpus import materialise
 
 _OTHER = "[^a-z0-9]"
+#: Keywords, and characters of all of them, that are tested inside the row of a text; keywords among them that are looked for in the whole text, and lengths of
+#: the others. With more of any the dictionary is written.
+ROW_KEYWORDS, ROW_CHARS, ROW_SOUGHT, ROW_LENGTHS = 20_000, 1_000_000, 100, 100
+#: A longer token is searched for each keyword and not cut into parts.
+LONG_TOKEN = 256
 
 
 def keyword_words(keyword: Column) -> Column:
@@ -84,17 +96,21 @@ def held(units: DataFrame, wanted: DataFrame) -> DataFrame:
     return found
 
 
+def stems_of(keywords: DataFrame) -> DataFrame:
+    """(word): the distinct stems of the long words of keywords."""
+    words = keywords.select(F.explode(long_words(F.col("keyword"))).alias("word")).distinct()
+    return words.select(F.explode(word_stems(F.col("word"))).alias("word")).distinct()
+
+
 def dictionary(units: DataFrame, keywords: DataFrame, forms: bool = True) -> DataFrame:
-    """(unit, words, literals, sought): the keyword words that the unit is a form of, the keywords inside it, and those to look for in texts that have
+    """(unit, words, literals, sought): the stems of keyword words that the unit is a form of, the keywords inside it, and those to look for in texts that have
     it. Units that stand for nothing have no row. units: (unit), distinct; keywords: (keyword), lower-case."""
     none = F.lit(None).cast("string")
     found = held(units, needles(keywords)).select(
         "unit", none.alias("word"), F.when(F.col("exact"), F.col("keyword")).alias("literal"), F.when(~F.col("exact"), F.col("keyword")).alias("sought"))
     if forms:
-        vocabulary = (keywords.select(F.explode(long_words(F.col("keyword"))).alias("word")).distinct()
-                      .select("word", F.explode(word_stems(F.col("word"))).alias("stem")))
-        stems = units.select("unit", F.explode(token_stems(F.col("unit"))).alias("stem")).where("stem IS NOT NULL")
-        found = found.unionByName(stems.join(vocabulary, "stem").select("unit", "word", none.alias("literal"), none.alias("sought")))
+        stems = units.select("unit", F.explode(token_stems(F.col("unit"))).alias("word")).where("word IS NOT NULL")
+        found = found.unionByName(stems.join(stems_of(keywords), "word").select("unit", "word", none.alias("literal"), none.alias("sought")))
     return found.groupBy("unit").agg(F.collect_set("word").alias("words"), F.collect_set("literal").alias("literals"),
                                      F.collect_set("sought").alias("sought"))
 
@@ -123,7 +139,7 @@ def coded_dictionary(known: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def text_index(texts: DataFrame, known: DataFrame, scopes: tuple[str, ...], reordered: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of texts: resume_id and per scope words_<scope> (keyword words in any form) and literals_<scope>.
+    """One row per row of texts: resume_id and per scope words_<scope> (stems of the keyword words that it has in any form) and literals_<scope>.
 
     texts has resume_id and a lower-case text_<scope> for each scope; the first one holds the words of all others. Scopes in reordered have the tokens of the
     first scope in another order and get literals only; a keyword without letters and digits counts there as it does in the first scope. known is a
@@ -174,3 +190,86 @@ def text_index(texts: DataFrame, known: DataFrame, scopes: tuple[str, ...], reor
         "resume_id", *[value(f"words_{s}").alias(f"words_{s}") for s in scopes],
         *[literals(s, f"literals_{s}").alias(f"literals_{s}") for s in scopes],
         *[literals(s, f"literals_{scopes[0]}").alias(f"literals_{s}") for s in reordered])
+
+
+def _parts(units: Column, lengths: list[int]) -> Column:
+    """All parts of those lengths of all units."""
+    def cut(unit: Column) -> Column:
+        n = F.length(unit)
+        fits = F.filter(F.array(*[F.lit(x) for x in lengths]), lambda x: x <= n)
+        return F.flatten(F.transform(fits, lambda x: F.transform(F.sequence(F.lit(1), n - x + 1), lambda i: F.substring(unit, i, x))))
+
+    return F.flatten(F.transform(units, cut))
+
+
+def row_index(texts: DataFrame, scopes: tuple[str, ...], reordered: tuple[str, ...] = (), *, exact: list[str], sought: list[str], stems: list[str]) -> DataFrame:
+    """The same as text_index of a few keywords, each row from itself alone. exact: keywords of letters and digits, sought: all others, stems: stems_of all."""
+    none = F.array().cast("array<string>")
+
+    def listed(terms: list[str]) -> Column:
+        return F.split(F.lit(" ".join(terms)), " ") if terms else none
+
+    def text(scope: str) -> Column:
+        return F.coalesce(f"text_{scope}", F.lit(""))
+
+    lengths = sorted({len(k) for k in exact})
+    rows = texts.select("resume_id", *[f"text_{s}" for s in (*scopes, *reordered)],
+                        *[F.filter(tokens(text(s)), lambda t: t != "").alias(f"units_{s}") for s in scopes])
+    first, known = scopes[0], listed(exact)
+    short, long = F.filter(f"units_{first}", lambda t: F.length(t) <= LONG_TOKEN), F.filter(f"units_{first}", lambda t: F.length(t) > LONG_TOKEN)
+    have = F.array_intersect(known, _parts(short, lengths)) if lengths else none
+    inside = F.filter(known, lambda k: F.exists(long, lambda t: F.contains(t, k)))
+
+    def contained(scope: str) -> Callable[[Column], Column]:
+        return lambda k: F.contains(text(scope), k)
+
+    def words(scope: str, of: Column) -> Column:
+        return F.array_intersect(of, F.flatten(F.transform(f"units_{scope}", token_stems))) if stems else none
+
+    rows = rows.withColumns({f"words_{first}": words(first, listed(stems)), f"exact_{first}": F.when(F.size(long) > 0, F.array_union(have, inside)).otherwise(have)})
+    # the first scope holds the words of all others, so that these are asked for what it has and not for all keywords
+    rows = rows.withColumns({f"words_{s}": words(s, F.col(f"words_{first}")) for s in scopes[1:]} | {
+        f"exact_{s}": F.filter(f"exact_{first}", contained(s)) for s in scopes[1:]})
+
+    def literals(scope: str, own: str) -> Column:
+        """own: the scope that has the tokens, and the runs between them that count."""
+        if not sought:
+            return F.col(f"exact_{own}")
+        marks, mixed = ([F.lit(k) for k in sought if bool(re.search("[a-z0-9]", k)) == m] for m in (False, True))
+        found = [F.filter(F.array(*keys), lambda k: F.contains(text(where), k)) for keys, where in ((marks, own), (mixed, scope)) if keys]
+        return F.concat(F.col(f"exact_{own}"), *found)
+
+    return rows.select("resume_id", *[f"words_{s}" for s in scopes], *[literals(s, s).alias(f"literals_{s}") for s in scopes],
+                       *[literals(s, scopes[0]).alias(f"literals_{s}") for s in reordered])
+
+
+def index_of(texts: list[DataFrame], keywords: DataFrame, forms: bool = True) -> Callable[..., DataFrame]:
+    """text_index (of tables, scopes and reordered scopes) or row_index, whichever the number of keywords asks for. texts: the first scope of each table that
+    will be indexed, in one column."""
+    own = keywords.select("keyword").where("keyword <> ''").distinct()
+    terms = sorted(r.keyword for r in own.limit(ROW_KEYWORDS + 1).collect())
+    sought = [k for k in terms if re.search(_OTHER, k)]
+    exact = [k for k in terms if not re.search(_OTHER, k)]
+    if len(terms) > ROW_KEYWORDS or sum(map(len, terms)) > ROW_CHARS or len(sought) > ROW_SOUGHT or len({len(k) for k in exact}) > ROW_LENGTHS:
+        known = written_dictionary(reduce(DataFrame.unionByName, texts), keywords, forms)
+        return lambda table, scopes, reordered=(): text_index(table, known, scopes, reordered)
+    stems = sorted(r.word for r in stems_of(own).collect()) if forms else []
+    return partial(row_index, exact=exact, sought=sought, stems=stems)
+
+
+def coded(index: DataFrame) -> DataFrame:
+    """An index with the numbers of its stems and keywords (number()) in place of their letters, as pairs meet it."""
+    return index.select("resume_id", *[F.transform(c, number).alias(c) for c in index.columns if c != "resume_id"])
+
+
+def number(word: Column) -> Column:
+    """64 bits that stand for a stem or keyword; told_apart() sees to it that no two of them share theirs."""
+    return F.xxhash64(word)
+
+
+def told_apart(keywords: DataFrame) -> None:
+    """An error if two stems or two keywords of a corpus have one number."""
+    for words in (keywords.select(F.col("keyword").alias("word")), stems_of(keywords)):
+        counts = words.agg(F.count_distinct("word").alias("words"), F.count_distinct(number(F.col("word"))).alias("numbers")).first()
+        if counts.words != counts.numbers:
+            raise ValueError("two keywords have the same 64-bit number")

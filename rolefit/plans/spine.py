@@ -17,7 +17,6 @@ from rolefit.operators import match as M
 from rolefit.operators import signals as S
 from rolefit.operators import skills as SK
 from rolefit.operators import verify as V
-from rolefit.operators.word_index import text_index, written_dictionary
 from rolefit.sources.adapters import Views
 from rolefit.sources.corpus import materialise
 
@@ -28,13 +27,13 @@ def _met(first: DataFrame, others: list[DataFrame], key: str) -> DataFrame:
     return reduce(lambda a, b: a.join(b, key, "left"), others, first)
 
 
-def job_side(v: Views, parts: set[str]) -> tuple[DataFrame, DataFrame]:
+def job_side(v: Views, parts: set[str], related: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(one row per job, its keywords)."""
     jobs = v.skill_jobs.withColumn("skills", SK.job_skills())
     prepared = K.prepared_jobs(jobs, {"hard": "required_skills", "soft": "technologies", "skills": "skills"})
     others = []
     if "skills" in parts:
-        others.append(SK.job_groups(jobs, v.related_skills))
+        others.append(SK.job_groups(jobs, related))
     if "flags" in parts:
         others.append(E.posting_side(v.postings))
     if "match" in parts:
@@ -42,24 +41,23 @@ def job_side(v: Views, parts: set[str]) -> tuple[DataFrame, DataFrame]:
     return _met(prepared, others, "job_id"), K.keywords_of(prepared)
 
 
-def resume_side(v: Views, parts: set[str], keywords: DataFrame) -> DataFrame:
+def resume_side(v: Views, parts: set[str], keywords: DataFrame, related: DataFrame | None) -> DataFrame:
     """One row per resume. What comes of the rewritten text has _after in its names; literals_verified tells what the verified text holds."""
     texts = {"": v.keyed_resumes}
     if "after" in parts:
         texts["_after"] = v.rewritten_resumes
     scoped = {s: K.scope_texts(t, verified="after" in parts) for s, t in texts.items()}
-    every = reduce(DataFrame.unionByName, [t.select("text_all") for t in scoped.values()])
-    known = written_dictionary(every, keywords)
+    indexed = K.indexed(list(scoped.values()), keywords)
     reordered = ("verified",) if "after" in parts else ()
     indexes = []
     for suffix, table in scoped.items():
-        index = text_index(table, known, K.SCOPES, reordered)
+        index = indexed(table, K.SCOPES, reordered)
         indexes.append(index.select("resume_id", *[F.col(c).alias(f"{c}{suffix}") for c in index.columns[1:]], F.lit(True).alias(f"known{suffix}")))
     others = indexes[1:]
     if "flags" in parts:
         others.append(E.candidate_side(v.candidates))
     if "skills" in parts:
-        others.append(SK.own_groups(v.keyed_resumes, v.related_skills))
+        others.append(SK.own_groups(v.keyed_resumes, related))
     if "scores" in parts:
         others.append(S.resume_facts(v.candidates, v.history, v.education, v.doc_facts, v.section_facts))
     if "scores_after" in parts:
@@ -102,8 +100,9 @@ def pair_rows(v: Views, *wanted: str) -> DataFrame:
         raise ValueError(f"parts are {', '.join(PARTS)}")
     if "scores_after" in parts:
         parts.add("after")
-    jobs, keywords = job_side(v, parts)
-    rows = v.confirmations.join(jobs, "job_id").join(resume_side(v, parts, keywords), "resume_id")
+    related = SK.related_to(v.skill_jobs.select("job_id", SK.job_skills().alias("skills")), v.related_skills) if "skills" in parts else None
+    jobs, keywords = job_side(v, parts, related)
+    rows = K.met(v.confirmations, jobs, resume_side(v, parts, keywords, related), K.few(v.jobs))
     rows = K.narrowed(rows)
     if "skills" in parts:
         rows = rows.withColumn("tested", K.tested("skills", scopes=("all", "skills"))).withColumn("items", SK.skill_items("tested"))
@@ -113,7 +112,7 @@ def pair_rows(v: Views, *wanted: str) -> DataFrame:
     if "after" in parts:
         rows = K.narrowed(rows, "_after")
         for suffix in ("", "_after"):
-            rows = rows.withColumn(f"literals_verified{suffix}", F.array_intersect("job_terms", f"literals_verified{suffix}"))
+            rows = rows.withColumn(f"literals_verified{suffix}", F.array_intersect("job_codes", f"literals_verified{suffix}"))
         rows = rows.withColumns({"present_before": K.present(F.col("hard"), "literals_verified"),
                                  "present_after": F.when(F.col("known_after"), K.present(F.col("hard"), "literals_verified_after"))})
         rows = rows.withColumns({f"terms_{when}": F.transform(f"present_{when}", lambda k: k["keyword"]) for when in ("before", "after")})

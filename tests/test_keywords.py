@@ -139,3 +139,54 @@ def test_resumes_meet_numbers_and_not_the_lists_behind_the_units(spark):
     assert coded.count() == 100 and meanings.count() == 1 and set(coded.columns) == {"unit", "code"}
     for r in W.text_index(table, known, ("all",)).collect():
         assert sorted(r.literals_all) == ["ega", "lega", "legal"]
+
+
+@pytest.mark.parametrize("letters", ["ab +", "deings "])
+def test_index_of_a_row_is_that_of_the_dictionary(spark, monkeypatch, letters):
+    """Stems and keywords of every scope, also of tokens too long to be cut up, found inside the row and without an exchange."""
+    rnd = random.Random(len(letters) + ord(letters[1]))
+    texts = ["".join(rnd.choices(letters, k=rnd.randint(0, 30))) for _ in range(40)] + ["", " ", "a" * 300 + letters, "b a" * 100]
+    keywords = sorted(k for k in {"".join(rnd.choices(letters, k=rnd.randint(0, 6))) for _ in range(60)} if not k or k.strip(" +"))
+    rows = [(i, t, " ".join(t.split(" ")[1:3]), " ".join(reversed(t.split(" ")))) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "resume_id long, text_all string, text_part string, text_other string")
+    wanted = spark.createDataFrame([(k,) for k in keywords], "keyword string")
+
+    def index():
+        return W.index_of([table.select("text_all")], wanted)(table, ("all", "part"), ("other",))
+
+    def found(df):
+        return {r[0]: [sorted(x) for x in r[1:]] for r in df.collect()}
+
+    inside = index()
+    assert "Exchange" not in inside._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(W, "ROW_KEYWORDS", 1)
+    by_dictionary = index()
+    assert "Exchange" in by_dictionary._jdf.queryExecution().executedPlan().toString() and by_dictionary.columns == inside.columns
+    assert found(inside) == found(by_dictionary) and len(found(inside)) == len(texts)
+
+
+def test_hits_are_the_same_however_jobs_and_resumes_meet(spark, monkeypatch):
+    pool = ["deploy", "deployed", "c++", "ci/cd", "go", "sql", "managing", "manager", "node.js", ""]
+    rnd = random.Random(3)
+    resumes = spark.createDataFrame([(i, " ".join(rnd.choices(pool, k=3)), rnd.choices(pool, k=2), [], []) for i in range(10)], RESUMES)
+    jobs = spark.createDataFrame([(j, rnd.choices(pool, k=5), rnd.choices(pool, k=2)) for j in range(3)], JOBS)
+    pairs = spark.createDataFrame([(i, j) for i in range(9) for j in range(3)], "resume_id long, job_id long")
+
+    def hits():
+        return sorted(tuple(r) for r in K.keyword_hits(resumes, jobs, pairs).select("resume_id", "job_id", "kind", "pos", "keyword", *[f"in_{s}" for s in K.SCOPES]).collect())
+
+    few = hits()
+    monkeypatch.setattr(K, "BROADCAST_JOBS", 1)
+    monkeypatch.setattr(W, "ROW_SOUGHT", 0)
+    assert hits() == few and any(h[5] for h in few)
+
+
+def test_related_skills_are_those_of_the_groups_of_jobs(spark):
+    from rolefit.operators import skills as SK
+    related = spark.createDataFrame([("manager", "manag"), ("managing", "manag"), ("coding", "cod"), ("coder", "cod")], "skill string, skill_group string")
+    wanted = spark.createDataFrame([(1, ["Managing", "other"]), (2, ["managing"])], "job_id long, skills array<string>")
+    small = SK.related_to(wanted, related)
+    assert sorted(tuple(r) for r in small.collect()) == [("manager", "manag"), ("managing", "manag")]
+    resumes = spark.createDataFrame([(1, ["manager", "coder"], ["Coding"])], "resume_id long, skills array<string>, tech_stack array<string>")
+    plan = SK.own_groups(resumes.repartition("resume_id"), small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and SK.own_groups(resumes, small).first().own_by_group == {"manag": "manager"}
