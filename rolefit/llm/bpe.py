@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding by a two-tier lookup.
 
 Tier one: a minimal perfect hash over the whole vocabulary answers for every pre-token that is itself a vocabulary entry
-with one probe and one comparison. Tier two: any other pre-token is merged bottom-up, its bytes in a linked list and its adjacent pairs in a heap ordered
-by rank and position, so that a pre-token of n bytes costs O(n log n) however long it is.
+with one probe and one comparison. Tier two: any other pre-token is merged bottom-up: up to SHORT_PIECE bytes by the least of all its pairs,
+longer ones with their bytes in a linked list and their adjacent pairs in a heap ordered by rank and position, so that a pre-token of n bytes costs O(n log n)
+however long it is.
 
 The vocabulary is read on the driver from a path that the caller names and broadcast; its size is checked against MAX_VOCABULARY.
 A map without any shuffle: a lost executor costs the tasks it was running.
@@ -29,6 +30,8 @@ MAX_VOCABULARY = 2_000_000
 #: Pre-tokens in each of the two generations whose ids a worker remembers, and the characters of the longest one that it does. Results do not
 #: depend on them.
 REMEMBERED, REMEMBERED_LENGTH = 100_000, 32
+#: Bytes of the longest piece that is merged by looking through all of its pairs; the heap is for longer ones. Results do not depend on it.
+SHORT_PIECE = 24
 
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -103,6 +106,8 @@ class Codec:
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a piece that is no vocabulary entry: the pair of least rank, the leftmost among equals, is merged until none is left."""
         rank_of, n = self.ranks.get, len(piece)
+        if n <= SHORT_PIECE:
+            return self._merge_short(piece)
         after, before = list(range(1, n + 2)), list(range(-1, n))
         pair = [rank_of(piece[i:i + 2], -1) for i in range(n - 1)]
         heap = [(rank << 40) + i for i, rank in enumerate(pair) if rank >= 0]
@@ -134,6 +139,20 @@ class Codec:
             i = after[i]
         return tuple(ids)
 
+    def _merge_short(self, piece: bytes) -> tuple[int, ...]:
+        rank_of, none = self.ranks.get, 1 << 40
+        parts = [piece[i:i + 1] for i in range(len(piece))]
+        pairs = [rank_of(piece[i:i + 2], none) for i in range(len(piece) - 1)]
+        while pairs and (least := min(pairs)) < none:
+            i = pairs.index(least)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank_of(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = rank_of(parts[i - 1] + parts[i], none)
+        return tuple(map(self.ranks.__getitem__, parts))
+
     def piece_ids(self, piece: bytes) -> tuple[int, ...]:
         slot = self.table.find(piece)
         return (self.slot_ids[slot],) if slot >= 0 else self.merge(piece)

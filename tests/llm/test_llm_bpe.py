@@ -70,3 +70,11 @@ def test_large_vocabulary_is_refused(monkeypatch):
     monkeypatch.setattr(bpe, "MAX_VOCABULARY", 1)
     with pytest.raises(ValueError):
         bpe.Codec({b"a": 0, b"b": 1}, ".")
+
+
+def test_short_pieces_merge_as_the_heap_merges_them(codec, monkeypatch):
+    g = random.Random(9)
+    pieces = [bytes(g.choices(b"abt ing\xc3\xa9eros", k=g.randint(1, bpe.SHORT_PIECE))) for _ in range(2_000)]
+    short = [codec.merge(p) for p in pieces]
+    monkeypatch.setattr(bpe, "SHORT_PIECE", 0)
+    assert [codec.merge(p) for p in pieces] == short
