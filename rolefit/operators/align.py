@@ -339,10 +339,10 @@ def unresolved_tokens(templates: DataFrame, placeholders: DataFrame) -> DataFram
 def unused_placeholders(templates: DataFrame, placeholders: DataFrame) -> DataFrame:
     """(resume_id, placeholder): placeholder rows of a resume with a template that none of its tokens takes.
 
-    A template's tokens stay one array of its row, so the placeholders meet one row per resume and no token is exploded.
-    Placeholders of resumes without a template have no row.
+    A template's tokens stay one array of its row, and the names of a resume become one set before they meet it: no task holds every name of all its
+    resumes to tell them apart. Placeholders of resumes without a template have no row.
     """
     token = F.transform(F.regexp_extract_all("template", F.lit(f"({TOKEN})"), F.lit(1)), lambda t: F.regexp_replace(t, r"[{}]", ""))
     taken = templates.filter("template IS NOT NULL").groupBy("resume_id").agg(F.flatten(F.collect_set(token)).alias("taken"))
-    return (placeholders.select("resume_id", "placeholder").distinct().join(taken, "resume_id")
-            .filter(~F.array_contains("taken", F.col("placeholder"))).select("resume_id", "placeholder"))
+    named = placeholders.groupBy("resume_id").agg(F.collect_set("placeholder").alias("names"))
+    return named.join(taken, "resume_id").select("resume_id", F.explode(F.array_except("names", "taken")).alias("placeholder"))

@@ -1,6 +1,7 @@
 """Rewrites and alignment: properties and cases worked out by hand."""
 
 import random
+import re
 from difflib import SequenceMatcher
 
 import pytest
@@ -215,6 +216,16 @@ def test_unused_placeholders(spark):
     assert AL.unused_placeholders(templates.limit(0), placeholders).count() == 0
 
 
+def test_unused_placeholders_are_told_apart_per_resume(spark):
+    """Repeated and null names, and no aggregate that has the name among its keys: it would hold every name of all resumes of a task."""
+    templates = spark.createDataFrame([(1, "{{NAME}}"), (None, "{{CITY}}")], "resume_id long, template string")
+    placeholders = spark.createDataFrame([(1, "NAME"), (1, "CITY"), (1, "CITY"), (1, None), (None, "NAME")], "resume_id long, placeholder string")
+    unused = AL.unused_placeholders(templates, placeholders)
+    assert [tuple(r) for r in unused.collect()] == [(1, "CITY")]
+    plan = unused._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if re.search(r"Aggregate \[resume_id#\d+L, placeholder", line)], plan
+
+
 def test_revert_of_lost_projects_is_quarantined(spark):
     original = _units(spark, [(1, "projects", 0, 0, "a"), (1, "projects", 1, 0, "b"), (1, "certifications", 0, 0, "CKA")])
     rewritten = _units(spark, [(1, "projects", 0, 0, "a new"), (1, "certifications", 0, 0, "CKA"), (1, "certifications", 0, 1, "PMP")])
