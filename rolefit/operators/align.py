@@ -103,6 +103,7 @@ def charset_report(lines: DataFrame) -> DataFrame:
 # over all documents at once (serve).
 ENTRY = ["page", "block", "entry"]
 SHORT_ANCHOR, LONG_ANCHOR = 1, 16
+PAGE_RUN = 16  # pages whose entries a key meets at once; results do not depend on it
 LENGTH_RATIO = R.FUZZY_RATIO / (2 - R.FUZZY_RATIO)  # shorter/longer length that the similarity bound still allows
 
 
@@ -147,40 +148,57 @@ def prefix_candidates(keys: DataFrame, entries: DataFrame) -> DataFrame:
                     F.when(near, ratio).otherwise(R.LEAD_PREFIX_SCORE).alias("score")))
 
 
-#: Character classes that are counted; all other characters are one more class.
+#: Character classes that are counted, and behind them all characters.
 _CLASSES = (*"abcdefghijklmnopqrstuvwxyz ", "0123456789")
 
 
 def character_counts(c: Column) -> Column:
-    """How often each class of characters occurs in a text."""
-    counts = [F.length(c) - F.length(F.translate(c, chars, "")) for chars in _CLASSES]
-    rest = F.length(F.translate(c, "".join(_CLASSES), ""))
-    return F.array(*counts, rest)
+    """How often each class of characters occurs in a text. Single characters are replaced, which searches bytes; translate looks up each character."""
+    def without(chars: str) -> Column:
+        return F.replace(c, F.lit(chars), F.lit("")) if len(chars) == 1 else F.translate(c, chars, "")
+
+    counts = [F.length(c) - F.length(without(chars)) for chars in _CLASSES]
+    return F.array(*counts, F.length(c))
 
 
 def most_shared(a: Column, b: Column) -> Column:
-    """An upper bound, from the counts of both, of the characters that two texts can have in matching blocks."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    """An upper bound, from the counts of both, of the characters that two texts can have in matching blocks; characters of no class are one more. One sum
+    without lambdas: it is compiled."""
+    def total(columns: list[Column]) -> Column:
+        return reduce(Column.__add__, columns)
+
+    of_a, of_b = ([F.get(c, F.lit(i)) for i in range(len(_CLASSES) + 1)] for c in (a, b))
+    shared = [F.least(x, y) for x, y in zip(of_a[:-1], of_b[:-1])]
+    return total(shared) + F.least(*(own[-1] - total(own[:-1]) for own in (of_a, of_b)))
 
 
-def comparable(page_keys: DataFrame, entries: DataFrame) -> DataFrame:
-    """Keys and the distinct entries of their page whose ratio can reach the bound: by their lengths, then by their characters."""
+def comparable(keys: DataFrame, entries: DataFrame) -> DataFrame:
+    """(doc_id, key, neg_len, ord, norm, pages): keys and the distinct entries whose ratio can reach the bound, by their lengths, then by their characters, with the
+    pages that the key looks on. keys: with look, pages on which they look, or skip, pages on which they do not; both tables with the character counts of
+    their texts.
+
+    Keys meet runs of PAGE_RUN pages and not pages: a key has a row for each run, and an entry that comes again inside a run is compared once.
+    """
     def band(c: str) -> Column:
         return F.floor(F.log(F.length(c).cast("double")) / math.log(1 / LENGTH_RATIO)).cast("int")
 
-    left = page_keys.withColumn("key_counts", character_counts(F.col("key"))).withColumn(
-        "band", F.explode(F.array(band("key") - 1, band("key"), band("key") + 1)))
-    right = entries.select("doc_id", "page", "norm").distinct().withColumn("band", band("norm")).withColumn("norm_counts", character_counts(F.col("norm")))
+    run = F.floor(F.col("page") / PAGE_RUN).alias("run")
+    left = (keys.join(entries.select("doc_id", run).distinct(), "doc_id")
+            .withColumn("band", F.explode(F.array(band("key") - 1, band("key"), band("key") + 1))))
+    right = (entries.groupBy("doc_id", run, "norm").agg(F.collect_set("page").alias("pages"), F.any_value("norm_counts").alias("norm_counts"))
+             .withColumn("band", band("norm")))
     a, b = F.length("key"), F.length("norm")
     near = 2 * F.least(a, b) >= R.FUZZY_RATIO * (a + b)
-    met = left.join(right, ["doc_id", "page", "band"]).filter((F.col("key") != F.col("norm")) & near)
-    return met.filter(2 * most_shared(F.col("key_counts"), F.col("norm_counts")) >= R.FUZZY_RATIO * (a + b)).drop("key_counts", "norm_counts")
+    chosen = F.array_intersect("pages", "look") if "look" in keys.columns else F.array_except("pages", "skip")
+    met = left.join(right, ["doc_id", "run", "band"]).filter((F.col("key") != F.col("norm")) & near)
+    met = met.filter(2 * most_shared(F.col("key_counts"), F.col("norm_counts")) >= R.FUZZY_RATIO * (a + b))
+    return met.select("doc_id", "key", "neg_len", "ord", "norm", chosen.alias("pages")).filter(F.size("pages") > 0)
 
 
-def fuzzy_candidates(page_keys: DataFrame, entries: DataFrame) -> DataFrame:
-    """page_keys: keys with the page on which they look. Only comparable() pairs reach the ratio, and entries of a page that
-    are copies of each other are compared once."""
-    scored = comparable(page_keys, entries).withColumn("ratio", gestalt_ratio(F.col("key"), F.col("norm"), R.FUZZY_RATIO)).filter("ratio IS NOT NULL")
+def fuzzy_candidates(keys: DataFrame, entries: DataFrame) -> DataFrame:
+    """keys: as comparable() takes them. Only its pairs reach the ratio, and entries of a page that are copies of each other are compared once."""
+    scored = (comparable(keys, entries).withColumn("ratio", gestalt_ratio(F.col("key"), F.col("norm"), R.FUZZY_RATIO)).filter("ratio IS NOT NULL")
+              .withColumn("page", F.explode("pages")))
     sure = F.col("ratio") > R.FUZZY_STOP_RATIO  # the search of a key stops at the first entry above this
     return scored.join(entries.select("doc_id", *ENTRY, "norm"), ["doc_id", "page", "norm"]).select("doc_id", "key", "neg_len", "ord", *ENTRY, F.lit(4).alias("tier"),
                          F.when(sure, -2.0).otherwise(-F.col("ratio")).alias("pref"), F.col("ratio").alias("score"))
@@ -227,12 +245,12 @@ def prefix_align(changes: DataFrame, entries: DataFrame) -> DataFrame:
 
 def entry_align(changes: DataFrame, entries: DataFrame) -> DataFrame:
     """(doc_id, key, page, block, entry, tier, score): every key and every entry at most once."""
-    keys, items = align_keys(changes), materialise(align_entries(entries), "align-entries")
-    keys = materialise(keys.drop("new_text"), "align-keys")
+    items = materialise(align_entries(entries).withColumn("norm_counts", character_counts(F.col("norm"))), "align-entries")
+    keys = materialise(align_keys(changes).drop("new_text").withColumn("key_counts", character_counts(F.col("key"))), "align-keys")
     exact, prefix = exact_candidates(keys, items), prefix_candidates(keys, items)
-    with_exact = exact.select("doc_id", "page", "key")
-    looking = keys.join(items.select("doc_id", "page").distinct(), "doc_id")
-    fuzzy = fuzzy_candidates(looking.join(with_exact, ["doc_id", "page", "key"], "left_anti"), items)
+    with_exact = exact.groupBy("doc_id", "key").agg(F.collect_set("page").alias("skip"))
+    looking = keys.join(with_exact, ["doc_id", "key"], "left").withColumn("skip", F.coalesce("skip", F.array().cast(with_exact.schema["skip"].dataType)))
+    fuzzy = fuzzy_candidates(looking, items)
     first = materialise(exact.unionByName(prefix).unionByName(fuzzy), "align-first")
     # An equal entry is out of reach of its key only if a longer key without an equal entry may take it first. On pages
     # where that can happen every key needs its similar entries; elsewhere the keys with an equal entry do not.
@@ -242,7 +260,8 @@ def entry_align(changes: DataFrame, entries: DataFrame) -> DataFrame:
     contested = (rivals.join(claims, ["doc_id", *ENTRY]).filter(F.struct("neg_len", "ord") < F.col("claim"))
                  .select("doc_id", "page").distinct())
     displaced = fuzzy_candidates(
-        equal.select("doc_id", "key", "neg_len", "ord", "page").distinct().join(contested, ["doc_id", "page"], "left_semi"), items)
+        equal.join(contested, ["doc_id", "page"], "left_semi").groupBy("doc_id", "key", "neg_len", "ord").agg(F.collect_set("page").alias("look"))
+        .withColumn("key_counts", character_counts(F.col("key"))), items)
     return serve(materialise(_best_reason(first.unionByName(displaced)), "align-candidates"))
 
 

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from rolefit.functions.ratio import gestalt_ratio
 from rolefit.operators import align as AL
 from rolefit.operators import skills as SK
 from rolefit.operators import verify as V
@@ -91,6 +92,33 @@ def test_alignment_worked_out_by_hand(spark):
                    ("managed a team of five engineers", 2, 1)}
 
 
+@pytest.mark.parametrize("run", [16, 1])
+def test_an_entry_on_many_pages_is_compared_once_a_run(spark, monkeypatch, run):
+    monkeypatch.setattr(AL, "PAGE_RUN", run)
+    line, near = "managed a team of six engineers", "managed a team of five engineers"
+    items = spark.createDataFrame([(1, page, 0, 0, 1, line) for page in range(4)] + [(1, 2, 0, 1, 1, line)],
+                                  "doc_id long, page long, block int, entry long, n_lines long, norm string").withColumn(
+        "norm_counts", AL.character_counts(F.col("norm")))
+    keys = spark.createDataFrame([(1, near, -len(near), 0, [1])], "doc_id long, key string, neg_len int, ord int, skip array<long>").withColumn(
+        "key_counts", AL.character_counts(F.col("key")))
+    met = AL.comparable(keys, items).collect()
+    assert len(met) == (1 if run == 16 else 3) and sorted(p for r in met for p in r.pages) == [0, 2, 3]
+    assert sorted((r.page, r.entry, r.score) for r in AL.fuzzy_candidates(keys, items).collect()) == [
+        (page, entry, SequenceMatcher(None, near, line).ratio()) for page, entry in ((0, 0), (2, 0), (2, 1), (3, 0))]
+
+
+def test_ratio_stops_where_the_blocks_found_cannot_reach_the_bound(spark):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("abcd ") for _ in range(rnd.choice([0, 3, 40, 260]))) for _ in range(60)]
+    texts += [t[:i] + "x" + t[i + 2:] for t in texts for i in (1, len(t) // 2)]
+    pairs = [(a, b) for a in texts[:60] for b in texts[60:]] + [(None, "a"), ("", "")]
+    want = [None if a is None else SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    for bound in (0.0, 0.75):
+        got = [r.r for r in df.select("i", gestalt_ratio(F.col("a"), F.col("b"), bound).alias("r")).orderBy("i").collect()]
+        assert got == [None if w is None or w < bound else w for w in want]
+
+
 @pytest.mark.parametrize("chunk", [4096, 2, 1])
 def test_segmentation_keeps_all_lines(spark, monkeypatch, chunk):
     monkeypatch.setattr(AL, "CHUNK_LINES", chunk)
