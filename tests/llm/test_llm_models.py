@@ -171,6 +171,33 @@ def test_network_finds_planted_secrets_beyond_the_patterns(spark):
     assert spans[0] < 0.2 * spans[1]  # the table itself has no other secrets
 
 
+def test_network_learns_from_every_finding(spark, monkeypatch):
+    words = ["".join(chr(97 + i // 26 ** k % 26) for k in range(14)) for i in range(4_000)]  # more plain candidates than any sample of 3,000 holds
+    texts = [(i, f"a {w} b token={i:016x}" if i % 8 == 0 else f"a {w} b") for i, w in enumerate(words)]
+    scanned = secret_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).cache()
+    want = {(max(f["label"], 0), f["windows"][at:at + secret_scan.WINDOW]) for _, t in texts for f in secret_scan.findings(t) if f["label"] is not None
+            for at in range(0, len(f["windows"]), secret_scan.WINDOW)}
+    rows, calibrated, train, calibrate = [], [], secret_scan.averaged, secret_scan.Network.calibrate
+
+    def averaged(dealt, net, *rest):
+        rows.append(dealt.where("not held").count())
+        after = train(dealt, net, *rest)
+        assert not np.array_equal(after.flat(), net.flat())
+        return after
+
+    monkeypatch.setattr(secret_scan, "averaged", averaged)
+    monkeypatch.setattr(secret_scan.Network, "calibrate", lambda net, logits, labels, recall, counts: (
+        calibrated.append(counts.sum()), calibrate(net, logits, labels, recall, counts)))
+    nets = [secret_scan.fit(scanned), secret_scan.fit(scanned, shard_pieces=1_000), secret_scan.fit(scanned, shard_pieces=1_000)]
+    assert len(rows) == 1 + 2 * secret_scan.VARIANTS and len(set(rows)) == 1
+    assert len(want) > 4_000 and all(rows[0] + n / secret_scan.VARIANTS == len(want) for n in calibrated)
+    assert np.array_equal(nets[1].flat(), nets[2].flat()) and nets[1].threshold == nets[2].threshold  # whatever order shards and rows come in
+    for net in nets:
+        found = [f for _, t in texts[:400] for f in secret_scan.findings(t)]
+        high = net.probabilities([f["windows"] for f in found]) >= net.threshold
+        assert np.mean(high == [f["label"] == 1 for f in found]) > 0.95
+
+
 def test_every_run_outside_base_matches_is_a_candidate():
     def others(text):
         return [text[f["start"]:f["end"]] for f in secret_scan.findings(text) if f["kind"] == "model"]
