@@ -6,6 +6,8 @@ scans, no window and no shuffle beyond the two joins that bring candidate and po
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,21 +21,31 @@ _FLAG_TYPE = ("struct<prio:int,check_ord:int,item_ord:int,flag_type:string,categ
               "detail:string,requires_acknowledgement:boolean>")
 
 
+def _domain_columns(side: str) -> list[Column]:
+    """The primary domain as text, in normal form, and the clusters and words of that form."""
+    norm = normalise_domain(strip(F.coalesce("primary_domain", F.lit(""))))
+    return [strip(F.col("primary_domain")).alias(f"{side}_area"), norm.alias(f"{side}_norm"), cluster_bits(norm).alias(f"{side}_clusters"),
+            content_words(norm).alias(f"{side}_content")]
+
+
 def candidate_side(candidates: DataFrame) -> DataFrame:
-    """The candidate columns (r_) the checks read, one row per resume_id; the domain is normalised here, once per candidate."""
+    """The candidate columns (r_) the checks read, one row per resume_id; what they need of a text is worked out here, once per candidate."""
     return candidates.select("resume_id", F.col("total_years").alias("r_years"), F.col("primary_domain").alias("r_domain"),
-                             F.col("location").alias("r_location"), F.col("certifications").alias("r_certs"),
-                             normalise_domain(strip(F.coalesce("primary_domain", F.lit("")))).alias("r_norm"), F.lit(True).alias("r_known"))
+                             F.col("location").alias("r_location"), F.lower(F.concat_ws(" ", empty_if_null(F.col("certifications")))).alias("r_held"),
+                             *_domain_columns("r"), F.lit(True).alias("r_known"))
 
 
 def posting_side(postings: DataFrame) -> DataFrame:
-    """The posting columns (j_) the checks read, one row per job_id."""
+    """The posting columns (j_) the checks read, one row per job_id; j_on_site and j_at_once are what the work mode and the notice period say."""
     return postings.select("job_id", F.col("min_years").alias("j_min"), F.col("max_years").alias("j_max"),
                            parse_seniority(F.col("seniority_raw")).alias("j_seniority"),
                            F.col("primary_domain").alias("j_domain"), F.col("location").alias("j_location"),
-                           F.col("work_mode").alias("j_work_mode"), F.col("notice_period").alias("j_notice"),
+                           F.col("work_mode").alias("j_work_mode"),
+                           contains_any(F.lower(F.coalesce("work_mode", F.lit(""))), ("wfo", "office")).alias("j_on_site"),
+                           contains_any(F.lower("notice_period"), ("immediate", "0 days")).alias("j_at_once"),
                            F.col("certifications_required").alias("j_certs"),
-                           normalise_domain(strip(F.coalesce("primary_domain", F.lit("")))).alias("j_norm"), F.lit(True).alias("j_known"))
+                           F.transform("certifications_required", lambda c: F.lower(c)).alias("j_certs_low"), words(F.lower("location")).alias("j_places"),
+                           *_domain_columns("j"), F.lit(True).alias("j_known"))
 
 
 def pair_context(candidates: DataFrame, postings: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -80,32 +92,29 @@ def experience_flag() -> Column:
 def normalise_domain(c: Column) -> Column:
     """Letters only, lower case, abbreviations written out one after the other in list order."""
     letters = F.regexp_replace(strip(F.lower(c)), r"[^a-z\s]", " ")
-    steps = F.array(*[F.struct(F.lit(rf"\b{short}\b").alias("short"), F.lit(full).alias("full"))
-                      for short, full in R.DOMAIN_ABBREVIATIONS])
-    return F.aggregate(steps, letters, lambda text, s: F.regexp_replace(text, s["short"], s["full"]))
+    short = F.regexp_like(letters, F.lit(rf"\b(?:{'|'.join(short for short, _ in R.DOMAIN_ABBREVIATIONS)})\b"))
+    written = reduce(lambda text, step: F.regexp_replace(text, rf"\b{step[0]}\b", step[1]), R.DOMAIN_ABBREVIATIONS, letters)
+    return F.when(short, written).otherwise(letters)
 
 
-def domain_clusters(norm: Column) -> Column:
-    """Names of the synonym clusters a normalised domain touches (a cluster is named after its first term)."""
-    clusters = F.array(*[F.array(*[F.lit(t) for t in terms]) for terms in R.DOMAIN_CLUSTERS])
-    touched = F.filter(clusters, lambda terms: F.exists(terms, lambda t: F.contains(norm, t)))
-    return F.transform(touched, lambda terms: F.get(terms, F.lit(0)))
+def cluster_bits(norm: Column) -> Column:
+    """The synonym clusters a normalised domain touches, a bit for each."""
+    return reduce(Column.__add__, [F.when(contains_any(norm, terms), 1 << i).otherwise(0) for i, terms in enumerate(R.DOMAIN_CLUSTERS)])
 
 
-def domain_tier(raw_a: Column, raw_b: Column, a: Column, b: Column) -> Column:
-    """What settles the similarity of two domains, of their texts and normal forms: unknown, equal, contained, cluster or fuzzy."""
-    return (F.when((raw_a == "") | (raw_b == ""), "unknown").when(a == b, "equal").when(F.contains(a, b) | F.contains(b, a), "contained")
-            .when(F.arrays_overlap(domain_clusters(a), domain_clusters(b)), "cluster").otherwise("fuzzy"))
+def content_words(norm: Column) -> Column:
+    return F.array_except(F.array_distinct(words(norm)), F.array(*[F.lit(w) for w in R.DOMAIN_STOP_WORDS]))
 
 
-def tier_similarity(tier: Column, a: Column, b: Column) -> Column:
-    """The similarity of two normal forms. Only what the cheap tiers leave open reaches the character ratio, which gets nulls for all others."""
-    stop = F.array(*[F.lit(w) for w in R.DOMAIN_STOP_WORDS])
+def domain_tier(raw_a: Column, raw_b: Column, a: Column, b: Column, clusters_a: Column, clusters_b: Column) -> Column:
+    """What settles the similarity of two domains, of their texts, normal forms and clusters: unknown, equal, contained, cluster or fuzzy."""
+    return (F.when((raw_a == "") | (raw_b == ""), "unknown").when(a == b, "equal").when(F.contains(a, b) | F.contains(b, a), "contained")
+            .when(clusters_a.bitwiseAND(clusters_b) != 0, "cluster").otherwise("fuzzy"))
 
-    def content_words(c: Column) -> Column:
-        return F.array_except(F.array_distinct(words(c)), stop)
 
-    wa, wb = content_words(a), content_words(b)
+def tier_similarity(tier: Column, a: Column, b: Column, wa: Column, wb: Column) -> Column:
+    """The similarity of two normal forms with these content words. Only what the cheap tiers leave open reaches the character ratio, which gets nulls for all
+    others."""
     jaccard = F.when((F.size(wa) > 0) & (F.size(wb) > 0),
                      F.size(F.array_intersect(wa, wb)) / F.size(F.array_union(wa, wb))).otherwise(0.0)
     open_ = tier == "fuzzy"
@@ -122,27 +131,29 @@ def domain_similarity(domain_pairs: DataFrame) -> DataFrame:
         domain_pairs = domain_pairs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("domain_a", "domain_b")]).select(
             "*", normalise_domain(F.col("domain_a")).alias("norm_a"), normalise_domain(F.col("domain_b")).alias("norm_b"))
     raw_a, raw_b, a, b = (F.col(c) for c in ("domain_a", "domain_b", "norm_a", "norm_b"))
-    tiered = domain_pairs.distinct().withColumn("tier", domain_tier(raw_a, raw_b, a, b))
-    return tiered.select("domain_a", "domain_b", "tier", tier_similarity(F.col("tier"), a, b).alias("similarity"))
+    tiered = domain_pairs.distinct().withColumn("tier", domain_tier(raw_a, raw_b, a, b, cluster_bits(a), cluster_bits(b)))
+    return tiered.select("domain_a", "domain_b", "tier", tier_similarity(F.col("tier"), a, b, content_words(a), content_words(b)).alias("similarity"))
 
 
 def domain_pairs(context: DataFrame) -> DataFrame:
     """The domain pairs of the context with their normal forms: two columns that depend on the texts alone."""
-    return context.select(F.coalesce(strip(F.col("r_domain")), F.lit("")).alias("domain_a"), F.coalesce(strip(F.col("j_domain")), F.lit("")).alias("domain_b"),
+    return context.select(F.coalesce("r_area", F.lit("")).alias("domain_a"), F.coalesce("j_area", F.lit("")).alias("domain_b"),
                           F.col("r_norm").alias("norm_a"), F.col("j_norm").alias("norm_b"))
 
 
 def with_similarity(context: DataFrame, similarity: DataFrame | None = None) -> DataFrame:
     """Adds domain_a, domain_b, tier and similarity to each pair (similarity null when either domain is unknown). Without a table of similarities they are
     worked out inside the row; equal pairs of domains that lie in one batch of rows are compared once."""
-    keyed = context.withColumns({"domain_a": strip(F.col("r_domain")), "domain_b": strip(F.col("j_domain"))})
+    keyed = context.withColumns({"domain_a": F.col("r_area"), "domain_b": F.col("j_area")})
     if similarity is not None:
         scores = similarity.filter("tier <> 'unknown'").select("domain_a", "domain_b", "tier", "similarity")
         return keyed.join(scores, ["domain_a", "domain_b"], "left")
     known = (F.coalesce("domain_a", F.lit("")) != "") & (F.coalesce("domain_b", F.lit("")) != "")
-    tier = F.when(known, domain_tier(F.col("domain_a"), F.col("domain_b"), F.col("r_norm"), F.col("j_norm")))
+    a, b = F.col("r_norm"), F.col("j_norm")
+    tier = F.when(known, domain_tier(F.col("domain_a"), F.col("domain_b"), a, b, F.col("r_clusters"), F.col("j_clusters")))
     tiered = keyed.withColumn("tier", tier)
-    return tiered.withColumn("similarity", F.when(F.col("tier").isNotNull(), tier_similarity(F.col("tier"), F.col("r_norm"), F.col("j_norm"))))
+    similarity = tier_similarity(F.col("tier"), a, b, F.col("r_content"), F.col("j_content"))
+    return tiered.withColumn("similarity", F.when(F.col("tier").isNotNull(), similarity))
 
 
 def domain_flag() -> Column:
@@ -172,24 +183,22 @@ def seniority_flag() -> Column:
 
 def location_flag() -> Column:
     here, there, mode = F.col("r_location"), F.col("j_location"), F.coalesce("j_work_mode", F.lit(""))
-    apart = ~F.arrays_overlap(words(F.lower(there)), words(F.lower(here)))
-    on_site = contains_any(F.lower(mode), ("wfo", "office"))
-    return F.when((here != "") & (there != "") & apart & on_site, _flag(
+    apart = ~F.arrays_overlap("j_places", words(F.lower(here)))
+    return F.when(F.col("j_on_site") & (here != "") & (there != "") & apart, _flag(
         3, "yellow", "location_mismatch", "Location Mismatch",
         F.concat(F.lit("JD: "), there, F.lit(" ("), mode, F.lit(") · Your location: "), here),
         "This role requires work from office. Location may be a concern.", False))
 
 
 def notice_flag() -> Column:
-    return F.when(contains_any(F.lower("j_notice"), ("immediate", "0 days")), _flag(
+    return F.when(F.col("j_at_once"), _flag(
         4, "yellow", "notice_period", "Immediate Joiner Preferred", "JD prefers immediate joiners",
         "If you have a notice period, this may affect your candidacy.", False))
 
 
 def missing_certs() -> Column:
     """Required certifications whose name does not occur in the joined names of the candidate, in posting order."""
-    held = F.lower(F.concat_ws(" ", empty_if_null(F.col("r_certs"))))
-    return F.filter(empty_if_null(F.col("j_certs")), lambda c: ~F.contains(held, F.lower(c)))
+    return F.filter(empty_if_null(F.col("j_certs")), lambda c, i: ~F.contains(F.col("r_held"), F.get("j_certs_low", i)))
 
 
 def certification_flags() -> Column:
@@ -241,14 +250,18 @@ def flags_array(context: DataFrame, similarity: DataFrame | None = None, domains
     if domains or similarity is not None:
         context = with_similarity(context, similarity)
         checks.insert(1, domain_flag())
-    typed = F.array(*[c.cast(_FLAG_TYPE) for c in checks])
-    flags = F.array_sort(F.concat(F.array_compact(typed), certification_flags().cast(f"array<{_FLAG_TYPE}>")))
-    return context.withColumn("flags", flags)
+    # each check is a column of its own, met twice: so it is compiled, which nothing is that lies inside a filter of an array
+    typed = {f"flag_{i}": c.cast(_FLAG_TYPE) for i, c in enumerate(checks)}
+    none = F.array().cast(f"array<{_FLAG_TYPE}>")
+    raised = [F.when(F.col(name).isNotNull(), F.array(name)).otherwise(none) for name in typed]
+    flags = F.sort_array(F.concat(*raised, certification_flags().cast(f"array<{_FLAG_TYPE}>")))
+    return context.withColumns(typed).withColumn("flags", flags).drop(*typed)
 
 
 def run_flags(context: DataFrame, similarity: DataFrame | None = None, domains: bool = False) -> DataFrame:
-    """(resume_id, job_id, ord, ...) for all flags of all pairs."""
-    return (flags_array(context, similarity, domains).select("resume_id", "job_id", F.posexplode("flags").alias("ord", "f"))
+    """(resume_id, job_id, ord, ...) for all flags of all pairs. The outer form with a filter behind it: below the plain one Spark puts a filter that works the
+    flags out once more."""
+    return (flags_array(context, similarity, domains).select("resume_id", "job_id", F.posexplode_outer("flags").alias("ord", "f")).filter("ord IS NOT NULL")
             .select("resume_id", "job_id", "ord", *[f"f.{c}" for c in FLAG_FIELDS]))
 
 

@@ -1,6 +1,7 @@
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from rolefit.operators import flags as E
 from rolefit.operators import intake as A
@@ -128,3 +129,21 @@ def test_scores_keep_resumes_without_records(spark):
     assert set(got) == {1, 2}
     assert (got[1].section_completeness, got[2].section_completeness) == (6.0, 0.0)
     assert (got[2].date_consistency, got[2].format_parsability, got[2].file_health) == (5.0, 12.0, 0.0)
+
+
+def test_flags_are_worked_out_once(spark):
+    """No filter below the generator that holds the flags, and so the character ratio, a second time."""
+    rows = [(0.0, "Sales", "Pune", [], 5.5, None, "Lead", "Farming", "Delhi", "WFO", "30 days", ["CKA", "PMP"])]
+    flags = E.run_flags(_context(spark, rows), domains=True)
+    assert flags._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [(r.ord, r.category) for r in sorted(flags.collect(), key=lambda r: r.ord)] == [
+        (0, "experience_gap"), (1, "domain_mismatch"), (2, "certification_missing"), (3, "certification_missing"), (4, "location_mismatch"), (5, "notice_period")]
+
+
+def test_domain_forms(spark):
+    cases = {"HR & ML": "human resources   machine learning", " Infosec/IT ": "information security information technology", "biology": "biology",
+             "SAP": "sap enterprise", "": "", "R2D2": "r d "}
+    df = spark.createDataFrame([(k,) for k in cases], "raw string")
+    got = {r.raw: (r.norm, r.bits) for r in df.select("raw", E.normalise_domain(df.raw).alias("norm")).select("raw", "norm", E.cluster_bits(F.col("norm")).alias("bits")).collect()}
+    assert {k: v[0] for k, v in got.items()} == cases
+    assert got["HR & ML"][1] != 0 and got["biology"][1] == got[""][1]
