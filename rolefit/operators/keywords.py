@@ -120,10 +120,11 @@ def index_columns(suffix: str = "", scopes: tuple[str, ...] = SCOPES) -> list[st
 
 
 def narrowed(rows: DataFrame, suffix: str = "", scopes: tuple[str, ...] = SCOPES) -> DataFrame:
-    """The index of the resume in a pair row, cut down to what its job asks for: found once by hash for all keywords of the pair."""
+    """The index of the resume in a pair row, cut down to what its job asks for: found once by hash for all keywords of the pair. The job's
+    list is the shorter one, which is hashed."""
     for s in scopes:
-        rows = rows.withColumn(f"words_{s}{suffix}", F.array_intersect("job_stems", f"words_{s}{suffix}"))
-        rows = rows.withColumn(f"literals_{s}{suffix}", F.array_intersect("job_codes", f"literals_{s}{suffix}"))
+        rows = rows.withColumn(f"words_{s}{suffix}", F.array_intersect(f"words_{s}{suffix}", "job_stems"))
+        rows = rows.withColumn(f"literals_{s}{suffix}", F.array_intersect(f"literals_{s}{suffix}", "job_codes"))
     return rows
 
 

@@ -216,7 +216,8 @@ def row_index(texts: DataFrame, scopes: tuple[str, ...], reordered: tuple[str, .
     rows = texts.select("resume_id", *[f"text_{s}" for s in (*scopes, *reordered)],
                         *[F.filter(tokens(text(s)), lambda t: t != "").alias(f"units_{s}") for s in scopes])
     first, known = scopes[0], listed(exact)
-    short, long = F.filter(f"units_{first}", lambda t: F.length(t) <= LONG_TOKEN), F.filter(f"units_{first}", lambda t: F.length(t) > LONG_TOKEN)
+    rows = rows.withColumn("long", F.filter(f"units_{first}", lambda t: F.length(t) > LONG_TOKEN))
+    short, long = F.filter(f"units_{first}", lambda t: F.length(t) <= LONG_TOKEN), F.col("long")
     have = F.array_intersect(known, _parts(short, lengths)) if lengths else none
     inside = F.filter(known, lambda k: F.exists(long, lambda t: F.contains(t, k)))
 

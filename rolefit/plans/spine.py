@@ -41,11 +41,12 @@ def job_side(v: Views, parts: set[str], related: DataFrame | None) -> tuple[Data
     return _met(prepared, others, "job_id"), K.keywords_of(prepared)
 
 
-def resume_side(v: Views, parts: set[str], keywords: DataFrame, related: DataFrame | None) -> DataFrame:
-    """One row per resume. What comes of the rewritten text has _after in its names; literals_verified tells what the verified text holds."""
-    texts = {"": v.keyed_resumes}
+def resume_side(v: Views, parts: set[str], pairs: DataFrame, keywords: DataFrame, related: DataFrame | None) -> DataFrame:
+    """One row per resume of the pairs. What comes of the rewritten text has _after in its names; literals_verified tells what the verified text holds."""
+    asked = pairs.select("resume_id")
+    texts = {"": v.keyed_resumes.join(asked, "resume_id", "left_semi")}
     if "after" in parts:
-        texts["_after"] = v.rewritten_resumes
+        texts["_after"] = v.rewritten_resumes_of(texts[""])
     scoped = {s: K.scope_texts(t, verified="after" in parts) for s, t in texts.items()}
     indexed = K.indexed(list(scoped.values()), keywords)
     reordered = ("verified",) if "after" in parts else ()
@@ -102,7 +103,9 @@ def pair_rows(v: Views, *wanted: str) -> DataFrame:
         parts.add("after")
     related = SK.related_to(v.skill_jobs.select("job_id", SK.job_skills().alias("skills")), v.related_skills) if "skills" in parts else None
     jobs, keywords = job_side(v, parts, related)
-    rows = K.met(v.confirmations, jobs, resume_side(v, parts, keywords, related), K.few(v.jobs))
+    # written once: the pairs tell which texts are searched at all, and meet both sides
+    pairs = materialise(v.pairs, "pairs")
+    rows = K.met(v.acknowledged_of(pairs), jobs, resume_side(v, parts, pairs, keywords, related), K.few(v.jobs))
     rows = K.narrowed(rows)
     if "skills" in parts:
         rows = rows.withColumn("tested", K.tested("skills", scopes=("all", "skills"))).withColumn("items", SK.skill_items("tested"))

@@ -213,12 +213,15 @@ class Views:
 
     @cached_property
     def rewritten_resumes(self) -> DataFrame:
+        return self.rewritten_resumes_of(self.keyed_resumes)
+
+    def rewritten_resumes_of(self, resumes: DataFrame) -> DataFrame:
         """Resumes of the rewritten lines, made inside each row; skills and tech stack as before."""
         marked = "concat(CASE WHEN i % 6 = 2 THEN '• ' WHEN i % 6 = 4 THEN 'Tools: ' ELSE '' END, l)"
         rewritten = """CASE WHEN i % 3 = 0 THEN replace(m, 'the', 'each') WHEN i % 5 = 0 THEN concat(m, ' 42')
             WHEN i % 11 = 0 THEN concat(m, ' and much more of it again') ELSE m END"""
         lines = f"transform(transform(split(raw_text, '\\n'), (l, i) -> IF(trim(l) = '', NULL, {marked})), (m, i) -> {rewritten})"
-        return self.keyed_resumes.select("resume_id", "skills", "tech_stack", F.expr(lines).alias("lines")).filter(
+        return resumes.select("resume_id", "skills", "tech_stack", F.expr(lines).alias("lines")).filter(
             "exists(lines, l -> l IS NOT NULL)").selectExpr(
             "resume_id", "skills", "tech_stack", "lines[0] AS summary", "filter(lines, (l, i) -> i > 0 AND l IS NOT NULL) AS bullets")
 
@@ -383,8 +386,11 @@ class Views:
 
     @cached_property
     def confirmations(self) -> DataFrame:
+        return self.acknowledged_of(self.pairs)
+
+    def acknowledged_of(self, pairs: DataFrame) -> DataFrame:
         """Confirmations of the applications in pairs, with the acknowledged categories as a list."""
-        return self.confirmations_of(self.pairs).selectExpr(
+        return self.confirmations_of(pairs).selectExpr(
             "*", """filter(array(IF(ack_experience, 'experience_gap', NULL), IF(ack_certification, 'certification_missing', NULL),
                  IF(ack_domain, 'domain_mismatch', NULL)), c -> c IS NOT NULL) AS acknowledged""")
 

@@ -93,3 +93,17 @@ def test_written_partitions_replace_only_their_own(spark, tmp_path):
     assert table() == first
     write_partitions(spark.createDataFrame([(7, 1, "b")], "id long, job_id long, v string"), out, "job_id")
     assert table() == sorted([r for r in first if r[1] != 1] + [(7, 1, "b")])
+
+
+def test_only_texts_that_pairs_ask_for_are_searched(spark):
+    from rolefit.operators import keywords as K
+    from rolefit.plans.spine import job_side, resume_side
+    from rolefit.sources.adapters import Views
+    v = Views(spark, FOLDER)
+    pairs = spark.createDataFrame([(3, 1), (3, 2), (5, 1)], "resume_id long, job_id long")
+    _, keywords = job_side(v, {"after"}, None)
+    side = resume_side(v, {"after"}, pairs, keywords, None)
+    assert sorted(r.resume_id for r in side.select("resume_id").collect()) == [3, 5]
+    lines = plan(side).splitlines()
+    semi = [i for i, line in enumerate(lines) if "LeftSemi" in line]
+    assert len(semi) == 2 and not any("text_all" in line for line in lines[semi[-1] + 1:])
